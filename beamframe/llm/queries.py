@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamframe.llm import packing, token_files, token_spans, url_filter
+from beamframe.llm import packing, pii, quality, token_files, token_spans, url_filter
 from beamframe.llm.encode import vocabulary
 from beamframe.llm.shared import materialize, new_path
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_spans.attribute_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), ["source", "text"])
 
@@ -33,11 +37,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest, folder)
 
 
+def op9_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_pii_boosting": op1_pii_boosting,
     "op2_token_spans": op2_token_spans,
     "op3_url_filter": op3_url_filter,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_token_files": op8_token_files,
+    "op9_quality_outliers": op9_quality_outliers,
 }
 
 _URL_PARTS = """
