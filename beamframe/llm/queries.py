@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamframe.llm import jaccard, packing, pii, quality, token_files, token_spans, url_filter
+from beamframe.llm import jaccard, packing, pii, quality, repeats, token_files, token_spans, url_filter
 from beamframe.llm.encode import vocabulary
 from beamframe.llm.shared import materialize, new_path
 
@@ -31,6 +31,10 @@ def op4_jaccard_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"), (80, 100), 5)
 
 
+def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), 200)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), size=1024, end_id=2)
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_token_spans": op2_token_spans,
     "op3_url_filter": op3_url_filter,
     "op4_jaccard_trees": op4_jaccard_trees,
+    "op5_repeated_strings": op5_repeated_strings,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_token_files": op8_token_files,
     "op9_quality_outliers": op9_quality_outliers,
