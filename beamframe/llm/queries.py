@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamframe.llm import jaccard, packing, pii, quality, repeats, token_files, token_spans, url_filter
+from beamframe.llm import decontaminate, jaccard, packing, pii, quality, repeats, token_files, token_spans, url_filter
 from beamframe.llm.encode import vocabulary
 from beamframe.llm.shared import materialize, new_path
 
@@ -49,6 +49,10 @@ def op9_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_pii_boosting": op1_pii_boosting,
     "op2_token_spans": op2_token_spans,
@@ -58,6 +62,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_token_files": op8_token_files,
     "op9_quality_outliers": op9_quality_outliers,
+    "op10_decontamination": op10_decontamination,
 }
 
 _URL_PARTS = """
