@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamframe.llm import decontaminate, jaccard, packing, pii, quality, repeats, token_files, token_spans, url_filter
+from beamframe.llm import decontaminate, jaccard, language, packing, pii, quality, repeats, token_files, token_spans, url_filter
 from beamframe.llm.encode import vocabulary
 from beamframe.llm.shared import materialize, new_path
 
@@ -39,6 +39,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), size=1024, end_id=2)
 
 
+def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "ids")
     manifest = materialize(token_files.write_token_files(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), end_id=1), "manifest")
@@ -60,6 +64,7 @@ QUERIES = {
     "op4_jaccard_trees": op4_jaccard_trees,
     "op5_repeated_strings": op5_repeated_strings,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_language_crf": op7_language_crf,
     "op8_token_files": op8_token_files,
     "op9_quality_outliers": op9_quality_outliers,
     "op10_decontamination": op10_decontamination,
