@@ -151,38 +151,56 @@ class Index:
         return [(k, *v) for k, v in sorted(found.items())]
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
-    """doc_id, item_id, edits, start, end (characters of the text as it is)."""
-    spark = docs.sparkSession
+def _indexes(benchmark: DataFrame, q: int, rate: float):
+    """Broadcast indexes that together hold all items."""
+    spark = benchmark.sparkSession
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     total = b.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).collect()[0][0]
     passes = max(1, -(-total // MOST_BROADCAST))
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
     for k in range(passes):
         own = b if passes == 1 else b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         items = [(r.item_id, normalize(r.text)) for r in own.collect()]  # about MOST_BROADCAST characters
-        index = spark.sparkContext.broadcast(Index([x for x in items if x[1]], q, rate))
+        yield spark.sparkContext.broadcast(Index([x for x in items if x[1]], q, rate))
+
 
-        def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+def find_passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
+    """doc_id, item_id, edits, start, end (characters of the text as it is)."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def searching(index):
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = index.value
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if text:
-                        hits = found.search(points(normalize(text)))
-                        if hits:
-                            place = normalized_places(text)[1]
-                            rows += [(doc_id, int(found.ids[k]), e, int(place[min(s, len(place) - 1)]), int(place[t - 1]) + 1 if t > s else int(place[min(s, len(place) - 1)])) for k, e, s, t in hits]
+                    hits = found.search(points(normalize(text))) if text else ()
+                    if hits:
+                        place = normalized_places(text)[1]
+                        for k, e, s, t in hits:
+                            s = min(s, len(place) - 1)
+                            rows.append((doc_id, int(found.ids[k]), e, int(place[s]), int(place[t - 1]) + 1 if t > s else int(place[s])))
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "edits", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "edits", "start", "end"])
+
+        return search
 
-        part = narrow.mapInArrow(search, "doc_id long, item_id long, edits long, start long, end long")
-        out = part if out is None else out.union(part)
+    parts = [narrow.mapInArrow(searching(index), "doc_id long, item_id long, edits long, start long, end long") for index in _indexes(benchmark, q, rate)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
     return out
 
 
-def without_passages(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that hold a passage. A null doc_id is kept only if no null doc_id holds one."""
-    hits = find_passages(docs, benchmark, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+def without_passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
+    """docs less the rows whose text holds a passage: a filter in place, nothing is shuffled."""
+
+    def clean(index, at: int):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not (t and index.value.search(points(normalize(t)))) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        return keep
+
+    for index in _indexes(benchmark, q, rate):
+        docs = docs.mapInArrow(clean(index, docs.columns.index("text")), docs.schema)
+    return docs
