@@ -1,7 +1,8 @@
-"""Texts to ids with the tokenizers library, a text's parts between white space being encoded once each.
+"""Texts to ids with the tokenizers library, a text's parts being encoded once each.
 
-Both vocabulary files split a text at white space before merging, so a text's ids are those of its parts, one after
-another. Texts with rare control characters, on which libraries differ about what white space is, are encoded whole.
+Both vocabulary files split a text before white space and between a letter or digit and a comma or full stop before they
+merge anything, so a text's ids are those of such parts, one after another. Texts with rare control characters, on which
+libraries differ about what white space is, are encoded whole. New parts are encoded many in one text.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ import re
 import numpy as np
 
 #: Parts kept for reuse by each Python worker; beyond it the memory is emptied and filled anew.
-CACHE = 300_000
-_PART = re.compile(r"\s*\S+|\s+")
+CACHE = 800_000
+_PART = re.compile(r"\s*[^\W_]++(?=[,.])|(?<=[^\W_])[,.]+(?!\S)|\s*\S+|\s+")
+_APART = re.compile(r"\s\s*\S")
 _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b]")
+#: Stands between new parts that are encoded as one text: a control character, which is a token of its own.
+MARK = " \x01"
 _LOADED: dict = {}
 
 
@@ -34,6 +38,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.ids: dict[str, bytes] = {}
         self.spans: dict[str, np.ndarray] = {}
 
@@ -46,14 +51,44 @@ class Encoder:
     def _whole(self, texts: list[str]):
         return self.tokenizer.encode_batch(texts, add_special_tokens=False)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        known = self.ids
+    def _parts(self, texts: list[str], known: dict) -> tuple[list, list[str], list[str]]:
+        """The parts of each text (None: to be encoded whole); of those that are not known, the ones that can stand in one text and the others."""
         if len(known) > CACHE:
             known.clear()
         parts = [None if _ODD.search(x) else _PART.findall(x) for x in texts]
-        missing = list({u for p in parts if p for u in p if u not in known})
-        for u, e in zip(missing, self._whole(missing) if missing else (), strict=True):
+        distinct: set[str] = set()
+        for p in parts:
+            distinct.update(p or ())
+        missing = [u for u in distinct if u not in known]
+        joined = [u for u in missing if _APART.match(u) and "\x01" not in u]
+        return parts, joined, list(set(missing).difference(joined))
+
+    def _joined(self, units: list[str]):
+        """(unit, ids, token spans in it) of units that begin with white space, encoded as one text."""
+        for at in range(0, len(units), 4096):
+            own = units[at : at + 4096]
+            found = self._whole(["".join(own)])[0]
+            spans = np.array(found.offsets, np.int32).reshape(-1, 2)
+            ends = np.cumsum([len(u) for u in own])
+            cuts = [0, *np.searchsorted(spans[:, 1], ends, "right").tolist()]
+            ids = np.array(found.ids, "<u4").tobytes()
+            starts = [0, *ends.tolist()]
+            for k, u in enumerate(own):
+                a, b = cuts[k], cuts[k + 1]
+                yield u, ids[4 * a : 4 * b], spans[a:b] - starts[k]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        known = self.ids
+        parts, joined, others = self._parts(texts, known)
+        size, sign = len(self.mark), self.mark[-1]
+        for at in range(0, len(joined), 8192):
+            own = joined[at : at + 8192]
+            ids = np.array(self._whole([MARK.join(own) + MARK])[0].ids, "<u4")
+            ends = np.flatnonzero(ids == sign) + 1
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            known.update(zip(own, [raw[a : b - 4 * size] for a, b in zip([0, *ends], ends)], strict=True))
+        for u, e in zip(others, self._whole(others) if others else (), strict=True):
             known[u] = np.array(e.ids, "<u4").tobytes()
         get = known.__getitem__
         return [np.array(self._whole([x])[0].ids, "<u4").tobytes() if p is None else b"".join(map(get, p)) for x, p in zip(texts, parts, strict=True)]
@@ -61,11 +96,10 @@ class Encoder:
     def offsets(self, texts: list[str]) -> list[np.ndarray]:
         """The character spans of each text's tokens, as an array of (start, end)."""
         known = self.spans
-        if len(known) > CACHE:
-            known.clear()
-        parts = [None if _ODD.search(x) else _PART.findall(x) for x in texts]
-        missing = list({u for p in parts if p for u in p if u not in known})
-        for u, e in zip(missing, self._whole(missing) if missing else (), strict=True):
+        parts, joined, others = self._parts(texts, known)
+        for u, _, spans in self._joined(joined):
+            known[u] = spans.copy()
+        for u, e in zip(others, self._whole(others) if others else (), strict=True):
             known[u] = np.array(e.offsets, np.int32).reshape(-1, 2)
         out = []
         for x, p in zip(texts, parts, strict=True):

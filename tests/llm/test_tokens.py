@@ -169,3 +169,10 @@ def test_random_select():
     values = sorted(random.Random(3).choices(range(10**9), k=5000))
     seq = token_files.EliasFano.build(np.array(values))
     assert all(seq.select(i) == values[i] for i in range(0, 5000, 37))
+
+
+def test_marks_in_texts():
+    texts = ["a \x01 b \x01", " \x01x, y", "q \x01,"]
+    for path in (BYTES, WORD):
+        t = plain_cached(path)
+        assert Encoder.of(path).encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
