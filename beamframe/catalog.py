@@ -1,4 +1,461 @@
-"""All registered queries of the train/pulse operators, with the SQL that DuckDB runs to check them."""
+"""All registered queries of the train/pulse operators, with the SQL that DuckDB runs to check them.
+
+Fixtures: trains with ragged pulses from lineitem, control data from orders, messages of several sources from events,
+8 x 8 images from embeddings (one a train, or eight pulses a train).
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from beamframe import functions as fn
+from beamframe import sources as src
+from beamframe import streaming
+from beamframe.operators import azimuthal, correlate, filters, image, pumpprobe, roi, stats
+from beamframe.plans import recipes
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+INF = math.inf
+SOURCES = ["click", "error", "purchase", "signup", "view"]
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def pulses(spark: SparkSession, d: str) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    return _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("train_id"), (F.row_number().over(order) - 1).alias("pulse"), F.col("l_quantity").alias("xgm"), F.col("l_extendedprice").alias("fom"), F.col("l_discount").alias("da"), F.col("l_tax").alias("db"))
+
+
+def train_fom(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("train_id")).agg(F.avg("l_extendedprice").alias("fom"), F.avg("l_quantity").alias("xgm"))
+
+
+def slow(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "orders").select(F.col("o_orderkey").alias("train_id"), F.col("o_totalprice").alias("slow1"), (F.col("o_custkey") % 100).cast("double").alias("slow2"), F.col("o_orderdate").alias("ts"))
+
+
+def raw(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "events").select(F.floor(F.col("event_id") / 10).alias("train_id"), F.col("event_type").alias("source"), F.lit("value").alias("property"), "ts", F.col("value").alias("scalar"), F.col("event_id").alias("seq"), "user_id", "props")
+
+
+def pixels(spark: SparkSession, d: str) -> DataFrame:
+    return image.to_pixels(_read(spark, d, "embeddings").select(F.col("vec_id").alias("train_id"), "embedding"), "embedding", 8)
+
+
+def pulse_pixels(spark: SparkSession, d: str) -> DataFrame:
+    e = _read(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("train_id"), (F.col("vec_id") % 8).cast("int").alias("pulse"), "embedding")
+    return image.to_pixels(e, "embedding", 8, image.PULSE_IMAGE)
+
+
+def constants(spark: SparkSession, d: str) -> DataFrame:
+    return image.to_pixels(_read(spark, d, "embeddings").where("vec_id < 8").select(F.col("vec_id").cast("int").alias("cell"), "embedding"), "embedding", 8, ("cell",))
+
+
+def scans(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "events").select("user_id", "event_id", "ts", F.get_json_object("props", "$.k").cast("double").alias("x"), F.col("value").alias("y"))
+
+
+ROIS = {1: (0, 0, 4, 4), 2: (4, 4, 4, 4), 3: (0, 4, 4, 4), 4: (6, 6, 4, 4)}
+_PULSES = "pulses AS (SELECT l_orderkey AS train_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) - 1 AS pulse, l_quantity AS xgm, l_extendedprice AS fom, l_discount AS da, l_tax AS db FROM lineitem)"
+_TRAINS = "fom AS (SELECT l_orderkey AS train_id, avg(l_extendedprice) AS fom, avg(l_quantity) AS xgm FROM lineitem GROUP BY 1), slow AS (SELECT o_orderkey AS train_id, o_totalprice AS slow1, CAST(o_custkey % 100 AS DOUBLE) AS slow2, o_orderdate AS ts FROM orders)"
+_RAW = "raw AS (SELECT event_id // 10 AS train_id, event_type AS source, ts, value AS scalar, event_id AS seq, user_id FROM events)"
+_PX = "px AS (SELECT vec_id AS train_id, i // 8 AS y, i % 8 AS x, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) t(i))"
+_PPX = "ppx AS (SELECT vec_id // 8 AS train_id, vec_id % 8 AS pulse, i // 8 AS y, i % 8 AS x, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) t(i))"
+_CONST = "const AS (SELECT vec_id AS cell, i // 8 AS y, i % 8 AS x, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) t(i) WHERE vec_id < 8)"
+_SCAN = "scan AS (SELECT user_id, event_id, ts, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS x, value AS y FROM events)"
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if t in ("double", "float") else F.col(f"`{c}`").cast("long").alias(c) if t in ("int", "smallint") else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def add(name: str, fn_, sql: str | None = None, digits: int = 4) -> None:
+    QUERIES[name] = lambda spark, d: rounded(fn_(spark, d), digits)
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def _bin_sql(x: str, lo: float, hi: float, n: int) -> str:
+    return f"CASE WHEN {x} = {hi} THEN {n - 1} WHEN {x} >= {lo} AND {x} < {hi} THEN CAST(floor(({x} - {lo}) / ({hi} - {lo}) * {n}) AS INT) END"
+
+
+# --- the first slice: complete trains in a range, mean FOM by control value
+def _slice(spark, d):
+    p = filters.filter_trains(train_fom(spark, d), "xgm", 10, 40)
+    return stats.bin_1d(correlate.join_slow(p, slow(spark, d)), "slow1", "fom", 20, 0.0, 500000.0)
+
+
+add("slice_mean_fom_by_slow_bin", _slice, f"""WITH {_TRAINS}, b AS (SELECT {_bin_sql('slow1', 0.0, 500000.0, 20)} AS bin, fom FROM fom JOIN slow USING (train_id) WHERE xgm BETWEEN 10 AND 40),
+g AS (SELECT bin, count(*) AS c, avg(fom) AS s FROM b WHERE bin IS NOT NULL GROUP BY bin)
+SELECT i AS bin, (i + 0.5) * 25000.0 AS center, coalesce(c, 0) AS count, round(coalesce(s, 0.0), 4) AS stat FROM range(20) t(i) LEFT JOIN g ON g.bin = i""")
+
+# --- sources and sinks
+add("s2_train_range", lambda s, d: src.train_range(train_fom(s, d), 100, 9000, 7).select("train_id", "fom"), f"WITH {_TRAINS} SELECT train_id, round(fom, 4) AS fom FROM fom WHERE train_id >= 100 AND train_id < 9000 AND (train_id - 100) % 7 = 0")
+add("s3_run_info", lambda s, d: src.run_info(raw(s, d)), f"WITH {_RAW} SELECT count(DISTINCT train_id) AS n_trains, min(train_id) AS first_train, max(train_id) AS last_train FROM raw")
+
+
+def _sources(s, d):
+    named = raw(s, d).select(F.when(F.col("source") == "view", "LAB/DET/CAM:out").when(F.col("source") == "click", "LAB/XGM:output").otherwise(F.concat(F.lit("LAB/"), "source")).alias("source"), F.concat(F.lit("p"), F.col("user_id") % 4).alias("property"))
+    return src.gather_sources(named, ("p2",)).withColumn("properties", F.array_join("properties", ","))
+
+
+add("s4_gather_sources", _sources, f"""WITH {_RAW}, n AS (SELECT DISTINCT CASE WHEN source = 'view' THEN 'LAB/DET/CAM:out' WHEN source = 'click' THEN 'LAB/XGM:output' ELSE 'LAB/' || source END AS source, 'p' || (user_id % 4) AS property FROM raw)
+SELECT source, CASE WHEN regexp_matches(source, '^(.+)/DET/(.+):(.+)$') THEN 'detector' WHEN strpos(source, ':') > 0 THEN 'instrument' ELSE 'control' END AS kind, string_agg(property, ',' ORDER BY property <> 'p2', property) AS properties FROM n GROUP BY 1""")
+add("s5_require_all", lambda s, d: src.restrict_sources(raw(s, d), ["click", "view"], True).select("train_id", "seq"), f"WITH {_RAW} SELECT train_id, seq FROM raw WHERE source IN ('click', 'view') AND train_id IN (SELECT train_id FROM raw WHERE source IN ('click', 'view') GROUP BY 1 HAVING count(DISTINCT source) = 2)")
+
+
+def _available(s, d):
+    r = raw(s, d)
+    now = r.agg(F.max("ts").alias("now")).withColumn("now", F.col("now") - F.expr("INTERVAL 1 HOUR"))
+    return src.available_sources(r.crossJoin(F.broadcast(now)).where("ts <= now").select("source", "ts", "train_id"), F.lit("2024-01-20 00:00:00").cast("timestamp"), "10 days").select("source", "last_train")
+
+
+add("s11_available_sources", _available, f"WITH {_RAW}, l AS (SELECT source, max(ts) AS m, arg_max(train_id, ts) AS last_train FROM raw WHERE ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM raw) GROUP BY 1) SELECT source, last_train FROM l WHERE m >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 10 DAYS")
+add("s12_process_counts", lambda s, d: src.process_counts(pulses(s, d).groupBy("train_id").agg(F.count("*").alias("n_pulses"), (F.min("xgm") < 5).alias("dropped"))), f"WITH {_PULSES}, t AS (SELECT train_id, count(*) AS n, min(xgm) < 5 AS dropped FROM pulses GROUP BY 1) SELECT max(train_id) AS latest_train, count(*) FILTER (NOT dropped) AS n_processed, count(*) FILTER (dropped) AS n_dropped, CAST(sum(n) FILTER (NOT dropped) AS BIGINT) AS n_pulses FROM t")
+add("s10_detector_output", lambda s, d: src.detector_output(image.mask_threshold(pixels(s, d), -0.1, 0.1, False).withColumn("ts", F.timestamp_seconds("train_id")), "DET").select("train_id", "source", F.aggregate("data", F.lit(0.0), lambda a, v: a + v).alias("total"), F.size("data").alias("n")), f"WITH {_PX} SELECT train_id, 'EF_DET' AS source, round(sum(CASE WHEN v BETWEEN -0.1 AND 0.1 THEN v ELSE 0 END), 4) AS total, count(*) AS n FROM px GROUP BY 1")
+
+# --- filters
+add("f1_select_property", lambda s, d: filters.select_property(raw(s, d).withColumn("property", F.when(F.col("seq") % 3 == 0, "p.value").otherwise("p")), "click", "p"), f"WITH {_RAW} SELECT train_id, round(coalesce(max(CASE WHEN seq % 3 <> 0 THEN scalar END), max(CASE WHEN seq % 3 = 0 THEN scalar END)), 4) AS value FROM raw WHERE source = 'click' GROUP BY 1")
+add("f2_select_modules", lambda s, d: filters.select_modules(raw(s, d).withColumn("source", F.concat(F.lit("D/"), F.col("user_id") % 16, F.lit("CH0"))), "D/*CH0", [0, 3, 15]).groupBy("train_id").agg(F.count_distinct("module").alias("n")), f"WITH {_RAW} SELECT train_id, count(DISTINCT user_id % 16) AS n FROM raw WHERE user_id % 16 IN (0, 3, 15) GROUP BY 1")
+add("f3_slice_pulses", lambda s, d: filters.slice_pulses(pulses(s, d), 1, None, 2).select("train_id", "pulse", "pulse_index", "fom"), f"WITH {_PULSES} SELECT train_id, (pulse - 1) // 2 AS pulse, pulse AS pulse_index, fom FROM pulses WHERE pulse >= 1 AND (pulse - 1) % 2 = 0")
+add("f3_slice_pulses_negative", lambda s, d: filters.slice_pulses(pulses(s, d), -3, -1).select("train_id", "pulse", "pulse_index"), f"WITH {_PULSES}, n AS (SELECT *, max(pulse) OVER (PARTITION BY train_id) + 1 AS n FROM pulses) SELECT train_id, pulse - greatest(n - 3, 0) AS pulse, pulse AS pulse_index FROM n WHERE pulse >= greatest(n - 3, 0) AND pulse < n - 1")
+add("f4_filter_trains", lambda s, d: filters.filter_trains(train_fom(s, d), "fom", 20000, 60000).select("train_id", "fom"), f"WITH {_TRAINS} SELECT train_id, round(fom, 4) AS fom FROM fom WHERE fom BETWEEN 20000 AND 60000")
+add("f5_filter_pulses", lambda s, d: filters.filter_pulses(filters.filter_pulses(pulses(s, d), "xgm", 5, INF), "da", -INF, 0.05).groupBy("train_id").agg(F.count_if("kept").alias("n_kept"), F.count("*").alias("n")), f"WITH {_PULSES} SELECT train_id, count(*) FILTER (xgm >= 5 AND da <= 0.05) AS n_kept, count(*) AS n FROM pulses GROUP BY 1")
+add("f6_fom_pulse_filter", lambda s, d: filters.fom_pulse_filter(roi.roi_fom(pulse_pixels(s, d), ROIS, 8, 8, keys=image.PULSE_IMAGE), -0.2, 0.2).select("train_id", "pulse", F.col("kept").cast("int").alias("kept")), f"WITH {_PPX} SELECT train_id, pulse, CAST(sum(v) BETWEEN -0.2 AND 0.2 AS INT) AS kept FROM ppx WHERE y < 4 AND x < 4 GROUP BY 1, 2")
+add("f7_fom_train_filter", lambda s, d: filters.fom_train_filter(roi.roi_fom(pixels(s, d), ROIS, 8, 8), 0.0, INF).select("train_id", "fom"), f"WITH {_PX} SELECT train_id, round(sum(v), 4) AS fom FROM px WHERE y < 4 AND x < 4 GROUP BY 1 HAVING sum(v) >= 0")
+
+
+def _control(s, d):
+    items = s.createDataFrame([("Motor", "click", "value", 0.0, 60.0), ("Camera", "view", "value", 0.0, 1.0), ("Magnet", "error", "value", 0.0, 80.0)], "category string, name string, property string, lo double, hi double")
+    one = raw(s, d).groupBy("train_id", "source", "property").agg(F.max_by("scalar", "seq").alias("scalar"))
+    return filters.control_filter(one, items).select("train_id").distinct()
+
+
+add("f8_control_filter", _control, f"WITH {_RAW}, one AS (SELECT train_id, source, arg_max(scalar, seq) AS v FROM raw GROUP BY 1, 2) SELECT a.train_id FROM one a JOIN one b ON a.train_id = b.train_id AND a.source = 'click' AND b.source = 'error' WHERE a.v BETWEEN 0 AND 60 AND b.v BETWEEN 0 AND 80")
+
+
+def _guard(s, d):
+    kept, gone = filters.drop_all_guard(filters.filter_pulses(pulses(s, d), "xgm", 20, INF))
+    return kept.groupBy("train_id").agg(F.count("*").alias("n")).unionByName(gone.select("train_id", F.lit(-1).cast("long").alias("n")))
+
+
+add("f12_drop_all_guard", _guard, f"WITH {_PULSES} SELECT train_id, CASE WHEN max(xgm) >= 20 THEN count(*) ELSE -1 END AS n FROM pulses GROUP BY 1")
+add("f11_digitizer_pulse", lambda s, d: filters.digitizer_pulse(pulses(s, d), {"da": "A", "db": "ADC"}, 0, 4).groupBy("train_id", "channel").agg(F.sum("integral").alias("integral")), f"WITH {_PULSES} SELECT train_id, 'A' AS channel, round(sum(da), 4) AS integral FROM pulses WHERE pulse < 4 GROUP BY 1 UNION ALL SELECT train_id, 'ADC', round(sum(db), 4) FROM pulses WHERE pulse < 4 GROUP BY 1")
+add("f13_threshold_mask", lambda s, d: image.mask_threshold(pixels(s, d), -0.1, 0.1).groupBy("train_id").agg(F.count("v").alias("n"), F.avg("v").alias("m")), f"WITH {_PX} SELECT train_id, count(*) FILTER (v BETWEEN -0.1 AND 0.1) AS n, round(avg(CASE WHEN v BETWEEN -0.1 AND 0.1 THEN v END), 4) AS m FROM px GROUP BY 1")
+
+
+def _mask(s):
+    return s.range(8).select(F.col("id").cast("int").alias("y"), F.explode(F.array(F.lit(0), F.lit(3))).alias("x"))
+
+
+add("f14_image_mask", lambda s, d: image.mask_image(pixels(s, d), _mask(s)).groupBy("train_id").agg(F.count("v").alias("n"), F.sum("v").alias("t")), f"WITH {_PX} SELECT train_id, count(*) AS n, round(sum(v), 4) AS t FROM px WHERE x NOT IN (0, 3) GROUP BY 1")
+add("f15_both_masks", lambda s, d: image.mask_pixels(pixels(s, d), _mask(s), -0.1, 0.1).groupBy("train_id").agg(F.count_if("is_masked").alias("n"), F.sum("v").alias("t")), f"WITH {_PX} SELECT train_id, count(*) FILTER (x IN (0, 3) OR v NOT BETWEEN -0.1 AND 0.1) AS n, round(sum(CASE WHEN x NOT IN (0, 3) AND v BETWEEN -0.1 AND 0.1 THEN v END), 4) AS t FROM px GROUP BY 1")
+add("f16_nan_mask", lambda s, d: image.nan_mask(image.mask_threshold(pixels(s, d), 0.0)).groupBy("y", "x").agg(F.count_if("is_masked").alias("n")), f"WITH {_PX} SELECT y, x, count(*) FILTER (v < 0) AS n FROM px GROUP BY 1, 2")
+
+
+def _built(s, d):
+    ops = [(0, "mask", 0, 0, 8, 8), (1, "set", 1, 1, 3, 3), (2, "mask", 5, 5, 9, 2), (3, "unmask", 2, 2, 1, 1)]
+    mask = image.build_mask(s.createDataFrame(ops, "seq int, op string, x int, y int, w int, h int"), 8, 8)
+    return image.mask_image(pixels(s, d), mask).groupBy("y", "x").agg(F.count("v").alias("n"))
+
+
+add("f17_build_mask", _built, f"WITH {_PX} SELECT y, x, CASE WHEN (y BETWEEN 1 AND 3 AND x BETWEEN 1 AND 3 AND NOT (x = 2 AND y = 2)) OR (y IN (5, 6) AND x >= 5) THEN 0 ELSE count(*) END AS n FROM px GROUP BY 1, 2")
+add("f18_asic_edges", lambda s, d: image.mask_asic_edges(pixels(s, d), 4, 4).groupBy("train_id").agg(F.sum("v").alias("t")), f"WITH {_PX} SELECT train_id, round(sum(v), 4) AS t FROM px WHERE y % 4 IN (1, 2) AND x % 4 IN (1, 2) GROUP BY 1")
+add("f19_photons", lambda s, d: image.bin_photons(pixels(s, d).withColumn("v", F.col("v") * 100), 7.0).groupBy("train_id").agg(F.sum("v").alias("photons")), f"WITH {_PX} SELECT train_id, round(sum(greatest(0.0, floor((3.5 + v * 100) / 7.0))), 4) AS photons FROM px GROUP BY 1")
+add("f20_down_sample", lambda s, d: image.down_sample(pixels(s, d)), f"WITH {_PX} SELECT train_id, y // 2 AS y, x // 2 AS x, round(v, 4) AS v FROM px WHERE y % 2 = 0 AND x % 2 = 0")
+add("f21_up_sample", lambda s, d: image.up_sample(image.down_sample(pixels(s, d)), 7, 8), f"WITH {_PX} SELECT train_id, y + j // 2 AS y, x + j % 2 AS x, round(v, 4) AS v FROM px, range(4) t(j) WHERE y % 2 = 0 AND x % 2 = 0 AND y + j // 2 < 7")
+add("f22_slice_curve", lambda s, d: filters.slice_curve(pulses(s, d).select("train_id", F.col("xgm").alias("x"), F.col("fom").alias("y")), 10, 30), f"WITH {_PULSES} SELECT train_id, xgm AS x, fom AS y FROM pulses WHERE xgm BETWEEN 10 AND 30")
+
+
+def _poi(s, d):
+    a, b = filters.select_poi(pulses(s, d), 0, 2)
+    return a.select("train_id", "pulse", "fom").unionByName(b.select("train_id", F.lit(-1).alias("pulse"), F.lit(0.0).alias("fom")))
+
+
+add("f23_poi", _poi, f"WITH {_PULSES} SELECT train_id, pulse, fom FROM pulses WHERE pulse IN (0, 2) UNION ALL SELECT train_id, -1, 0.0 FROM pulses GROUP BY 1 HAVING count(*) < 3")
+add("f25_apd_stride", lambda s, d: filters.apd_stride(_read(s, d, "embeddings"), "embedding", 5, 10).select("vec_id", "status", F.aggregate("samples", F.lit(0.0), lambda a, v: a + v).alias("t")), "SELECT vec_id, 'ok' AS status, round(list_sum([CAST(embedding[5 * i + 1] AS DOUBLE) FOR i IN range(10)]), 4) AS t FROM embeddings")
+
+
+def _modules(s, d):
+    px = _modular(s, d).withColumn("pulse", F.lit(0)).where("NOT (train_id % 5 = 1 AND module = 2)")
+    good, bad = filters.check_modules(px, 4, 4, 4)
+    return good.select("train_id").distinct().withColumn("ok", F.lit(1)).unionByName(bad.select("train_id", F.lit(0).alias("ok")))
+
+
+add("f26_check_modules", _modules, "SELECT vec_id AS train_id, CASE WHEN vec_id % 5 = 1 THEN 0 ELSE 1 END AS ok FROM embeddings")
+
+# --- joins, unions, top-k
+add("j1_correlate", lambda s, d: correlate.correlate(raw(s, d), ["click", "view", "error"]), f"WITH {_RAW} SELECT train_id, arg_max(scalar, ts) FILTER (source = 'click') AS click, arg_max(scalar, ts) FILTER (source = 'view') AS \"view\", arg_max(scalar, ts) FILTER (source = 'error') AS error FROM raw GROUP BY 1 HAVING count(DISTINCT CASE WHEN source IN ('click', 'view', 'error') THEN source END) = 3")
+add("j2_dropped", lambda s, d: correlate.dropped_trains(raw(s, d), SOURCES), f"WITH {_RAW}, h AS (SELECT train_id, list_filter([{', '.join(repr(x) for x in SOURCES)}], x -> NOT list_contains(list(source), x)) AS m FROM raw GROUP BY 1) SELECT train_id, len(m) AS n_missing, 'Not found: ' || len(m) || ' out of 5: ' || m[1] AS reason FROM h WHERE len(m) > 0")
+
+
+def _arrivals(s, d):
+    return raw(s, d).select((F.col("seq") + F.pmod(F.col("seq") * 7919, F.lit(13))).alias("seq0"), "train_id", "source", "seq").select((F.col("seq0") * 100000 + F.col("seq") % 100000).alias("seq"), "train_id", "source")
+
+
+add("j3_emission_rule", lambda s, d: correlate.correlate_ordered(_arrivals(s, d), ["click", "view"]), f"WITH {_RAW}, a AS (SELECT (seq + (seq * 7919) % 13) * 100000 + seq % 100000 AS seq, train_id, source FROM raw WHERE source IN ('click', 'view')), f AS (SELECT train_id, source, min(seq) AS seq FROM a GROUP BY 1, 2), t AS (SELECT train_id, min(seq) AS first_seq, CASE WHEN count(*) = 2 THEN max(seq) END AS complete_seq FROM f GROUP BY 1), w AS (SELECT *, min(complete_seq) OVER (ORDER BY first_seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM t) SELECT train_id, complete_seq FROM w WHERE complete_seq IS NOT NULL AND (later IS NULL OR later > complete_seq)")
+add("j4_gain_offset", lambda s, d: image.correct(pulse_pixels(s, d), constants(s, d), constants(s, d)).groupBy("train_id", "y", "x").agg(F.avg("v").alias("v")), f"WITH {_PPX}, {_CONST} SELECT train_id, p.y, p.x, round(avg(c.v * (p.v - c.v)), 4) AS v FROM ppx p JOIN const c ON c.cell = p.pulse AND c.y = p.y AND c.x = p.x GROUP BY 1, 2, 3")
+add("j5_pair_on_off", lambda s, d: correlate.pair_on_off(train_fom(s, d).select("train_id")), f"WITH {_TRAINS}, l AS (SELECT train_id, lag(train_id) OVER (ORDER BY train_id) AS p FROM fom) SELECT train_id AS train_off, p AS train_on FROM l WHERE train_id % 2 = 1 AND p % 2 = 0")
+add("j8_join_slow", lambda s, d: correlate.join_slow(train_fom(s, d), slow(s, d)).select("train_id", "fom", "slow1", "slow2"), f"WITH {_TRAINS} SELECT train_id, round(fom, 4) AS fom, slow1, slow2 FROM fom JOIN slow USING (train_id)")
+
+
+def _tiles():
+    return [{"module": m, "my0": 0, "mx0": 0, "h": 4, "w": 4, "y0": float(4 * (m // 2)), "x0": float(4 * (m % 2)) if m != 3 else 8.0, "y1": float(4 * (m // 2) + 4), "x1": float(4 * (m % 2) + 4) if m != 3 else 4.0} for m in range(4)]
+
+
+def _geometry(s):
+    return s.createDataFrame(image.pixel_map(_tiles()), "module int, my int, mx int, y int, x int")
+
+
+def _modular(s, d):
+    return pixels(s, d).select("train_id", (F.floor(F.col("y") / 4) * 2 + F.floor(F.col("x") / 4)).cast("int").alias("module"), (F.col("y") % 4).alias("my"), (F.col("x") % 4).alias("mx"), "v")
+
+
+add("j9_assemble", lambda s, d: image.assemble(_modular(s, d), _geometry(s)), f"WITH {_PX} SELECT train_id, y, CASE WHEN y >= 4 AND x >= 4 THEN 11 - x ELSE x END AS x, round(v, 4) AS v FROM px")
+add("j9_dismantle", lambda s, d: image.dismantle(image.assemble(_modular(s, d), _geometry(s)), _geometry(s)), f"WITH {_PX} SELECT train_id, (y // 4) * 2 + x // 4 AS module, y % 4 AS my, x % 4 AS mx, round(v, 4) AS v FROM px")
+add("j10_pair_vectors", lambda s, d: correlate.pair_vectors(pulses(s, d).select("train_id", "pulse", F.col("xgm").alias("v")), pulses(s, d).where("pulse < 6").select("train_id", "pulse", F.col("da").alias("v"))), f"WITH {_PULSES} SELECT train_id, pulse, xgm AS a, da AS b FROM pulses WHERE train_id IN (SELECT train_id FROM pulses GROUP BY 1 HAVING count(*) <= 6)")
+add("j11_multi_camera", lambda s, d: recipes.multi_camera(raw(s, d), ["click", "view"]), f"WITH {_RAW} SELECT train_id, arg_max(scalar, ts) FILTER (source = 'click') AS click, arg_max(scalar, ts) FILTER (source = 'view') AS \"view\" FROM raw WHERE source IN ('click', 'view') GROUP BY 1")
+add("j13_stack_modules", lambda s, d: image.stack_modules(_modular(s, d).where("NOT (module = 1 AND train_id % 2 = 0)"), [0, 1, 2], 4, 4), f"WITH {_PX}, g AS (SELECT vec_id AS train_id, i // 4 AS y, i % 4 AS x FROM embeddings, range(48) t(i)) SELECT g.train_id, g.y, g.x, round(v, 4) AS v FROM g LEFT JOIN px ON px.train_id = g.train_id AND (px.y // 4) * 2 + px.x // 4 = g.y // 4 AND px.y % 4 = g.y % 4 AND px.x % 4 = g.x AND NOT (g.y // 4 = 1 AND g.train_id % 2 = 0)")
+add("u1_kept_pulses", lambda s, d: correlate.kept_pulses(pulses(s, d), pulses(s, d).where("xgm < 10")).select("train_id", "pulse"), f"WITH {_PULSES} SELECT train_id, pulse FROM pulses WHERE xgm >= 10")
+add("u2_overlap", lambda s, d: correlate.check_overlap(pulses(s, d).where("pulse % 2 = 0"), pulses(s, d).where("pulse % 3 = 0")), f"WITH {_PULSES} SELECT train_id, pulse FROM pulses WHERE pulse % 6 = 0")
+add("u3_sources_by_category", lambda s, d: correlate.sources_by_category(raw(s, d).select((F.col("user_id") % 3).cast("string").alias("category"), F.col("source").alias("name"), "seq")).withColumn("sources", F.array_join("sources", ",")), f"WITH {_RAW}, f AS (SELECT CAST(user_id % 3 AS VARCHAR) AS category, source, min(seq) AS q FROM raw GROUP BY 1, 2) SELECT category, string_agg(source, ',' ORDER BY q) AS sources FROM f GROUP BY 1")
+add("u4_merge_messages", lambda s, d: correlate.merge_messages(*[raw(s, d).where(F.col("seq") % 2 == k).withColumn("arrival", F.col("seq")) for k in (0, 1)]).select("train_id", "source", "scalar"), f"WITH {_RAW} SELECT train_id, source, arg_max(scalar, seq) AS scalar FROM raw GROUP BY 1, 2")
+add("o1_latest_trains", lambda s, d: correlate.latest_trains(slow(s, d), 3000).select("train_id"), f"WITH {_TRAINS} SELECT train_id FROM slow ORDER BY ts DESC, train_id DESC LIMIT 3000")
+add("o2_sorted_ids", lambda s, d: correlate.sorted_ids(raw(s, d)), f"WITH {_RAW} SELECT DISTINCT train_id FROM raw")
+add("o3_latest", lambda s, d: correlate.latest(raw(s, d).select("source", "train_id").distinct(), ("source",)), f"WITH {_RAW} SELECT source, max(train_id) AS train_id FROM raw GROUP BY 1")
+
+# --- aggregations
+add("a1_nanmean_image", lambda s, d: image.nanmean_image(image.mask_threshold(pulse_pixels(s, d), -0.2, 0.2)), f"WITH {_PPX} SELECT train_id, y, x, round(avg(CASE WHEN v BETWEEN -0.2 AND 0.2 THEN v END), 4) AS v FROM ppx GROUP BY 1, 2, 3")
+add("a2_nanmean_pair", lambda s, d: image.nanmean_pair(pixels(s, d), image.mask_threshold(pixels(s, d).withColumn("v", 3 * F.col("v")), 0.0)), f"WITH {_PX} SELECT train_id, y, x, round(CASE WHEN v >= 0 THEN 2 * v ELSE v END, 4) AS v FROM px")
+add("a3_nan_reduce", lambda s, d: image.nan_reduce(image.mask_threshold(pixels(s, d), 0.0), "sum", ("train_id", "y")), f"WITH {_PX} SELECT train_id, y, round(coalesce(sum(CASE WHEN v >= 0 THEN v END), 0), 4) AS v FROM px GROUP BY 1, 2")
+add("a4_nan_std", lambda s, d: image.nan_std(pixels(s, d).withColumn("v", F.col("v") + 2), ("train_id",), True), f"WITH {_PX} SELECT train_id, round(stddev_pop(v + 2) / avg(v + 2), 4) AS std, round(var_pop(v + 2) / (avg(v + 2) * avg(v + 2)), 4) AS var FROM px GROUP BY 1")
+
+
+def _reducers(s, d):
+    own = roi.roi_pixels(pixels(s, d).withColumn("v", F.col("v") + 1), ROIS, 8, 8)
+    return own.groupBy("train_id", "roi").agg(*[f(F.col("v")).alias(f"r_{k}") for k, f in image.REDUCERS.items()])
+
+
+_ROI_SQL = "rois(roi, rx, ry, rw, rh) AS (VALUES (1, 0, 0, 4, 4), (2, 4, 4, 4, 4), (3, 0, 4, 4, 4), (4, 6, 6, 4, 4))"
+add("a5_roi_reducers", _reducers, f"WITH {_PX}, {_ROI_SQL}, p AS (SELECT train_id, roi, v + 1 AS v FROM px JOIN rois ON y BETWEEN ry AND ry + rh - 1 AND x BETWEEN rx AND rx + rw - 1) SELECT train_id, roi, round(sum(v), 4) AS r_sum, round(avg(v), 4) AS r_mean, round(quantile_cont(v, 0.5), 4) AS r_median, round(max(v), 4) AS r_max, round(min(v), 4) AS r_min, round(stddev_pop(v), 4) AS r_std, round(var_pop(v), 4) AS r_var, round(stddev_pop(v) / avg(v), 4) AS r_n_std, round(var_pop(v) / (avg(v) * avg(v)), 4) AS r_n_var FROM p GROUP BY 1, 2")
+add("a6_statistics", lambda s, d: stats.compute_statistics(raw(s, d), "scalar", ("source",)), f"WITH {_RAW} SELECT source, round(avg(scalar), 4) AS mean, round(quantile_cont(scalar, 0.5), 4) AS median, round(stddev_pop(scalar), 4) AS std FROM raw GROUP BY 1")
+_HIST = "SELECT i AS bin, {lo} + (i + 0.5) * ({hi} - {lo}) / {n} AS center, coalesce(c, 0) AS count FROM range({n}) t(i) LEFT JOIN (SELECT {b} AS bin, count(*) AS c FROM {t} GROUP BY 1) g ON g.bin = i"
+add("a7_histogram", lambda s, d: stats.hist_with_stats(raw(s, d), "scalar", 10, 0.0, 50.0)[0], f"WITH {_RAW} " + _HIST.format(lo=0.0, hi=50.0, n=10, b=_bin_sql("scalar", 0.0, 50.0, 10), t="raw"))
+add("a7_histogram_stats", lambda s, d: stats.hist_with_stats(raw(s, d), "scalar", 10, 10.0, 50.0)[1], f"WITH {_RAW} SELECT round(avg(scalar), 4) AS mean, round(quantile_cont(scalar, 0.5), 4) AS median, round(stddev_pop(scalar), 4) AS std FROM raw WHERE scalar BETWEEN 10 AND 50")
+add("a8_image_histogram", lambda s, d: stats.hist_with_stats(image.mask_image(pixels(s, d), _mask(s)), "v", 8, -0.5, 0.5)[0], f"WITH {_PX}, m AS (SELECT * FROM px WHERE x NOT IN (0, 3)) " + _HIST.format(lo=-0.5, hi=0.5, n=8, b=_bin_sql("v", -0.5, 0.5, 8), t="m"))
+add("a9_fom_histogram", lambda s, d: stats.fom_histogram(pulses(s, d), 20, 0.0, 100000.0, 40000, True)[0], f"WITH {_PULSES}, l AS (SELECT * FROM pulses ORDER BY train_id DESC, pulse DESC LIMIT 40000) " + _HIST.format(lo=0.0, hi=100000.0, n=20, b=_bin_sql("fom", 0.0, 100000.0, 20), t="l"))
+add("a10_poi_histogram", lambda s, d: stats.poi_histogram(pulses(s, d), 1, 20, 0.0, 100000.0)[0], f"WITH {_PULSES}, l AS (SELECT * FROM pulses WHERE pulse = 1) " + _HIST.format(lo=0.0, hi=100000.0, n=20, b=_bin_sql("fom", 0.0, 100000.0, 20), t="l"))
+add("a11_roi_histogram", lambda s, d: stats.hist_with_stats(roi.roi_pixels(pixels(s, d), {1: ROIS[1]}, 8, 8), "v", 8, -0.5, 0.5)[0], f"WITH {_PX}, m AS (SELECT * FROM px WHERE x < 4 AND y < 4) " + _HIST.format(lo=-0.5, hi=0.5, n=8, b=_bin_sql("v", -0.5, 0.5, 8), t="m"))
+add("a12_const_mean", lambda s, d: image.const_mean(src.check_constants(constants(s, d)), 0, 8, 2), f"WITH {_CONST} SELECT y, x, round(avg(v), 4) AS v FROM const WHERE cell % 2 = 0 GROUP BY 1, 2")
+add("a13_dark_mean", lambda s, d: image.dark_mean(pulse_pixels(s, d))[1], f"WITH {_PPX}, p AS (SELECT pulse, y, x, avg(v) AS v FROM ppx GROUP BY 1, 2, 3) SELECT y, x, round(avg(v), 4) AS v FROM p GROUP BY 1, 2")
+add("a14_dark_from_run", lambda s, d: image.dark_from_run(pixels(s, d)), f"WITH {_PX} SELECT y, x, round(avg(v), 4) AS v FROM px GROUP BY 1, 2")
+add("a16_quantiles", lambda s, d: stats.quick_min_max(raw(s, d), "scalar", 0.95), f"WITH {_RAW} SELECT quantile_disc(scalar, 0.05) AS lo, quantile_disc(scalar, 0.95) AS hi FROM raw")
+add("a16_min_max", lambda s, d: stats.quick_min_max(pixels(s, d), "v"), f"WITH {_PX} SELECT round(min(v), 4) AS lo, round(max(v), 4) AS hi FROM px")
+add("b1_bin_range", lambda s, d: stats.bin_range(slow(s, d), "slow1", -INF, 1e9), f"WITH {_TRAINS} SELECT min(slow1) AS lo, 1e9 AS hi FROM slow")
+add("b2_bin_1d_sum", lambda s, d: stats.bin_1d(correlate.join_slow(train_fom(s, d), slow(s, d)), "slow2", "xgm", 10, 0.0, 100.0, "accumulate"), f"WITH {_TRAINS}, b AS (SELECT {_bin_sql('slow2', 0.0, 100.0, 10)} AS bin, xgm FROM fom JOIN slow USING (train_id)), g AS (SELECT bin, count(*) AS c, sum(xgm) AS s FROM b WHERE bin IS NOT NULL GROUP BY 1) SELECT i AS bin, (i + 0.5) * 10.0 AS center, coalesce(c, 0) AS count, round(coalesce(s, 0.0), 4) AS stat FROM range(10) t(i) LEFT JOIN g ON g.bin = i")
+add("b3_bin_1d_vector", lambda s, d: stats.bin_1d_vector(_read(s, d, "embeddings").select(F.col("vec_id").alias("train_id"), F.col("label").cast("double").alias("x"), F.transform("embedding", lambda v: v.cast("double")).alias("vec")), "x", "vec", 4, 0.0, 10.0), f"WITH b AS (SELECT {_bin_sql('CAST(label AS DOUBLE)', 0.0, 10.0, 4)} AS bin, i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) t(i)) SELECT bin, i, round(avg(v), 4) AS heat FROM b WHERE bin IS NOT NULL GROUP BY 1, 2")
+add("b4_bin_2d", lambda s, d: stats.bin_2d(correlate.join_slow(train_fom(s, d), slow(s, d)), "slow1", "slow2", "fom", 8, 5, (0.0, 400000.0), (0.0, 100.0)), f"WITH {_TRAINS}, b AS (SELECT {_bin_sql('slow1', 0.0, 400000.0, 8)} AS bin1, {_bin_sql('slow2', 0.0, 100.0, 5)} AS bin2, fom FROM fom JOIN slow USING (train_id)), g AS (SELECT bin1, bin2, count(*) AS c, avg(fom) AS s FROM b GROUP BY 1, 2) SELECT j AS bin2, i AS bin1, coalesce(c, 0) AS count, round(coalesce(s, 0.0), 4) AS stat FROM range(8) t(i), range(5) u(j) LEFT JOIN g ON g.bin1 = i AND g.bin2 = j")
+add("b5_spectrum", lambda s, d: stats.spectrum_1d(pulses(s, d), "xgm", "fom", 10, 0.0, 50.0), f"WITH {_PULSES}, b AS (SELECT {_bin_sql('xgm', 0.0, 50.0, 10)} AS bin, fom FROM pulses), g AS (SELECT bin, count(*) AS c, avg(fom) AS s FROM b GROUP BY 1) SELECT i AS bin, (i + 0.5) * 5.0 AS center, round(s, 4) AS mean, coalesce(c, 0) AS count FROM range(10) t(i) LEFT JOIN g ON g.bin = i")
+
+# --- regions of interest, normalization
+_INS = {k: f"(x BETWEEN {x} AND {x + w - 1} AND y BETWEEN {y} AND {y + h - 1})" for k, (x, y, w, h) in ROIS.items()}
+add("r1_roi_pixels", lambda s, d: roi.roi_pixels(pixels(s, d), ROIS, 8, 8).groupBy("train_id", "roi").agg(F.count("*").alias("n"), F.sum("v").alias("t")), f"WITH {_PX}, {_ROI_SQL} SELECT train_id, roi, count(*) AS n, round(sum(v), 4) AS t FROM px JOIN rois ON y BETWEEN ry AND ry + rh - 1 AND x BETWEEN rx AND rx + rw - 1 GROUP BY 1, 2")
+add("r2_roi_fom_pulse", lambda s, d: roi.roi_fom(pulse_pixels(s, d), ROIS, 8, 8, "mean", "sub", image.PULSE_IMAGE), f"WITH {_PPX} SELECT train_id, pulse, round(avg(v) FILTER {_INS[1].replace('(x', '(WHERE x', 1)} - avg(v) FILTER {_INS[2].replace('(x', '(WHERE x', 1)}, 4) AS fom FROM ppx GROUP BY 1, 2")
+add("r3_roi_norm_pulse", lambda s, d: roi.roi_norm(pulse_pixels(s, d), ROIS, 8, 8, "max", "add", image.PULSE_IMAGE), f"WITH {_PPX} SELECT train_id, pulse, round(max(v) FILTER {_INS[3].replace('(x', '(WHERE x', 1)} + max(v) FILTER {_INS[4].replace('(x', '(WHERE x', 1)}, 4) AS norm FROM ppx GROUP BY 1, 2")
+add("r4_roi_fom_train", lambda s, d: roi.roi_fom(image.nanmean_image(pulse_pixels(s, d)), ROIS, 8, 8), f"WITH {_PPX}, m AS (SELECT train_id, y, x, avg(v) AS v FROM ppx GROUP BY 1, 2, 3) SELECT train_id, round(sum(v) FILTER {_INS[1].replace('(x', '(WHERE x', 1)}, 4) AS fom, round(sum(v) FILTER {_INS[2].replace('(x', '(WHERE x', 1)}, 4) AS fom_slave FROM m GROUP BY 1")
+add("r5_roi_norm_train", lambda s, d: roi.roi_norm(pixels(s, d), ROIS, 8, 8), f"WITH {_PX} SELECT train_id, round(sum(v) FILTER {_INS[3].replace('(x', '(WHERE x', 1)}, 4) AS norm FROM px GROUP BY 1")
+add("r6_roi_combine", lambda s, d: roi.roi_combine(pixels(s, d), ROIS[1], ROIS[2], "sub"), f"WITH {_PX} SELECT a.train_id, a.y, a.x, round(a.v - b.v, 4) AS v FROM px a JOIN px b ON a.train_id = b.train_id AND b.y = a.y + 4 AND b.x = a.x + 4 WHERE a.y < 4 AND a.x < 4")
+add("r7_roi_projection", lambda s, d: roi.roi_projection(pixels(s, d), ROIS[3], 8, 8, "y", "mean"), f"WITH {_PX} SELECT train_id, y - 4 AS i, round(avg(v), 4) AS y FROM px WHERE {_INS[3]} GROUP BY 1, 2")
+add("r7_projection_fom", lambda s, d: roi.projection_fom(roi.roi_projection(pixels(s, d), ROIS[3], 8, 8)), f"WITH {_PX} SELECT train_id, round(sum(v), 4) AS fom FROM px WHERE {_INS[3]} GROUP BY 1")
+_PAIR = "m AS (SELECT train_id, y, x, avg(v) FILTER (WHERE pulse % 2 = 0) AS a, avg(v) FILTER (WHERE pulse % 2 = 1) AS b FROM ppx GROUP BY 1, 2, 3)"
+
+
+def _pp(s, d):
+    pairs = pumpprobe.same_train(pulse_pixels(s, d), (0, None, 2), (1, None, 2))
+    return [pairs.select("train_id", "y", "x", F.col(c).alias("v")) for c in ("on", "off")]
+
+
+add("r8_pp_roi_fom", lambda s, d: roi.pp_roi_fom(*_pp(s, d), ROIS, 8, 8), f"WITH {_PPX}, {_PAIR} SELECT train_id, round(sum(a - b), 4) AS fom FROM m WHERE {_INS[1]} AND a IS NOT NULL AND b IS NOT NULL GROUP BY 1")
+add("r9_pp_projection", lambda s, d: roi.pp_roi_projection(*_pp(s, d), ROIS[2], 8, 8, "x", 1, 2)[1], f"WITH {_PPX}, {_PAIR}, c AS (SELECT train_id, x - 4 AS i, sum(a - b) AS y FROM m WHERE {_INS[2]} AND a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2) SELECT train_id, round(sum(abs(y)), 4) AS fom FROM c WHERE i BETWEEN 1 AND 2 GROUP BY 1")
+add("n1_normalize_xgm", lambda s, d: roi.normalize(train_fom(s, d).select("train_id", "fom"), roi.pulse_mean(pulses(s, d), "da")), f"WITH {_PULSES} SELECT train_id, round(CASE WHEN avg(da) <> 0 THEN avg(fom) / avg(da) END, 4) AS fom, CASE WHEN avg(da) = 0 THEN 'normalizer is zero' ELSE 'ok' END AS status FROM pulses GROUP BY 1", 3)
+ORACLE_SQL["n1_normalize_xgm"] = ORACLE_SQL["n1_normalize_xgm"].replace(", 4) AS fom", ", 3) AS fom")
+
+
+def _norm_pp(s, d):
+    i = pumpprobe.intensities(pulses(s, d), ["fom", "xgm"], (0, None, 2), (1, None, 2))
+    return roi.normalize_pp(*[i.where(f"fom_{g} IS NOT NULL").select("train_id", F.col(f"fom_{g}").alias("fom")) for g in ("on", "off")], *[i.select("train_id", F.col(f"xgm_{g}").alias("norm")) for g in ("on", "off")])
+
+
+add("n2_normalize_pp", _norm_pp, f"WITH {_PULSES}, m AS (SELECT train_id, avg(fom) FILTER (WHERE pulse % 2 = 0) AS fa, avg(fom) FILTER (WHERE pulse % 2 = 1) AS fb, avg(xgm) FILTER (WHERE pulse % 2 = 0) AS xa, avg(xgm) FILTER (WHERE pulse % 2 = 1) AS xb FROM pulses GROUP BY 1) SELECT train_id, round(fa / xa, 4) AS fom_on, round(fb / xb, 4) AS fom_off FROM m WHERE fb IS NOT NULL")
+
+
+def _curves(s, d):
+    return _read(s, d, "embeddings").select(F.col("vec_id").alias("train_id"), F.posexplode("embedding").alias("i", "e")).select("train_id", F.col("i").cast("double").alias("x"), (F.col("e").cast("double") + 1).alias("y"))
+
+
+add("n3_normalize_auc", lambda s, d: roi.normalize_auc(_curves(s, d), 10, 50), "WITH c AS (SELECT vec_id AS train_id, CAST(i AS DOUBLE) AS x, CAST(embedding[i + 1] AS DOUBLE) + 1 AS y FROM embeddings, range(64) t(i)), a AS (SELECT train_id, sum(CASE WHEN x IN (10, 50) THEN y / 2 ELSE y END) AS a FROM c WHERE x BETWEEN 10 AND 50 GROUP BY 1) SELECT train_id, x, round(y / a, 6) AS y FROM c JOIN a USING (train_id)", 6)
+
+# --- pump-probe
+add("p1_on_off_pulses", lambda s, d: pumpprobe.on_off_pulses(pulses(s, d).withColumn("kept", F.col("xgm") >= 5), (0, None, 2), (1, -1, None)).groupBy("train_id").agg(F.count_if("is_on").alias("n_on"), F.count_if("is_off").alias("n_off")), f"WITH {_PULSES}, n AS (SELECT *, max(pulse) OVER (PARTITION BY train_id) + 1 AS n FROM pulses) SELECT train_id, count(*) FILTER (xgm >= 5 AND pulse % 2 = 0) AS n_on, count(*) FILTER (xgm >= 5 AND pulse >= 1 AND pulse < n - 1) AS n_off FROM n GROUP BY 1")
+_PPM = "m AS (SELECT train_id, y, x, avg(v) FILTER (WHERE pulse % 2 = 0) AS \"on\", avg(v) FILTER (WHERE pulse % 2 = 1) AS off FROM ppx GROUP BY 1, 2, 3)"
+add("p2_reference_as_off", lambda s, d: pumpprobe.pump_probe(pulse_pixels(s, d), "reference_as_off", (0, None, 2), reference=constants(s, d).where("cell = 1").drop("cell")), f"WITH {_PPX}, {_CONST}, {_PPM} SELECT train_id, m.y, m.x, round(\"on\", 4) AS \"on\", round(c.v, 4) AS off FROM m JOIN const c ON c.cell = 1 AND c.y = m.y AND c.x = m.x WHERE \"on\" IS NOT NULL")
+add("p3_same_train", lambda s, d: pumpprobe.pump_probe(pulse_pixels(s, d), "same_train", (0, None, 2), (1, None, 2)), f"WITH {_PPX}, {_PPM} SELECT train_id, y, x, round(\"on\", 4) AS \"on\", round(off, 4) AS off FROM m WHERE \"on\" IS NOT NULL AND off IS NOT NULL")
+add("p4_even_on", lambda s, d: pumpprobe.pump_probe(pulse_pixels(s, d), "even_on"), f"WITH {_PPX}, m AS (SELECT train_id, y, x, avg(v) AS v FROM ppx GROUP BY 1, 2, 3) SELECT b.train_id, b.y, b.x, round(a.v, 4) AS \"on\", round(b.v, 4) AS off FROM m b JOIN m a ON a.train_id = b.train_id - 1 AND a.y = b.y AND a.x = b.x WHERE b.train_id % 2 = 1")
+add("p5_intensities", lambda s, d: pumpprobe.intensities(pulses(s, d), ["xgm"], (0, None, 2), (1, None, 2)), f"WITH {_PULSES} SELECT train_id, round(avg(xgm) FILTER (WHERE pulse % 2 = 0), 4) AS xgm_on, round(avg(xgm) FILTER (WHERE pulse % 2 = 1), 4) AS xgm_off FROM pulses GROUP BY 1")
+add("p6_train_mean", lambda s, d: pumpprobe.train_mean(pulse_pixels(s, d), (0, 3, None), (3, None, None)), f"WITH {_PPX} SELECT train_id, y, x, round(CASE WHEN count(*) > 3 THEN (avg(v) FILTER (WHERE pulse < 3) + avg(v) FILTER (WHERE pulse >= 3)) / 2 ELSE avg(v) END, 4) AS v FROM ppx GROUP BY 1, 2, 3")
+add("p7_pp_history", lambda s, d: pumpprobe.pp_history(recipes.pump_probe_fom(pulse_pixels(s, d), "same_train", (0, None, 2), (1, None, 2), ROIS, 8, 8), 40), f"WITH {_PPX}, {_PAIR} SELECT train_id, round(sum(a - b), 4) AS fom FROM m WHERE {_INS[1]} AND a IS NOT NULL AND b IS NOT NULL GROUP BY 1 ORDER BY train_id DESC LIMIT 40")
+
+
+def _lines(s, d):
+    return _read(s, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("train_id"), (F.col("vec_id") % 8).cast("int").alias("pulse"), F.posexplode("embedding").alias("pixel", "adc")).withColumn("adc", F.col("adc").cast("double"))
+
+
+_LINES = "ln AS (SELECT vec_id // 8 AS train_id, vec_id % 8 AS pulse, i AS pixel, CAST(embedding[i + 1] AS DOUBLE) AS adc FROM embeddings, range(64) t(i))"
+add("p8_line_pump_probe", lambda s, d: pumpprobe.line_pump_probe(_lines(s, d), (0, 6, 2), (1, 6, 2), (6, None, None)), f"WITH {_LINES}, full_ AS (SELECT vec_id // 8 AS t FROM embeddings GROUP BY 1 HAVING count(*) >= 7) SELECT a.train_id, a.pulse // 2 AS k, a.pixel, round(a.adc - b.adc, 4) AS vfom FROM ln a JOIN ln b ON a.train_id = b.train_id AND a.pixel = b.pixel AND b.pulse = a.pulse + 1 JOIN full_ ON full_.t = a.train_id WHERE a.pulse IN (0, 2, 4)")
+add("c2_zero_offset", lambda s, d: image.correct(pulse_pixels(s, d).withColumn("v", F.floor(F.abs("v") * 10).cast("double")), None, constants(s, d), 256.0).groupBy("train_id", "pulse").agg(F.sum("v").alias("t")), f"WITH {_PPX}, {_CONST} SELECT train_id, pulse, round(sum(CASE WHEN floor(abs(p.v) * 10) = 0 THEN 256 ELSE floor(abs(p.v) * 10) END - c.v), 4) AS t FROM ppx p JOIN const c ON c.cell = p.pulse AND c.y = p.y AND c.x = p.x GROUP BY 1, 2")
+add("c3_intra_dark", lambda s, d: image.intra_dark(pulse_pixels(s, d)).where("status = 'ok' AND pulse % 2 = 0").select("train_id", "pulse", "y", "x", "v"), f"WITH {_PPX}, e AS (SELECT vec_id // 8 AS t FROM embeddings GROUP BY 1 HAVING count(*) % 2 = 0) SELECT a.train_id, a.pulse, a.y, a.x, round(a.v - b.v, 4) AS v FROM ppx a JOIN ppx b ON b.train_id = a.train_id AND b.pulse = a.pulse + 1 AND a.y = b.y AND a.x = b.x JOIN e ON e.t = a.train_id WHERE a.pulse % 2 = 0")
+add("c4_calibrate", lambda s, d: image.calibrate(pulse_pixels(s, d), None, constants(s, d), slicer=(1, None, 2), mask=_mask(s), lo=-0.3, hi=0.3).groupBy("train_id", "pulse").agg(F.sum("v").alias("t")), f"WITH {_PPX}, {_CONST}, c AS (SELECT train_id, pulse, p.x, p.v - c.v AS v FROM ppx p JOIN const c ON c.cell = p.pulse AND c.y = p.y AND c.x = p.x) SELECT train_id, (pulse - 1) // 2 AS pulse, round(sum(v) FILTER (WHERE x NOT IN (0, 3) AND v BETWEEN -0.3 AND 0.3), 4) AS t FROM c WHERE pulse % 2 = 1 GROUP BY 1, 2")
+
+# --- azimuthal integration, transforms
+_QARGS = (8, 8, 3.2, 3.7, 0.2, 0.0002, 9000.0)
+_QSQL = f"qm AS (SELECT i // 8 AS y, i % 8 AS x, 4 * pi() / ({fn.HC_E!r} / 9000.0) / sqrt(4 * 0.2 * 0.2 / ((pow(i // 8 - 3.2, 2) + pow(i % 8 - 3.7, 2)) * 0.0002 * 0.0002) + 1) AS q FROM range(64) t(i))"
+_QHI = 2e8
+_AI = f"ai0 AS (SELECT train_id, least(CAST(floor(q / {_QHI / 6!r}) AS INT), 5) AS bin, v FROM px JOIN qm USING (y, x) WHERE q > 0 AND q <= {_QHI!r}), ai1 AS (SELECT train_id, bin, avg(v) AS m, count(*) AS c FROM ai0 GROUP BY 1, 2), ai AS (SELECT vec_id AS train_id, b AS bin, (b + 0.5) * {_QHI / 6!r} AS q, CASE WHEN c >= 2 THEN m ELSE 0.0 END AS i FROM embeddings CROSS JOIN range(6) t(b) LEFT JOIN ai1 ON ai1.train_id = vec_id AND ai1.bin = b)"
+_curve = lambda s, d: azimuthal.integrate(pixels(s, d), azimuthal.q_map(s, *_QARGS), 6, 0.0, _QHI, 2)
+add("i1_q_map", lambda s, d: azimuthal.q_map(s, *_QARGS).join(pixels(s, d).where("train_id = 0").select("y", "x"), ["y", "x"]).withColumn("q", F.col("q") / 1e6), f"WITH {_QSQL} SELECT y, x, round(q / 1e6, 4) AS q FROM qm")
+add("i2_azimuthal", lambda s, d: _curve(s, d).select("train_id", "bin", "i"), f"WITH {_PX}, {_QSQL}, {_AI} SELECT train_id, bin, round(i, 4) AS i FROM ai")
+add("i3_azimuthal_train", lambda s, d: azimuthal.azimuthal_train(pixels(s, d).withColumn("v", F.col("v") + 1), azimuthal.q_map(s, *_QARGS), 6, 0.0, _QHI, (0.0, _QHI)).select("train_id", "bin", (F.col("i") * 1e8).alias("i")))
+add("i4_azimuthal_pulse", lambda s, d: azimuthal.azimuthal_pulse_fom(pulse_pixels(s, d), azimuthal.q_map(s, *_QARGS), 6, 0.0, _QHI), f"WITH {_PPX}, {_QSQL}, b AS (SELECT train_id, pulse, least(CAST(floor(q / {_QHI / 6!r}) AS INT), 5) AS bin, avg(v) AS m FROM ppx JOIN qm USING (y, x) WHERE q > 0 AND q <= {_QHI!r} GROUP BY 1, 2, 3) SELECT b.train_id, b.pulse, round(sum(abs(b.m - f.m)), 4) AS fom FROM b JOIN b f ON f.train_id = b.train_id AND f.bin = b.bin AND f.pulse = 0 GROUP BY 1, 2")
+add("i5_azimuthal_pp", lambda s, d: azimuthal.azimuthal_pp(pumpprobe.same_train(pulse_pixels(s, d), (0, None, 2), (1, None, 2)), azimuthal.q_map(s, *_QARGS), 6, 0.0, _QHI).select("train_id", "bin", "i"), f"WITH {_PPX}, {_QSQL}, {_PAIR}, b AS (SELECT train_id, least(CAST(floor(q / {_QHI / 6!r}) AS INT), 5) AS bin, avg(a) - avg(b) AS i FROM m JOIN qm USING (y, x) WHERE q > 0 AND q <= {_QHI!r} AND a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2), t AS (SELECT DISTINCT train_id FROM m WHERE a IS NOT NULL AND b IS NOT NULL) SELECT t.train_id, k AS bin, round(coalesce(i, 0.0), 4) AS i FROM t CROSS JOIN range(6) r(k) LEFT JOIN b ON b.train_id = t.train_id AND b.bin = k")
+add("i6_ai_sum", lambda s, d: azimuthal.ai_sum(_curve(s, d)), f"WITH {_PX}, {_QSQL}, {_AI} SELECT train_id, round(sum(abs(i)), 4) AS fom FROM ai GROUP BY 1")
+_positive = lambda s, d: azimuthal.integrate(pixels(s, d).withColumn("v", F.col("v") + 1), azimuthal.q_map(s, *_QARGS), 6, 0.0, _QHI, 2)
+add("i7_center_of_mass", lambda s, d: azimuthal.center_of_mass(_positive(s, d)).select("train_id", (F.col("q") / 1e6).alias("q"), "i"), f"WITH {_PX.replace('AS DOUBLE) AS v', 'AS DOUBLE) + 1 AS v')}, {_QSQL}, {_AI}, c AS (SELECT train_id, CAST(round_even(sum(bin * i) / sum(i), 0) AS INT) AS bin FROM ai GROUP BY 1) SELECT train_id, round(q / 1e6, 4) AS q, round(i, 4) AS i FROM c JOIN ai USING (train_id, bin)")
+
+
+def _curve64(s, d):
+    return _curves(s, d).select("train_id", F.col("x").cast("int").alias("bin"), (F.col("x") / 10).alias("q"), F.round("y", 3).alias("i"))
+
+
+_C64 = "c AS (SELECT vec_id AS train_id, k AS bin, k / 10 AS q, round(CAST(embedding[k + 1] AS DOUBLE) + 1, 3) AS i FROM embeddings, range(64) t(k))"
+_PEAKS = f"""{_C64}, n AS (SELECT *, lag(i) OVER w AS l, lead(i) OVER w AS r FROM c WINDOW w AS (PARTITION BY train_id ORDER BY bin)), t AS (SELECT * FROM n WHERE i > l AND i > r),
+s AS (SELECT t.train_id, t.bin, t.i, max(CASE WHEN c.bin < t.bin AND c.i > t.i THEN c.bin END) AS ls, min(CASE WHEN c.bin > t.bin AND c.i > t.i THEN c.bin END) AS rs FROM t JOIN c USING (train_id) GROUP BY 1, 2, 3),
+b AS (SELECT s.train_id, s.bin, s.i, s.i - greatest(min(CASE WHEN c.bin <= s.bin THEN c.i END), min(CASE WHEN c.bin >= s.bin THEN c.i END)) AS prominence FROM s JOIN c ON c.train_id = s.train_id AND (ls IS NULL OR c.bin > ls) AND (rs IS NULL OR c.bin < rs) GROUP BY 1, 2, 3),
+p AS (SELECT * FROM b WHERE prominence >= 0.25), f AS (SELECT train_id FROM p GROUP BY 1 HAVING count(*) <= 10)"""
+# plateaus are rare in these curves: those with a tie of neighbours are left to the brute-force tests on both sides
+_NO_TIES = "SELECT train_id FROM n WHERE i = l GROUP BY 1"
+
+
+def _peaks(s, d):
+    c = _curve64(s, d)
+    order = Window.partitionBy("train_id").orderBy("bin")
+    ties = c.withColumn("l", F.lag("i").over(order)).where("i = l").select("train_id").distinct()
+    return azimuthal.find_peaks(c.join(ties, "train_id", "left_anti"), 0.25)
+
+
+add("i8_find_peaks", lambda s, d: _peaks(s, d).select("train_id", "bin", "i", "prominence"), f"WITH {_PEAKS} SELECT p.train_id, p.bin, p.i, round(prominence, 4) AS prominence FROM p JOIN f USING (train_id) WHERE p.train_id NOT IN ({_NO_TIES})")
+add("i9_largest_peak", lambda s, d: azimuthal.largest_peak(_peaks(s, d)), f"WITH {_PEAKS} SELECT p.train_id, max(p.i) AS peak, arg_max(p.bin / 10, p.i * 1000 - p.bin * 0.0001) AS peak_q FROM p JOIN f USING (train_id) WHERE p.train_id NOT IN ({_NO_TIES}) GROUP BY 1")
+add("i10_find_center", lambda s, d: azimuthal.find_center(pixels(s, d), 4, 4, 8, 8, 2, 3).select("train_id", "peak"), f"WITH {_PX}, c AS (SELECT train_id, dy, dx, floor(sqrt(pow(y - 4 - dy, 2) + pow(x - 4 - dx, 2)) + 0.5) AS r, avg(v) AS m, count(*) AS n FROM px, range(-2, 3) a(dy), range(-2, 3) b(dx) GROUP BY 1, 2, 3, 4) SELECT train_id, round(max(m), 4) AS peak FROM c WHERE n >= 3 GROUP BY 1")
+_CROSS = image.cross_kernel(3, 1.0)
+add("t1_gaussian_blur", lambda s, d: image.gaussian_blur(pixels(s, d), 3, 1.0, 8, 8), f"WITH {_PX}, k(dy, dx, w) AS (VALUES {', '.join(f'({a}, {b}, {w!r}::DOUBLE)' for a, b, w in _CROSS)}) SELECT a.train_id, a.y, a.x, round(sum(b.v * k.w), 4) AS v FROM px a, k, px b WHERE b.train_id = a.train_id AND b.y = a.y + k.dy AND b.x = a.x + k.dx GROUP BY 1, 2, 3")
+add("t2_edge_detect", lambda s, d: image.edge_detect(pixels(s, d), 3, 1.0, 0.2, 0.6, 8, 8))
+add("t3_power_spectrum", lambda s, d: image.power_spectrum(pixels(s, d), 8, 8), f"WITH {_PX}, f AS (SELECT train_id, ky, kx, sum(v * cos(-2 * pi() * (ky * y + kx * x) / 8)) AS re, sum(v * sin(-2 * pi() * (ky * y + kx * x) / 8)) AS im FROM px, range(8) a(ky), range(8) b(kx) GROUP BY 1, 2, 3) SELECT train_id, (ky + 4) % 8 AS y, (kx + 4) % 8 AS x, round(log10(1 + sqrt(re * re + im * im)), 4) AS v FROM f")
+
+# --- ordered operators
+add("w1_moving_average", lambda s, d: stats.moving_average(scans(s, d).select("user_id", "event_id", "y"), ["user_id"], ["event_id"], "y", 5).select("user_id", "event_id", "avg"), f"""WITH RECURSIVE {_SCAN}, o AS (SELECT user_id, event_id, y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM scan), r AS (SELECT user_id, event_id, n, y AS m FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.event_id, o.n, r.m + (o.y - r.m) / least(o.n, 5) FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1) SELECT user_id, event_id, round(m, 4) AS avg FROM r""")
+add("w2_last_n", lambda s, d: stats.last_n(scans(s, d).select("user_id", "event_id", "y"), ["user_id"], ["event_id"], 20), f"WITH {_SCAN} SELECT user_id, event_id, y FROM scan QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 20")
+add("w3_correlation", lambda s, d: stats.correlation(train_fom(s, d).select("train_id", F.col("fom").alias("y"), F.col("xgm").alias("y_slave")), slow(s, d).select("train_id", F.col("slow1").alias("x")), 3000), f"WITH {_TRAINS} SELECT train_id, round(fom, 4) AS y, round(xgm, 4) AS y_slave, slow1 AS x FROM fom JOIN slow USING (train_id) ORDER BY train_id DESC LIMIT 3000")
+
+
+def _scan_sql(resolution: float) -> str:
+    return f"""WITH RECURSIVE {_SCAN}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM scan),
+w AS (SELECT user_id, r, x AS xm, CAST(1 AS BIGINT) AS c, y AS ym, 0.0::DOUBLE AS s, CAST(0 AS BIGINT) AS pos FROM o WHERE r = 1
+UNION ALL SELECT o.user_id, o.r, CASE WHEN k THEN xm + (o.x - xm) / (c + 1) ELSE o.x END, CASE WHEN k THEN c + 1 ELSE 1 END, CASE WHEN k THEN ym + (o.y - ym) / (c + 1) ELSE o.y END,
+  CASE WHEN k THEN s + (o.y - ym) * (o.y - (ym + (o.y - ym) / (c + 1))) ELSE 0.0 END, CASE WHEN k THEN pos ELSE pos + 1 END
+  FROM (SELECT w.*, abs(n.x - w.xm) <= {resolution} AS k FROM w JOIN o n ON n.user_id = w.user_id AND n.r = w.r + 1) w JOIN o ON o.user_id = w.user_id AND o.r = w.r + 1),
+e AS (SELECT user_id, pos, arg_max(xm, r) AS x, arg_max(ym, r) AS y_avg, arg_max(s, r) AS s, max(c) AS count FROM w GROUP BY 1, 2 HAVING max(c) >= 2)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1 AS point, round(x, 4) AS x, round(y_avg, 4) AS y_avg, round(y_avg - 0.5 * sqrt(s / count), 4) AS y_min, round(y_avg + 0.5 * sqrt(s / count), 4) AS y_max, count FROM e"""
+
+
+add("w4_scan_points", lambda s, d: stats.scan_points(scans(s, d).select("user_id", "event_id", "x", "y"), ["user_id"], ["event_id"], "x", "y", 20.0), _scan_sql(20.0))
+add("w5_scan_auto_reset", lambda s, d: stats.scan_points(scans(s, d).select("user_id", "event_id", "x", "y"), ["user_id"], ["event_id"], "x", "y", 30.0, auto_reset=True))
+add("w6_scan_new_resolution", lambda s, d: stats.scan_points(scans(s, d).select("user_id", "event_id", "x", "y"), ["user_id"], ["event_id"], "x", "y", 35.0), _scan_sql(35.0))
+add("w7_processing_rate", lambda s, d: stats.processing_rate(raw(s, d), ["user_id"]).where("rate IS NOT NULL").select("user_id", "seq", (F.col("rate") * 1000).alias("rate")).where("rate < 100"), f"WITH {_RAW}, l AS (SELECT user_id, seq, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY ts, train_id) AS dt FROM raw) SELECT user_id, seq, round(1000 / dt, 4) AS rate FROM l WHERE dt > 10")
+add("w8_trace", lambda s, d: stats.trace(slow(s, d), "slow1", 500), f"WITH {_TRAINS} SELECT train_id, slow1 FROM slow ORDER BY train_id DESC LIMIT 500")
+
+# --- scalar functions
+add("x1_x4_scalars", lambda s, d: slow(s, d).select("train_id", (fn.energy_to_wavelength(F.col("slow1")) * 1e12).alias("wl"), (fn.momentum_transfer(F.lit(0.2), F.col("slow2") * 0.001, F.col("slow1")) / 1e9).alias("q"), fn.absorption(F.col("slow2"), F.col("slow1")).alias("a"), fn.log_scale(F.col("slow1")).alias("l")), f"WITH {_TRAINS} SELECT train_id, round({fn.HC_E!r} / slow1 * 1e12, 4) AS wl, round(CASE WHEN slow2 = 0 THEN 0 ELSE 4 * pi() / ({fn.HC_E!r} / slow1) / sqrt(4 * pow(0.2 / (slow2 * 0.001), 2) + 1) / 1e9 END, 4) AS q, round(CASE WHEN slow2 > 0 THEN -ln(slow2 / slow1) END, 4) AS a, round(log10(1 + slow1), 4) AS l FROM slow")
+add("x5_x8_scalars", lambda s, d: pulses(s, d).select("train_id", "pulse", fn.calibrate_axis(F.col("pulse"), 0.5, 3.0).alias("axis"), fn.is_even(F.col("train_id")).cast("int").alias("even")), f"WITH {_PULSES} SELECT train_id, pulse, pulse * 0.5 - 3.0 AS axis, CAST(train_id % 2 = 0 AS INT) AS even FROM pulses")
+add("x6_rect_intersection", lambda s, d: pulses(s, d).select("train_id", "pulse", *[c.alias(n) for c, n in zip(fn.rect_intersection((F.col("pulse"), F.lit(0), F.lit(4), F.lit(4)), (F.lit(3), F.lit(2), F.lit(5), F.lit(5))), "xywh", strict=True)]), f"WITH {_PULSES} SELECT train_id, pulse, greatest(pulse, 3) AS x, 2 AS y, least(pulse + 4, 8) - greatest(pulse, 3) AS w, 2 AS h FROM pulses")
+add("x7_edges_to_centers", lambda s, d: stats.bin_range(slow(s, d), "slow2", -INF, INF).select(F.posexplode(fn.edges_to_centers(F.col("lo"), F.col("hi"), 7)).alias("i", "center")), f"WITH {_TRAINS}, r AS (SELECT min(slow2) AS lo, max(slow2) AS hi FROM slow) SELECT i, round(lo + (hi - lo) * (i + 0.5) / 7, 4) AS center FROM r, range(7) t(i)")
+add("x9_x10_strings", lambda s, d: raw(s, d).select("seq", fn.split_source(F.concat(F.col("source"), F.when(F.col("seq") % 2 == 0, ":output p").otherwise(" q"))).alias("s")).select("seq", "s.device", "s.property", F.col("s.pipeline").cast("int").alias("pipeline"), fn.drop_reason(F.col("seq"), F.lit(5), F.col("s.device")).alias("reason")), f"WITH {_RAW}, d AS (SELECT seq, source || CASE WHEN seq % 2 = 0 THEN ':output' ELSE '' END AS device FROM raw) SELECT seq, device, CASE WHEN seq % 2 = 0 THEN 'p' ELSE 'q' END AS property, CAST(seq % 2 = 0 AS INT) AS pipeline, 'Not found: ' || seq || ' out of 5: ' || device AS reason FROM d")
+add("x11_curves", lambda s, d: pulses(s, d).select("train_id", "pulse", fn.curve("cubic", F.col("xgm") / 10, [1.0, -2.0, 3.0, 4.0]).alias("c"), fn.curve("gaussian", F.col("xgm"), [2.0, 25.0, 8.0, 1.0]).alias("g"), fn.curve("lorentzian", F.col("xgm"), [2.0, 25.0, 8.0, 1.0]).alias("o")), f"WITH {_PULSES} SELECT train_id, pulse, round(pow(xgm / 10, 3) - 2 * pow(xgm / 10, 2) + 3 * xgm / 10 + 4, 4) AS c, round(2 * exp(-pow((xgm - 25) / 8, 2) / 2) + 1, 4) AS g, round(2 / (1 + pow((xgm - 25) / 8, 2)) + 1, 4) AS o FROM pulses")
+
+# --- composites
+_xas = lambda s, d: pulses(s, d).join(slow(s, d), "train_id").select("train_id", "pulse", F.col("slow1").alias("energy"), F.col("xgm").alias("i0"), *[(-F.col("fom") * k).alias(f"i1_{c}") for c, k in zip("ABCD", (1.0, 0.5, 0.25, 0.125), strict=True)], (F.col("da") - 0.05).alias("current"))
+_XAS = f"{_PULSES}, {_TRAINS}, xas AS (SELECT train_id, pulse, slow1 AS energy, pulses.xgm AS i0, -pulses.fom AS i1, da - 0.05 AS current FROM pulses JOIN slow USING (train_id))"
+add("q1_xas_tim", lambda s, d: recipes.xas_tim(_xas(s, d), 20.0, 12, 30000, lo=0.0, hi=480000.0), f"WITH {_XAS}, l AS (SELECT * FROM xas WHERE i0 > 20 ORDER BY train_id DESC, pulse DESC LIMIT 30000), b AS (SELECT {_bin_sql('energy', 0.0, 480000.0, 12)} AS bin, count(*) AS c, avg(i0) AS i0, avg(i1) AS m FROM l GROUP BY 1) SELECT i AS bin, (i + 0.5) * 40000.0 AS center, coalesce(c, 0) AS count, round(i0, 4) AS i0, round(-ln(-m / i0), 4) AS s_A, round(-ln(-m * 0.5 / i0), 4) AS s_B, round(-ln(-m * 0.25 / i0), 4) AS s_C, round(-m * 0.125 / i0, 4) AS s_D FROM range(12) t(i) LEFT JOIN b ON b.bin = i")
+add("q2_xas_xmcd", lambda s, d: recipes.xas_xmcd(_xas(s, d), 10.0, 0.015, 8, 200000).drop("center"), f"WITH {_XAS}, l AS (SELECT * FROM xas WHERE i0 > 10 AND abs(current) > 0.015), r AS (SELECT current > 0 AS p, min(energy) AS lo, max(energy) AS hi FROM l GROUP BY 1), b AS (SELECT l.current > 0 AS p, CASE WHEN energy = hi THEN 7 ELSE CAST(floor((energy - lo) / (hi - lo) * 8) AS INT) END AS bin, -ln(-avg(i1) / avg(i0)) AS s FROM l JOIN r ON r.p = (l.current > 0) GROUP BY 1, 2) SELECT a.bin, round(a.s, 4) AS A_p, round(b.s, 4) AS A_n, round(a.s - b.s, 4) AS A_diff FROM b a JOIN b ON a.p AND NOT b.p AND a.bin = b.bin")
+_TRX = f"{_PX.replace('AS DOUBLE) AS v', 'AS DOUBLE) + 1 AS v')}, {_TRAINS}, rs AS (SELECT train_id, sum(v) FILTER {_INS[1].replace('(x', '(WHERE x', 1)} AS r1, sum(v) FILTER {_INS[2].replace('(x', '(WHERE x', 1)} AS r2, sum(v) FILTER {_INS[3].replace('(x', '(WHERE x', 1)} AS r3 FROM px GROUP BY 1), pt AS (SELECT train_id, slow2 AS delay, slow1 AS energy, -ln(r1 / r3) AS a13, -ln(r2 / r3) AS a23, -ln(r2 / r1) AS a21 FROM rs JOIN slow USING (train_id) WHERE r1 > 0 AND r2 > 0 AND r3 > 0)"
+_points = lambda s, d: recipes.tr_xas_points(pixels(s, d).withColumn("v", F.col("v") + 1), slow(s, d).select("train_id", F.col("slow2").alias("delay"), F.col("slow1").alias("energy")), ROIS, 8, 8)
+add("q3_tr_xas_1d", lambda s, d: recipes.tr_xas(_points(s, d), 5, 4, (0.0, 100.0), (0.0, 500000.0))[0], f"WITH {_TRX}, b AS (SELECT {_bin_sql('delay', 0.0, 100.0, 5)} AS bin, count(*) AS c, avg(a13) AS a13, avg(a23) AS a23, avg(a21) AS a21 FROM pt GROUP BY 1) SELECT i AS bin, (i + 0.5) * 20.0 AS center, coalesce(c, 0) AS count, round(coalesce(a13, 0), 4) AS a13, round(coalesce(a23, 0), 4) AS a23, round(coalesce(a21, 0), 4) AS a21 FROM range(5) t(i) LEFT JOIN b ON b.bin = i")
+add("q3_tr_xas_2d", lambda s, d: recipes.tr_xas(_points(s, d), 5, 4, (0.0, 100.0), (0.0, 500000.0))[1], f"WITH {_TRX}, b AS (SELECT {_bin_sql('delay', 0.0, 100.0, 5)} AS b1, {_bin_sql('energy', 0.0, 500000.0, 4)} AS b2, count(*) AS c, avg(a21) AS s FROM pt GROUP BY 1, 2) SELECT i AS bin1, j AS bin2, coalesce(c, 0) AS count, round(coalesce(s, 0.0), 4) AS stat FROM range(5) t(i), range(4) u(j) LEFT JOIN b ON b1 = i AND b2 = j")
+add("q4_line_detector", lambda s, d: recipes.line_detector(_lines(s, d), _lines(s, d).where("pulse = 7"), 1, 0.5, 2.0), f"WITH {_LINES}, k AS (SELECT pixel, avg(adc) AS d FROM ln WHERE pulse = 7 GROUP BY 1) SELECT train_id, pixel, pixel * 0.5 - 2 AS axis, round(avg(adc) - any_value(d), 4) AS mean, round(avg(adc) - any_value(d), 4) AS averaged FROM ln JOIN k USING (pixel) GROUP BY 1, 2")
+add("q5_camera", lambda s, d: recipes.camera(pixels(s, d), pixels(s, d), ROIS[1], 8, 8, 1, 10)[1], f"WITH {_PX}, k AS (SELECT y, x, avg(v) AS d FROM px GROUP BY 1, 2) SELECT train_id, round(avg(v - d), 4) AS mean, round(quantile_cont(v - d, 0.5), 4) AS median, round(stddev_pop(v - d), 4) AS std FROM px JOIN k USING (y, x) WHERE y < 4 AND x < 4 GROUP BY 1")
+add("q6_xes_timing", lambda s, d: recipes.xes_timing(pixels(s, d), slow(s, d).select("train_id", F.col("slow2").alias("delay")), 300), f"WITH {_PX}, {_TRAINS} SELECT train_id, round(sum(v), 4) AS total, any_value(slow2) AS delay FROM px JOIN slow USING (train_id) GROUP BY 1 ORDER BY 1 DESC LIMIT 300")
+add("q7_vector_view", lambda s, d: recipes.vector_view(pulses(s, d).select("train_id", "pulse", F.col("xgm").alias("v")), pulses(s, d).select("train_id", "pulse", F.col("da").alias("v")), 6000), f"WITH {_PULSES} SELECT train_id, pulse, xgm AS a, da AS b FROM pulses ORDER BY train_id DESC, pulse DESC LIMIT 6000")
+add("q8_fit_linear", lambda s, d: recipes.fit_linear(scans(s, d), ["user_id"]), f"WITH {_SCAN} SELECT user_id, round(regr_slope(y, x), 4) AS a, round(regr_intercept(y, x), 4) AS b, count(*) AS n FROM scan GROUP BY 1")
+add("q8_curve_fit", lambda s, d: recipes.curve_fit(scans(s, d).select("user_id", F.col("x").alias("x"), "y"), ["user_id"], "linear"), f"WITH {_SCAN} SELECT user_id, round(regr_slope(y, x), 4) AS p0, round(regr_intercept(y, x), 4) AS p1 FROM scan GROUP BY 1")
+add("d2_fom_dispatch", lambda s, d: recipes.fom(pixels(s, d), "roi_fom", rois=ROIS, ny=8, nx=8, how="mean", combo="add"), f"WITH {_PX} SELECT train_id, round(avg(v) FILTER {_INS[1].replace('(x', '(WHERE x', 1)} + avg(v) FILTER {_INS[2].replace('(x', '(WHERE x', 1)}, 4) AS fom FROM px GROUP BY 1")
+add("d4_apply_custom", lambda s, d: recipes.apply_custom(train_fom(s, d).select("train_id", "fom"), lambda f: f.assign(fom=f.fom * 2), "train_id long, fom double"), f"WITH {_TRAINS} SELECT train_id, round(fom * 2, 4) AS fom FROM fom")
+
+
+# --- streams: the events table as a file stream, run until it is read
+def _streamed(spark, d, build, mode: str = "append"):
+    import tempfile
+    import uuid
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    at = f"{root}/stream-{uuid.uuid4().hex}"
+    schema = _read(spark, d, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    df = build(events)
+
+    def keep(batch, batch_id):
+        batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{at}/out")
+
+    df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{at}/out")
+
+
+def _stream_raw(events):
+    return events.select(F.floor(F.col("event_id") / 10).alias("train_id"), F.col("event_type").alias("source"), "ts", F.col("value").alias("scalar"), F.col("event_id").alias("seq"))
+
+
+def _k6(s, d):
+    return _streamed(s, d, lambda e: streaming.bin_stream(e, "value", "value", 10, 0.0, 50.0), "complete")
+
+
+def _k7(s, d):
+    return _streamed(s, d, lambda e: streaming.histogram_stream(e, "value", 10, 0.0, 50.0), "complete")
+
+
+def _k5(s, d):
+    return _streamed(s, d, lambda e: streaming.moving_average_stream(e.select("user_id", "event_id", "value"), "user_id", "event_id", "value", 5))
+
+
+def _k1(s, d):
+    return _streamed(s, d, lambda e: streaming.correlate_stream_exact(_stream_raw(e), ["click", "view"], 10**9)).where("complete").select("train_id")
+
+
+add("k1_correlate_stream", _k1)
+add("k6_bin_stream", _k6, f"SELECT {_bin_sql('value', 0.0, 50.0, 10)} AS bin, count(*) AS count, round(avg(value), 4) AS stat FROM events WHERE value BETWEEN 0 AND 50 GROUP BY 1")
+add("k7_histogram_stream", _k7, f"SELECT {_bin_sql('value', 0.0, 50.0, 10)} AS bin, count(*) AS count FROM events WHERE value BETWEEN 0 AND 50 GROUP BY 1")
+add("k5_moving_average_stream", _k5, ORACLE_SQL["w1_moving_average"])
+add("k11_status", lambda s, d: streaming.with_status(train_fom(s, d), {"low": F.col("fom") < 20000, "dim": F.col("xgm") < 10})[1].select("train_id", "reason"), f"WITH {_TRAINS} SELECT train_id, CASE WHEN fom < 20000 THEN 'low' ELSE 'dim' END AS reason FROM fom WHERE fom < 20000 OR xgm < 10")
