@@ -72,12 +72,14 @@ _SCAN = "scan AS (SELECT user_id, event_id, ts, CAST(json_extract_string(props,
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if t in ("double", "float") else F.col(f"`{c}`").cast("long").alias(c) if t in ("int", "smallint") else F.col(f"`{c}`") for c, t in df.dtypes])
+    return df.select(*[(F.round(F.col(f"`{c}`"), digits) + 0.0).alias(c) if t in ("double", "float") else F.col(f"`{c}`").cast("long").alias(c) if t in ("int", "smallint") else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def add(name: str, fn_, sql: str | None = None, digits: int = 4) -> None:
     QUERIES[name] = lambda spark, d: rounded(fn_(spark, d), digits)
     if sql:
+        for k in (3, 4, 6):  # no negative zeros
+            sql = sql.replace(f", {k}) AS ", f", {k}) + 0.0 AS ")
         ORACLE_SQL[name] = sql
 
 
@@ -93,10 +95,10 @@ def _slice(spark, d):
 
 add("slice_mean_fom_by_slow_bin", _slice, f"""WITH {_TRAINS}, b AS (SELECT {_bin_sql('slow1', 0.0, 500000.0, 20)} AS bin, fom FROM fom JOIN slow USING (train_id) WHERE xgm BETWEEN 10 AND 40),
 g AS (SELECT bin, count(*) AS c, avg(fom) AS s FROM b WHERE bin IS NOT NULL GROUP BY bin)
-SELECT i AS bin, (i + 0.5) * 25000.0 AS center, coalesce(c, 0) AS count, round(coalesce(s, 0.0), 4) AS stat FROM range(20) t(i) LEFT JOIN g ON g.bin = i""")
+SELECT i AS bin, (i + 0.5e0) * 25000.0 AS center, coalesce(c, 0) AS count, round(coalesce(s, 0.0), 4) AS stat FROM range(20) t(i) LEFT JOIN g ON g.bin = i""")
 
 # --- sources and sinks
-add("s2_train_range", lambda s, d: src.train_range(train_fom(s, d), 100, 9000, 7).select("train_id", "fom"), f"WITH {_TRAINS} SELECT train_id, round(fom, 4) AS fom FROM fom WHERE train_id >= 100 AND train_id < 9000 AND (train_id - 100) % 7 = 0")
+add("s2_train_range", lambda s, d: src.train_range(train_fom(s, d), 100, 9000, 7).select("train_id", "fom"), f"WITH {_TRAINS} SELECT train_id, round(fom, 6) AS fom FROM fom WHERE train_id >= 100 AND train_id < 9000 AND (train_id - 100) % 7 = 0", 6)
 add("s3_run_info", lambda s, d: src.run_info(raw(s, d)), f"WITH {_RAW} SELECT count(DISTINCT train_id) AS n_trains, min(train_id) AS first_train, max(train_id) AS last_train FROM raw")
 
 
@@ -125,7 +127,7 @@ add("f1_select_property", lambda s, d: filters.select_property(raw(s, d).withCol
 add("f2_select_modules", lambda s, d: filters.select_modules(raw(s, d).withColumn("source", F.concat(F.lit("D/"), F.col("user_id") % 16, F.lit("CH0"))), "D/*CH0", [0, 3, 15]).groupBy("train_id").agg(F.count_distinct("module").alias("n")), f"WITH {_RAW} SELECT train_id, count(DISTINCT user_id % 16) AS n FROM raw WHERE user_id % 16 IN (0, 3, 15) GROUP BY 1")
 add("f3_slice_pulses", lambda s, d: filters.slice_pulses(pulses(s, d), 1, None, 2).select("train_id", "pulse", "pulse_index", "fom"), f"WITH {_PULSES} SELECT train_id, (pulse - 1) // 2 AS pulse, pulse AS pulse_index, fom FROM pulses WHERE pulse >= 1 AND (pulse - 1) % 2 = 0")
 add("f3_slice_pulses_negative", lambda s, d: filters.slice_pulses(pulses(s, d), -3, -1).select("train_id", "pulse", "pulse_index"), f"WITH {_PULSES}, n AS (SELECT *, max(pulse) OVER (PARTITION BY train_id) + 1 AS n FROM pulses) SELECT train_id, pulse - greatest(n - 3, 0) AS pulse, pulse AS pulse_index FROM n WHERE pulse >= greatest(n - 3, 0) AND pulse < n - 1")
-add("f4_filter_trains", lambda s, d: filters.filter_trains(train_fom(s, d), "fom", 20000, 60000).select("train_id", "fom"), f"WITH {_TRAINS} SELECT train_id, round(fom, 4) AS fom FROM fom WHERE fom BETWEEN 20000 AND 60000")
+add("f4_filter_trains", lambda s, d: filters.filter_trains(train_fom(s, d), "fom", 20000, 60000).select("train_id", "fom"), f"WITH {_TRAINS} SELECT train_id, round(fom, 6) AS fom FROM fom WHERE fom BETWEEN 20000 AND 60000", 6)
 add("f5_filter_pulses", lambda s, d: filters.filter_pulses(filters.filter_pulses(pulses(s, d), "xgm", 5, INF), "da", -INF, 0.05).groupBy("train_id").agg(F.count_if("kept").alias("n_kept"), F.count("*").alias("n")), f"WITH {_PULSES} SELECT train_id, count(*) FILTER (xgm >= 5 AND da <= 0.05) AS n_kept, count(*) AS n FROM pulses GROUP BY 1")
 add("f6_fom_pulse_filter", lambda s, d: filters.fom_pulse_filter(roi.roi_fom(pulse_pixels(s, d), ROIS, 8, 8, keys=image.PULSE_IMAGE), -0.2, 0.2).select("train_id", "pulse", F.col("kept").cast("int").alias("kept")), f"WITH {_PPX} SELECT train_id, pulse, CAST(sum(v) BETWEEN -0.2 AND 0.2 AS INT) AS kept FROM ppx WHERE y < 4 AND x < 4 GROUP BY 1, 2")
 add("f7_fom_train_filter", lambda s, d: filters.fom_train_filter(roi.roi_fom(pixels(s, d), ROIS, 8, 8), 0.0, INF).select("train_id", "fom"), f"WITH {_PX} SELECT train_id, round(sum(v), 4) AS fom FROM px WHERE y < 4 AND x < 4 GROUP BY 1 HAVING sum(v) >= 0")
@@ -192,7 +194,7 @@ add("f26_check_modules", _modules, "SELECT vec_id AS train_id, CASE WHEN vec_id
 
 # --- joins, unions, top-k
 add("j1_correlate", lambda s, d: correlate.correlate(raw(s, d), ["click", "view", "error"]), f"WITH {_RAW} SELECT train_id, arg_max(scalar, ts) FILTER (source = 'click') AS click, arg_max(scalar, ts) FILTER (source = 'view') AS \"view\", arg_max(scalar, ts) FILTER (source = 'error') AS error FROM raw GROUP BY 1 HAVING count(DISTINCT CASE WHEN source IN ('click', 'view', 'error') THEN source END) = 3")
-add("j2_dropped", lambda s, d: correlate.dropped_trains(raw(s, d), SOURCES), f"WITH {_RAW}, h AS (SELECT train_id, list_filter([{', '.join(repr(x) for x in SOURCES)}], x -> NOT list_contains(list(source), x)) AS m FROM raw GROUP BY 1) SELECT train_id, len(m) AS n_missing, 'Not found: ' || len(m) || ' out of 5: ' || m[1] AS reason FROM h WHERE len(m) > 0")
+add("j2_dropped", lambda s, d: correlate.dropped_trains(raw(s, d), SOURCES), f"WITH {_RAW}, h AS (SELECT train_id, list_filter([{', '.join(repr(x) for x in SOURCES)}], lambda x: NOT list_contains(list(source), x)) AS m FROM raw GROUP BY 1) SELECT train_id, len(m) AS n_missing, 'Not found: ' || len(m) || ' out of 5: ' || m[1] AS reason FROM h WHERE len(m) > 0")
 
 
 def _arrivals(s, d):
@@ -202,7 +204,7 @@ def _arrivals(s, d):
 add("j3_emission_rule", lambda s, d: correlate.correlate_ordered(_arrivals(s, d), ["click", "view"]), f"WITH {_RAW}, a AS (SELECT (seq + (seq * 7919) % 13) * 100000 + seq % 100000 AS seq, train_id, source FROM raw WHERE source IN ('click', 'view')), f AS (SELECT train_id, source, min(seq) AS seq FROM a GROUP BY 1, 2), t AS (SELECT train_id, min(seq) AS first_seq, CASE WHEN count(*) = 2 THEN max(seq) END AS complete_seq FROM f GROUP BY 1), w AS (SELECT *, min(complete_seq) OVER (ORDER BY first_seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM t) SELECT train_id, complete_seq FROM w WHERE complete_seq IS NOT NULL AND (later IS NULL OR later > complete_seq)")
 add("j4_gain_offset", lambda s, d: image.correct(pulse_pixels(s, d), constants(s, d), constants(s, d)).groupBy("train_id", "y", "x").agg(F.avg("v").alias("v")), f"WITH {_PPX}, {_CONST} SELECT train_id, p.y, p.x, round(avg(c.v * (p.v - c.v)), 4) AS v FROM ppx p JOIN const c ON c.cell = p.pulse AND c.y = p.y AND c.x = p.x GROUP BY 1, 2, 3")
 add("j5_pair_on_off", lambda s, d: correlate.pair_on_off(train_fom(s, d).select("train_id")), f"WITH {_TRAINS}, l AS (SELECT train_id, lag(train_id) OVER (ORDER BY train_id) AS p FROM fom) SELECT train_id AS train_off, p AS train_on FROM l WHERE train_id % 2 = 1 AND p % 2 = 0")
-add("j8_join_slow", lambda s, d: correlate.join_slow(train_fom(s, d), slow(s, d)).select("train_id", "fom", "slow1", "slow2"), f"WITH {_TRAINS} SELECT train_id, round(fom, 4) AS fom, slow1, slow2 FROM fom JOIN slow USING (train_id)")
+add("j8_join_slow", lambda s, d: correlate.join_slow(train_fom(s, d), slow(s, d)).select("train_id", "fom", "slow1", "slow2"), f"WITH {_TRAINS} SELECT train_id, round(fom, 6) AS fom, slow1, slow2 FROM fom JOIN slow USING (train_id)", 6)
 
 
 def _tiles():
@@ -245,7 +247,7 @@ def _reducers(s, d):
 _ROI_SQL = "rois(roi, rx, ry, rw, rh) AS (VALUES (1, 0, 0, 4, 4), (2, 4, 4, 4, 4), (3, 0, 4, 4, 4), (4, 6, 6, 4, 4))"
 add("a5_roi_reducers", _reducers, f"WITH {_PX}, {_ROI_SQL}, p AS (SELECT train_id, roi, v + 1 AS v FROM px JOIN rois ON y BETWEEN ry AND ry + rh - 1 AND x BETWEEN rx AND rx + rw - 1) SELECT train_id, roi, round(sum(v), 4) AS r_sum, round(avg(v), 4) AS r_mean, round(quantile_cont(v, 0.5), 4) AS r_median, round(max(v), 4) AS r_max, round(min(v), 4) AS r_min, round(stddev_pop(v), 4) AS r_std, round(var_pop(v), 4) AS r_var, round(stddev_pop(v) / avg(v), 4) AS r_n_std, round(var_pop(v) / (avg(v) * avg(v)), 4) AS r_n_var FROM p GROUP BY 1, 2")
 add("a6_statistics", lambda s, d: stats.compute_statistics(raw(s, d), "scalar", ("source",)), f"WITH {_RAW} SELECT source, round(avg(scalar), 4) AS mean, round(quantile_cont(scalar, 0.5), 4) AS median, round(stddev_pop(scalar), 4) AS std FROM raw GROUP BY 1")
-_HIST = "SELECT i AS bin, {lo} + (i + 0.5) * ({hi} - {lo}) / {n} AS center, coalesce(c, 0) AS count FROM range({n}) t(i) LEFT JOIN (SELECT {b} AS bin, count(*) AS c FROM {t} GROUP BY 1) g ON g.bin = i"
+_HIST = "SELECT i AS bin, {lo} + (i + 0.5e0) * ({hi} - {lo}) / {n} AS center, coalesce(c, 0) AS count FROM range({n}) t(i) LEFT JOIN (SELECT {b} AS bin, count(*) AS c FROM {t} GROUP BY 1) g ON g.bin = i"
 add("a7_histogram", lambda s, d: stats.hist_with_stats(raw(s, d), "scalar", 10, 0.0, 50.0)[0], f"WITH {_RAW} " + _HIST.format(lo=0.0, hi=50.0, n=10, b=_bin_sql("scalar", 0.0, 50.0, 10), t="raw"))
 add("a7_histogram_stats", lambda s, d: stats.hist_with_stats(raw(s, d), "scalar", 10, 10.0, 50.0)[1], f"WITH {_RAW} SELECT round(avg(scalar), 4) AS mean, round(quantile_cont(scalar, 0.5), 4) AS median, round(stddev_pop(scalar), 4) AS std FROM raw WHERE scalar BETWEEN 10 AND 50")
 add("a8_image_histogram", lambda s, d: stats.hist_with_stats(image.mask_image(pixels(s, d), _mask(s)), "v", 8, -0.5, 0.5)[0], f"WITH {_PX}, m AS (SELECT * FROM px WHERE x NOT IN (0, 3)) " + _HIST.format(lo=-0.5, hi=0.5, n=8, b=_bin_sql("v", -0.5, 0.5, 8), t="m"))
@@ -258,10 +260,10 @@ add("a14_dark_from_run", lambda s, d: image.dark_from_run(pixels(s, d)), f"WITH
 add("a16_quantiles", lambda s, d: stats.quick_min_max(raw(s, d), "scalar", 0.95), f"WITH {_RAW} SELECT quantile_disc(scalar, 0.05) AS lo, quantile_disc(scalar, 0.95) AS hi FROM raw")
 add("a16_min_max", lambda s, d: stats.quick_min_max(pixels(s, d), "v"), f"WITH {_PX} SELECT round(min(v), 4) AS lo, round(max(v), 4) AS hi FROM px")
 add("b1_bin_range", lambda s, d: stats.bin_range(slow(s, d), "slow1", -INF, 1e9), f"WITH {_TRAINS} SELECT min(slow1) AS lo, 1e9 AS hi FROM slow")
-add("b2_bin_1d_sum", lambda s, d: stats.bin_1d(correlate.join_slow(train_fom(s, d), slow(s, d)), "slow2", "xgm", 10, 0.0, 100.0, "accumulate"), f"WITH {_TRAINS}, b AS (SELECT {_bin_sql('slow2', 0.0, 100.0, 10)} AS bin, xgm FROM fom JOIN slow USING (train_id)), g AS (SELECT bin, count(*) AS c, sum(xgm) AS s FROM b WHERE bin IS NOT NULL GROUP BY 1) SELECT i AS bin, (i + 0.5) * 10.0 AS center, coalesce(c, 0) AS count, round(coalesce(s, 0.0), 4) AS stat FROM range(10) t(i) LEFT JOIN g ON g.bin = i")
+add("b2_bin_1d_sum", lambda s, d: stats.bin_1d(correlate.join_slow(train_fom(s, d), slow(s, d)), "slow2", "xgm", 10, 0.0, 100.0, "accumulate"), f"WITH {_TRAINS}, b AS (SELECT {_bin_sql('slow2', 0.0, 100.0, 10)} AS bin, xgm FROM fom JOIN slow USING (train_id)), g AS (SELECT bin, count(*) AS c, sum(xgm) AS s FROM b WHERE bin IS NOT NULL GROUP BY 1) SELECT i AS bin, (i + 0.5e0) * 10.0 AS center, coalesce(c, 0) AS count, round(coalesce(s, 0.0), 4) AS stat FROM range(10) t(i) LEFT JOIN g ON g.bin = i")
 add("b3_bin_1d_vector", lambda s, d: stats.bin_1d_vector(_read(s, d, "embeddings").select(F.col("vec_id").alias("train_id"), F.col("label").cast("double").alias("x"), F.transform("embedding", lambda v: v.cast("double")).alias("vec")), "x", "vec", 4, 0.0, 10.0), f"WITH b AS (SELECT {_bin_sql('CAST(label AS DOUBLE)', 0.0, 10.0, 4)} AS bin, i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) t(i)) SELECT bin, i, round(avg(v), 4) AS heat FROM b WHERE bin IS NOT NULL GROUP BY 1, 2")
 add("b4_bin_2d", lambda s, d: stats.bin_2d(correlate.join_slow(train_fom(s, d), slow(s, d)), "slow1", "slow2", "fom", 8, 5, (0.0, 400000.0), (0.0, 100.0)), f"WITH {_TRAINS}, b AS (SELECT {_bin_sql('slow1', 0.0, 400000.0, 8)} AS bin1, {_bin_sql('slow2', 0.0, 100.0, 5)} AS bin2, fom FROM fom JOIN slow USING (train_id)), g AS (SELECT bin1, bin2, count(*) AS c, avg(fom) AS s FROM b GROUP BY 1, 2) SELECT j AS bin2, i AS bin1, coalesce(c, 0) AS count, round(coalesce(s, 0.0), 4) AS stat FROM range(8) t(i), range(5) u(j) LEFT JOIN g ON g.bin1 = i AND g.bin2 = j")
-add("b5_spectrum", lambda s, d: stats.spectrum_1d(pulses(s, d), "xgm", "fom", 10, 0.0, 50.0), f"WITH {_PULSES}, b AS (SELECT {_bin_sql('xgm', 0.0, 50.0, 10)} AS bin, fom FROM pulses), g AS (SELECT bin, count(*) AS c, avg(fom) AS s FROM b GROUP BY 1) SELECT i AS bin, (i + 0.5) * 5.0 AS center, round(s, 4) AS mean, coalesce(c, 0) AS count FROM range(10) t(i) LEFT JOIN g ON g.bin = i")
+add("b5_spectrum", lambda s, d: stats.spectrum_1d(pulses(s, d), "xgm", "fom", 10, 0.0, 50.0), f"WITH {_PULSES}, b AS (SELECT {_bin_sql('xgm', 0.0, 50.0, 10)} AS bin, fom FROM pulses), g AS (SELECT bin, count(*) AS c, avg(fom) AS s FROM b GROUP BY 1) SELECT i AS bin, (i + 0.5e0) * 5.0 AS center, round(s, 4) AS mean, coalesce(c, 0) AS count FROM range(10) t(i) LEFT JOIN g ON g.bin = i")
 
 # --- regions of interest, normalization
 _INS = {k: f"(x BETWEEN {x} AND {x + w - 1} AND y BETWEEN {y} AND {y + h - 1})" for k, (x, y, w, h) in ROIS.items()}
@@ -284,7 +286,7 @@ def _pp(s, d):
 add("r8_pp_roi_fom", lambda s, d: roi.pp_roi_fom(*_pp(s, d), ROIS, 8, 8), f"WITH {_PPX}, {_PAIR} SELECT train_id, round(sum(a - b), 4) AS fom FROM m WHERE {_INS[1]} AND a IS NOT NULL AND b IS NOT NULL GROUP BY 1")
 add("r9_pp_projection", lambda s, d: roi.pp_roi_projection(*_pp(s, d), ROIS[2], 8, 8, "x", 1, 2)[1], f"WITH {_PPX}, {_PAIR}, c AS (SELECT train_id, x - 4 AS i, sum(a - b) AS y FROM m WHERE {_INS[2]} AND a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2) SELECT train_id, round(sum(abs(y)), 4) AS fom FROM c WHERE i BETWEEN 1 AND 2 GROUP BY 1")
 add("n1_normalize_xgm", lambda s, d: roi.normalize(train_fom(s, d).select("train_id", "fom"), roi.pulse_mean(pulses(s, d), "da")), f"WITH {_PULSES} SELECT train_id, round(CASE WHEN avg(da) <> 0 THEN avg(fom) / avg(da) END, 4) AS fom, CASE WHEN avg(da) = 0 THEN 'normalizer is zero' ELSE 'ok' END AS status FROM pulses GROUP BY 1", 3)
-ORACLE_SQL["n1_normalize_xgm"] = ORACLE_SQL["n1_normalize_xgm"].replace(", 4) AS fom", ", 3) AS fom")
+ORACLE_SQL["n1_normalize_xgm"] = ORACLE_SQL["n1_normalize_xgm"].replace(", 4) + 0.0 AS fom", ", 3) + 0.0 AS fom")
 
 
 def _norm_pp(s, d):
@@ -292,7 +294,7 @@ def _norm_pp(s, d):
     return roi.normalize_pp(*[i.where(f"fom_{g} IS NOT NULL").select("train_id", F.col(f"fom_{g}").alias("fom")) for g in ("on", "off")], *[i.select("train_id", F.col(f"xgm_{g}").alias("norm")) for g in ("on", "off")])
 
 
-add("n2_normalize_pp", _norm_pp, f"WITH {_PULSES}, m AS (SELECT train_id, avg(fom) FILTER (WHERE pulse % 2 = 0) AS fa, avg(fom) FILTER (WHERE pulse % 2 = 1) AS fb, avg(xgm) FILTER (WHERE pulse % 2 = 0) AS xa, avg(xgm) FILTER (WHERE pulse % 2 = 1) AS xb FROM pulses GROUP BY 1) SELECT train_id, round(fa / xa, 4) AS fom_on, round(fb / xb, 4) AS fom_off FROM m WHERE fb IS NOT NULL")
+add("n2_normalize_pp", _norm_pp, f"WITH {_PULSES}, m AS (SELECT train_id, avg(fom) FILTER (WHERE pulse % 2 = 0) AS fa, avg(fom) FILTER (WHERE pulse % 2 = 1) AS fb, avg(xgm) FILTER (WHERE pulse % 2 = 0) AS xa, avg(xgm) FILTER (WHERE pulse % 2 = 1) AS xb FROM pulses GROUP BY 1) SELECT train_id, round(fa / xa, 6) AS fom_on, round(fb / xb, 6) AS fom_off FROM m WHERE fb IS NOT NULL", 6)
 
 
 def _curves(s, d):
@@ -369,7 +371,7 @@ add("t3_power_spectrum", lambda s, d: image.power_spectrum(pixels(s, d), 8, 8),
 # --- ordered operators
 add("w1_moving_average", lambda s, d: stats.moving_average(scans(s, d).select("user_id", "event_id", "y"), ["user_id"], ["event_id"], "y", 5).select("user_id", "event_id", "avg"), f"""WITH RECURSIVE {_SCAN}, o AS (SELECT user_id, event_id, y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM scan), r AS (SELECT user_id, event_id, n, y AS m FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.event_id, o.n, r.m + (o.y - r.m) / least(o.n, 5) FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1) SELECT user_id, event_id, round(m, 4) AS avg FROM r""")
 add("w2_last_n", lambda s, d: stats.last_n(scans(s, d).select("user_id", "event_id", "y"), ["user_id"], ["event_id"], 20), f"WITH {_SCAN} SELECT user_id, event_id, y FROM scan QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 20")
-add("w3_correlation", lambda s, d: stats.correlation(train_fom(s, d).select("train_id", F.col("fom").alias("y"), F.col("xgm").alias("y_slave")), slow(s, d).select("train_id", F.col("slow1").alias("x")), 3000), f"WITH {_TRAINS} SELECT train_id, round(fom, 4) AS y, round(xgm, 4) AS y_slave, slow1 AS x FROM fom JOIN slow USING (train_id) ORDER BY train_id DESC LIMIT 3000")
+add("w3_correlation", lambda s, d: stats.correlation(train_fom(s, d).select("train_id", F.col("fom").alias("y"), F.col("xgm").alias("y_slave")), slow(s, d).select("train_id", F.col("slow1").alias("x")), 3000), f"WITH {_TRAINS} SELECT train_id, round(fom, 6) AS y, round(xgm, 6) AS y_slave, slow1 AS x FROM fom JOIN slow USING (train_id) ORDER BY train_id DESC LIMIT 3000", 6)
 
 
 def _scan_sql(resolution: float) -> str:
@@ -379,19 +381,19 @@ UNION ALL SELECT o.user_id, o.r, CASE WHEN k THEN xm + (o.x - xm) / (c + 1) ELSE
   CASE WHEN k THEN s + (o.y - ym) * (o.y - (ym + (o.y - ym) / (c + 1))) ELSE 0.0 END, CASE WHEN k THEN pos ELSE pos + 1 END
   FROM (SELECT w.*, abs(n.x - w.xm) <= {resolution} AS k FROM w JOIN o n ON n.user_id = w.user_id AND n.r = w.r + 1) w JOIN o ON o.user_id = w.user_id AND o.r = w.r + 1),
 e AS (SELECT user_id, pos, arg_max(xm, r) AS x, arg_max(ym, r) AS y_avg, arg_max(s, r) AS s, max(c) AS count FROM w GROUP BY 1, 2 HAVING max(c) >= 2)
-SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1 AS point, round(x, 4) AS x, round(y_avg, 4) AS y_avg, round(y_avg - 0.5 * sqrt(s / count), 4) AS y_min, round(y_avg + 0.5 * sqrt(s / count), 4) AS y_max, count FROM e"""
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1 AS point, round(x, 6) AS x, round(y_avg, 6) AS y_avg, round(y_avg - 0.5 * sqrt(s / count), 6) AS y_min, round(y_avg + 0.5 * sqrt(s / count), 6) AS y_max, count FROM e"""
 
 
-add("w4_scan_points", lambda s, d: stats.scan_points(scans(s, d).select("user_id", "event_id", "x", "y"), ["user_id"], ["event_id"], "x", "y", 20.0), _scan_sql(20.0))
+add("w4_scan_points", lambda s, d: stats.scan_points(scans(s, d).select("user_id", "event_id", "x", "y"), ["user_id"], ["event_id"], "x", "y", 20.0), _scan_sql(20.0), 6)
 add("w5_scan_auto_reset", lambda s, d: stats.scan_points(scans(s, d).select("user_id", "event_id", "x", "y"), ["user_id"], ["event_id"], "x", "y", 30.0, auto_reset=True))
-add("w6_scan_new_resolution", lambda s, d: stats.scan_points(scans(s, d).select("user_id", "event_id", "x", "y"), ["user_id"], ["event_id"], "x", "y", 35.0), _scan_sql(35.0))
+add("w6_scan_new_resolution", lambda s, d: stats.scan_points(scans(s, d).select("user_id", "event_id", "x", "y"), ["user_id"], ["event_id"], "x", "y", 35.0), _scan_sql(35.0), 6)
 add("w7_processing_rate", lambda s, d: stats.processing_rate(raw(s, d), ["user_id"]).where("rate IS NOT NULL").select("user_id", "seq", (F.col("rate") * 1000).alias("rate")).where("rate < 100"), f"WITH {_RAW}, l AS (SELECT user_id, seq, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY ts, train_id) AS dt FROM raw) SELECT user_id, seq, round(1000 / dt, 4) AS rate FROM l WHERE dt > 10")
 add("w8_trace", lambda s, d: stats.trace(slow(s, d), "slow1", 500), f"WITH {_TRAINS} SELECT train_id, slow1 FROM slow ORDER BY train_id DESC LIMIT 500")
 
 # --- scalar functions
 add("x1_x4_scalars", lambda s, d: slow(s, d).select("train_id", (fn.energy_to_wavelength(F.col("slow1")) * 1e12).alias("wl"), (fn.momentum_transfer(F.lit(0.2), F.col("slow2") * 0.001, F.col("slow1")) / 1e9).alias("q"), fn.absorption(F.col("slow2"), F.col("slow1")).alias("a"), fn.log_scale(F.col("slow1")).alias("l")), f"WITH {_TRAINS} SELECT train_id, round({fn.HC_E!r} / slow1 * 1e12, 4) AS wl, round(CASE WHEN slow2 = 0 THEN 0 ELSE 4 * pi() / ({fn.HC_E!r} / slow1) / sqrt(4 * pow(0.2 / (slow2 * 0.001), 2) + 1) / 1e9 END, 4) AS q, round(CASE WHEN slow2 > 0 THEN -ln(slow2 / slow1) END, 4) AS a, round(log10(1 + slow1), 4) AS l FROM slow")
-add("x5_x8_scalars", lambda s, d: pulses(s, d).select("train_id", "pulse", fn.calibrate_axis(F.col("pulse"), 0.5, 3.0).alias("axis"), fn.is_even(F.col("train_id")).cast("int").alias("even")), f"WITH {_PULSES} SELECT train_id, pulse, pulse * 0.5 - 3.0 AS axis, CAST(train_id % 2 = 0 AS INT) AS even FROM pulses")
-add("x6_rect_intersection", lambda s, d: pulses(s, d).select("train_id", "pulse", *[c.alias(n) for c, n in zip(fn.rect_intersection((F.col("pulse"), F.lit(0), F.lit(4), F.lit(4)), (F.lit(3), F.lit(2), F.lit(5), F.lit(5))), "xywh", strict=True)]), f"WITH {_PULSES} SELECT train_id, pulse, greatest(pulse, 3) AS x, 2 AS y, least(pulse + 4, 8) - greatest(pulse, 3) AS w, 2 AS h FROM pulses")
+add("x5_x8_scalars", lambda s, d: pulses(s, d).select("train_id", "pulse", fn.calibrate_axis(F.col("pulse"), 0.5, 3.0).alias("axis"), fn.is_even(F.col("train_id")).cast("int").alias("even")), f"WITH {_PULSES} SELECT train_id, pulse, pulse * 0.5e0 - 3.0e0 AS axis, CAST(train_id % 2 = 0 AS INT) AS even FROM pulses")
+add("x6_rect_intersection", lambda s, d: pulses(s, d).select("train_id", "pulse", *[c.alias(n) for c, n in zip(fn.rect_intersection((F.col("pulse"), F.lit(0), F.lit(4), F.lit(4)), (F.lit(3), F.lit(2), F.lit(5), F.lit(5))), "xywh", strict=True)]), f"WITH {_PULSES} SELECT train_id, pulse, CAST(greatest(pulse, 3) AS BIGINT) AS x, 2 AS y, CAST(least(pulse + 4, 8) - greatest(pulse, 3) AS BIGINT) AS w, 2 AS h FROM pulses")
 add("x7_edges_to_centers", lambda s, d: stats.bin_range(slow(s, d), "slow2", -INF, INF).select(F.posexplode(fn.edges_to_centers(F.col("lo"), F.col("hi"), 7)).alias("i", "center")), f"WITH {_TRAINS}, r AS (SELECT min(slow2) AS lo, max(slow2) AS hi FROM slow) SELECT i, round(lo + (hi - lo) * (i + 0.5) / 7, 4) AS center FROM r, range(7) t(i)")
 add("x9_x10_strings", lambda s, d: raw(s, d).select("seq", fn.split_source(F.concat(F.col("source"), F.when(F.col("seq") % 2 == 0, ":output p").otherwise(" q"))).alias("s")).select("seq", "s.device", "s.property", F.col("s.pipeline").cast("int").alias("pipeline"), fn.drop_reason(F.col("seq"), F.lit(5), F.col("s.device")).alias("reason")), f"WITH {_RAW}, d AS (SELECT seq, source || CASE WHEN seq % 2 = 0 THEN ':output' ELSE '' END AS device FROM raw) SELECT seq, device, CASE WHEN seq % 2 = 0 THEN 'p' ELSE 'q' END AS property, CAST(seq % 2 = 0 AS INT) AS pipeline, 'Not found: ' || seq || ' out of 5: ' || device AS reason FROM d")
 add("x11_curves", lambda s, d: pulses(s, d).select("train_id", "pulse", fn.curve("cubic", F.col("xgm") / 10, [1.0, -2.0, 3.0, 4.0]).alias("c"), fn.curve("gaussian", F.col("xgm"), [2.0, 25.0, 8.0, 1.0]).alias("g"), fn.curve("lorentzian", F.col("xgm"), [2.0, 25.0, 8.0, 1.0]).alias("o")), f"WITH {_PULSES} SELECT train_id, pulse, round(pow(xgm / 10, 3) - 2 * pow(xgm / 10, 2) + 3 * xgm / 10 + 4, 4) AS c, round(2 * exp(-pow((xgm - 25) / 8, 2) / 2) + 1, 4) AS g, round(2 / (1 + pow((xgm - 25) / 8, 2)) + 1, 4) AS o FROM pulses")
@@ -399,13 +401,13 @@ add("x11_curves", lambda s, d: pulses(s, d).select("train_id", "pulse", fn.curve
 # --- composites
 _xas = lambda s, d: pulses(s, d).join(slow(s, d), "train_id").select("train_id", "pulse", F.col("slow1").alias("energy"), F.col("xgm").alias("i0"), *[(-F.col("fom") * k).alias(f"i1_{c}") for c, k in zip("ABCD", (1.0, 0.5, 0.25, 0.125), strict=True)], (F.col("da") - 0.05).alias("current"))
 _XAS = f"{_PULSES}, {_TRAINS}, xas AS (SELECT train_id, pulse, slow1 AS energy, pulses.xgm AS i0, -pulses.fom AS i1, da - 0.05 AS current FROM pulses JOIN slow USING (train_id))"
-add("q1_xas_tim", lambda s, d: recipes.xas_tim(_xas(s, d), 20.0, 12, 30000, lo=0.0, hi=480000.0), f"WITH {_XAS}, l AS (SELECT * FROM xas WHERE i0 > 20 ORDER BY train_id DESC, pulse DESC LIMIT 30000), b AS (SELECT {_bin_sql('energy', 0.0, 480000.0, 12)} AS bin, count(*) AS c, avg(i0) AS i0, avg(i1) AS m FROM l GROUP BY 1) SELECT i AS bin, (i + 0.5) * 40000.0 AS center, coalesce(c, 0) AS count, round(i0, 4) AS i0, round(-ln(-m / i0), 4) AS s_A, round(-ln(-m * 0.5 / i0), 4) AS s_B, round(-ln(-m * 0.25 / i0), 4) AS s_C, round(-m * 0.125 / i0, 4) AS s_D FROM range(12) t(i) LEFT JOIN b ON b.bin = i")
+add("q1_xas_tim", lambda s, d: recipes.xas_tim(_xas(s, d), 20.0, 12, 30000, lo=0.0, hi=480000.0), f"WITH {_XAS}, l AS (SELECT * FROM xas WHERE i0 > 20 ORDER BY train_id DESC, pulse DESC LIMIT 30000), b AS (SELECT {_bin_sql('energy', 0.0, 480000.0, 12)} AS bin, count(*) AS c, avg(i0) AS i0, avg(i1) AS m FROM l GROUP BY 1) SELECT i AS bin, (i + 0.5e0) * 40000.0 AS center, coalesce(c, 0) AS count, round(i0, 4) AS i0, round(-ln(-m / i0), 4) AS s_A, round(-ln(-m * 0.5 / i0), 4) AS s_B, round(-ln(-m * 0.25 / i0), 4) AS s_C, round(-m * 0.125 / i0, 4) AS s_D FROM range(12) t(i) LEFT JOIN b ON b.bin = i")
 add("q2_xas_xmcd", lambda s, d: recipes.xas_xmcd(_xas(s, d), 10.0, 0.015, 8, 200000).drop("center"), f"WITH {_XAS}, l AS (SELECT * FROM xas WHERE i0 > 10 AND abs(current) > 0.015), r AS (SELECT current > 0 AS p, min(energy) AS lo, max(energy) AS hi FROM l GROUP BY 1), b AS (SELECT l.current > 0 AS p, CASE WHEN energy = hi THEN 7 ELSE CAST(floor((energy - lo) / (hi - lo) * 8) AS INT) END AS bin, -ln(-avg(i1) / avg(i0)) AS s FROM l JOIN r ON r.p = (l.current > 0) GROUP BY 1, 2) SELECT a.bin, round(a.s, 4) AS A_p, round(b.s, 4) AS A_n, round(a.s - b.s, 4) AS A_diff FROM b a JOIN b ON a.p AND NOT b.p AND a.bin = b.bin")
 _TRX = f"{_PX.replace('AS DOUBLE) AS v', 'AS DOUBLE) + 1 AS v')}, {_TRAINS}, rs AS (SELECT train_id, sum(v) FILTER {_INS[1].replace('(x', '(WHERE x', 1)} AS r1, sum(v) FILTER {_INS[2].replace('(x', '(WHERE x', 1)} AS r2, sum(v) FILTER {_INS[3].replace('(x', '(WHERE x', 1)} AS r3 FROM px GROUP BY 1), pt AS (SELECT train_id, slow2 AS delay, slow1 AS energy, -ln(r1 / r3) AS a13, -ln(r2 / r3) AS a23, -ln(r2 / r1) AS a21 FROM rs JOIN slow USING (train_id) WHERE r1 > 0 AND r2 > 0 AND r3 > 0)"
 _points = lambda s, d: recipes.tr_xas_points(pixels(s, d).withColumn("v", F.col("v") + 1), slow(s, d).select("train_id", F.col("slow2").alias("delay"), F.col("slow1").alias("energy")), ROIS, 8, 8)
-add("q3_tr_xas_1d", lambda s, d: recipes.tr_xas(_points(s, d), 5, 4, (0.0, 100.0), (0.0, 500000.0))[0], f"WITH {_TRX}, b AS (SELECT {_bin_sql('delay', 0.0, 100.0, 5)} AS bin, count(*) AS c, avg(a13) AS a13, avg(a23) AS a23, avg(a21) AS a21 FROM pt GROUP BY 1) SELECT i AS bin, (i + 0.5) * 20.0 AS center, coalesce(c, 0) AS count, round(coalesce(a13, 0), 4) AS a13, round(coalesce(a23, 0), 4) AS a23, round(coalesce(a21, 0), 4) AS a21 FROM range(5) t(i) LEFT JOIN b ON b.bin = i")
+add("q3_tr_xas_1d", lambda s, d: recipes.tr_xas(_points(s, d), 5, 4, (0.0, 100.0), (0.0, 500000.0))[0], f"WITH {_TRX}, b AS (SELECT {_bin_sql('delay', 0.0, 100.0, 5)} AS bin, count(*) AS c, avg(a13) AS a13, avg(a23) AS a23, avg(a21) AS a21 FROM pt GROUP BY 1) SELECT i AS bin, (i + 0.5e0) * 20.0 AS center, coalesce(c, 0) AS count, round(coalesce(a13, 0), 4) AS a13, round(coalesce(a23, 0), 4) AS a23, round(coalesce(a21, 0), 4) AS a21 FROM range(5) t(i) LEFT JOIN b ON b.bin = i")
 add("q3_tr_xas_2d", lambda s, d: recipes.tr_xas(_points(s, d), 5, 4, (0.0, 100.0), (0.0, 500000.0))[1], f"WITH {_TRX}, b AS (SELECT {_bin_sql('delay', 0.0, 100.0, 5)} AS b1, {_bin_sql('energy', 0.0, 500000.0, 4)} AS b2, count(*) AS c, avg(a21) AS s FROM pt GROUP BY 1, 2) SELECT i AS bin1, j AS bin2, coalesce(c, 0) AS count, round(coalesce(s, 0.0), 4) AS stat FROM range(5) t(i), range(4) u(j) LEFT JOIN b ON b1 = i AND b2 = j")
-add("q4_line_detector", lambda s, d: recipes.line_detector(_lines(s, d), _lines(s, d).where("pulse = 7"), 1, 0.5, 2.0), f"WITH {_LINES}, k AS (SELECT pixel, avg(adc) AS d FROM ln WHERE pulse = 7 GROUP BY 1) SELECT train_id, pixel, pixel * 0.5 - 2 AS axis, round(avg(adc) - any_value(d), 4) AS mean, round(avg(adc) - any_value(d), 4) AS averaged FROM ln JOIN k USING (pixel) GROUP BY 1, 2")
+add("q4_line_detector", lambda s, d: recipes.line_detector(_lines(s, d), _lines(s, d).where("pulse = 7"), 1, 0.5, 2.0), f"WITH {_LINES}, k AS (SELECT pixel, avg(adc) AS d FROM ln WHERE pulse = 7 GROUP BY 1) SELECT train_id, pixel, pixel * 0.5e0 - 2 AS axis, round(avg(adc) - any_value(d), 4) AS mean, round(avg(adc) - any_value(d), 4) AS averaged FROM ln JOIN k USING (pixel) GROUP BY 1, 2")
 add("q5_camera", lambda s, d: recipes.camera(pixels(s, d), pixels(s, d), ROIS[1], 8, 8, 1, 10)[1], f"WITH {_PX}, k AS (SELECT y, x, avg(v) AS d FROM px GROUP BY 1, 2) SELECT train_id, round(avg(v - d), 4) AS mean, round(quantile_cont(v - d, 0.5), 4) AS median, round(stddev_pop(v - d), 4) AS std FROM px JOIN k USING (y, x) WHERE y < 4 AND x < 4 GROUP BY 1")
 add("q6_xes_timing", lambda s, d: recipes.xes_timing(pixels(s, d), slow(s, d).select("train_id", F.col("slow2").alias("delay")), 300), f"WITH {_PX}, {_TRAINS} SELECT train_id, round(sum(v), 4) AS total, any_value(slow2) AS delay FROM px JOIN slow USING (train_id) GROUP BY 1 ORDER BY 1 DESC LIMIT 300")
 add("q7_vector_view", lambda s, d: recipes.vector_view(pulses(s, d).select("train_id", "pulse", F.col("xgm").alias("v")), pulses(s, d).select("train_id", "pulse", F.col("da").alias("v")), 6000), f"WITH {_PULSES} SELECT train_id, pulse, xgm AS a, da AS b FROM pulses ORDER BY train_id DESC, pulse DESC LIMIT 6000")
@@ -424,7 +426,11 @@ def _streamed(spark, d, build, mode: str = "append"):
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     at = f"{root}/stream-{uuid.uuid4().hex}"
     schema = _read(spark, d, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    own = _read(spark, d, "events").inputFiles()
+    if len(own) == 1 and own[0].endswith("/events.parquet"):  # a single file: the stream watches its folder for that name
+        events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    else:
+        events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
     df = build(events)
 
     def keep(batch, batch_id):

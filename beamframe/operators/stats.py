@@ -104,7 +104,8 @@ def quick_min_max(df: DataFrame, col: str, q: float = 1.0) -> DataFrame:
     if q >= 1.0:
         return df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     q = max(q, 1 - q)
-    return df.agg(F.expr(f"percentile_disc({1 - q}) WITHIN GROUP (ORDER BY nanvl(`{col}`, NULL))").alias("lo"), F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY nanvl(`{col}`, NULL))").alias("hi"))
+    p = round(1 - q, 12)
+    return df.agg(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY nanvl(`{col}`, NULL))").alias("lo"), F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY nanvl(`{col}`, NULL))").alias("hi"))
 
 
 def last_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
@@ -124,7 +125,8 @@ def correlation(fom: DataFrame, slow: DataFrame, n: int = 3000) -> DataFrame:
 def processing_rate(df: DataFrame, keys: list[str]) -> DataFrame:
     """1 / (time since the row before), per key."""
     order = Window.partitionBy(*keys).orderBy("ts", "train_id")
-    dt = F.col("ts").cast("double") - F.lag(F.col("ts").cast("double")).over(order)
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    dt = at - F.lag(at).over(order)
     return df.withColumn("rate", F.when(dt > 0, 1 / dt))
 
 
