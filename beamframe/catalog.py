@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from beamframe import functions as fn
 from beamframe import sources as src
 from beamframe import streaming
-from beamframe.operators import azimuthal, correlate, filters, image, pumpprobe, roi, stats
+from beamframe.operators import azimuthal, correlate, filters, image, pumpprobe, roi, stats, xgm
 from beamframe.plans import recipes
 
 QUERIES: dict = {}
@@ -390,6 +390,10 @@ add("w6_scan_new_resolution", lambda s, d: stats.scan_points(scans(s, d).select(
 add("w7_processing_rate", lambda s, d: stats.processing_rate(raw(s, d), ["user_id"]).where("rate IS NOT NULL").select("user_id", "seq", (F.col("rate") * 1000).alias("rate")).where("rate < 100"), f"WITH {_RAW}, l AS (SELECT user_id, seq, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY ts, train_id) AS dt FROM raw) SELECT user_id, seq, round(1000 / dt, 4) AS rate FROM l WHERE dt > 10")
 add("w8_trace", lambda s, d: stats.trace(slow(s, d), "slow1", 500), f"WITH {_TRAINS} SELECT train_id, slow1 FROM slow ORDER BY train_id DESC LIMIT 500")
 
+_W1 = "WITH RECURSIVE " + _SCAN + ", o AS (SELECT user_id, event_id, y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM scan), r AS (SELECT user_id, event_id, n, y, y AS m FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.event_id, o.n, o.y, r.m + (o.y - r.m) / least(o.n, 5) FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1) "
+add("f9_xgm_control", lambda s, d: xgm.xgm_control(scans(s, d).select("user_id", "event_id", "y"), 5, {"y": (10.0, 60.0)}, ("user_id",), "event_id").select("user_id", "event_id", "y_avg"), _W1 + "SELECT user_id, event_id, round(m, 4) AS y_avg FROM r WHERE y BETWEEN 10 AND 60")
+add("f10_xgm_pulse", lambda s, d: xgm.xgm_pulse(scans(s, d).select(F.col("event_id").alias("train_id"), F.col("user_id").alias("pulse"), "y"), "y", 5, 20.0, 60.0, 10).groupBy("pulse").agg(F.count_if("kept").alias("n")), _W1 + "SELECT user_id - 10 AS pulse, count(*) FILTER (m BETWEEN 20 AND 60) AS n FROM r WHERE user_id >= 10 GROUP BY 1")
+
 # --- scalar functions
 add("x1_x4_scalars", lambda s, d: slow(s, d).select("train_id", (fn.energy_to_wavelength(F.col("slow1")) * 1e12).alias("wl"), (fn.momentum_transfer(F.lit(0.2), F.col("slow2") * 0.001, F.col("slow1")) / 1e9).alias("q"), fn.absorption(F.col("slow2"), F.col("slow1")).alias("a"), fn.log_scale(F.col("slow1")).alias("l")), f"WITH {_TRAINS} SELECT train_id, round({fn.HC_E!r} / slow1 * 1e12, 4) AS wl, round(CASE WHEN slow2 = 0 THEN 0 ELSE 4 * pi() / ({fn.HC_E!r} / slow1) / sqrt(4 * pow(0.2 / (slow2 * 0.001), 2) + 1) / 1e9 END, 4) AS q, round(CASE WHEN slow2 > 0 THEN -ln(slow2 / slow1) END, 4) AS a, round(log10(1 + slow1), 4) AS l FROM slow")
 add("x5_x8_scalars", lambda s, d: pulses(s, d).select("train_id", "pulse", fn.calibrate_axis(F.col("pulse"), 0.5, 3.0).alias("axis"), fn.is_even(F.col("train_id")).cast("int").alias("even")), f"WITH {_PULSES} SELECT train_id, pulse, pulse * 0.5e0 - 3.0e0 AS axis, CAST(train_id % 2 = 0 AS INT) AS even FROM pulses")
