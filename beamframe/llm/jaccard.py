@@ -32,6 +32,8 @@ BUCKETS = 1 << 18
 BITS = 512
 LEAF = 8
 PART = 2048
+#: Rows whose ids are broadcast to find their texts; with more, texts are shuffled to them.
+MOST_BROADCAST = 1_000_000
 
 
 def _sets(batch: pa.RecordBatch, column: str, words: int):
@@ -144,29 +146,57 @@ def traverse(x: Tree, y: Tree, t: tuple[int, int], label_x: np.ndarray, label_y:
     return (np.concatenate(out_x), np.concatenate(out_y)) if out_x else (np.zeros(0, int), np.zeros(0, int))
 
 
+def _possible(pairs: DataFrame, reps: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) whose sizes and bitmaps leave room for the overlap that they need."""
+    side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
+                n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+                most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+                yield batch.select(["a", "b"]).filter(pa.array(most >= need(n + m, t)))
+
+    return joined.mapInArrow(bound, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, t: tuple[int, int], words: int) -> DataFrame:
-    """Of pairs (a, b) those that link. Sets are made again from the texts of the rows concerned only."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    """Of pairs (a, b) those that link. Sets are made again from the texts of the rows concerned only, and only b's set travels, to a's."""
+    asked = materialize(pairs.groupBy(F.col("b").alias("doc_id")).agg(F.collect_list("a").alias("to")), "asked")  # at most a partner for each shingle in front
+    hubs = materialize(pairs.select(F.col("a").alias("doc_id")).distinct(), "hubs")
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(own: DataFrame) -> DataFrame:
+        return docs.dropDuplicates(["doc_id"]).join(own, "doc_id") if own.count() > MOST_BROADCAST else docs.join(F.broadcast(own), "doc_id")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            to = batch.column("to").to_pylist()
+            ids = batch.column("doc_id").to_pylist()
+            for first, last, bounds, h in _sets(batch, "text", words):
+                rows = [(a, ids[i], h[bounds[i - first] : bounds[i - first + 1]].tobytes()) for i in range(first, last) for a in to[i]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["a", "b", "y"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, bounds, h in _sets(batch, "text", words):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array([h[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["a", "x"])
 
-    sets = materialize(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(make, "doc_id long, set binary"), "sets", "none").dropDuplicates(["doc_id"])
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
+    sent = met(asked).select("doc_id", "text", "to").mapInArrow(send, "a long, b long, y binary")
+    held = met(hubs).select("doc_id", "text").mapInArrow(keep, "a long, x binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            same = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 at = np.searchsorted(x, y)
                 both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(t[1] * both >= t[0] * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                same.append(t[1] * both >= t[0] * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    return materialize(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
+    return materialize(sent.join(held, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
 
 def similar_groups(docs: DataFrame, t: tuple[int, int] = (80, 100), words: int = 5) -> DataFrame:
@@ -178,13 +208,15 @@ def similar_groups(docs: DataFrame, t: tuple[int, int] = (80, 100), words: int =
     reps = made.where("n > 0").join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     # blocks: shingles that two or more rows have in front; equal blocks once
-    heads = materialize(reps.select("doc_id", F.explode("prefix").alias("token")), "heads")
-    found = heads.groupBy("token").agg(F.count("*").alias("rows"), F.min("doc_id").alias("hub"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("doc_id", F.lit(7))).alias("x")).where("rows > 1")
-    blocks = materialize(found.groupBy("rows", "hub", "s", "x").agg(F.min("token").alias("token")).select("token", "rows", "hub"), "blocks")
-    inside = materialize(heads.join(blocks, "token").select("token", "rows", "hub", "doc_id"), "inside")
+    heads = reps.select("doc_id", F.explode("prefix").alias("token"))
+    shared = heads.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
+    met = materialize(heads.join(shared, "token").select("token", "rows", "doc_id"), "met")
+    found = met.groupBy("token").agg(F.first("rows").alias("rows"), F.min("doc_id").alias("hub"), F.bit_xor(F.xxhash64("doc_id")).alias("s"), F.bit_xor(F.xxhash64("doc_id", F.lit(7))).alias("x"))
+    blocks = found.groupBy("rows", "hub", "s", "x").agg(F.min("token").alias("token")).select("token", "hub")
+    inside = materialize(met.join(blocks, "token").select("token", "rows", "hub", "doc_id"), "inside")
 
     stars = materialize(inside.where("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    links = _verified(stars, docs, t, words)
+    links = _verified(_possible(stars, reps, t), docs, t, words)
     label = materialize(components(links), "labels")
 
     # blocks with rows of more than one component
