@@ -50,7 +50,7 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
     def slot(kind: int, value: np.ndarray, valid: np.ndarray) -> np.ndarray:
         h = tb.mix((value + kind * 0x1000003).astype(np.uint64))
-        return np.where(valid, (h % np.uint64(_SLOTS - 1)).astype(np.int64) + 1, 0)
+        return np.where(valid, (h % np.uint64(_SLOTS - 1)).astype(np.int32) + 1, 0)
 
     out, value = [], np.zeros(len(n), np.int64)
     for k in (1, 2, 3):
@@ -66,7 +66,7 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     for i in range(_WIDE):
         whole = whole * np.uint64(0x100000001B3) + word[:, i].astype(np.uint64)
     out.append((tb.mix(whole) % np.uint64(_LEXICON)).astype(np.int64) + _SLOTS)
-    return np.stack(out, 1)
+    return np.stack([v.astype(np.int32) for v in out], 1)
 
 
 def trimmed_words(data: np.ndarray, offsets: np.ndarray):
@@ -214,7 +214,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame) -> Model:
-    """Fit on labelled documents that are not held out: a sample by hash of at most SAMPLE texts (of at most 20,000 characters from a place by hash) for each label."""
+    """Fit on labelled documents that are not held out: a sample by hash of at most SAMPLE texts (of at most 1,000 characters from a place by hash) for each label."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each label
     if not counts:
@@ -223,7 +223,7 @@ def learn(docs: DataFrame) -> Model:
     rows = []
     for lang, n in sorted(counts.items()):
         own = usable.where(F.col("lang") == lang).where(F.col("u") < int((1 << 30) * min(1.0, 1.5 * SAMPLE / n)))
-        cut = F.substring("text", (F.col("u") % F.greatest(F.length("text") - 20_000, F.lit(1))).cast("int") + 1, F.lit(20_000))
+        cut = F.substring("text", (F.col("u") % F.greatest(F.length("text") - 1_000, F.lit(1))).cast("int") + 1, F.lit(1_000))
         rows += [(r[0], lang) for r in own.orderBy("u").limit(SAMPLE).select(cut).collect()]
     return fit(rows)
 
