@@ -53,14 +53,29 @@ def normalized_places(text: str) -> tuple[str, np.ndarray]:
 
 
 def grams(points: np.ndarray, q: int = Q) -> np.ndarray:
-    """Hashes of the q-grams of code points."""
+    """Hashes of the q-grams of code points, put together by doubling."""
     n = len(points) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(q):
-        h = h * np.uint64(0x100000001B3) + points[k : k + n].astype(np.uint64) + np.uint64(1)
-    return tb.mix(h)
+    h, size, out, at = points.astype(np.uint64) + np.uint64(1), 1, None, 0
+    while True:
+        if q & size:
+            part = h[at : at + n]
+            out = part.copy() if out is None else out * np.uint64(0x9E3779B97F4A7C15) + part
+            at += size
+        if 2 * size > q:
+            return out
+        h = h[:-size] * np.uint64(0xD6E8FEB86659FD93) ** np.uint64(size) + h[size:]
+        size *= 2
+
+
+def slots(h: np.ndarray) -> np.ndarray:
+    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)).astype(np.int64)
+
+
+_BLANK = np.zeros(0x3002, bool)
+_BLANK[[i for i in range(0x3001) if chr(i).isspace()]] = True
+_END = "\U0010fffe"
 
 
 def points(text: str) -> np.ndarray:
@@ -87,9 +102,11 @@ def banded_distance(item: np.ndarray, text: np.ndarray, low: int, high: int, mos
         best = run + steps
         lead = np.maximum.accumulate(np.where(new - steps == run, steps, 0))
         cost, origin = np.where((j >= 0) & (j <= len(text)), best, big), source[lead]
-        if cost.min() > most:
+        if i % 8 == 0 and cost.min() > most:
             return None
     k = int(np.argmin(cost))
+    if cost[k] > most:
+        return None
     return int(cost[k]), int(max(origin[k], 0)), int(diag[k] + len(item))
 
 
@@ -110,21 +127,52 @@ class Index:
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.place = self.hash[order], self.item[order], self.place[order]
         self.seen = np.zeros(1 << 20, bool)  # quick refusal of most q-grams
-        self.seen[(self.hash & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.seen[slots(self.hash)] = True
         self.short = [(k, p) for k, p in enumerate(self.points) if 0 < len(p) < q]
 
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in h, row of the index) of each q-gram that the index has."""
+        at = np.flatnonzero(self.seen[slots(h)])
+        lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
+        n = hi - lo
+        return np.repeat(at, n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+    def candidates(self, texts: list[str | None]) -> np.ndarray:
+        """Whether each text has as many q-grams of some item, on any diagonals, as the item's bound asks for: all texts at once."""
+        texts = [t or "" for t in texts]
+        if self.short:
+            return np.array([bool(t) for t in texts])
+        p = points(_END.join([*texts, ""]))
+        owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+        blank = _BLANK[np.minimum(p, 0x3001)]
+        keep = np.r_[True, ~(blank[1:] & blank[:-1])] if len(p) else blank
+        p, owner, blank = p[keep], owner[keep], blank[keep]
+        p = np.where(blank, np.uint32(32), np.where((p >= 65) & (p <= 90), p + np.uint32(32), p))
+        at, row = self.hits(grams(p, self.q))
+        # an item's q-gram counts once in a text for each place in the item
+        pair = np.unique(owner[at] * np.int64(len(self.hash)) + row)
+        text, item = pair // max(len(self.hash), 1), self.item[pair % max(len(self.hash), 1)]
+        both, count = np.unique(text * len(self.bound) + item, return_counts=True)
+        out = np.zeros(len(texts), bool)
+        out[both[count >= self.bound[both % max(len(self.bound), 1)]] // max(len(self.bound), 1)] = True
+        return out
+
+    @staticmethod
+    def _exact(whole: bytes, item: np.ndarray) -> int:
+        """The first place of item in a text given as 4 bytes a character, or -1."""
+        own = item.tobytes()
+        i = whole.find(own)
+        while i >= 0 and i % 4:
+            i = whole.find(own, i + 1)
+        return i // 4 if i >= 0 else -1
+
     def search(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, edits, start, end) of the best region of each item that the text holds."""
         found: dict[int, tuple] = {}
-        h = grams(text, self.q)
-        at = np.flatnonzero(self.seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-        hit = np.flatnonzero(hi > lo)
-        if len(hit):
-            n = (hi - lo)[hit]
-            row = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at, row = self.hits(grams(text, self.q))
+        if len(at):
             item, place = self.item[row], self.place[row]
-            diagonal = np.repeat(at[hit], n) - place
+            diagonal = at - place
             wide = np.maximum(self.budget[item], 1)
             # the item's own places count once in a band, however often the text repeats them
             bands = [np.stack([item, diagonal // wide - s, place], 1) for s in (0, 1)]
@@ -132,22 +180,33 @@ class Index:
             new = np.r_[True, (keys[1:, :2] != keys[:-1, :2]).any(1)]
             first = np.flatnonzero(new)
             count = np.diff(np.r_[first, len(keys)])
-            for k in np.flatnonzero(count >= self.bound[keys[first, 0]]):
-                item, band = int(keys[first[k], 0]), int(keys[first[k], 1])
+            good = np.flatnonzero(count >= self.bound[keys[first, 0]])
+            whole = text.tobytes() if len(good) else b""
+            k = 0
+            while k < len(good):
+                item, band = (int(v) for v in keys[first[good[k]], :2])
+                last = band
+                while k + 1 < len(good) and keys[first[good[k + 1]], 0] == item and keys[first[good[k + 1]], 1] <= last + 2:  # overlapping bands are one region
+                    k, last = k + 1, int(keys[first[good[k + 1]], 1])
+                k += 1
+                if item in found and found[item][0] == 0:
+                    continue
+                at = self._exact(whole, self.points[item])
+                if at >= 0:
+                    found[item] = (0, at, at + len(self.points[item]))
+                    continue
                 w, budget = int(max(self.budget[item], 1)), int(self.budget[item])
-                low, high = band * w - budget, (band + 2) * w - 1 + budget
-                region = text[max(0, low) : high + len(self.points[item]) + 1]
-                best = banded_distance(self.points[item], region, low - max(0, low), high - max(0, low), budget)
+                low, high = band * w - budget, (last + 2) * w - 1 + budget
+                region = text[max(0, low) : max(0, high + len(self.points[item]) + 1)]
+                best = banded_distance(self.points[item], region, low - max(0, low), high - max(0, low), budget) if len(region) else None
                 if best is not None and (item not in found or best[0] < found[item][0]):
                     found[item] = (best[0], best[1] + max(0, low), best[2] + max(0, low))
         if self.short:
             whole = text.tobytes()
             for k, p in self.short:
-                i = whole.find(p.tobytes())
-                while i >= 0 and i % 4:
-                    i = whole.find(p.tobytes(), i + 1)
+                i = self._exact(whole, p)
                 if i >= 0:
-                    found[k] = (0, i // 4, i // 4 + len(p))
+                    found[k] = (0, i, i + len(p))
         return [(k, *v) for k, v in sorted(found.items())]
 
 
@@ -163,6 +222,20 @@ def _indexes(benchmark: DataFrame, q: int, rate: float):
         yield spark.sparkContext.broadcast(Index([x for x in items if x[1]], q, rate))
 
 
+def _likely(index: Index, keys, texts: list):
+    """(key, text) of candidates, by runs of about a million characters."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < 1 << 20):
+            size += len(texts[end] or "")
+            end += 1
+        for i in np.flatnonzero(index.candidates(texts[at:end])).tolist():
+            if texts[at + i]:
+                yield keys[at + i], texts[at + i]
+        at = end
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, edits, start, end (characters of the text as it is)."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -172,8 +245,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
             found = index.value
             for batch in batches:
                 rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    hits = found.search(points(normalize(text))) if text else ()
+                for doc_id, text in _likely(found, batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    hits = found.search(points(normalize(text)))
                     if hits:
                         place = normalized_places(text)[1]
                         for k, e, s, t in hits:
@@ -197,7 +270,9 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: fl
     def clean(index, at: int):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not (t and index.value.search(points(normalize(t)))) for t in batch.column(at).to_pylist()], pa.bool_()))
+                texts = batch.column(at).to_pylist()
+                bad = {i for i, t in _likely(index.value, range(len(texts)), texts) if index.value.search(points(normalize(t)))}
+                yield batch.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
 
         return keep
 
