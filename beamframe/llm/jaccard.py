@@ -29,7 +29,7 @@ from beamframe.llm.shared import materialize
 
 #: Fixed sizes: of the sketch of shingle counts, of a row's bitmap, of a tree's leaves, and rows of a block that one task takes.
 BUCKETS = 1 << 18
-BITS = 512
+BITS = 2048
 LEAF = 8
 PART = 2048
 #: Rows whose ids are broadcast to find their texts; with more, texts are shuffled to them.
