@@ -6,13 +6,15 @@ covariance of the `share` of rows nearest to the present estimate are taken anew
 Mahalanobis distance under the final estimate exceeds `cutoff` (a chi-square quantile) are rejected. All of it is
 DataFrame work: group parameters are aggregates, distances come from the Cholesky factor written out as columns.
 
-Nulls: a null text has no words (base_failed); null lang or source form groups of their own. Groups under `least` usable
-rows, or whose statistics don't vary, reject nothing. Repeated rows count as often as they occur.
+Nulls: a null text has no words (base_failed); null lang or source form groups of their own. Rows of a group under `least`
+usable rows are judged by the estimate of the first wider group that has so many (language, then source), else of all
+rows; a wider estimate is taken from all its usable rows, so every usable row gets a distance. Groups whose statistics
+don't vary reject nothing. Repeated rows count as often as they occur.
 """
 
 from __future__ import annotations
 
-from itertools import product
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +89,7 @@ def _factor(params: DataFrame, p: int, floor: float) -> DataFrame:
     return params
 
 
-def robust_outliers(stats: DataFrame, keys: list[str], p: int, share: float = 0.75, steps: int = 3, least: int = 50, floor: float = 0.01) -> DataFrame:
+def robust_outliers(stats: DataFrame, keys: list[str], p: int, share: float = 0.75, steps: int = 3, floor: float = 0.01) -> DataFrame:
     """Group parameters (keys, m*, l*, scale, n) by concentration steps over rows with columns x0..x{p-1}."""
     groups = materialize(stats.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"m{i}") for i in range(p)]), "groups")
     wide = groups.count() > MOST_BROADCAST
@@ -108,18 +110,45 @@ def robust_outliers(stats: DataFrame, keys: list[str], p: int, share: float = 0.
         moments = kept.groupBy(*keys).agg(F.first("n").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in product(range(p), range(p)) if j <= i])
         params = _factor(moments, p, floor)
     params = materialize(params, "mcd")
-    # consistency: the median of the distances becomes the chi-square median (about p - 2/3)
+    # consistency: the median of the distances becomes the chi-square median (about p - 2/3); a covariance of the nearest
+    # rows is never too wide, so a smaller median is that of statistics held at the floor and the distances stay
     scale = met(params).groupBy(*keys).agg(F.percentile_approx(_squared(p), 0.5, 2000).alias("mid"))
-    scale = materialize(scale, "scale").select(*[F.col(k).alias(f"h_{k}") for k in keys], F.greatest(F.col("mid") / (p - 2 / 3), F.lit(1e-6)).alias("scale"))
-    return params.join(scale, [F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in keys]).where(F.col("n") >= least).drop(*[f"h_{k}" for k in keys])
+    scale = materialize(scale, "scale").select(*[F.col(k).alias(f"h_{k}") for k in keys], F.greatest(F.col("mid") / (p - 2 / 3), F.lit(1.0)).alias("scale"))
+    return params.join(scale, [F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in keys]).drop(*[f"h_{k}" for k in keys])
+
+
+def widened_outliers(stats: DataFrame, keys: list[str], p: int, least: int = 50, **options) -> DataFrame:
+    """robust_outliers for each group of keys: its own with `least` rows, else of the first wider group with so many, else of all rows."""
+    stats = stats.withColumn("__all", F.lit(0))
+    left = groups = materialize(stats.groupBy("__all", *keys).agg(F.count("*").alias("__rows")), "sizes")
+    spread = (lambda df: df) if groups.count() > MOST_BROADCAST else F.broadcast
+    found = None
+
+    def matched(df: DataFrame, other: DataFrame, own: list[str], how: str) -> DataFrame:
+        other = other.select(*[F.col(k).alias(f"w_{k}") for k in own], *([] if how != "inner" else [c for c in other.columns if c not in own]))
+        return df.join(spread(other), [F.col(k).eqNullSafe(F.col(f"w_{k}")) for k in own], how).drop(*[f"w_{k}" for k in own])
+
+    for level in [c for r in range(len(keys), -1, -1) for c in combinations(keys, r)]:
+        own = list(level) or ["__all"]
+        enough = groups.groupBy(*own).agg(F.sum("__rows").alias("__rows")).where(F.col("__rows") >= (least if level else 0))
+        taken = materialize(matched(left, enough, own, "left_semi").select("__all", *keys), "taken")
+        left = materialize(matched(left, enough, own, "left_anti"), "left")
+        if level and taken.isEmpty():
+            continue
+        params = robust_outliers(matched(stats, taken.select(*own).distinct(), own, "left_semi"), own, p, **options)
+        judged = matched(taken, params, own, "inner").drop("__all")
+        found = judged if found is None else found.unionByName(judged)
+        if left.isEmpty():
+            break
+    return found
 
 
 def judge_quality(docs: DataFrame, keys: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF, keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
-    """keep columns with the base counts, base_failed, distance (null: not estimated) and kept."""
+    """keep columns with the base counts, base_failed, distance (null: only base_failed rows in a group without usable ones) and kept."""
     base = base_counts(docs.select(*keep, *[k for k in keys if k not in keep], "text")).drop("text")
     vector = statistics()
     stats = materialize(base.select("*", *[x.alias(f"x{i}") for i, x in enumerate(vector)]), "stats")
-    params = robust_outliers(stats.where(~F.col("base_failed")).select(*keys, *[f"x{i}" for i in range(len(vector))]), list(keys), len(vector), **options)
+    params = widened_outliers(stats.where(~F.col("base_failed")).select(*keys, *[f"x{i}" for i in range(len(vector))]), list(keys), len(vector), **options)
     params = materialize(params, "params")
     small = params.count() <= MOST_BROADCAST
     params = params.select(*[F.col(k).alias(f"g_{k}") for k in keys], "scale", *[f"m{i}" for i in range(len(vector))], *[f"l{i}{j}" for i in range(len(vector)) for j in range(i + 1)])

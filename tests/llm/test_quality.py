@@ -52,3 +52,17 @@ def test_whole_operator(spark):
     assert len(rows) == docs.count() and 500 not in kept and len(kept & set(range(7, 150))) >= 142
     assert quality.judge_quality(docs.limit(0)).count() == 0
     assert not [x for x in rows if x.base_failed and x.kept]
+
+
+def test_small_groups_are_judged_by_wider_ones(spark):
+    r = random.Random(3)
+    word = lambda: r.choice("abcdefgh") * r.randint(2, 9)
+    good = [(i, " ".join(word() + r.choice(["", "", "", "#"]) for _ in range(r.randint(80, 200))), ("en", "fr")[i % 2], f"s{i // 20}", 1) for i in range(200)]
+    good += [(300 + i, good[i][1], None, None, 1) for i in range(9)]
+    bad = [(900 + i, " ".join(f"{k}#" * 60 for k in range(150)), lang, source, 1) for i, (lang, source) in enumerate([("en", "s0"), ("fr", "s9"), (None, None), (None, "s1"), ("xx", "s1")])]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = {x.doc_id: x for x in quality.judge_quality(docs).collect()}  # no (lang, source) group has over 12 rows
+    assert len(rows) == len(good + bad) and not [x for x in rows.values() if not x.base_failed and x.distance is None]
+    assert not [i for i in rows if i >= 900 and rows[i].kept] and sum(rows[x[0]].kept for x in good) >= 0.98 * len(good)
+    few = {x.doc_id: x for x in quality.judge_quality(docs.where("lang = 'en' AND source = 's0'")).collect()}  # nothing wider than 11 rows
+    assert len(few) == 11 and not few[900].kept and sum(x.kept for x in few.values()) >= 9
