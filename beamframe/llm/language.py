@@ -7,7 +7,8 @@ gradient steps on the conditional likelihood (forward-backward) of chains splice
 bounded sample: at most SAMPLE texts of each label and CHAINS chains. Texts of any length are labelled whole, in chains
 of CHAIN words; a text's language has the greatest mean marginal over its words with letters, which is its score.
 
-Null texts and texts without a letter are "und" with score 0, as is everything if nothing could be learned. Repeated
+Null texts and texts without a letter are "und" with score 0, as is everything if nothing could be learned (a model
+without labels; has_letter then tells the two cases apart). Repeated
 rows are judged one by one; lang, source and doc_id take no part in a prediction.
 """
 
@@ -213,6 +214,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def has_letter(text: Column) -> Column:
+    """False for null texts and texts without a letter, which are "und" under any model."""
+    return F.coalesce(text.cast("string").rlike("\\p{L}"), F.lit(False))
+
+
 def learn(docs: DataFrame) -> Model:
     """Fit on labelled documents that are not held out: a sample by hash of at most SAMPLE texts (of at most 1,000 characters from a place by hash) for each label."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")

@@ -14,8 +14,11 @@ from beamframe.llm.shared import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language (null, or no letter) go; a code-switched text stays with its main language."""
-    found = language.identify(docs, language.learn(docs), docs.columns)
+    """Null texts and texts without a letter go; a code-switched text stays. Which label the CRF gives, and its score, reject no document."""
+    model = language.learn(docs)
+    if not model.labels:  # nothing to learn from: "und" then says nothing of a text
+        return docs.where(language.has_letter(docs["text"]))
+    found = language.identify(docs, model, docs.columns)
     return found.where("lang_pred != 'und'").select(*docs.columns)
 
 

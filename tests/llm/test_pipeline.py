@@ -46,3 +46,12 @@ def test_run_and_empty(spark, sf_dir):
         docs = f(spark, docs, sf_dir)
     assert p.STAGES[-1][1](spark, docs, sf_dir).count() == 0
     assert p.jaccard is jaccard and p.run(spark, sf_dir).count() > 0
+
+
+def test_language_stage_without_labels(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    want = sorted(repr(r.text) for r in docs.collect() if r.text and any(c.isalpha() for c in r.text))
+    held = "CAST(NULL AS string)", "IF(crc32(CAST(coalesce(CAST(doc_id AS string), '') AS binary)) % 4 = 2, lang, NULL)"
+    for lang in held:  # no label at all, or on held-out rows only
+        left = stage(spark, "language_crf", docs.selectExpr("doc_id", "text", f"{lang} AS lang", "source", "n_chars"))
+        assert left.columns == docs.columns and sorted(repr(r.text) for r in left.collect()) == want and want
