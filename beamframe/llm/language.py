@@ -4,7 +4,7 @@ Words get hashed features: prefixes and suffixes of 1 to 3 bytes, byte trigrams,
 Label scores of a word are sums of its features' weights; learned transition scores tie neighbours, so a word without
 letters takes the language around it and code-switched text is cut where languages change. Weights are learned by
 gradient steps on the conditional likelihood (forward-backward) of chains spliced from texts of different languages, a
-bounded sample: at most SAMPLE texts of each label and CHAINS chains. Texts of any length are labelled whole, in chains
+bounded sample: at most SAMPLE distinct texts of each label, CHARS characters of each, and CHAINS chains. Texts of any length are labelled whole, in chains
 of CHAIN words; a text's language has the greatest mean marginal over its words with letters, which is its score.
 
 Null texts and texts without a letter are "und" with score 0, as is everything if nothing could be learned (a model
@@ -23,8 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beamframe.llm import textbatch as tb
+from beamframe.llm.shared import materialize
 
+#: Distinct texts of a label that are learned from, and the characters read of each: together they bound the driver's memory.
 SAMPLE = 400
+CHARS = 1_000
 CHAINS = 6000
 CHAIN = 64
 _WIDE, _SLOTS, _LEXICON = 24, 1 << 15, 1 << 15
@@ -219,19 +222,27 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.cast("string").rlike("\\p{L}"), F.lit(False))
 
 
-def learn(docs: DataFrame) -> Model:
-    """Fit on labelled documents that are not held out: a sample by hash of at most SAMPLE texts (of at most 1,000 characters from a place by hash) for each label."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each label
-    if not counts:
+def learn(docs: DataFrame, sample: int = SAMPLE, chars: int = CHARS) -> Model:
+    """Fit on labelled documents that are not held out: for each label the `sample` distinct texts of least hash (all if fewer), of each `chars` characters from a place by hash. Copies of a text count once."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text").alias("h"))
+    u = F.pmod(F.col("h"), F.lit(1 << 30))
+    hashes = materialize(usable.select("lang", "h").distinct().select("lang", "h", u.alias("u"), F.floor(16 * F.log2(u + 1)).cast("int").alias("bin")), "hashes")
+    # counts in bins of growing width give a cut for each label with at least `sample` hashes under it (all if fewer) and few more
+    cuts, under = {}, {}
+    for lang, bin, n in sorted(tuple(r) for r in hashes.groupBy("lang", "bin").count().collect()):  # at most 481 rows a label
+        if under.get(lang, 0) < sample:
+            cuts[lang], under[lang] = bin, under.get(lang, 0) + n
+    if not cuts:
         return Model([], np.zeros((_SLOTS + _LEXICON, 0), np.float32), np.zeros((0, 0)))
-    usable = usable.select("lang", F.col("text"), F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("u"))
-    rows = []
-    for lang, n in sorted(counts.items()):
-        own = usable.where(F.col("lang") == lang).where(F.col("u") < int((1 << 30) * min(1.0, 1.5 * SAMPLE / n)))
-        cut = F.substring("text", (F.col("u") % F.greatest(F.length("text") - 1_000, F.lit(1))).cast("int") + 1, F.lit(1_000))
-        rows += [(r[0], lang) for r in own.orderBy("u").limit(SAMPLE).select(cut).collect()]
-    return fit(rows)
+    near: dict[str, list] = {lang: [] for lang in cuts}
+    limits = F.broadcast(docs.sparkSession.createDataFrame(list(cuts.items()), "lang string, cut int"))
+    for r in hashes.join(limits, "lang").where("bin <= cut").select("lang", "u", "h").collect():
+        near[r["lang"]].append((r["u"], r["h"]))
+    chosen = [(lang, h) for lang, found in near.items() for _, h in sorted(found)[:sample]]
+    own = usable.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, h long")), ["lang", "h"])
+    cut = F.substring("text", (u % F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1, F.lit(chars))
+    rows = own.select("lang", "h", u.alias("u"), cut.alias("cut")).dropDuplicates(["lang", "h"]).collect()
+    return fit([(r["cut"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["u"], r["h"]))])
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

@@ -80,3 +80,21 @@ def test_accuracy_on_held_out_documents(spark):
     truth = {x.doc_id: x.lang for x in docs.select("doc_id", "lang").collect()}
     rows = [x for x in l.report(docs).collect() if x.held_out]
     assert np.mean([x.lang_pred == truth[x.doc_id] for x in rows]) > 0.9
+
+
+def test_copies_do_not_fill_or_empty_the_sample(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = made(spark, 90)
+    least = docs.where("lang = 'en'").where(~l.held_out(F.col("doc_id"))).orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 30))).first()
+    most = docs.where("lang = 'fr'").where(~l.held_out(F.col("doc_id"))).orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 30)).desc()).first()
+    copies = spark.range(1000, 9000).select(F.col("id").alias("doc_id"), F.lit(least.text).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    many = copies.withColumns({"text": F.lit(most.text), "lang": F.lit("xx")})  # one text, above any cut by rate
+    seen = []
+    monkeypatch.setattr(l, "fit", seen.extend)
+    l.learn(docs.unionByName(copies).unionByName(many))
+    want = {(x.text, x.lang) for x in docs.where(~l.held_out(F.col("doc_id"))).collect()} | {(most.text, "xx")}
+    assert len(seen) == len(want) and set(seen) == want
+    seen.clear()
+    l.learn(docs.unionByName(copies), sample=5, chars=30)
+    assert sorted(y for _, y in seen) == ["de"] * 5 + ["en"] * 5 + ["fr"] * 5 and all(len(t) == 30 for t, _ in seen) and len(set(seen)) == 15
