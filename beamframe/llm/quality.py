@@ -1,19 +1,26 @@
 """Quality rules: base counts of each text, then robust multivariate outliers by language and source.
 
-Each text's counts become a vector of transformed statistics. In every (lang, source) group the minimum covariance
-determinant estimate is approached by concentration steps: from a start at coordinate medians and MADs, mean and
-covariance of the `share` of rows nearest to the present estimate are taken anew, a fixed number of times. Texts whose
-Mahalanobis distance under the final estimate exceeds `cutoff` (a chi-square quantile) are rejected. All of it is
-DataFrame work: group parameters are aggregates, distances come from the Cholesky factor written out as columns.
+Each text's counts become a vector of transformed statistics. Every (lang, source) group gets the estimate with the
+minimum covariance determinant over `share` of its rows: from four deterministic starts (medians and MADs; correlations
+of the tanh of standardized values; spatial signs; the half of rows nearest to the medians) concentration steps take
+mean and covariance of the rows nearest to the present estimate anew until no determinant falls, the start with the least
+determinant wins, and the usual reweighting step follows. Variances are held at `floor` or above; the number of
+directions above it is the estimate's rank, which sets the consistency factor and the cutoff (the chi-square quantile of
+1 - `tail`). Texts beyond the cutoff are rejected. All of it is DataFrame work: parameters are aggregates, distances come
+from the Cholesky factor written out as columns; medians and shares are percentiles within 1/2000 of the ranks.
 
 Nulls: a null text has no words (base_failed); null lang or source form groups of their own. Rows of a group under `least`
 usable rows are judged by the estimate of the first wider group that has so many (language, then source), else of all
-rows; a wider estimate is taken from all its usable rows, so every usable row gets a distance. Groups whose statistics
-don't vary reject nothing. Repeated rows count as often as they occur.
+rows; a wider estimate is taken from all its usable rows, so every usable row gets a distance. In a group whose
+statistics don't vary, rows further off than the floor allows are rejected. An empty or very long text is a text like any
+other, repeated rows (and ties of distances) count as often as they occur, an empty table gives an empty result, and of
+columns with the result's names the result's stay.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
@@ -26,8 +33,8 @@ SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Above so many groups their parameters are joined by shuffle.
 MOST_BROADCAST = 10_000
-#: Chi-square quantile 1 - 1e-6 for 4 degrees of freedom: rejects far outliers only.
-CUTOFF = 33.38
+#: Share of normal rows beyond the cutoff: rejects far outliers only.
+TAIL = 1e-6
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -79,79 +86,125 @@ def _squared(p: int) -> Column:
 
 
 def _factor(params: DataFrame, p: int, floor: float) -> DataFrame:
-    """Columns l{i}{j} of the Cholesky factor of the covariance c{i}{j}; `floor` is the least variance left on the diagonal."""
+    """Columns l{i}{j} of the Cholesky factor of the covariance c{i}{j} (`floor`: least variance left on the diagonal), rank and the logarithm of the determinant."""
     for i in range(p):
         for j in range(i + 1):
             value = F.col(f"c{i}{j}")
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(floor))) if i == j else value / F.col(f"l{j}{j}"))
-    return params
-
-
-def robust_outliers(stats: DataFrame, keys: list[str], p: int, share: float = 0.75, steps: int = 3, floor: float = 0.01) -> DataFrame:
-    """Group parameters (keys, m*, l*, scale, n) by concentration steps over rows with columns x0..x{p-1}."""
-    groups = materialize(stats.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"m{i}") for i in range(p)]), "groups")
-    wide = groups.count() > MOST_BROADCAST
-
-    def met(params: DataFrame) -> DataFrame:
-        params = params.select(*[F.col(k).alias(f"g_{k}") for k in keys], *[c for c in params.columns if c not in keys])
-        on = [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys]
-        return stats.join(params if wide else F.broadcast(params), on).drop(*[f"g_{k}" for k in keys])
-
-    spread = met(groups).groupBy(*keys).agg(F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 2000).alias(f"s{i}") for i in range(p)])
-    params = _factor(spread.select(*keys, "n", *[f"m{i}" for i in range(p)], *[(F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]), p, floor)
-    for _ in range(steps):
-        params = materialize(params, "mcd")
-        near = met(params).withColumn("d", _squared(p))
-        cut = materialize(near.groupBy(*keys).agg(F.percentile_approx("d", share, 2000).alias("cut")), "cuts")
-        both = params.join(cut.select(*[F.col(k).alias(f"h_{k}") for k in keys], "cut"), [F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in keys]).drop(*[f"h_{k}" for k in keys])
-        kept = met(both).withColumn("d", _squared(p)).where(F.col("d") <= F.col("cut"))
-        moments = kept.groupBy(*keys).agg(F.first("n").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in product(range(p), range(p)) if j <= i])
-        params = _factor(moments, p, floor)
-    params = materialize(params, "mcd")
-    # consistency: the median of the distances becomes the chi-square median (about p - 2/3); a covariance of the nearest
-    # rows is never too wide, so a smaller median is that of statistics held at the floor and the distances stay
-    scale = met(params).groupBy(*keys).agg(F.percentile_approx(_squared(p), 0.5, 2000).alias("mid"))
-    scale = materialize(scale, "scale").select(*[F.col(k).alias(f"h_{k}") for k in keys], F.greatest(F.col("mid") / (p - 2 / 3), F.lit(1.0)).alias("scale"))
-    return params.join(scale, [F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in keys]).drop(*[f"h_{k}" for k in keys])
-
-
-def widened_outliers(stats: DataFrame, keys: list[str], p: int, least: int = 50, **options) -> DataFrame:
-    """robust_outliers for each group of keys: its own with `least` rows, else of the first wider group with so many, else of all rows."""
-    stats = stats.withColumn("__all", F.lit(0))
-    left = groups = materialize(stats.groupBy("__all", *keys).agg(F.count("*").alias("__rows")), "sizes")
-    spread = (lambda df: df) if groups.count() > MOST_BROADCAST else F.broadcast
-    found = None
-
-    def matched(df: DataFrame, other: DataFrame, own: list[str], how: str) -> DataFrame:
-        other = other.select(*[F.col(k).alias(f"w_{k}") for k in own], *([] if how != "inner" else [c for c in other.columns if c not in own]))
-        return df.join(spread(other), [F.col(k).eqNullSafe(F.col(f"w_{k}")) for k in own], how).drop(*[f"w_{k}" for k in own])
-
-    for level in [c for r in range(len(keys), -1, -1) for c in combinations(keys, r)]:
-        own = list(level) or ["__all"]
-        enough = groups.groupBy(*own).agg(F.sum("__rows").alias("__rows")).where(F.col("__rows") >= (least if level else 0))
-        taken = materialize(matched(left, enough, own, "left_semi").select("__all", *keys), "taken")
-        left = materialize(matched(left, enough, own, "left_anti"), "left")
-        if level and taken.isEmpty():
-            continue
-        params = robust_outliers(matched(stats, taken.select(*own).distinct(), own, "left_semi"), own, p, **options)
-        judged = matched(taken, params, own, "inner").drop("__all")
-        found = judged if found is None else found.unionByName(judged)
-        if left.isEmpty():
+    diagonal = [F.col(f"l{i}{i}") for i in range(p)]
+    rank = sum(((x > floor**0.5 * (1 + 1e-9)).cast("int") for x in diagonal[1:]), (diagonal[0] > floor**0.5 * (1 + 1e-9)).cast("int"))
+    return params.withColumns({"rank": rank, "logdet": sum((F.log(x) for x in diagonal[1:]), F.log(diagonal[0]))})
+
+
+def chi2_below(x: float, p: int) -> float:
+    """Distribution function of chi-square with p degrees of freedom, by the recurrence over p."""
+    if p <= 2:
+        return math.erf(math.sqrt(x / 2)) if p == 1 else -math.expm1(-x / 2)
+    return chi2_below(x, p - 2) - (x / 2) ** (p / 2 - 1) * math.exp(-x / 2) / math.gamma(p / 2)
+
+
+def chi2_quantile(q: float, p: int) -> float:
+    low, high = 0.0, 400.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2_below(mid, p) < q else (low, mid)
+    return low
+
+
+def consistency(share: float, p: int) -> float:
+    """What the covariance of the nearest `share` of normal rows has to be multiplied by."""
+    return share / chi2_below(chi2_quantile(share, p), p + 2)
+
+
+def _by_rank(p: int, f) -> Column:
+    """f(rank) as a column; an estimate without a direction above the floor counts as one of rank 1."""
+    return F.element_at(F.array(*[F.lit(float(f(r))) for r in range(1, p + 1)]), F.greatest(F.col("rank"), F.lit(1)))
+
+
+def _moments(rows: DataFrame, by: tuple[str, ...], p: int) -> DataFrame:
+    return rows.groupBy(*by).agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in product(range(p), range(p)) if j <= i])
+
+
+def robust_outliers(stats: DataFrame, p: int, share: float = 0.75, steps: int = 12, floor: float = 0.01) -> DataFrame:
+    """(unit, m*, l*, rank, scale): the reweighted minimum-covariance-determinant estimate of each unit's rows x0..x{p-1}."""
+    spread = (lambda df: df) if stats.select("unit").distinct().count() > MOST_BROADCAST else F.broadcast
+    met = lambda params: stats.join(spread(params), "unit")
+    middle = lambda of, name: F.percentile_approx(of, 0.5, 2000).alias(name)
+    centre = materialize(stats.groupBy("unit").agg(*[middle(F.col(f"x{i}"), f"m{i}") for i in range(p)]), "centres")
+    mad = met(centre).groupBy("unit").agg(*[middle(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), f"s{i}") for i in range(p)])
+    mad = mad.select("unit", *[F.greatest(1.4826 * F.col(f"s{i}"), F.lit(floor**0.5)).alias(f"s{i}") for i in range(p)])
+    scaled = materialize(centre.join(mad, "unit"), "scales")
+    standard = met(scaled).select("unit", *[f"x{i}" for i in range(p)], *[((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i in range(p)])
+    standard = standard.withColumn("norm", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, p)), F.col("z0") * F.col("z0")))
+    half = standard.groupBy("unit").agg(middle(F.col("norm"), "half"))
+    lower = [(i, j) for i in range(p) for j in range(i + 1)]
+    size = F.sqrt(F.greatest(F.col("norm"), F.lit(1e-12)))
+    near = F.col("norm") <= F.col("half")
+    shape = standard.join(spread(half), "unit").groupBy("unit").agg(
+        *[F.coalesce(F.try_divide(F.covar_pop(F.tanh(f"z{i}"), F.tanh(f"z{j}")), F.stddev_pop(F.tanh(f"z{i}")) * F.stddev_pop(F.tanh(f"z{j}"))), F.lit(0.0)).alias(f"t{i}{j}") for i, j in lower if i != j],
+        *[F.avg(F.col(f"z{i}") / size * F.col(f"z{j}") / size).alias(f"k{i}{j}") for i, j in lower],
+        *[F.avg(F.when(near, F.col(f"x{i}"))).alias(f"h{i}") for i in range(p)],
+        *[F.covar_pop(F.when(near, F.col(f"x{i}")), F.when(near, F.col(f"x{j}"))).alias(f"b{i}{j}") for i, j in lower],
+    )
+    shape = materialize(scaled.join(shape, "unit"), "shapes")
+    both = lambda i, j: F.col(f"s{i}") * F.col(f"s{j}")
+    covariances = [
+        lambda i, j: both(i, j) if i == j else F.lit(0.0),
+        lambda i, j: both(i, j) * (F.lit(1.0) if i == j else F.col(f"t{i}{j}")),
+        lambda i, j: both(i, j) * p * F.col(f"k{i}{j}"),
+        lambda i, j: F.col(f"b{i}{j}"),
+    ]
+    starts = [shape.select("unit", F.lit(k).alias("start"), *[F.col(f"h{i}" if k == 3 else f"m{i}").alias(f"m{i}") for i in range(p)], *[c(i, j).alias(f"c{i}{j}") for i, j in lower]) for k, c in enumerate(covariances)]
+    params = materialize(_factor(reduce(DataFrame.unionByName, starts), p, floor), "mcd")
+    for step in range(steps):
+        cut = met(params).groupBy("unit", "start").agg(F.percentile_approx(_squared(p), share, 2000).alias("cut"))
+        kept = met(params.join(cut, ["unit", "start"])).where(_squared(p) <= F.col("cut"))
+        after = materialize(_factor(_moments(kept, ("unit", "start"), p), p, floor), "mcd")
+        fell = after.join(params.select("unit", "start", F.col("logdet").alias("was")), ["unit", "start"]).where(F.col("was") - F.col("logdet") > 1e-4)
+        done = step > 0 and fell.isEmpty()  # the starts themselves are no estimates of a subset
+        params = after
+        if done:
             break
-    return found
+    names = [c for c in params.columns if c not in ("unit", "start")]
+    best = params.groupBy("unit").agg(F.min_by(F.struct(*names), F.struct("logdet", "start")).alias("best")).select("unit", "best.*")
+    best = materialize(best.withColumn("scale", _by_rank(p, lambda r: consistency(share, r))), "best")
+    inner = met(best).where(_squared(p) / F.col("scale") <= _by_rank(p, lambda r: chi2_quantile(0.975, r)))
+    final = _factor(_moments(inner, ("unit",), p), p, floor)
+    return materialize(final.withColumn("scale", _by_rank(p, lambda r: consistency(0.975, r))), "estimates")
 
 
-def judge_quality(docs: DataFrame, keys: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF, keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
-    """keep columns with the base counts, base_failed, distance (null: only base_failed rows in a group without usable ones) and kept."""
+def widened_outliers(stats: DataFrame, keys: list[str], p: int, least: int = 50, **options) -> DataFrame:
+    """(keys, m*, l*, rank, scale) for each group of keys: of its own rows if `least`, else of the first wider group with so many, else of all rows."""
+    groups = materialize(stats.groupBy(*keys).agg(F.count("*").alias("rows")), "sizes")
+    spread = F.broadcast if groups.count() <= MOST_BROADCAST else (lambda df: df)
+    levels = [c for r in range(len(keys), -1, -1) for c in combinations(keys, r)]
+    unit = lambda k: F.to_json(F.struct(F.lit(k).alias("_"), *[F.col(c).alias(f"{c}_") for c in levels[k]]))  # noqa: E731  null fields are left out
+    each = groups.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), unit(k).alias("unit")) for k in range(len(levels))])).alias("u")).select(*keys, "rows", "u.level", "u.unit")
+    enough = each.groupBy("unit").agg(F.sum("rows").alias("all")).where((F.col("all") >= least) | (F.col("unit") == F.lit(f'{{"_":{len(levels) - 1}}}')))
+    own = each.join(spread(enough), "unit").groupBy(*keys).agg(F.min(F.struct("level", "unit")).alias("u")).select(*keys, "u.unit")
+    own = materialize(own, "units")
+    cover = each.join(spread(own.select("unit").distinct()), "unit", "left_semi").select("unit", *keys)
+
+    def matched(df: DataFrame, other: DataFrame) -> DataFrame:
+        other = other.select(*[F.col(k).alias(f"w_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+        return df.join(spread(other), [F.col(k).eqNullSafe(F.col(f"w_{k}")) for k in keys]).drop(*[f"w_{k}" for k in keys])
+
+    rows = matched(stats, cover).select("unit", *[f"x{i}" for i in range(p)])
+    return own.join(robust_outliers(rows, p, **options), "unit").drop("unit")
+
+
+def judge_quality(docs: DataFrame, keys: tuple[str, ...] = ("lang", "source"), tail: float = TAIL, keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+    """keep columns with the base counts, base_failed, distance (null: only base_failed rows in the whole table) and kept."""
     base = base_counts(docs.select(*keep, *[k for k in keys if k not in keep], "text")).drop("text")
     vector = statistics()
+    p = len(vector)
     stats = materialize(base.select("*", *[x.alias(f"x{i}") for i, x in enumerate(vector)]), "stats")
-    params = widened_outliers(stats.where(~F.col("base_failed")).select(*keys, *[f"x{i}" for i in range(len(vector))]), list(keys), len(vector), **options)
-    params = materialize(params, "params")
+    params = materialize(widened_outliers(stats.where(~F.col("base_failed")).select(*keys, *[f"x{i}" for i in range(p)]), list(keys), p, **options), "params")
     small = params.count() <= MOST_BROADCAST
-    params = params.select(*[F.col(k).alias(f"g_{k}") for k in keys], "scale", *[f"m{i}" for i in range(len(vector))], *[f"l{i}{j}" for i in range(len(vector)) for j in range(i + 1)])
+    params = params.select(*[F.col(k).alias(f"g_{k}") for k in keys], "scale", "rank", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
     joined = stats.join(F.broadcast(params) if small else params, [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys], "left")
-    distance = _squared(len(vector)) / F.col("scale")
-    return joined.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance")).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False)))
+    far = F.col("distance") > _by_rank(p, lambda r: chi2_quantile(1 - tail, r))
+    judged = joined.withColumn("distance", _squared(p) / F.col("scale")).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+    return judged.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")

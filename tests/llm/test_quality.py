@@ -29,17 +29,53 @@ def test_base_counts_by_brute_force(spark):
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) == brute(x.text), x.text[:50]
 
 
+def mcd(x, share, starts, seed):
+    """Least covariance determinant over random starts, each concentrated until it settles, then reweighted."""
+    g, h, best = np.random.default_rng(seed), int(np.ceil(share * len(x))), (np.inf,)
+    distance = lambda m, c: np.einsum("ij,ij->i", (x - m) @ np.linalg.inv(c), x - m)
+    for _ in range(starts):
+        own = x[g.choice(len(x), x.shape[1] + 2, replace=False)]
+        for _ in range(60):
+            m, c = own.mean(0), np.cov(own.T, bias=True)
+            own = x[np.argsort(distance(m, c), kind="stable")[:h]]
+        best = min(best, (np.linalg.det(np.cov(own.T, bias=True)), own.mean(0).tolist(), np.cov(own.T, bias=True).tolist()))
+    m, c = np.array(best[1]), np.array(best[2]) * quality.consistency(share, x.shape[1])
+    own = x[distance(m, c) <= quality.chi2_quantile(0.975, x.shape[1])]
+    return own.mean(0), np.cov(own.T, bias=True) * quality.consistency(0.975, x.shape[1])
+
+
+def test_chi_square():
+    assert abs(quality.chi2_quantile(0.95, 1) - 3.841459) < 1e-5 and abs(quality.chi2_quantile(0.975, 3) - 9.348404) < 1e-5
+    assert abs(quality.chi2_below(4.0, 4) - 0.5939942) < 1e-6 and abs(quality.chi2_quantile(1 - 1e-6, 4) - 33.3768) < 1e-3
+
+
 def test_outliers_against_numpy(spark):
     g = np.random.default_rng(4)
-    x = g.multivariate_normal([1, 2], [[1, 0.6], [0.6, 2]], 900)
-    x[:90] += 15
-    df = spark.createDataFrame([("a", None, float(u), float(v)) for u, v in x] + [("b", "s", 1.0, 1.0)] * 60, "lang string, source string, x0 double, x1 double")
-    p = {r.lang: r for r in quality.robust_outliers(df, ["lang", "source"], 2).collect()}
-    assert abs(p["a"].m0 - 1) < 0.2 and abs(p["a"].m1 - 2) < 0.3  # the shifted tenth doesn't move the centre
-    low = np.array([[p["a"].l00, 0], [p["a"].l10, p["a"].l11]])
-    d = (np.linalg.solve(low, (x - [p["a"].m0, p["a"].m1]).T) ** 2).sum(0) / p["a"].scale
-    assert (d[:90] > quality.CUTOFF).all() and (d[90:] < quality.CUTOFF).mean() > 0.99
-    assert p["b"].m0 == 1.0
+    low = np.array([[1.0, 0, 0], [0.6, 1.2, 0], [-0.4, 0.3, 0.8]])
+    groups = {}
+    for name, n, off, shift in (("a", 900, 0.1, (15, 15, 0)), ("b", 400, 0.2, (0, -6, 9)), ("c", 120, 0.0, (0, 0, 0))):
+        x = g.normal(size=(n, 3)) @ low.T + [1, 2, 3]
+        x[: int(off * n)] = x[: int(off * n)] * 0.3 + np.array(shift)
+        groups[name] = x
+    df = spark.createDataFrame([(k, *map(float, v)) for k, x in groups.items() for v in x] + [("d", 1.0, 1.0, 1.0)] * 60, "unit string, x0 double, x1 double, x2 double")
+    found = {r.unit: r for r in quality.robust_outliers(df, 3).collect()}
+    for k, x in groups.items():
+        m, c = mcd(x, 0.75, 60, 7)
+        r = found[k]
+        f = np.array([[r[f"l{i}{j}"] if j <= i else 0.0 for j in range(3)] for i in range(3)])
+        got, want = f @ f.T * r.scale, c
+        assert r.rank == 3 and np.abs(np.array([r.m0, r.m1, r.m2]) - m).max() < 0.06 and np.abs(got - want).max() < 0.12 * np.abs(want).max(), (k, got, want)
+        d = np.einsum("ij,ij->i", (x - [r.m0, r.m1, r.m2]) @ np.linalg.inv(got), x - [r.m0, r.m1, r.m2])
+        n_off = {"a": 90, "b": 80, "c": 0}[k]
+        assert (d[:n_off] > quality.chi2_quantile(1 - 1e-6, 3)).all() and (d[n_off:] < quality.chi2_quantile(1 - 1e-6, 3)).all()
+    assert (found["d"].m0, found["d"].rank) == (1.0, 0)
+
+
+def test_few_ordinary_texts_are_rejected(spark):
+    r, g = random.Random(5), np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(r.choice("abcdefgh") * r.randint(2, 9) for _ in range(int(n))), "en", f"s{i % 3}", 1) for i, n in enumerate(np.exp(g.normal(5.6, 0.6, 900)))], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [x for x in quality.judge_quality(docs).collect() if not x.base_failed]
+    assert all(x.distance is not None for x in rows) and sum(not x.kept for x in rows) <= 1
 
 
 def test_whole_operator(spark):
