@@ -37,7 +37,50 @@ def test_marginals_by_enumeration():
             pair[a, b] += p
     got, pairs = l.marginals(emit, step, np.ones((1, 4)))
     assert np.allclose(got[0], want / total) and np.allclose(pairs, pair / total)
-    assert np.allclose(l._posterior(emit.astype(np.float32), step.astype(np.float32))[0], want / total, atol=1e-5)
+    for block in (1, 2, 3, 64):
+        assert np.allclose(l.posterior(emit[0].astype(np.float32), np.arange(4), np.zeros(4, int), step.astype(np.float32), block), want / total, atol=1e-5)
+
+
+def test_messages_cross_blocks():
+    g = np.random.default_rng(2)
+    table, step = (g.random((50, 4)) + 0.01).astype(np.float32), (g.random((4, 4)) + 0.01).astype(np.float32)
+    text = np.repeat(np.arange(6), [1, 700, 64, 65, 3, 129])
+    each = g.integers(0, 50, len(text))
+    got = l.posterior(table, each, text, step)
+    for d in range(6):
+        emit = table[each[text == d]].astype(float)[None]
+        want, _ = l.marginals(emit, step.astype(float), np.ones(emit.shape[:2]))
+        assert np.allclose(got[text == d], want[0], atol=2e-4)
+
+
+def test_chains_hold_every_word_once():
+    first = np.array([0, 1, 1, 70, 200, 203])
+    words, truth = l.chains(first, np.array([0, 1, 2, 1, 0]), np.random.default_rng(1))
+    own = words[words >= 0]
+    assert sorted(own.tolist()) == list(range(203)) and words.shape[1] == l.CHAIN
+    assert (truth[words >= 0] == np.array([0, 1, 2, 1, 0])[np.searchsorted(first, own, "right") - 1]).all()
+
+
+def test_long_words_are_read_whole():
+    raw = ("x" * 25 + " " + "東京都" * 40 + " short " + "é" * 13).encode()
+    data, starts, ends, text, letter = l.trimmed_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert (ends - starts).max() <= 24 and letter.all() and b"".join(raw[a:b] for a, b in zip(starts, ends)) == raw.replace(b" ", b"")
+    assert all(raw[a:b].decode() for a, b in zip(starts, ends))
+
+
+def test_scripts_without_spaces_and_short_texts(spark):
+    r = np.random.default_rng(3)
+    sets = {"zh": "的一是在不了有和人這中大為上個國我以要他", "ja": "あいうえおかきくけこさしすせそたちつてと"}
+    rows = [(i, "".join(r.choice(list(sets[lang]), n)), lang) for i in range(160) for lang, n in [(("zh", "ja")[i % 2], (2, 60)[i // 2 % 2])]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x.lang_pred for x in l.report(docs).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.95
+
+
+def test_more_labels_than_are_learned(spark):
+    rows = [(i, f"word{i} more text here", f"l{min(i % 40, 9)}") for i in range(800)]
+    model = l.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_labels=3)
+    assert len(model.labels) == 3 and "l9" in model.labels
 
 
 def test_held_out_and_code_switched(spark):
@@ -60,7 +103,7 @@ def test_odd_rows(spark):
     assert len(rows) == docs.count()
     by = {x.doc_id: x for x in rows}
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (100, 101, 102))
-    assert l.identify(spark.createDataFrame([(1, "東京 都"), (2, "12 34 !!"), (3, "²①")], "doc_id long, text string"), l.learn(made(spark))).where("lang_pred = 'und'").count() == 2
+    assert l.identify(spark.createDataFrame([(1, "東京 都"), (2, "12 34 !!"), (3, "²①"), (4, "µ"), (5, "1 ª"), (6, "º")], "doc_id long, text string"), l.learn(made(spark))).where("lang_pred = 'und'").count() == 2
     assert l.report(docs.limit(0)).count() == 0
 
 
@@ -96,5 +139,8 @@ def test_copies_do_not_fill_or_empty_the_sample(spark, monkeypatch):
     want = {(x.text, x.lang) for x in docs.where(~l.held_out(F.col("doc_id"))).collect()} | {(most.text, "xx")}
     assert len(seen) == len(want) and set(seen) == want
     seen.clear()
-    l.learn(docs.unionByName(copies), sample=5, chars=30)
-    assert sorted(y for _, y in seen) == ["de"] * 5 + ["en"] * 5 + ["fr"] * 5 and all(len(t) == 30 for t, _ in seen) and len(set(seen)) == 15
+    l.learn(docs.unionByName(copies), sample=5)
+    assert sorted(y for _, y in seen) == ["de"] * 5 + ["en"] * 5 + ["fr"] * 5 and len(set(seen)) == 15 and set(seen) <= want
+    seen.clear()
+    l.learn(docs, most_bytes=300)  # about 200 bytes a text: whole texts until 300 bytes are reached
+    assert 3 <= len(seen) <= 9 and set(seen) <= want
