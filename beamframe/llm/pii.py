@@ -3,19 +3,25 @@
 Base spans come from the patterns below, checked (part values, Luhn sums, digit counts) without retries; they always
 count. Wider generators propose further, overlapping candidates (spaced or "at" addresses, numbers in groups, local
 phone numbers). Each candidate has features of its format and of the words around it, with few levels each, so the whole
-corpus is summed into one small table of feature cells (at most MOST_CELLS rows). Trees are boosted on those cells,
-candidates that overlap a base span being the positive ones; half of the corpus (by a hash of the candidate's text) only
-calibrates, for each kind, the least score at which enough of the candidates are positive. The trees then are one CASE
-expression over each candidate; candidates at or above their kind's threshold are added to the spans.
-
-Offsets are code points, ends exclusive. A null text is empty and has no spans. Rows are judged one by one: repeated
-rows, nulls elsewhere and other columns don't matter; an empty table gives an empty result.
+corpus is summed into one small table of feature cells (at most MOST_CELLS rows), on which trees are boosted.
+
+Labels don't come from what the base patterns match. Positive examples are base matches rewritten into FORMS that the base
+patterns miss, each in the surroundings where it was found. Negative ones are the candidates of texts without any base
+match, and candidates that overlap base matches of other kinds only. Candidates on a base match of their own kind are not
+learned from. The last two forms of each kind, and half of the negative ones (by a hash), take no part in boosting: on
+them the threshold of each kind is calibrated, the least score at which PRECISION of the candidates are positive, and
+precision and recall are measured (Booster.measured). The trees then are one CASE expression over each candidate;
+candidates at or above their kind's threshold are added to the spans.
+
+Offsets are code points, ends exclusive. A null or empty text has no spans; texts of any length are read whole. Rows are
+judged one by one: repeated rows, nulls elsewhere and other columns (whatever their names) don't matter; spans of the
+same kind and place count once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +46,13 @@ CONTEXT = {"email": "mail|contact|write|@", "ip": "ip|host|server|addr|ping", "c
 LEVELS = (4, 4, 4, 2, 3, 3, 2, 2)
 MOST_CELLS = 2 * len(KINDS) * math.prod(LEVELS)
 PRECISION = 0.98
+#: How a base match is rewritten, (pattern, replacement) one after another; two forms to learn from, two to calibrate on.
+FORMS = {
+    "email": [[("@", " (at) ")], [("@", " [at] "), (r"\.", " [dot] ")], [("@", " @ ")], [("@", "(at)"), (r"\.", "(dot)")]],
+    "ip": [[(r"\.", " . ")], [(r"\.", ",")], [(r"\.", ":")], [(r"\.", ". ")]],
+    "card": [[("[^0-9]", ""), (f"([0-9]{{4}})(?=[0-9]{{2}})", f"$1{x}")] for x in ("/", "_", "  ", ".")],
+    "phone": [[(r"^\+[0-9]{1,3}[^0-9(]*", "")], [(r"^\+", "00")], [(r"^\+[0-9]{1,3}[^0-9(]*", ""), (r"[^0-9]+", "."), (r"^\.", "")], [(r"^\+[0-9]{1,3}[^0-9(]*", ""), (r"[()]", ""), (r"[^0-9]+", "/")]],
+}
 
 
 def _located(text: Column, pattern: str, test: Column) -> Column:
@@ -117,6 +130,20 @@ def _clip(value: Column, levels: int) -> Column:
     return F.greatest(F.lit(0), F.least(value.cast("int"), F.lit(levels - 1)))
 
 
+def features(name: str, m: Column, before: Column, follow: Column) -> list[Column]:
+    """f0..f7 of a candidate: its parts, blanks, punctuation, soundness and letters, what stands before and after it."""
+    digits = _digits(m)
+    nd = F.length(digits)
+    amount = {"email": F.size(F.split(m, r"\.|dot")) - 1, "ip": F.size(F.split(m, "[.,:]")) - 3, "card": F.when(nd < 12, 0).when(nd < 16, 1).when(nd < 20, 2).otherwise(3), "phone": F.when(nd < 9, 0).when(nd < 12, 1).when(nd < 16, 2).otherwise(3)}[name]
+    sound = {"email": m.rlike(r"^\S+$"), "ip": ~m.rlike(r"(?:^|[^0-9])(?:25[6-9]|2[6-9][0-9]|[3-9][0-9][0-9])"), "card": nd.between(12, 19) & luhn(F.substring(digits, 1, 19)), "phone": m.rlike(r"^\+")}[name]
+    values = [amount, F.length(F.regexp_replace(m, r"[^\x20]", "")), F.length(F.regexp_replace(m, r"[^().,:/_-]", "")) / 2, sound.cast("int"), F.when(before.rlike(r"[A-Za-z0-9]$"), 2).when(before.rlike(r"\s$"), 0).otherwise(1), F.when(follow.rlike("[A-Za-z0-9]"), 2).when(follow.rlike(r"^\s?$"), 0).otherwise(1), before.rlike(CONTEXT[name]).cast("int"), m.rlike("[A-Za-z]").cast("int")]
+    return [_clip(v, k) for v, k in zip(values, LEVELS, strict=True)]
+
+
+def _before(text: Column, start: Column) -> Column:
+    return F.lower(F.substring(text, F.greatest(start - 23, F.lit(1)), F.least(start, F.lit(24))))
+
+
 def candidates(text: Column) -> Column:
     """array<struct<start, kind, end, f0..f7, fold>>: what the generators propose, with small features."""
     digit = text.rlike("[0-9]")
@@ -124,14 +151,8 @@ def candidates(text: Column) -> Column:
 
     def featured(kind: int, name: str):
         def make(x: Column) -> Column:
-            m, before = x["m"], F.lower(F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24))))
-            digits, n = _digits(m), F.length(m)
-            nd = F.length(digits)
-            amount = {"email": F.size(F.split(m, r"\.|dot")) - 1, "ip": F.size(F.split(m, "[.,:]")) - 3, "card": F.when(nd < 12, 0).when(nd < 16, 1).when(nd < 20, 2).otherwise(3), "phone": F.when(nd < 9, 0).when(nd < 12, 1).when(nd < 16, 2).otherwise(3)}[name]
-            sound = {"email": m.rlike(r"^\S+$"), "ip": ~m.rlike(r"(?:^|[^0-9])(?:25[6-9]|2[6-9][0-9]|[3-9][0-9][0-9])"), "card": nd.between(12, 19) & luhn(F.substring(digits, 1, 19)), "phone": m.rlike(r"^\+")}[name]
-            follow = F.substring(text, x["end"] + 1, F.lit(1))
-            values = [amount, F.length(F.regexp_replace(m, r"[^\x20]", "")), F.length(F.regexp_replace(m, r"[^().,:/_-]", "")) / 2, sound.cast("int"), F.when(before.rlike(r"[A-Za-z0-9]$"), 2).when(before.rlike(r"\s$"), 0).otherwise(1), F.when(follow.rlike("[A-Za-z0-9]"), 2).when(follow.rlike(r"^\s?$"), 0).otherwise(1), before.rlike(CONTEXT[name]).cast("int"), m.rlike("[A-Za-z]").cast("int")]
-            return F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), *[_clip(v, k).alias(f"f{i}") for i, (v, k) in enumerate(zip(values, LEVELS, strict=True))], F.pmod(F.hash(m), F.lit(2)).alias("fold"), n.alias("n"))
+            found = features(name, x["m"], _before(text, x["start"]), F.substring(text, x["end"] + 1, F.lit(1)))
+            return F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), *[v.alias(f"f{i}") for i, v in enumerate(found)], F.pmod(F.hash(x["m"]), F.lit(2)).alias("fold"))
 
         return make
 
@@ -139,6 +160,12 @@ def candidates(text: Column) -> Column:
     return F.concat(*each)
 
 
+def rewritten(name: str, m: Column, form: int) -> Column:
+    for pattern, by in FORMS[name][form]:
+        m = F.regexp_replace(m, pattern, by)
+    return m
+
+
 @dataclass
 class Booster:
     """Depth-two trees over (kind, f0..f7): (feature, level, left leaves, right leaves); start; thresholds by kind (None: adds nothing)."""
@@ -146,6 +173,7 @@ class Booster:
     start: float
     trees: list
     thresholds: list
+    measured: list = field(default_factory=list)  # by kind, on forms not learned from: (precision, recall, positives, negatives), None without a threshold
 
     def score(self, value) -> Column:
         total = F.lit(self.start)
@@ -189,6 +217,7 @@ def fit_cells(cells: list[tuple], rounds: int = 24, rate: float = 0.4) -> Booste
         for side, s in zip((x[:, root[1]] <= root[2], x[:, root[1]] > root[2]), sides, strict=True):
             score += np.where(side, np.where(x[:, s[1]] <= s[2], s[3], s[4]), 0)
     thresholds: list = []
+    measured: list = []
     for k in range(len(KINDS)):
         held = (fold == 1) & (x[:, 0] == k)
         order = np.argsort(-score[held], kind="stable")
@@ -196,7 +225,9 @@ def fit_cells(cells: list[tuple], rounds: int = 24, rate: float = 0.4) -> Booste
         last = np.r_[s[1:] != s[:-1], True] if len(s) else np.zeros(0, bool)
         good = np.flatnonzero(last & (hit >= PRECISION * all_) & (all_ >= 20) & (s > 0)) if len(s) else []
         thresholds.append(float(s[good[-1]]) - 1e-4 if len(good) else None)
-    return Booster(start, trees, thresholds)
+        at = good[-1] if len(good) else None
+        measured.append((float(hit[at] / all_[at]), float(hit[at] / hit[-1]), int(hit[-1]), int(all_[-1] - hit[-1])) if at is not None else None)
+    return Booster(start, trees, thresholds, measured)
 
 
 def _spans(docs: DataFrame, text: str) -> DataFrame:
@@ -206,21 +237,47 @@ def _spans(docs: DataFrame, text: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, text: str = "text") -> Booster:
-    """Sum the candidates of all docs into feature cells and boost trees on them."""
-    df = _spans(docs.select(F.col(f"`{text}`").alias("text")), "text").where(F.size("__wide") > 0)
-    marked = F.transform("__wide", lambda c: F.struct(*[c[f].alias(f) for f in (*FEATURES, "fold")], F.exists("__base", lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"])).cast("int").alias("y")))
-    cells = df.select(F.explode(marked).alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in (*FEATURES, "fold")]).agg(F.count("*").alias("n"), F.sum("c.y").alias("y"))
+    """Sum rewritten base matches and negative candidates of all docs into feature cells and boost trees on them."""
+    df = _spans(docs.select(F.col(f"`{text}`").alias("text")), "text").where((F.size("__wide") > 0) | (F.size("__base") > 0))
+    names = [f"f{i}" for i in range(len(LEVELS))]
+    over = lambda c, same: F.exists("__base", lambda b: ((b["kind"] == c["kind"]) == F.lit(same)) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    negative = F.filter("__wide", lambda c: (F.size("__base") == 0) | (over(c, False) & ~over(c, True)))
+    empty = F.lit(None).cast("string")
+    no = F.transform(negative, lambda c: F.struct(c["kind"].alias("kind"), c["fold"].alias("fold"), F.lit(-1).alias("form"), empty.alias("m"), empty.alias("before"), empty.alias("follow"), *[c[f].alias(f) for f in names]))
+    forms = len(FORMS["email"])
+
+    def seeds(b: Column) -> Column:
+        m = F.substring("__text", b["start"] + 1, b["end"] - b["start"])
+        around = (m.alias("m"), _before(F.col("__text"), b["start"]).alias("before"), F.substring("__text", b["end"] + 1, F.lit(1)).alias("follow"))
+        return F.transform(F.sequence(F.lit(0), F.lit(forms - 1)), lambda i: F.struct(b["kind"].alias("kind"), (2 * i >= forms).cast("int").alias("fold"), i.alias("form"), *around, *[F.lit(None).cast("int").alias(f) for f in names]))
+
+    items = df.select(F.explode(F.concat(no, F.flatten(F.transform("__base", seeds)))).alias("c")).select("c.*")
+    written, proposed = F.lit(None).cast("string"), F.lit(False)
+    for k, name in enumerate(KINDS):
+        own = F.lit(None).cast("string")
+        for form in range(forms):
+            own = F.when(F.col("form") == form, rewritten(name, F.col("m"), form)).otherwise(own)
+        written = F.when(F.col("kind") == k, own).otherwise(written)
+        proposed = F.when(F.col("kind") == k, F.col("w").rlike(f"^(?:{dict(WIDE)[name]})$")).otherwise(proposed)
+    items = items.withColumn("w", written).where((F.col("form") < 0) | proposed)
+    each = [features(name, F.col("w"), F.col("before"), F.col("follow")) for name in KINDS]
+    found = []
+    for i, f in enumerate(names):
+        value = F.col(f)
+        for k in range(len(KINDS)):
+            value = F.when((F.col("form") >= 0) & (F.col("kind") == k), each[k][i]).otherwise(value)
+        found.append(value.alias(f))
+    cells = items.select("kind", *found, "fold", (F.col("form") >= 0).cast("int").alias("y")).groupBy(*FEATURES, "fold").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
     return fit_cells(sorted(tuple(r) for r in cells.collect()))  # at most MOST_CELLS rows
 
 
-def find(docs: DataFrame, model: Booster | None = None, text: str = "text") -> DataFrame:
-    """docs with base and spans: array<struct<start, kind, end>>, ordered; spans has the base ones and the accepted candidates."""
+def find(docs: DataFrame, model: Booster | None = None, text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
+    """docs with columns `base` and `spans` (in place of such ones of docs): array<struct<start, kind, end>>, ordered; spans has the base ones and the accepted candidates."""
     model = model or fit(docs, text)
-    df = _spans(docs.drop("base", "spans") if text not in ("base", "spans") else docs, text)
-    over = F.lit(False)
+    df = _spans(docs, text)
 
     def accepted(c: Column) -> Column:
-        score, said = model.score(lambda f: c[f]), over
+        score, said = model.score(lambda f: c[f]), F.lit(False)
         for k, t in enumerate(model.thresholds):
             if t is not None:
                 said = said | ((c["kind"] == k) & (score >= t))
@@ -228,7 +285,8 @@ def find(docs: DataFrame, model: Booster | None = None, text: str = "text") -> D
 
     bare = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     more = bare(F.filter("__wide", accepted)) if any(t is not None for t in model.thresholds) else F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return df.withColumn("base", bare(F.col("__base"))).withColumn("spans", F.array_sort(F.array_distinct(F.concat(F.col("base"), more)))).drop("__base", "__wide", "__text")
+    own = F.array_sort(F.array_distinct(F.concat(bare(F.col("__base")), more)))
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (base, spans)], bare(F.col("__base")).alias(base), own.alias(spans))
 
 
 def as_text(spans: str) -> Column:
@@ -244,9 +302,9 @@ def report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.select(key, *counts, F.sha2(as_text("base").cast("binary"), 256).alias("base_sha256"), as_text("spans").alias("spans"))
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", model: Booster | None = None) -> DataFrame:
     """docs with each span, merged where they overlap, replaced by its first kind in brackets. A null text stays null."""
-    df = find(docs, None, text)
+    df = find(docs, model, text, "__found", "__spans")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     t = F.col(f"`{text}`")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
@@ -255,5 +313,5 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         cut = F.when(x["start"] >= s["at"], F.array(F.substring(t, s["at"] + 1, x["start"] - s["at"]), F.get(names, x["kind"]))).otherwise(F.array().cast("array<string>"))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["parts"], cut).alias("parts"))
 
-    done = F.aggregate("spans", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(t, s["at"] + 1, F.length(t))))
-    return df.withColumn(text, F.when(F.size("spans") == 0, t).otherwise(done)).select(*docs.columns)
+    done = F.aggregate("__spans", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(t, s["at"] + 1, F.length(t))))
+    return df.select(*[F.when(F.size("__spans") == 0, t).otherwise(done).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
