@@ -1,23 +1,30 @@
 """Texts to ids with the tokenizers library, a text's parts being encoded once each.
 
 Both vocabulary files split a text before white space and between a letter or digit and a comma or full stop before they
-merge anything, so a text's ids are those of such parts, one after another. Texts with rare control characters, on which
-libraries differ about what white space is, are encoded whole. New parts are encoded many in one text.
+merge anything, so a text's ids are those of such parts, one after another. Letters that normalization turns into a letter
+and a mark are not split from what follows, as the mark belongs to it. Ids are looked up for what stands between two
+spaces first, then for its parts. Texts with a space between white space, with special tokens, or with rare control
+characters, on which libraries differ about what white space is, take slower ways: by parts alone, or encoded whole. New
+words are encoded many in one text.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Parts kept for reuse by each Python worker; beyond it the memory is emptied and filled anew.
+#: Parts, and texts between spaces, kept for reuse by each Python worker; beyond it the memory is emptied and filled anew.
 CACHE = 800_000
-_PART = re.compile(r"\s*[^\W_]++(?=[,.])|(?<=[^\W_])[,.]+(?!\S)|\s*\S+|\s+")
+#: Letters and digits whose normal form in lower case is not one letter or digit.
+_LOOSE = "".join(c for c in map(chr, [*range(128, 0xD800), *range(0xE000, 0x30000)]) if c.isalnum() and not unicodedata.normalize("NFC", c).lower()[-1].isalnum())
+_PART = re.compile(rf"\s*[^\W_]++(?<=[^\W_{_LOOSE}])(?=[,.])|(?<=[^\W_{_LOOSE}])[,.]+(?!\S)|\s*\S+|\s+")
+#: A space between white space (or at the end after such): the space before it need not begin a part.
+_LOOSE_SPACE = re.compile(r"\s \s|\s \Z")
 _APART = re.compile(r"\s\s*\S")
 _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b]")
-#: Stands between new parts that are encoded as one text: a control character, which is a token of its own.
-MARK = " \x01"
 _LOADED: dict = {}
 
 
@@ -37,9 +44,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.ids: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        names = sorted((i, t) for t, i in self.tokenizer.get_vocab().items())
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.at_end = bool(suffix)
+        #: By id: whether the token ends a word (vocabularies with a suffix for that) or begins one after a space.
+        self.edge = np.zeros(names[-1][0] + 1, bool)
+        self.edge[[i for i, t in names if (t.endswith(suffix) if suffix else t.startswith("\u0120"))]] = True
         self.spans: dict[str, np.ndarray] = {}
 
     @classmethod
@@ -51,11 +64,17 @@ class Encoder:
     def _whole(self, texts: list[str]):
         return self.tokenizer.encode_batch(texts, add_special_tokens=False)
 
+    def _bytes(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _odd(self, text: str) -> bool:
+        return any(x in text for x in self.special) or _ODD.search(text) is not None
+
     def _parts(self, texts: list[str], known: dict) -> tuple[list, list[str], list[str]]:
         """The parts of each text (None: to be encoded whole); of those that are not known, the ones that can stand in one text and the others."""
         if len(known) > CACHE:
             known.clear()
-        parts = [None if _ODD.search(x) else _PART.findall(x) for x in texts]
+        parts = [None if self._odd(x) else _PART.findall(x) for x in texts]
         distinct: set[str] = set()
         for p in parts:
             distinct.update(p or ())
@@ -77,21 +96,58 @@ class Encoder:
                 a, b = cuts[k], cuts[k + 1]
                 yield u, ids[4 * a : 4 * b], spans[a:b] - starts[k]
 
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word of letters with a space before it: the words of one text, told apart by tokens that only begin or only end words."""
+        for at in range(0, len(words), 8192):
+            own = words[at : at + 8192]
+            ids = self._bytes([" " + " ".join(own)])[0]
+            mark = self.edge[np.frombuffer(ids, "<u4")]
+            ends = np.flatnonzero(mark if self.at_end else np.r_[mark[1:], True]) + 1
+            if len(ends) != len(own):  # letters of which libraries know different ones
+                yield from self._bytes([" " + w for w in own])
+                continue
+            ends = (4 * ends).tolist()
+            yield from (ids[a:b] for a, b in zip([0, *ends], ends))
+
+    def _learn(self, texts: list[str], parts: list[list[str]]) -> list[bytes]:
+        """The ids of texts by their parts. Words of letters after a space are kept in `pieces`, other parts in `ids`."""
+        known, other = self.pieces, self.ids
+        if len(other) > CACHE:
+            other.clear()
+        words, rest = set(), set()
+        for q in {q for p in parts for q in p}:
+            if q[0] == " " and q[1:].isalpha():
+                if q[1:] not in known:
+                    words.add(q[1:])
+            elif q not in other:
+                rest.add(q)
+        self._keep_words(list(words))
+        rest = list(rest)
+        other.update(zip(rest, self._bytes(rest) if rest else (), strict=True))
+        return [b"".join([known[q[1:]] if q[0] == " " and q[1:].isalpha() else other[q] for q in p]) for p in parts]
+
+    def _keep_words(self, words: list[str]) -> None:
+        self.pieces.update(zip(words, self._words(words), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        known = self.ids
-        parts, joined, others = self._parts(texts, known)
-        size, sign = len(self.mark), self.mark[-1]
-        for at in range(0, len(joined), 8192):
-            own = joined[at : at + 8192]
-            ids = np.array(self._whole([MARK.join(own) + MARK])[0].ids, "<u4")
-            ends = np.flatnonzero(ids == sign) + 1
-            raw, ends = ids.tobytes(), (4 * ends).tolist()
-            known.update(zip(own, [raw[a : b - 4 * size] for a, b in zip([0, *ends], ends)], strict=True))
-        for u, e in zip(others, self._whole(others) if others else (), strict=True):
-            known[u] = np.array(e.ids, "<u4").tobytes()
+        known, distinct = self.pieces, set()
+        if len(known) > CACHE:
+            known.clear()
+        odd = [self._odd(x) for x in texts]
+        split = [None if o or _LOOSE_SPACE.search(x) else x.split(" ") for o, x in zip(odd, texts, strict=True)]
+        for p in split:
+            if p is not None:
+                distinct.update(p[1:])
+        new = [u for u in distinct if u not in known]
+        self._keep_words([u for u in new if u.isalpha()])
+        new = [u for u in new if not u.isalpha()]
+        made = self._learn(new, [_PART.findall(" " + u) for u in new])
+        known.update(zip(new, made, strict=True))
+        heads = ["" if o else x if p is None else p[0] for o, x, p in zip(odd, texts, split, strict=True)]
+        rest = self._learn(heads, [_PART.findall(x) for x in heads])
         get = known.__getitem__
-        return [np.array(self._whole([x])[0].ids, "<u4").tobytes() if p is None else b"".join(map(get, p)) for x, p in zip(texts, parts, strict=True)]
+        return [self._bytes([x])[0] if o else r if p is None else r + b"".join(map(get, p[1:])) for o, x, r, p in zip(odd, texts, rest, split, strict=True)]
 
     def offsets(self, texts: list[str]) -> list[np.ndarray]:
         """The character spans of each text's tokens, as an array of (start, end)."""

@@ -6,7 +6,9 @@
 3. A piece's rank within its length is its number in its task plus the counts of the tasks before (a join on task and
    length); the rank picks the slot. No task gathers a length, however many pieces have it.
 
-A null or empty text is the end id alone. Repeated rows and doc_ids are packed as they come. Only doc_id and text are read.
+A null or empty text is the end id alone; texts of any length are whole, in pieces. Repeated rows, null and equal doc_ids
+are packed as they come; which of equally long pieces gets which slot follows the order of tasks and rows. An empty table
+gives no rows. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ floor(log2(u/n)) low bits of each, and the rest in unary; every 64th one's place
 
 Documents are dealt to shards by ranges of doc_id, so a shard holds a bounded run of the order and no task sees more
 than one shard. A file is written under a name of its own and moved in place: a task that runs twice does no harm.
-A null text has only the end id; null doc_ids come first; repeated doc_ids stay separate documents in any order.
+A null or empty text has only the end id; texts of any length are whole; null doc_ids come first; repeated doc_ids stay
+separate documents in any order; an empty table gives no files and no rows; only doc_id and text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -66,10 +68,19 @@ class EliasFano:
             low = value_bit << b if b == 0 else low | value_bit << b
         return (value << self.bits) | (low if self.bits else 0)
 
-    def decode(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        low = np.unpackbits(self.low, bitorder="little")[: self.n * self.bits].reshape(self.n, self.bits).astype(np.int64)
-        return (high << self.bits) + low @ (1 << np.arange(self.bits, dtype=np.int64))
+    def select_range(self, a: int, b: int) -> np.ndarray:
+        """Values a..b-1: the unary part is read between the kept places around them, nothing before or after."""
+        if a >= b:
+            return np.zeros(0, np.int64)
+        at = int(self.places[a // SELECT_EVERY])
+        after = -(-b // SELECT_EVERY)
+        stop = int(self.places[after]) // 8 + 1 if after < len(self.places) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[at // 8 : stop], bitorder="little")) + at // 8 * 8
+        first = int(np.searchsorted(ones, at)) + a % SELECT_EVERY
+        high = ones[first : first + b - a] - np.arange(a, b)
+        from_bit, to_bit = a * self.bits, b * self.bits
+        low = np.unpackbits(self.low[from_bit // 8 : -(-to_bit // 8)], bitorder="little")[from_bit % 8 :][: to_bit - from_bit]
+        return (high << self.bits) + low.reshape(b - a, self.bits).astype(np.int64) @ (1 << np.arange(self.bits, dtype=np.int64))
 
     def parts(self) -> list[bytes]:
         return [self.low.tobytes(), self.high.tobytes(), self.places.tobytes()]
@@ -88,6 +99,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         encoder, shard = Encoder.of(tokenizer), TaskContext.get().partitionId()
         fs, root = filesystem(folder)
         narrow = max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
+        end = np.array(end_id, "<u4").tobytes()
         lengths, doc_ids, temp, sink = [], [], f"{root}/.{shard}-{uuid.uuid4().hex}", None
         for batch in batches:
             if not batch.num_rows:
@@ -97,11 +109,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 sink = fs.open_output_stream(temp)
             doc_ids += batch.column(0).to_pylist()
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 256):
-                for raw in encoder.encode(texts[at : at + 256]):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
-                    lengths.append(len(ids))
-                    sink.write(ids.astype("<u2" if narrow else "<u4").tobytes())
+            for at in range(0, len(texts), 512):
+                raw = [x + end for x in encoder.encode(texts[at : at + 512])]
+                lengths += [len(x) // 4 for x in raw]
+                ids = b"".join(raw)
+                sink.write(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids)
         if sink is None:
             return
         nulls = sum(x is None for x in doc_ids)
@@ -148,15 +160,18 @@ def read_token_files(manifest: DataFrame, folder: str, with_ids: bool = False) -
         for batch in batches:
             for path, base in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 source, footer, found = open_token_file(folder, path)
-                ends = found["ends"].decode()
-                starts = np.r_[0, ends[:-1]]
-                doc_ids = [None] * footer["nulls"] + (found["doc_ids"].decode() + footer["floor"]).tolist()
+                ends, known, nulls, n = found["ends"], found["doc_ids"], footer["nulls"], footer["n_docs"]
                 source.seek(0)
-                for at in range(0, len(ends), 4096):
-                    a, b = starts[at : at + 4096], ends[at : at + 4096]
-                    raw = np.frombuffer(source.read(int(b[-1] - a[0]) * footer["width"]), f"<u{footer['width']}").astype("<u4")
-                    each = [raw[s - a[0] : e - a[0]] for s, e in zip(a, b, strict=True)]
-                    columns = [doc_ids[at : at + 4096], (a + base).tolist(), (b - a).tolist(), [zlib.crc32(x.tobytes()) for x in each]] + [[x.astype(np.int32) for x in each]] * with_ids
+                before = 0
+                for at in range(0, n, 4096):
+                    last = min(n, at + 4096)
+                    b = ends.select_range(at, last)
+                    a = np.r_[before, b[:-1]]
+                    doc_ids = [None] * max(0, nulls - at) + (known.select_range(max(at - nulls, 0), max(last - nulls, 0)) + footer["floor"]).tolist()
+                    raw = np.frombuffer(source.read(int(b[-1] - before) * footer["width"]), f"<u{footer['width']}").astype("<u4")
+                    each = [raw[s - before : e - before] for s, e in zip(a, b, strict=True)]
+                    columns = [doc_ids[: last - at], (a + base).tolist(), (b - a).tolist(), [zlib.crc32(x) for x in each]] + [[x.astype(np.int32) for x in each]] * with_ids
+                    before = int(b[-1])
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], [n for n, _ in schema])
                 source.close()
 

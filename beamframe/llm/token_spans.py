@@ -6,6 +6,8 @@ character span crosses a boundary goes to one section by `rule`: "first" (where
 its last one is) or "most" (where most of its characters are, of equal ones the first).
 
 Every document gives one row a section, an empty one too, so the counts of a document add up to its number of tokens.
+Texts of any length are whole; repeated rows and equal or null doc_ids are counted one by one; an empty table gives no
+rows; other columns may have any name, those of the result too.
 """
 
 from __future__ import annotations

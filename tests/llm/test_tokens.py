@@ -19,9 +19,7 @@ BYTES, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 
 
 def plain(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 @pytest.mark.parametrize("path", [BYTES, WORD])
@@ -134,7 +132,9 @@ def test_elias_fano_round_trip(steps):
     values = np.cumsum(np.array(steps, np.int64))
     seq = token_files.EliasFano.build(values)
     again = token_files.EliasFano.of_parts(seq.n, seq.bits, *seq.parts())
-    assert again.decode().tolist() == values.tolist()
+    assert again.select_range(0, len(values)).tolist() == values.tolist()
+    for a, b in ((0, 1), (len(values) // 3, len(values)), (len(values) // 2, len(values) // 2 + 1), (63, 129), (5, 5)):
+        assert again.select_range(min(a, len(values)), min(b, len(values))).tolist() == values[a:b].tolist()
     assert [again.select(i) for i in range(len(values))] == values.tolist()
 
 
@@ -171,6 +171,31 @@ def test_random_select():
     assert all(seq.select(i) == values[i] for i in range(0, 5000, 37))
 
 
+@pytest.mark.parametrize("path", [BYTES, WORD])
+def test_every_character_before_punctuation(path):
+    t = plain_cached(path)
+    chars = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x11000), *range(0x1D000, 0x1F000)]]
+    texts = [" ".join(f"x{c},y {c}. {c}" for c in chars[at : at + 256]) for at in range(0, len(chars), 256)]
+    texts += [f"x{c},y" for c in chars if len(c.lower()) > 1 or c in "\u0958\u09dc\u0344\ufb1d"]
+    for text, got in zip(texts, Encoder.of(path).encode(texts), strict=True):
+        assert got == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+@pytest.mark.parametrize("path", [BYTES, WORD])
+def test_special_tokens_and_runs_of_spaces(path):
+    t = plain_cached(path)
+    texts = ["hi <|endoftext|> x", "<|startoftext|>a, b", "a<|endoftext|>", "  a", "   a", "a   b", "a  ", "a \n b", "a\n  b", "a \n", " ", "  ", "x\n ", "a\t \tb", " \n", "\n a", "a\u3000 b", "a \u3000 b"]
+    assert Encoder.of(path).encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert [x.tolist() for x in Encoder.of(BYTES).offsets(texts)] == [[list(s) for s in plain_cached(BYTES).encode(x, add_special_tokens=False).offsets] for x in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=" \n\t.,a\u0130\u00e9Z1_'s<|>", max_size=30))
+def test_encoder_on_spaces_and_punctuation(x):
+    for path in (BYTES, WORD):
+        assert Encoder.of(path).encode([x])[0] == np.array(plain_cached(path).encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_marks_in_texts():
     texts = ["a \x01 b \x01", " \x01x, y", "q \x01,"]
     for path in (BYTES, WORD):
