@@ -11,9 +11,12 @@ on diagonals (place in the text less place in the item) that lie within k of eac
 3. What remains is verified by edit distance in the band: the item against the text, free ends in the text, diagonals
    of the band only. A region counts if its distance is at most k.
 
-Result: one row for each (document, item) with the best region. Items shorter than q + k q characters after
-normalization have no bound above zero and are searched exactly. Null texts or items match nothing; repeated rows are
-judged one by one; other columns are ignored.
+Short items, whose bound would be below one, take the longest q-grams for which it isn't: q = m / (k + 1), rounded down,
+so every item is found within its budget whatever its length. Items with the same q share one index.
+
+Result: one row for each (document, item) with the best region, of equally good ones any. Null or empty texts and items
+match nothing; a null item_id or doc_id is returned as it is; repeated rows are judged one by one; texts of any length are
+searched whole; empty tables give an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -110,25 +113,20 @@ def banded_distance(item: np.ndarray, text: np.ndarray, low: int, high: int, mos
     return int(cost[k]), int(max(origin[k], 0)), int(diag[k] + len(item))
 
 
-class Index:
-    def __init__(self, items: list[tuple[int, str]], q: int, rate: float):
+class Grams:
+    """The q-grams of those items that are searched by this q: sorted hashes with item (its number among all) and place."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], q: int, count: int):
         self.q = q
-        self.ids = np.array([i for i, _ in items], np.int64)
-        self.points = [points(t) for _, t in items]
-        sizes = np.array([len(p) for p in self.points])
-        self.budget = (sizes * rate).astype(np.int64)
-        self.bound = sizes - q + 1 - self.budget * q
-        self.budget = np.where(self.bound < 1, 0, self.budget)  # too short for the lemma: exact
-        self.bound = np.maximum(np.where(self.budget == 0, sizes - q + 1, self.bound), 1)
-        hashes = [grams(p, q) for p in self.points]
-        self.item = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
-        self.place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, int)
-        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        hashes = [grams(p, q) for _, p in items]
+        self.item = np.repeat(np.array([k for k, _ in items], np.int64), [len(h) for h in hashes])
+        self.place = np.concatenate([np.arange(len(h)) for h in hashes])
+        self.hash = np.concatenate(hashes)
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.place = self.hash[order], self.item[order], self.place[order]
         self.seen = np.zeros(1 << 20, bool)  # quick refusal of most q-grams
         self.seen[slots(self.hash)] = True
-        self.short = [(k, p) for k, p in enumerate(self.points) if 0 < len(p) < q]
+        self.count = count
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in h, row of the index) of each q-gram that the index has."""
@@ -137,24 +135,38 @@ class Index:
         n = hi - lo
         return np.repeat(at, n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
+    def candidates(self, p: np.ndarray, owner: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Numbers of texts that have as many q-grams of some item, on any diagonals, as the item's bound asks for."""
+        at, row = self.hits(grams(p, self.q))
+        # an item's q-gram counts once in a text for each place in the item
+        pair = np.unique(owner[at] * np.int64(len(self.hash)) + row)
+        text, item = pair // len(self.hash), self.item[pair % len(self.hash)]
+        both, count = np.unique(text * self.count + item, return_counts=True)
+        return both[count >= bound[both % self.count]] // self.count
+
+
+class Index:
+    def __init__(self, items: list[tuple[int | None, str]], q: int, rate: float):
+        self.ids = [i for i, _ in items]
+        self.points = [points(t) for _, t in items]
+        sizes = np.array([len(p) for p in self.points], np.int64)
+        self.budget = (sizes * rate).astype(np.int64)
+        own = np.minimum(q, np.maximum(1, sizes // (self.budget + 1)))
+        self.bound = np.maximum(1, sizes - own + 1 - self.budget * own)
+        self.parts = [Grams([(int(i), self.points[i]) for i in np.flatnonzero(own == k)], int(k), len(items)) for k in np.unique(own)[::-1]]
+
     def candidates(self, texts: list[str | None]) -> np.ndarray:
-        """Whether each text has as many q-grams of some item, on any diagonals, as the item's bound asks for: all texts at once."""
+        """Whether each text may hold some item: all texts at once."""
         texts = [t or "" for t in texts]
-        if self.short:
-            return np.array([bool(t) for t in texts])
         p = points(_END.join([*texts, ""]))
         owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
         blank = _BLANK[np.minimum(p, 0x3001)]
         keep = np.r_[True, ~(blank[1:] & blank[:-1])] if len(p) else blank
         p, owner, blank = p[keep], owner[keep], blank[keep]
         p = np.where(blank, np.uint32(32), np.where((p >= 65) & (p <= 90), p + np.uint32(32), p))
-        at, row = self.hits(grams(p, self.q))
-        # an item's q-gram counts once in a text for each place in the item
-        pair = np.unique(owner[at] * np.int64(len(self.hash)) + row)
-        text, item = pair // max(len(self.hash), 1), self.item[pair % max(len(self.hash), 1)]
-        both, count = np.unique(text * len(self.bound) + item, return_counts=True)
         out = np.zeros(len(texts), bool)
-        out[both[count >= self.bound[both % max(len(self.bound), 1)]] // max(len(self.bound), 1)] = True
+        for part in self.parts:
+            out[part.candidates(p, owner, self.bound)] = True
         return out
 
     @staticmethod
@@ -169,19 +181,20 @@ class Index:
     def search(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, edits, start, end) of the best region of each item that the text holds."""
         found: dict[int, tuple] = {}
-        at, row = self.hits(grams(text, self.q))
-        if len(at):
-            item, place = self.item[row], self.place[row]
+        whole = text.tobytes()
+        for part in self.parts:
+            at, row = part.hits(grams(text, part.q))
+            if not len(at):
+                continue
+            item, place = part.item[row], part.place[row]
             diagonal = at - place
             wide = np.maximum(self.budget[item], 1)
             # the item's own places count once in a band, however often the text repeats them
             bands = [np.stack([item, diagonal // wide - s, place], 1) for s in (0, 1)]
             keys = np.unique(np.concatenate(bands), axis=0)
-            new = np.r_[True, (keys[1:, :2] != keys[:-1, :2]).any(1)]
-            first = np.flatnonzero(new)
+            first = np.flatnonzero(np.r_[True, (keys[1:, :2] != keys[:-1, :2]).any(1)])
             count = np.diff(np.r_[first, len(keys)])
             good = np.flatnonzero(count >= self.bound[keys[first, 0]])
-            whole = text.tobytes() if len(good) else b""
             k = 0
             while k < len(good):
                 item, band = (int(v) for v in keys[first[good[k]], :2])
@@ -201,12 +214,6 @@ class Index:
                 best = banded_distance(self.points[item], region, low - max(0, low), high - max(0, low), budget) if len(region) else None
                 if best is not None and (item not in found or best[0] < found[item][0]):
                     found[item] = (best[0], best[1] + max(0, low), best[2] + max(0, low))
-        if self.short:
-            whole = text.tobytes()
-            for k, p in self.short:
-                i = self._exact(whole, p)
-                if i >= 0:
-                    found[k] = (0, i, i + len(p))
         return [(k, *v) for k, v in sorted(found.items())]
 
 
@@ -251,7 +258,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
                         place = normalized_places(text)[1]
                         for k, e, s, t in hits:
                             s = min(s, len(place) - 1)
-                            rows.append((doc_id, int(found.ids[k]), e, int(place[s]), int(place[t - 1]) + 1 if t > s else int(place[s])))
+                            rows.append((doc_id, found.ids[k], e, int(place[s]), int(place[t - 1]) + 1 if t > s else int(place[s])))
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "edits", "start", "end"])
 
