@@ -11,7 +11,13 @@
    the sizes need. Large blocks are split into parts, each pair of parts being a task. Remaining pairs of different
    components are compared exactly, and components are joined again.
 
-Null or word-less texts are empty sets and link with nothing. doc_id is the id of a row; repeated ids are one document.
+Joins on a shingle or on a block's least row are salted: a key is dealt to a task for every SALT of its rows, the other
+side of the join being repeated as often.
+
+Null, empty or word-less texts are empty sets and link with nothing; texts of any length are read whole. Rows with one
+doc_id are one document, which links where any of its texts does (each row keeps its own n_shingles). A null doc_id is no
+document: such a row gets the component of the rows with an id and an equal set, else a null. Of equal sets the least
+doc_id stands for all. An empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beamframe.llm import textbatch as tb
@@ -32,7 +38,9 @@ BUCKETS = 1 << 18
 BITS = 2048
 LEAF = 8
 PART = 2048
-#: Rows whose ids are broadcast to find their texts; with more, texts are shuffled to them.
+#: Rows of a key that one task of a join takes.
+SALT = 512
+#: Pairs whose ids (16 bytes each) are broadcast to find their texts, keys that are broadcast to salt a join; with more, texts or rows are shuffled to them.
 MOST_BROADCAST = 1_000_000
 
 
@@ -146,10 +154,37 @@ def traverse(x: Tree, y: Tree, t: tuple[int, int], label_x: np.ndarray, label_y:
     return (np.concatenate(out_x), np.concatenate(out_y)) if out_x else (np.zeros(0, int), np.zeros(0, int))
 
 
+def _spread(keys: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(keys) if rows <= MOST_BROADCAST else keys
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame, key: str, by: str) -> DataFrame:
+    """rows with `salt`, by a hash of column `by`: as many salts as sizes (key, rows) asks for, 0 for keys of few rows."""
+    large = materialize(sizes.where(F.col("rows") > SALT).select(key, _salts(F.col("rows")).alias("__salts")), "large_keys")
+    dealt = rows.join(_spread(large, large.count()), key, "left")
+    return dealt.withColumn("salt", F.pmod(F.xxhash64(by), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+
+
+def _salts(rows: Column) -> Column:
+    return F.ceil(rows / SALT).cast("int")
+
+
+def _repeated(keys: DataFrame) -> DataFrame:
+    """keys (with a column rows) once for each salt of theirs."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts(F.col("rows")) - 1)))
+
+
+def _salted_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs with a salt for their a, the rows of each a)."""
+    sizes = materialize(pairs.groupBy("a").agg(F.count("*").alias("rows")), "pair_sizes")
+    return _dealt(pairs, sizes, "a", "b"), sizes
+
+
 def _possible(pairs: DataFrame, reps: DataFrame, t: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) whose sizes and bitmaps leave room for the overlap that they need."""
     side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    dealt, sizes = _salted_pairs(pairs)
+    joined = dealt.join(_repeated(side("a").join(sizes, "a")), ["a", "salt"]).join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,32 +194,37 @@ def _possible(pairs: DataFrame, reps: DataFrame, t: tuple[int, int]) -> DataFram
                 most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
                 yield batch.select(["a", "b"]).filter(pa.array(most >= need(n + m, t)))
 
-    return joined.mapInArrow(bound, "a long, b long")
+    return joined.mapInArrow(bound, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, t: tuple[int, int], words: int) -> DataFrame:
-    """Of pairs (a, b) those that link. Sets are made again from the texts of the rows concerned only, and only b's set travels, to a's."""
-    asked = materialize(pairs.groupBy(F.col("b").alias("doc_id")).agg(F.collect_list("a").alias("to")), "asked")  # at most a partner for each shingle in front
-    hubs = materialize(pairs.select(F.col("a").alias("doc_id")).distinct(), "hubs")
+    """Of pairs (a, b) those that link. Sets are made again from the texts of the rows concerned only, and only b's set travels, to a task of a's."""
+    pairs = materialize(pairs, "candidates")
+    few = pairs.count() <= MOST_BROADCAST
+    dealt, sizes = _salted_pairs(pairs)
+    asked = materialize(dealt.groupBy(F.col("b").alias("doc_id")).agg(F.collect_list(F.struct("a", "salt")).alias("to")), "asked")  # at most a partner for each shingle in front
+    hubs = materialize(sizes.select(F.col("a").alias("doc_id"), _salts(F.col("rows")).alias("salts")), "hubs")
 
     def met(own: DataFrame) -> DataFrame:
-        return docs.dropDuplicates(["doc_id"]).join(own, "doc_id") if own.count() > MOST_BROADCAST else docs.join(F.broadcast(own), "doc_id")
+        return docs.join(F.broadcast(own) if few else own, "doc_id")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             to = batch.column("to").to_pylist()
             ids = batch.column("doc_id").to_pylist()
             for first, last, bounds, h in _sets(batch, "text", words):
-                rows = [(a, ids[i], h[bounds[i - first] : bounds[i - first + 1]].tobytes()) for i in range(first, last) for a in to[i]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["a", "b", "y"])
+                rows = [(x["a"], x["salt"], ids[i], h[bounds[i - first] : bounds[i - first + 1]].tobytes()) for i in range(first, last) for x in to[i]]
+                for at in range(0, len(rows), 1024):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[at : at + 1024]], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["a", "salt", "b", "y"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, bounds, h in _sets(batch, "text", words):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array([h[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["a", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), batch.column("salts").slice(first, last - first), pa.array([h[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["a", "salts", "x"])
 
-    sent = met(asked).select("doc_id", "text", "to").mapInArrow(send, "a long, b long, y binary")
-    held = met(hubs).select("doc_id", "text").mapInArrow(keep, "a long, x binary")
+    sent = met(asked).select("doc_id", "text", "to").mapInArrow(send, "a long, salt int, b long, y binary")
+    held = met(hubs).select("doc_id", "text", "salts").mapInArrow(keep, "a long, salts int, x binary")
+    held = held.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "x")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,11 +232,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, t: tuple[int, int], words: int)
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                same.append(t[1] * both >= t[0] * (len(x) + len(y) - both))
+                both = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
+                same.append(both > 0 and t[1] * both >= t[0] * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    return materialize(sent.join(held, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
+    return materialize(sent.join(held, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
 def similar_groups(docs: DataFrame, t: tuple[int, int] = (80, 100), words: int = 5) -> DataFrame:
@@ -204,25 +244,29 @@ def similar_groups(docs: DataFrame, t: tuple[int, int] = (80, 100), words: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = materialize(signatures(docs, t, words), "signatures")
     classes = made.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    member = materialize(made.select("doc_id", "n", "fp").join(classes, "fp", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    reps = made.where("n > 0").join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    member = materialize(made.select("doc_id", "n", "fp").join(classes, "fp", "left").select("doc_id", "n", "fp", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    first = member.where("n > 0 AND doc_id = rep").select("doc_id", "fp").distinct()
+    reps = materialize(made.join(first, ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"]).drop("fp"), "representatives")
+    # documents with several texts tie the classes of these
+    several = member.where("n > 0").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("doc_id")
+    tied = member.where("n > 0 AND doc_id != rep").join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
     # blocks: shingles that two or more rows have in front; equal blocks once
     heads = reps.select("doc_id", F.explode("prefix").alias("token"))
-    shared = heads.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
-    met = materialize(heads.join(shared, "token").select("token", "rows", "doc_id"), "met")
+    shared = materialize(heads.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1"), "shared")
+    met = materialize(_dealt(heads, shared, "token", "doc_id").join(_repeated(shared), ["token", "salt"]).select("token", "salt", "rows", "doc_id"), "met")
     found = met.groupBy("token").agg(F.first("rows").alias("rows"), F.min("doc_id").alias("hub"), F.bit_xor(F.xxhash64("doc_id")).alias("s"), F.bit_xor(F.xxhash64("doc_id", F.lit(7))).alias("x"))
-    blocks = found.groupBy("rows", "hub", "s", "x").agg(F.min("token").alias("token")).select("token", "hub")
-    inside = materialize(met.join(blocks, "token").select("token", "rows", "hub", "doc_id"), "inside")
+    blocks = found.groupBy("rows", "hub", "s", "x").agg(F.min("token").alias("token")).select("token", "rows", "hub")
+    inside = materialize(met.drop("rows").join(_repeated(blocks), ["token", "salt"]).select("token", "salt", "rows", "hub", "doc_id"), "inside")
 
     stars = materialize(inside.where("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    links = _verified(_possible(stars, reps, t), docs, t, words)
+    links = _verified(_possible(stars, reps, t), docs, t, words).union(tied)
     label = materialize(components(links), "labels")
 
     # blocks with rows of more than one component
     named = inside.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-    mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo != hi AND k > 2").select("token")
-    rest = materialize(named.join(mixed, "token", "left_semi"), "rest").join(reps.select("doc_id", "n", "bits"), "doc_id")
+    mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("rows").alias("rows")).where("lo != hi AND rows > 2").select("token", "rows")
+    rest = materialize(named.join(_repeated(mixed).drop("rows"), ["token", "salt"], "left_semi"), "rest").join(reps.select("doc_id", "n", "bits"), "doc_id")
     parts = F.ceil(F.col("rows") / PART).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
     sides = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))

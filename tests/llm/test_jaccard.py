@@ -65,9 +65,25 @@ def test_groups_by_brute_force(spark):
 
 def test_split_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "PART", 8)
+    monkeypatch.setattr(jaccard, "SALT", 3)
     check(spark, corpus(150))
 
 
+def test_nothing_is_broadcast_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(jaccard, "SALT", 5)
+    check(spark, corpus(100))
+
+
+def test_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "xyz")
+    rows = [(1, a), (2, a + " more"), (3, b), (4, b), (3, c), (5, c + " tail"), (2, c), (9, "alone in the world of words"), (9, "alone in the world of words"), (None, b), (None, "no one else has this")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.component_id) for x in jaccard.similar_groups(docs).collect() if x.doc_id is not None)
+    assert got == [(1, 1), (2, 1), (2, 1), (3, 1), (3, 1), (4, 1), (5, 1), (9, 9), (9, 9)]
+    assert sorted(str(x.component_id) for x in jaccard.similar_groups(docs).collect() if x.doc_id is None) == ["1", "None"]
+
+
 def test_odd_tables(spark):
     docs = odd_docs(spark)
     rows = jaccard.similar_groups(docs).collect()
