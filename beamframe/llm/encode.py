@@ -16,8 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Parts, and texts between spaces, kept for reuse by each Python worker; beyond it the memory is emptied and filled anew.
-CACHE = 800_000
+#: Texts between spaces, parts, and spans of parts kept for reuse by each Python worker; beyond it only those of the texts at hand are kept.
+CACHE = 300_000
+SPANS = 800_000
 #: Letters and digits whose normal form in lower case is not one letter or digit.
 _LOOSE = "".join(c for c in map(chr, [*range(128, 0xD800), *range(0xE000, 0x30000)]) if c.isalnum() and not unicodedata.normalize("NFC", c).lower()[-1].isalnum())
 _PART = re.compile(rf"\s*[^\W_]++(?<=[^\W_{_LOOSE}])(?=[,.])|(?<=[^\W_{_LOOSE}])[,.]+(?!\S)|\s*\S+|\s+")
@@ -34,6 +35,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _trim(known: dict, used: set[str], most: int) -> None:
+    if len(known) > most:
+        kept = {u: known[u] for u in used if u in known}
+        known.clear()
+        known.update(kept)
+
+
 class Encoder:
     """encode(texts) -> one array of ids for each text. One object for each vocabulary file and worker: Encoder.of(path)."""
 
@@ -72,12 +80,11 @@ class Encoder:
 
     def _parts(self, texts: list[str], known: dict) -> tuple[list, list[str], list[str]]:
         """The parts of each text (None: to be encoded whole); of those that are not known, the ones that can stand in one text and the others."""
-        if len(known) > CACHE:
-            known.clear()
         parts = [None if self._odd(x) else _PART.findall(x) for x in texts]
         distinct: set[str] = set()
         for p in parts:
             distinct.update(p or ())
+        _trim(known, distinct, SPANS)
         missing = [u for u in distinct if u not in known]
         joined = [u for u in missing if _APART.match(u) and "\x01" not in u]
         return parts, joined, list(set(missing).difference(joined))
@@ -112,10 +119,9 @@ class Encoder:
     def _learn(self, texts: list[str], parts: list[list[str]]) -> list[bytes]:
         """The ids of texts by their parts. Words of letters after a space are kept in `pieces`, other parts in `ids`."""
         known, other = self.pieces, self.ids
-        if len(other) > CACHE:
-            other.clear()
-        words, rest = set(), set()
-        for q in {q for p in parts for q in p}:
+        words, rest, distinct = set(), set(), {q for p in parts for q in p}
+        _trim(other, distinct, CACHE)
+        for q in distinct:
             if q[0] == " " and q[1:].isalpha():
                 if q[1:] not in known:
                     words.add(q[1:])
@@ -132,13 +138,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         known, distinct = self.pieces, set()
-        if len(known) > CACHE:
-            known.clear()
         odd = [self._odd(x) for x in texts]
         split = [None if o or _LOOSE_SPACE.search(x) else x.split(" ") for o, x in zip(odd, texts, strict=True)]
         for p in split:
             if p is not None:
                 distinct.update(p[1:])
+        _trim(known, distinct, CACHE)
         new = [u for u in distinct if u not in known]
         self._keep_words([u for u in new if u.isalpha()])
         new = [u for u in new if not u.isalpha()]
