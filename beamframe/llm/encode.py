@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Texts between spaces, parts, and spans of parts kept for reuse by each Python worker; beyond it only those of the texts at hand are kept.
-CACHE = 300_000
+CACHE = 500_000
 SPANS = 800_000
 #: Letters and digits whose normal form in lower case is not one letter or digit.
 _LOOSE = "".join(c for c in map(chr, [*range(128, 0xD800), *range(0xE000, 0x30000)]) if c.isalnum() and not unicodedata.normalize("NFC", c).lower()[-1].isalnum())
