@@ -16,6 +16,7 @@ from beamframe import sources as src
 from beamframe import streaming
 from beamframe.operators import azimuthal, correlate, filters, image, pumpprobe, roi, stats, xgm
 from beamframe.plans import recipes
+from beamframe.scratch import scratch_path, shared_root
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -83,6 +84,18 @@ def add(name: str, fn_, sql: str | None = None, digits: int = 4) -> None:
         ORACLE_SQL[name] = sql
 
 
+def moving_sql(rows: str, keys: str, w: int) -> str:
+    """Recursive tables o (numbered rows) and r (train_id, keys, m) of the moving average of v over trains, for each of keys of a table rows(train_id, keys, v)."""
+    on = " AND ".join(f"o.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
+    own = ", ".join(f"o.{k.strip()}" for k in keys.split(","))
+    return f"o AS MATERIALIZED (SELECT train_id, {keys}, v, row_number() OVER (PARTITION BY {keys} ORDER BY train_id) AS n FROM {rows}), r AS (SELECT train_id, {keys}, n, v AS m FROM o WHERE n = 1 UNION ALL SELECT o.train_id, {own}, o.n, r.m + (o.v - r.m) / least(o.n, {w}) FROM r JOIN o ON {on} AND o.n = r.n + 1)"
+
+
+def moving_list_sql(rows: str, size: int, w: int) -> str:
+    """The same for a table rows(train_id, v) of lists of one length: r (train_id, m)."""
+    return f"o AS MATERIALIZED (SELECT train_id, v, row_number() OVER (ORDER BY train_id) AS n FROM {rows}), r AS (SELECT train_id, n, v AS m FROM o WHERE n = 1 UNION ALL SELECT o.train_id, o.n, list_transform(list_zip(r.m, o.v), lambda z: z[1] + (z[2] - z[1]) / least(o.n, {w})) FROM r JOIN o ON o.n = r.n + 1)"
+
+
 def _bin_sql(x: str, lo: float, hi: float, n: int) -> str:
     return f"CASE WHEN {x} = {hi} THEN {n - 1} WHEN {x} >= {lo} AND {x} < {hi} THEN CAST(floor(({x} - {lo}) / ({hi} - {lo}) * {n}) AS INT) END"
 
@@ -149,6 +162,8 @@ def _guard(s, d):
 
 add("f12_drop_all_guard", _guard, f"WITH {_PULSES} SELECT train_id, CASE WHEN max(xgm) >= 20 THEN count(*) ELSE -1 END AS n FROM pulses GROUP BY 1")
 add("f11_digitizer_pulse", lambda s, d: filters.digitizer_pulse(pulses(s, d), {"da": "A", "db": "ADC"}, 0, 4).groupBy("train_id", "channel").agg(F.sum("integral").alias("integral")), f"WITH {_PULSES} SELECT train_id, 'A' AS channel, round(sum(da), 4) AS integral FROM pulses WHERE pulse < 4 GROUP BY 1 UNION ALL SELECT train_id, 'ADC', round(sum(db), 4) FROM pulses WHERE pulse < 4 GROUP BY 1")
+_digitizer = lambda s, d: _read(s, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("train_id"), (F.col("vec_id") % 8).cast("int").alias("pulse"), F.get("embedding", F.lit(0)).alias("da"), F.get("embedding", F.lit(1)).alias("db"))
+add("f11_digitizer_averaged", lambda s, d: filters.digitizer_pulse(_digitizer(s, d), {"da": "A", "db": "ADC"}, 2, None, 2, 3, -0.05, INF), f"WITH RECURSIVE dg AS (SELECT vec_id // 8 AS train_id, c AS channel, (vec_id % 8 - 2) // 2 AS pulse, vec_id % 8 AS pulse_index, CAST(embedding[CASE WHEN c = 'A' THEN 1 ELSE 2 END] AS DOUBLE) AS v FROM embeddings, (VALUES ('A'), ('ADC')) t(c) WHERE vec_id % 8 IN (2, 4, 6)), {moving_sql('dg', 'channel, pulse, pulse_index', 3)} SELECT train_id, pulse, channel, round(m, 4) AS integral, pulse_index FROM r WHERE m >= -0.05")
 add("f13_threshold_mask", lambda s, d: image.mask_threshold(pixels(s, d), -0.1, 0.1).groupBy("train_id").agg(F.count("v").alias("n"), F.avg("v").alias("m")), f"WITH {_PX} SELECT train_id, count(*) FILTER (v BETWEEN -0.1 AND 0.1) AS n, round(avg(CASE WHEN v BETWEEN -0.1 AND 0.1 THEN v END), 4) AS m FROM px GROUP BY 1")
 
 
@@ -190,6 +205,7 @@ def _modules(s, d):
     return good.select("train_id").distinct().withColumn("ok", F.lit(1)).unionByName(bad.select("train_id", F.lit(0).alias("ok")))
 
 
+add("f24_squeeze", lambda s, d: filters.squeeze(pixels(s, d).where("y = 0")).groupBy("x").agg(F.sum("v").alias("t")), f"WITH {_PX} SELECT x, round(sum(v), 4) AS t FROM px WHERE y = 0 GROUP BY 1")
 add("f26_check_modules", _modules, "SELECT vec_id AS train_id, CASE WHEN vec_id % 5 = 1 THEN 0 ELSE 1 END AS ok FROM embeddings")
 
 # --- joins, unions, top-k
@@ -251,9 +267,11 @@ _HIST = "SELECT i AS bin, {lo} + (i + 0.5e0) * ({hi} - {lo}) / {n} AS center, co
 add("a7_histogram", lambda s, d: stats.hist_with_stats(raw(s, d), "scalar", 10, 0.0, 50.0)[0], f"WITH {_RAW} " + _HIST.format(lo=0.0, hi=50.0, n=10, b=_bin_sql("scalar", 0.0, 50.0, 10), t="raw"))
 add("a7_histogram_stats", lambda s, d: stats.hist_with_stats(raw(s, d), "scalar", 10, 10.0, 50.0)[1], f"WITH {_RAW} SELECT round(avg(scalar), 4) AS mean, round(quantile_cont(scalar, 0.5), 4) AS median, round(stddev_pop(scalar), 4) AS std FROM raw WHERE scalar BETWEEN 10 AND 50")
 add("a8_image_histogram", lambda s, d: stats.hist_with_stats(image.mask_image(pixels(s, d), _mask(s)), "v", 8, -0.5, 0.5)[0], f"WITH {_PX}, m AS (SELECT * FROM px WHERE x NOT IN (0, 3)) " + _HIST.format(lo=-0.5, hi=0.5, n=8, b=_bin_sql("v", -0.5, 0.5, 8), t="m"))
-add("a9_fom_histogram", lambda s, d: stats.fom_histogram(pulses(s, d), 20, 0.0, 100000.0, 40000, True)[0], f"WITH {_PULSES}, l AS (SELECT * FROM pulses ORDER BY train_id DESC, pulse DESC LIMIT 40000) " + _HIST.format(lo=0.0, hi=100000.0, n=20, b=_bin_sql("fom", 0.0, 100000.0, 20), t="l"))
+add("a9_fom_histogram", lambda s, d: stats.fom_histogram(pulses(s, d), 20, 0.0, 100000.0, pulse_resolved=True)[0], f"WITH {_PULSES}, l AS (SELECT * FROM pulses ORDER BY train_id DESC, pulse DESC LIMIT 2304000) " + _HIST.format(lo=0.0, hi=100000.0, n=20, b=_bin_sql("fom", 0.0, 100000.0, 20), t="l"))
 add("a10_poi_histogram", lambda s, d: stats.poi_histogram(pulses(s, d), 1, 20, 0.0, 100000.0)[0], f"WITH {_PULSES}, l AS (SELECT * FROM pulses WHERE pulse = 1) " + _HIST.format(lo=0.0, hi=100000.0, n=20, b=_bin_sql("fom", 0.0, 100000.0, 20), t="l"))
 add("a11_roi_histogram", lambda s, d: stats.hist_with_stats(roi.roi_pixels(pixels(s, d), {1: ROIS[1]}, 8, 8), "v", 8, -0.5, 0.5)[0], f"WITH {_PX}, m AS (SELECT * FROM px WHERE x < 4 AND y < 4) " + _HIST.format(lo=-0.5, hi=0.5, n=8, b=_bin_sql("v", -0.5, 0.5, 8), t="m"))
+add("a11_roi_histogram_train", lambda s, d: stats.hist_by(roi.roi_pixels(pixels(s, d), ROIS, 8, 8), "v", ["train_id", "roi"], 8, -0.5, 0.5), f"WITH {_PX}, {_ROI_SQL}, m AS (SELECT train_id, roi, {_bin_sql('v', -0.5, 0.5, 8)} AS bin FROM px JOIN rois ON y BETWEEN ry AND ry + rh - 1 AND x BETWEEN rx AND rx + rw - 1) SELECT train_id, roi, bin, count(*) AS count FROM m WHERE bin IS NOT NULL GROUP BY 1, 2, 3")
+add("a11_roi_histogram_poi", lambda s, d: stats.hist_by(filters.select_poi(roi.roi_pixels(pulse_pixels(s, d), {1: ROIS[1]}, 8, 8), 0, 2)[0], "v", ["train_id", "pulse"], 8, -0.5, 0.5), f"WITH {_PPX}, m AS (SELECT train_id, pulse, {_bin_sql('v', -0.5, 0.5, 8)} AS bin FROM ppx WHERE x < 4 AND y < 4 AND pulse IN (0, 2)) SELECT train_id, pulse, bin, count(*) AS count FROM m WHERE bin IS NOT NULL GROUP BY 1, 2, 3")
 add("a12_const_mean", lambda s, d: image.const_mean(src.check_constants(constants(s, d)), 0, 8, 2), f"WITH {_CONST} SELECT y, x, round(avg(v), 4) AS v FROM const WHERE cell % 2 = 0 GROUP BY 1, 2")
 add("a13_dark_mean", lambda s, d: image.dark_mean(pulse_pixels(s, d))[1], f"WITH {_PPX}, p AS (SELECT pulse, y, x, avg(v) AS v FROM ppx GROUP BY 1, 2, 3) SELECT y, x, round(avg(v), 4) AS v FROM p GROUP BY 1, 2")
 add("a14_dark_from_run", lambda s, d: image.dark_from_run(pixels(s, d)), f"WITH {_PX} SELECT y, x, round(avg(v), 4) AS v FROM px GROUP BY 1, 2")
@@ -265,6 +283,10 @@ add("b3_bin_1d_vector", lambda s, d: stats.bin_1d_vector(_read(s, d, "embeddings
 add("b4_bin_2d", lambda s, d: stats.bin_2d(correlate.join_slow(train_fom(s, d), slow(s, d)), "slow1", "slow2", "fom", 8, 5, (0.0, 400000.0), (0.0, 100.0)), f"WITH {_TRAINS}, b AS (SELECT {_bin_sql('slow1', 0.0, 400000.0, 8)} AS bin1, {_bin_sql('slow2', 0.0, 100.0, 5)} AS bin2, fom FROM fom JOIN slow USING (train_id)), g AS (SELECT bin1, bin2, count(*) AS c, avg(fom) AS s FROM b GROUP BY 1, 2) SELECT j AS bin2, i AS bin1, coalesce(c, 0) AS count, round(coalesce(s, 0.0), 4) AS stat FROM range(8) t(i), range(5) u(j) LEFT JOIN g ON g.bin1 = i AND g.bin2 = j")
 add("b5_spectrum", lambda s, d: stats.spectrum_1d(pulses(s, d), "xgm", "fom", 10, 0.0, 50.0), f"WITH {_PULSES}, b AS (SELECT {_bin_sql('xgm', 0.0, 50.0, 10)} AS bin, fom FROM pulses), g AS (SELECT bin, count(*) AS c, avg(fom) AS s FROM b GROUP BY 1) SELECT i AS bin, (i + 0.5e0) * 5.0 AS center, round(s, 4) AS mean, coalesce(c, 0) AS count FROM range(10) t(i) LEFT JOIN g ON g.bin = i")
 
+_IMAGES = "im AS MATERIALIZED (SELECT vec_id AS train_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
+_IMAGES1 = _IMAGES.replace("CAST(x AS DOUBLE)", "CAST(x AS DOUBLE) + 1")
+_MOVED = "mx AS (SELECT train_id, i // 8 AS y, i % 8 AS x, m[i + 1] AS v FROM r, range(64) t(i))"
+
 # --- regions of interest, normalization
 _INS = {k: f"(x BETWEEN {x} AND {x + w - 1} AND y BETWEEN {y} AND {y + h - 1})" for k, (x, y, w, h) in ROIS.items()}
 add("r1_roi_pixels", lambda s, d: roi.roi_pixels(pixels(s, d), ROIS, 8, 8).groupBy("train_id", "roi").agg(F.count("*").alias("n"), F.sum("v").alias("t")), f"WITH {_PX}, {_ROI_SQL} SELECT train_id, roi, count(*) AS n, round(sum(v), 4) AS t FROM px JOIN rois ON y BETWEEN ry AND ry + rh - 1 AND x BETWEEN rx AND rx + rw - 1 GROUP BY 1, 2")
@@ -272,9 +294,13 @@ add("r2_roi_fom_pulse", lambda s, d: roi.roi_fom(pulse_pixels(s, d), ROIS, 8, 8,
 add("r3_roi_norm_pulse", lambda s, d: roi.roi_norm(pulse_pixels(s, d), ROIS, 8, 8, "max", "add", image.PULSE_IMAGE), f"WITH {_PPX} SELECT train_id, pulse, round(max(v) FILTER {_INS[3].replace('(x', '(WHERE x', 1)} + max(v) FILTER {_INS[4].replace('(x', '(WHERE x', 1)}, 4) AS norm FROM ppx GROUP BY 1, 2")
 add("r4_roi_fom_train", lambda s, d: roi.roi_fom(image.nanmean_image(pulse_pixels(s, d)), ROIS, 8, 8), f"WITH {_PPX}, m AS (SELECT train_id, y, x, avg(v) AS v FROM ppx GROUP BY 1, 2, 3) SELECT train_id, round(sum(v) FILTER {_INS[1].replace('(x', '(WHERE x', 1)}, 4) AS fom, round(sum(v) FILTER {_INS[2].replace('(x', '(WHERE x', 1)}, 4) AS fom_slave FROM m GROUP BY 1")
 add("r5_roi_norm_train", lambda s, d: roi.roi_norm(pixels(s, d), ROIS, 8, 8), f"WITH {_PX} SELECT train_id, round(sum(v) FILTER {_INS[3].replace('(x', '(WHERE x', 1)}, 4) AS norm FROM px GROUP BY 1")
-add("r6_roi_combine", lambda s, d: roi.roi_combine(pixels(s, d), ROIS[1], ROIS[2], "sub"), f"WITH {_PX} SELECT a.train_id, a.y, a.x, round(a.v - b.v, 4) AS v FROM px a JOIN px b ON a.train_id = b.train_id AND b.y = a.y + 4 AND b.x = a.x + 4 WHERE a.y < 4 AND a.x < 4")
+add("r6_roi_combine", lambda s, d: roi.roi_combine(pixels(s, d), ROIS[1], ROIS[2], "sub"), f"WITH {_PX} SELECT train_id, y % 4 AS y, x % 4 AS x, round(sum(CASE WHEN y < 4 THEN v ELSE -v END), 4) AS v FROM px WHERE (y < 4 AND x < 4) OR (y >= 4 AND x >= 4) GROUP BY 1, 2, 3")
 add("r7_roi_projection", lambda s, d: roi.roi_projection(pixels(s, d), ROIS[3], 8, 8, "y", "mean"), f"WITH {_PX} SELECT train_id, y - 4 AS i, round(avg(v), 4) AS y FROM px WHERE {_INS[3]} GROUP BY 1, 2")
 add("r7_projection_fom", lambda s, d: roi.projection_fom(roi.roi_projection(pixels(s, d), ROIS[3], 8, 8)), f"WITH {_PX} SELECT train_id, round(sum(v), 4) AS fom FROM px WHERE {_INS[3]} GROUP BY 1")
+_SUM = {k: f"sum(v) FILTER {c.replace('(x', '(WHERE x', 1)}" for k, c in _INS.items()}
+add("r4_roi_fom_averaged", lambda s, d: roi.roi_fom_train(pixels(s, d).withColumn("v", F.col("v") + 1), ROIS, 8, 8, w=3, normalizer="sum"), f"WITH RECURSIVE {_IMAGES1}, {moving_list_sql('im', 64, 3)}, {_MOVED} SELECT train_id, round({_SUM[1]} / {_SUM[3]}, 4) AS fom, round({_SUM[2]}, 4) AS fom_slave, 'ok' AS status FROM mx GROUP BY 1")
+add("r7_projection_normalized", lambda s, d: roi.roi_projection_train(pixels(s, d).withColumn("v", F.col("v") + 1), ROIS, 8, 8, w=3, normalizer="mean"), f"WITH RECURSIVE {_IMAGES1}, {moving_list_sql('im', 64, 3)}, {_MOVED}, k AS (SELECT train_id, avg(v) AS n FROM mx WHERE {_INS[3]} GROUP BY 1) SELECT train_id, x AS i, round(sum(v) / any_value(n), 4) AS y FROM mx JOIN k USING (train_id) WHERE {_INS[1]} GROUP BY 1, 2")
+add("r7_projection_area", lambda s, d: roi.roi_projection_train(pixels(s, d).withColumn("v", F.col("v") + 1), ROIS, 8, 8, "y"), f"WITH {_PX}, p AS (SELECT train_id, y AS i, sum(v + 1) AS y FROM px WHERE {_INS[1]} GROUP BY 1, 2), a AS (SELECT train_id, sum(CASE WHEN i IN (0, 3) THEN y / 2 ELSE y END) AS a FROM p GROUP BY 1) SELECT train_id, i, round(y / a, 4) AS y FROM p JOIN a USING (train_id)")
 _PAIR = "m AS (SELECT train_id, y, x, avg(v) FILTER (WHERE pulse % 2 = 0) AS a, avg(v) FILTER (WHERE pulse % 2 = 1) AS b FROM ppx GROUP BY 1, 2, 3)"
 
 
@@ -284,6 +310,7 @@ def _pp(s, d):
 
 
 add("r8_pp_roi_fom", lambda s, d: roi.pp_roi_fom(*_pp(s, d), ROIS, 8, 8), f"WITH {_PPX}, {_PAIR} SELECT train_id, round(sum(a - b), 4) AS fom FROM m WHERE {_INS[1]} AND a IS NOT NULL AND b IS NOT NULL GROUP BY 1")
+add("r8_pp_roi_fom_normalized", lambda s, d: roi.pp_roi_fom(*[x.withColumn("v", F.col("v") + 1) for x in _pp(s, d)], ROIS, 8, 8, normalizer="sum"), f"WITH {_PPX}, {_PAIR}, n AS (SELECT train_id, y, x, a + 1 AS a, b + 1 AS b FROM m WHERE a IS NOT NULL AND b IS NOT NULL) SELECT train_id, round({_SUM[1].replace('(v)', '(a)')} / {_SUM[3].replace('(v)', '(a)')} - {_SUM[1].replace('(v)', '(b)')} / {_SUM[3].replace('(v)', '(b)')}, 4) AS fom FROM n GROUP BY 1")
 add("r9_pp_projection", lambda s, d: roi.pp_roi_projection(*_pp(s, d), ROIS[2], 8, 8, "x", 1, 2)[1], f"WITH {_PPX}, {_PAIR}, c AS (SELECT train_id, x - 4 AS i, sum(a - b) AS y FROM m WHERE {_INS[2]} AND a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2) SELECT train_id, round(sum(abs(y)), 4) AS fom FROM c WHERE i BETWEEN 1 AND 2 GROUP BY 1")
 add("n1_normalize_xgm", lambda s, d: roi.normalize(train_fom(s, d).select("train_id", "fom"), roi.pulse_mean(pulses(s, d), "da")), f"WITH {_PULSES} SELECT train_id, round(CASE WHEN avg(da) <> 0 THEN avg(fom) / avg(da) END, 4) AS fom, CASE WHEN avg(da) = 0 THEN 'normalizer is zero' ELSE 'ok' END AS status FROM pulses GROUP BY 1", 3)
 ORACLE_SQL["n1_normalize_xgm"] = ORACLE_SQL["n1_normalize_xgm"].replace(", 4) + 0.0 AS fom", ", 3) + 0.0 AS fom")
@@ -309,9 +336,11 @@ _PPM = "m AS (SELECT train_id, y, x, avg(v) FILTER (WHERE pulse % 2 = 0) AS \"on
 add("p2_reference_as_off", lambda s, d: pumpprobe.pump_probe(pulse_pixels(s, d), "reference_as_off", (0, None, 2), reference=constants(s, d).where("cell = 1").drop("cell")), f"WITH {_PPX}, {_CONST}, {_PPM} SELECT train_id, m.y, m.x, round(\"on\", 4) AS \"on\", round(c.v, 4) AS off FROM m JOIN const c ON c.cell = 1 AND c.y = m.y AND c.x = m.x WHERE \"on\" IS NOT NULL")
 add("p3_same_train", lambda s, d: pumpprobe.pump_probe(pulse_pixels(s, d), "same_train", (0, None, 2), (1, None, 2)), f"WITH {_PPX}, {_PPM} SELECT train_id, y, x, round(\"on\", 4) AS \"on\", round(off, 4) AS off FROM m WHERE \"on\" IS NOT NULL AND off IS NOT NULL")
 add("p4_even_on", lambda s, d: pumpprobe.pump_probe(pulse_pixels(s, d), "even_on"), f"WITH {_PPX}, m AS (SELECT train_id, y, x, avg(v) AS v FROM ppx GROUP BY 1, 2, 3) SELECT b.train_id, b.y, b.x, round(a.v, 4) AS \"on\", round(b.v, 4) AS off FROM m b JOIN m a ON a.train_id = b.train_id - 1 AND a.y = b.y AND a.x = b.x WHERE b.train_id % 2 = 1")
+add("p4_odd_on", lambda s, d: pumpprobe.pump_probe(pulse_pixels(s, d), "odd_on"), f"WITH {_PPX}, m AS (SELECT train_id, y, x, avg(v) AS v FROM ppx GROUP BY 1, 2, 3), l AS (SELECT *, lag(v) OVER (PARTITION BY y, x ORDER BY train_id) AS a FROM m) SELECT train_id, y, x, round(a, 4) AS \"on\", round(v, 4) AS off FROM l WHERE train_id % 2 = 0 AND a IS NOT NULL")
+add("p3_overlap_errors", lambda s, d: pumpprobe.overlap_errors(pulses(s, d), (0, None, 2), (3, None, 3)), f"WITH {_PULSES} SELECT train_id, 'on and off pulses overlap' AS reason FROM pulses GROUP BY 1 HAVING max(pulse) >= 6")
 add("p5_intensities", lambda s, d: pumpprobe.intensities(pulses(s, d), ["xgm"], (0, None, 2), (1, None, 2)), f"WITH {_PULSES} SELECT train_id, round(avg(xgm) FILTER (WHERE pulse % 2 = 0), 4) AS xgm_on, round(avg(xgm) FILTER (WHERE pulse % 2 = 1), 4) AS xgm_off FROM pulses GROUP BY 1")
 add("p6_train_mean", lambda s, d: pumpprobe.train_mean(pulse_pixels(s, d), (0, 3, None), (3, None, None)), f"WITH {_PPX} SELECT train_id, y, x, round(CASE WHEN count(*) > 3 THEN (avg(v) FILTER (WHERE pulse < 3) + avg(v) FILTER (WHERE pulse >= 3)) / 2 ELSE avg(v) END, 4) AS v FROM ppx GROUP BY 1, 2, 3")
-add("p7_pp_history", lambda s, d: pumpprobe.pp_history(recipes.pump_probe_fom(pulse_pixels(s, d), "same_train", (0, None, 2), (1, None, 2), ROIS, 8, 8), 40), f"WITH {_PPX}, {_PAIR} SELECT train_id, round(sum(a - b), 4) AS fom FROM m WHERE {_INS[1]} AND a IS NOT NULL AND b IS NOT NULL GROUP BY 1 ORDER BY train_id DESC LIMIT 40")
+add("p7_pp_history", lambda s, d: pumpprobe.pp_history(recipes.pump_probe_fom(pulse_pixels(s, d), "same_train", (0, None, 2), (1, None, 2), ROIS, 8, 8)), f"WITH {_PPX}, {_PAIR} SELECT train_id, round(sum(a - b), 4) AS fom FROM m WHERE {_INS[1]} AND a IS NOT NULL AND b IS NOT NULL GROUP BY 1 ORDER BY train_id DESC LIMIT 3000")
 
 
 def _lines(s, d):
@@ -319,9 +348,11 @@ def _lines(s, d):
 
 
 _LINES = "ln AS (SELECT vec_id // 8 AS train_id, vec_id % 8 AS pulse, i AS pixel, CAST(embedding[i + 1] AS DOUBLE) AS adc FROM embeddings, range(64) t(i))"
-add("p8_line_pump_probe", lambda s, d: pumpprobe.line_pump_probe(_lines(s, d), (0, 6, 2), (1, 6, 2), (6, None, None)), f"WITH {_LINES}, full_ AS (SELECT vec_id // 8 AS t FROM embeddings GROUP BY 1 HAVING count(*) >= 7) SELECT a.train_id, a.pulse // 2 AS k, a.pixel, round(a.adc - b.adc, 4) AS vfom FROM ln a JOIN ln b ON a.train_id = b.train_id AND a.pixel = b.pixel AND b.pulse = a.pulse + 1 JOIN full_ ON full_.t = a.train_id WHERE a.pulse IN (0, 2, 4)")
+add("p8_line_pump_probe", lambda s, d: pumpprobe.line_pump_probe(_lines(s, d), (0, 6, 2), (1, 6, 2), (6, None, None)), f"WITH {_LINES}, full_ AS (SELECT vec_id // 8 AS t FROM embeddings GROUP BY 1 HAVING count(*) >= 7) SELECT train_id, pulse // 2 AS k, pixel, round(sum(CASE WHEN pulse % 2 = 0 THEN adc ELSE -adc END), 4) AS vfom FROM ln WHERE pulse < 6 AND train_id IN (SELECT t FROM full_) GROUP BY 1, 2, 3")
+add("p8_line_pump_probe_averaged", lambda s, d: pumpprobe.line_pump_probe(_lines(s, d), (0, 6, 2), (1, 6, 2), (6, None, None), 3), f"WITH RECURSIVE {_LINES}, full_ AS (SELECT vec_id // 8 AS t FROM embeddings GROUP BY 1 HAVING count(*) >= 7), pl AS (SELECT train_id, pulse // 2 AS k, pixel, sum(CASE WHEN pulse % 2 = 0 THEN adc ELSE -adc END) AS v FROM ln WHERE pulse < 6 AND train_id IN (SELECT t FROM full_) GROUP BY 1, 2, 3), {moving_sql('pl', 'k, pixel', 3)} SELECT train_id, k, pixel, round(m, 4) AS vfom FROM r")
 add("c2_zero_offset", lambda s, d: image.correct(pulse_pixels(s, d).withColumn("v", F.floor(F.abs("v") * 10).cast("double")), None, constants(s, d), 256.0).groupBy("train_id", "pulse").agg(F.sum("v").alias("t")), f"WITH {_PPX}, {_CONST} SELECT train_id, pulse, round(sum(CASE WHEN floor(abs(p.v) * 10) = 0 THEN 256 ELSE floor(abs(p.v) * 10) END - c.v), 4) AS t FROM ppx p JOIN const c ON c.cell = p.pulse AND c.y = p.y AND c.x = p.x GROUP BY 1, 2")
-add("c3_intra_dark", lambda s, d: image.intra_dark(pulse_pixels(s, d)).where("status = 'ok' AND pulse % 2 = 0").select("train_id", "pulse", "y", "x", "v"), f"WITH {_PPX}, e AS (SELECT vec_id // 8 AS t FROM embeddings GROUP BY 1 HAVING count(*) % 2 = 0) SELECT a.train_id, a.pulse, a.y, a.x, round(a.v - b.v, 4) AS v FROM ppx a JOIN ppx b ON b.train_id = a.train_id AND b.pulse = a.pulse + 1 AND a.y = b.y AND a.x = b.x JOIN e ON e.t = a.train_id WHERE a.pulse % 2 = 0")
+add("c3_intra_dark", lambda s, d: image.intra_dark(pulse_pixels(s, d)).where("status = 'ok' AND pulse % 2 = 0").select("train_id", "pulse", "y", "x", "v"), f"WITH {_PPX}, l AS (SELECT *, lead(v) OVER (PARTITION BY train_id, y, x ORDER BY pulse) AS after_, count(*) OVER (PARTITION BY train_id, y, x) AS n FROM ppx) SELECT train_id, pulse, y, x, round(v - after_, 4) AS v FROM l WHERE n % 2 = 0 AND pulse % 2 = 0")
+add("c4_calibrate_chain", lambda s, d: image.calibrate(pulse_pixels(s, d), constants(s, d), None, constants(s, d), True, adu=0.01, w=3).groupBy("train_id", "pulse").agg(F.sum("v").alias("t")), f"WITH RECURSIVE {_PPX}, {_CONST}, g AS (SELECT train_id, pulse, p.y, p.x, greatest(0.0, floor((0.005 + (p.v - c.v) * c.v) / 0.01)) AS v FROM ppx p JOIN const c ON c.cell = p.pulse AND c.y = p.y AND c.x = p.x), {moving_sql('g', 'pulse, y, x', 3)} SELECT train_id, pulse, round(sum(m), 4) AS t FROM r GROUP BY 1, 2")
 add("c4_calibrate", lambda s, d: image.calibrate(pulse_pixels(s, d), None, constants(s, d), slicer=(1, None, 2), mask=_mask(s), lo=-0.3, hi=0.3).groupBy("train_id", "pulse").agg(F.sum("v").alias("t")), f"WITH {_PPX}, {_CONST}, c AS (SELECT train_id, pulse, p.x, p.v - c.v AS v FROM ppx p JOIN const c ON c.cell = p.pulse AND c.y = p.y AND c.x = p.x) SELECT train_id, (pulse - 1) // 2 AS pulse, round(sum(v) FILTER (WHERE x NOT IN (0, 3) AND v BETWEEN -0.3 AND 0.3), 4) AS t FROM c WHERE pulse % 2 = 1 GROUP BY 1, 2")
 
 # --- azimuthal integration, transforms
@@ -332,9 +363,15 @@ _AI = f"ai0 AS (SELECT train_id, least(CAST(floor(q / {_QHI / 6!r}) AS INT), 5)
 _curve = lambda s, d: azimuthal.integrate(pixels(s, d), azimuthal.q_map(s, *_QARGS), 6, 0.0, _QHI, 2)
 add("i1_q_map", lambda s, d: azimuthal.q_map(s, *_QARGS).join(pixels(s, d).where("train_id = 0").select("y", "x"), ["y", "x"]).withColumn("q", F.col("q") / 1e6), f"WITH {_QSQL} SELECT y, x, round(q / 1e6, 4) AS q FROM qm")
 add("i2_azimuthal", lambda s, d: _curve(s, d).select("train_id", "bin", "i"), f"WITH {_PX}, {_QSQL}, {_AI} SELECT train_id, bin, round(i, 4) AS i FROM ai")
-add("i3_azimuthal_train", lambda s, d: azimuthal.azimuthal_train(pixels(s, d).withColumn("v", F.col("v") + 1), azimuthal.q_map(s, *_QARGS), 6, 0.0, _QHI, (0.0, _QHI)).select("train_id", "bin", (F.col("i") * 1e8).alias("i")))
+_AI1 = _AI.replace("c >= 2", "c >= 1")
+_AREA = f"ar AS (SELECT train_id, {_QHI / 6!r} * sum(CASE WHEN bin IN (0, 5) THEN i / 2 ELSE i END) AS a FROM ai GROUP BY 1)"
+_train_curve = lambda s, d: azimuthal.azimuthal_train(pixels(s, d).withColumn("v", F.col("v") + 1), azimuthal.q_map(s, *_QARGS), 6, 0.0, _QHI, (0.0, _QHI), 3)
+add("i3_azimuthal_train", lambda s, d: _train_curve(s, d).select("train_id", "bin", (F.col("i") * 1e8).alias("i")), f"WITH RECURSIVE {_IMAGES1}, {moving_list_sql('im', 64, 3)}, {_MOVED.replace('mx AS', 'px AS')}, {_QSQL}, {_AI1}, {_AREA} SELECT train_id, bin, round(i / a * 1e8, 4) AS i FROM ai JOIN ar USING (train_id)")
+add("i3_azimuthal_fom", lambda s, d: azimuthal.ai_sum(_train_curve(s, d), 5e7, 1.6e8).withColumn("fom", F.col("fom") * 1e8), f"WITH RECURSIVE {_IMAGES1}, {moving_list_sql('im', 64, 3)}, {_MOVED.replace('mx AS', 'px AS')}, {_QSQL}, {_AI1}, {_AREA} SELECT train_id, round(sum(abs(i / a)) * 1e8, 4) AS fom FROM ai JOIN ar USING (train_id) WHERE q BETWEEN 5e7 AND 1.6e8 GROUP BY 1")
 add("i4_azimuthal_pulse", lambda s, d: azimuthal.azimuthal_pulse_fom(pulse_pixels(s, d), azimuthal.q_map(s, *_QARGS), 6, 0.0, _QHI), f"WITH {_PPX}, {_QSQL}, b AS (SELECT train_id, pulse, least(CAST(floor(q / {_QHI / 6!r}) AS INT), 5) AS bin, avg(v) AS m FROM ppx JOIN qm USING (y, x) WHERE q > 0 AND q <= {_QHI!r} GROUP BY 1, 2, 3) SELECT b.train_id, b.pulse, round(sum(abs(b.m - f.m)), 4) AS fom FROM b JOIN b f ON f.train_id = b.train_id AND f.bin = b.bin AND f.pulse = 0 GROUP BY 1, 2")
 add("i5_azimuthal_pp", lambda s, d: azimuthal.azimuthal_pp(pumpprobe.same_train(pulse_pixels(s, d), (0, None, 2), (1, None, 2)), azimuthal.q_map(s, *_QARGS), 6, 0.0, _QHI).select("train_id", "bin", "i"), f"WITH {_PPX}, {_QSQL}, {_PAIR}, b AS (SELECT train_id, least(CAST(floor(q / {_QHI / 6!r}) AS INT), 5) AS bin, avg(a) - avg(b) AS i FROM m JOIN qm USING (y, x) WHERE q > 0 AND q <= {_QHI!r} AND a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2), t AS (SELECT DISTINCT train_id FROM m WHERE a IS NOT NULL AND b IS NOT NULL) SELECT t.train_id, k AS bin, round(coalesce(i, 0.0), 4) AS i FROM t CROSS JOIN range(6) r(k) LEFT JOIN b ON b.train_id = t.train_id AND b.bin = k")
+_PPI = "pi AS MATERIALIZED (SELECT train_id, list(a + 1 ORDER BY y, x) || list(b + 1 ORDER BY y, x) AS v FROM m WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1)"
+add("i5_azimuthal_pp_averaged", lambda s, d: azimuthal.azimuthal_pp(pumpprobe.same_train(pulse_pixels(s, d).withColumn("v", F.col("v") + 1), (0, None, 2), (1, None, 2)), azimuthal.q_map(s, *_QARGS), 6, 0.0, _QHI, (0.0, _QHI), 3).select("train_id", "bin", (F.col("i") * 1e8).alias("i")), f"WITH RECURSIVE {_PPX}, {_QSQL}, {_PAIR}, {_PPI}, {moving_list_sql('pi', 128, 3)}, mv AS (SELECT train_id, g, i // 8 AS y, i % 8 AS x, m[64 * g + i + 1] AS v FROM r, range(64) t(i), range(2) u(g)), c0 AS (SELECT train_id, g, least(CAST(floor(q / {_QHI / 6!r}) AS INT), 5) AS bin, avg(v) AS i FROM mv JOIN qm USING (y, x) WHERE q > 0 AND q <= {_QHI!r} GROUP BY 1, 2, 3), c AS (SELECT train_id, g, k AS bin, coalesce(i, 0.0) AS i FROM (SELECT DISTINCT train_id, g FROM c0) CROSS JOIN range(6) t(k) LEFT JOIN c0 USING (train_id, g) WHERE c0.bin = k OR c0.bin IS NULL), ar AS (SELECT train_id, g, {_QHI / 6!r} * sum(CASE WHEN bin IN (0, 5) THEN i / 2 ELSE i END) AS a FROM c GROUP BY 1, 2) SELECT c.train_id, c.bin, round(sum(CASE WHEN c.g = 0 THEN i / a ELSE -i / a END) * 1e8, 4) AS i FROM c JOIN ar ON ar.train_id = c.train_id AND ar.g = c.g GROUP BY 1, 2")
 add("i6_ai_sum", lambda s, d: azimuthal.ai_sum(_curve(s, d)), f"WITH {_PX}, {_QSQL}, {_AI} SELECT train_id, round(sum(abs(i)), 4) AS fom FROM ai GROUP BY 1")
 _positive = lambda s, d: azimuthal.integrate(pixels(s, d).withColumn("v", F.col("v") + 1), azimuthal.q_map(s, *_QARGS), 6, 0.0, _QHI, 2)
 add("i7_center_of_mass", lambda s, d: azimuthal.center_of_mass(_positive(s, d)).select("train_id", (F.col("q") / 1e6).alias("q"), "i"), f"WITH {_PX.replace('AS DOUBLE) AS v', 'AS DOUBLE) + 1 AS v')}, {_QSQL}, {_AI}, c AS (SELECT train_id, CAST(round_even(sum(bin * i) / sum(i), 0) AS INT) AS bin FROM ai GROUP BY 1) SELECT train_id, round(q / 1e6, 4) AS q, round(i, 4) AS i FROM c JOIN ai USING (train_id, bin)")
@@ -345,24 +382,14 @@ def _curve64(s, d):
 
 
 _C64 = "c AS (SELECT vec_id AS train_id, k AS bin, k / 10 AS q, round(CAST(embedding[k + 1] AS DOUBLE) + 1, 3) AS i FROM embeddings, range(64) t(k))"
-_PEAKS = f"""{_C64}, n AS (SELECT *, lag(i) OVER w AS l, lead(i) OVER w AS r FROM c WINDOW w AS (PARTITION BY train_id ORDER BY bin)), t AS (SELECT * FROM n WHERE i > l AND i > r),
+_PEAKS = f"""{_C64}, g AS (SELECT *, CAST(i <> lag(i) OVER (PARTITION BY train_id ORDER BY bin) AS INT) AS new_ FROM c), u AS (SELECT *, sum(coalesce(new_, 0)) OVER (PARTITION BY train_id ORDER BY bin) AS run FROM g), f0 AS (SELECT train_id, (min(bin) + max(bin)) // 2 AS bin, any_value(i) AS i, run FROM u GROUP BY train_id, run), n AS (SELECT *, lag(i) OVER w AS l, lead(i) OVER w AS r FROM f0 WINDOW w AS (PARTITION BY train_id ORDER BY run)), t AS (SELECT train_id, bin, i FROM n WHERE i > l AND i > r),
 s AS (SELECT t.train_id, t.bin, t.i, max(CASE WHEN c.bin < t.bin AND c.i > t.i THEN c.bin END) AS ls, min(CASE WHEN c.bin > t.bin AND c.i > t.i THEN c.bin END) AS rs FROM t JOIN c USING (train_id) GROUP BY 1, 2, 3),
 b AS (SELECT s.train_id, s.bin, s.i, s.i - greatest(min(CASE WHEN c.bin <= s.bin THEN c.i END), min(CASE WHEN c.bin >= s.bin THEN c.i END)) AS prominence FROM s JOIN c ON c.train_id = s.train_id AND (ls IS NULL OR c.bin > ls) AND (rs IS NULL OR c.bin < rs) GROUP BY 1, 2, 3),
 p AS (SELECT * FROM b WHERE prominence >= 0.25), f AS (SELECT train_id FROM p GROUP BY 1 HAVING count(*) <= 10)"""
-# plateaus are rare in these curves: those with a tie of neighbours are left to the brute-force tests on both sides
-_NO_TIES = "SELECT train_id FROM n WHERE i = l GROUP BY 1"
-
-
-def _peaks(s, d):
-    c = _curve64(s, d)
-    order = Window.partitionBy("train_id").orderBy("bin")
-    ties = c.withColumn("l", F.lag("i").over(order)).where("i = l").select("train_id").distinct()
-    return azimuthal.find_peaks(c.join(ties, "train_id", "left_anti"), 0.25)
-
-
-add("i8_find_peaks", lambda s, d: _peaks(s, d).select("train_id", "bin", "i", "prominence"), f"WITH {_PEAKS} SELECT p.train_id, p.bin, p.i, round(prominence, 4) AS prominence FROM p JOIN f USING (train_id) WHERE p.train_id NOT IN ({_NO_TIES})")
-add("i9_largest_peak", lambda s, d: azimuthal.largest_peak(_peaks(s, d)), f"WITH {_PEAKS} SELECT p.train_id, max(p.i) AS peak, arg_max(p.bin / 10, p.i * 1000 - p.bin * 0.0001) AS peak_q FROM p JOIN f USING (train_id) WHERE p.train_id NOT IN ({_NO_TIES}) GROUP BY 1")
-add("i10_find_center", lambda s, d: azimuthal.find_center(pixels(s, d), 4, 4, 8, 8, 2, 3).select("train_id", "peak"), f"WITH {_PX}, c AS (SELECT train_id, dy, dx, floor(sqrt(pow(y - 4 - dy, 2) + pow(x - 4 - dx, 2)) + 0.5) AS r, avg(v) AS m, count(*) AS n FROM px, range(-2, 3) a(dy), range(-2, 3) b(dx) GROUP BY 1, 2, 3, 4) SELECT train_id, round(max(m), 4) AS peak FROM c WHERE n >= 3 GROUP BY 1")
+_peaks = lambda s, d: azimuthal.find_peaks(_curve64(s, d), 0.25)
+add("i8_find_peaks", lambda s, d: _peaks(s, d).select("train_id", "bin", "i", "prominence"), f"WITH {_PEAKS} SELECT p.train_id, p.bin, p.i, round(prominence, 4) AS prominence FROM p JOIN f USING (train_id)")
+add("i9_largest_peak", lambda s, d: azimuthal.largest_peak(_peaks(s, d)), f"WITH {_PEAKS} SELECT p.train_id, max(p.i) AS peak, arg_max(p.bin / 10, p.i * 1000 - p.bin * 0.0001) AS peak_q FROM p JOIN f USING (train_id) GROUP BY 1")
+add("i10_find_center", lambda s, d: azimuthal.find_center(pixels(s, d), 4, 4, 8, 8, 2, 3), f"WITH {_PX}, c AS (SELECT train_id, dy, dx, floor(sqrt(pow(y - 4 - dy, 2) + pow(x - 4 - dx, 2)) + 0.5) AS rad, avg(v) AS m, count(*) AS n FROM px, range(-2, 3) a(dy), range(-2, 3) b(dx) GROUP BY 1, 2, 3, 4), k AS (SELECT train_id, dy, dx, max(m) AS m FROM c WHERE n >= 3 GROUP BY 1, 2, 3) SELECT train_id, dy + 4 AS cy, dx + 4 AS cx, round(max(m) OVER (PARTITION BY train_id), 4) AS peak FROM k QUALIFY row_number() OVER (PARTITION BY train_id ORDER BY round(m, 9) DESC, dy, dx) = 1")
 _CROSS = image.cross_kernel(3, 1.0)
 add("t1_gaussian_blur", lambda s, d: image.gaussian_blur(pixels(s, d), 3, 1.0, 8, 8), f"WITH {_PX}, k(dy, dx, w) AS (VALUES {', '.join(f'({a}, {b}, {w!r}::DOUBLE)' for a, b, w in _CROSS)}) SELECT a.train_id, a.y, a.x, round(sum(b.v * k.w), 4) AS v FROM px a, k, px b WHERE b.train_id = a.train_id AND b.y = a.y + k.dy AND b.x = a.x + k.dx GROUP BY 1, 2, 3")
 add("t2_edge_detect", lambda s, d: image.edge_detect(pixels(s, d), 3, 1.0, 0.2, 0.6, 8, 8))
@@ -385,9 +412,16 @@ SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1 AS poi
 
 
 add("w4_scan_points", lambda s, d: stats.scan_points(scans(s, d).select("user_id", "event_id", "x", "y"), ["user_id"], ["event_id"], "x", "y", 20.0), _scan_sql(20.0), 6)
-add("w5_scan_auto_reset", lambda s, d: stats.scan_points(scans(s, d).select("user_id", "event_id", "x", "y"), ["user_id"], ["event_id"], "x", "y", 30.0, auto_reset=True))
+_W5 = f"""WITH RECURSIVE {_SCAN}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM scan),
+w AS (SELECT user_id, r, CAST(NULL AS DOUBLE) AS xm, CAST(0 AS BIGINT) AS c, 0.0::DOUBLE AS ym, 0.0::DOUBLE AS s, CAST(-1 AS BIGINT) AS pos, true AS sk FROM o WHERE r = 1
+UNION ALL SELECT user_id, r, CASE WHEN h THEN xm WHEN k THEN xm + (x - xm) / (c + 1) ELSE x END, CASE WHEN h THEN c WHEN k THEN c + 1 ELSE 1 END, CASE WHEN h THEN ym WHEN k THEN ym + (y - ym) / (c + 1) ELSE y END,
+  CASE WHEN h THEN s WHEN k THEN s + (y - ym) * (y - (ym + (y - ym) / (c + 1))) ELSE 0.0 END, CASE WHEN h OR k THEN pos ELSE pos + 1 END, h
+  FROM (SELECT o.user_id, o.r, o.x, o.y, w.xm, w.c, w.ym, w.s, w.pos, coalesce(abs(o.x - w.xm) <= 30.0, false) AS k, NOT w.sk AND coalesce(abs(o.x - w.xm) > 30.0, true) AS h FROM w JOIN o ON o.user_id = w.user_id AND o.r = w.r + 1)),
+e AS (SELECT user_id, pos, arg_max(xm, r) AS x, arg_max(ym, r) AS y_avg, arg_max(s, r) AS s, max(c) AS count FROM w WHERE pos >= 0 GROUP BY 1, 2 HAVING max(c) >= 2)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1 AS point, round(x, 6) AS x, round(y_avg, 6) AS y_avg, round(y_avg - 0.5 * sqrt(s / count), 6) AS y_min, round(y_avg + 0.5 * sqrt(s / count), 6) AS y_max, count FROM e"""
+add("w5_scan_auto_reset", lambda s, d: stats.scan_points(scans(s, d).select("user_id", "event_id", "x", "y"), ["user_id"], ["event_id"], "x", "y", 30.0, auto_reset=True), _W5, 6)
 add("w6_scan_new_resolution", lambda s, d: stats.scan_points(scans(s, d).select("user_id", "event_id", "x", "y"), ["user_id"], ["event_id"], "x", "y", 35.0), _scan_sql(35.0), 6)
-add("w7_processing_rate", lambda s, d: stats.processing_rate(raw(s, d), ["user_id"]).where("rate IS NOT NULL").select("user_id", "seq", (F.col("rate") * 1000).alias("rate")).where("rate < 100"), f"WITH {_RAW}, l AS (SELECT user_id, seq, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY ts, train_id) AS dt FROM raw) SELECT user_id, seq, round(1000 / dt, 4) AS rate FROM l WHERE dt > 10")
+add("w7_processing_rate", lambda s, d: stats.processing_rate(raw(s, d), ["user_id"]).where("rate IS NOT NULL").select("user_id", "seq", (F.col("rate") * 1000).alias("rate")), f"WITH {_RAW}, l AS (SELECT user_id, seq, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY ts, train_id) AS dt FROM raw) SELECT user_id, seq, round(1 / dt * 1000, 4) AS rate FROM l WHERE dt > 0")
 add("w8_trace", lambda s, d: stats.trace(slow(s, d), "slow1", 500), f"WITH {_TRAINS} SELECT train_id, slow1 FROM slow ORDER BY train_id DESC LIMIT 500")
 
 _W1 = "WITH RECURSIVE " + _SCAN + ", o AS (SELECT user_id, event_id, y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM scan), r AS (SELECT user_id, event_id, n, y, y AS m FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.event_id, o.n, o.y, r.m + (o.y - r.m) / least(o.n, 5) FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1) "
@@ -405,30 +439,51 @@ add("x11_curves", lambda s, d: pulses(s, d).select("train_id", "pulse", fn.curve
 # --- composites
 _xas = lambda s, d: pulses(s, d).join(slow(s, d), "train_id").select("train_id", "pulse", F.col("slow1").alias("energy"), F.col("xgm").alias("i0"), *[(-F.col("fom") * k).alias(f"i1_{c}") for c, k in zip("ABCD", (1.0, 0.5, 0.25, 0.125), strict=True)], (F.col("da") - 0.05).alias("current"))
 _XAS = f"{_PULSES}, {_TRAINS}, xas AS (SELECT train_id, pulse, slow1 AS energy, pulses.xgm AS i0, -pulses.fom AS i1, da - 0.05 AS current FROM pulses JOIN slow USING (train_id))"
-add("q1_xas_tim", lambda s, d: recipes.xas_tim(_xas(s, d), 20.0, 12, 30000, lo=0.0, hi=480000.0), f"WITH {_XAS}, l AS (SELECT * FROM xas WHERE i0 > 20 ORDER BY train_id DESC, pulse DESC LIMIT 30000), b AS (SELECT {_bin_sql('energy', 0.0, 480000.0, 12)} AS bin, count(*) AS c, avg(i0) AS i0, avg(i1) AS m FROM l GROUP BY 1) SELECT i AS bin, (i + 0.5e0) * 40000.0 AS center, coalesce(c, 0) AS count, round(i0, 4) AS i0, round(-ln(-m / i0), 4) AS s_A, round(-ln(-m * 0.5 / i0), 4) AS s_B, round(-ln(-m * 0.25 / i0), 4) AS s_C, round(-m * 0.125 / i0, 4) AS s_D FROM range(12) t(i) LEFT JOIN b ON b.bin = i")
+add("q1_xas_tim", lambda s, d: recipes.xas_tim(_xas(s, d), 20.0, 12, lo=0.0, hi=480000.0), f"WITH {_XAS}, l AS (SELECT * FROM xas WHERE i0 > 20 ORDER BY train_id DESC, pulse DESC LIMIT 180000), b AS (SELECT {_bin_sql('energy', 0.0, 480000.0, 12)} AS bin, count(*) AS c, avg(i0) AS i0, avg(i1) AS m FROM l GROUP BY 1) SELECT i AS bin, (i + 0.5e0) * 40000.0 AS center, coalesce(c, 0) AS count, round(i0, 4) AS i0, round(-ln(-m / i0), 4) AS s_A, round(-ln(-m * 0.5 / i0), 4) AS s_B, round(-ln(-m * 0.25 / i0), 4) AS s_C, round(-m * 0.125 / i0, 4) AS s_D FROM range(12) t(i) LEFT JOIN b ON b.bin = i")
 add("q2_xas_xmcd", lambda s, d: recipes.xas_xmcd(_xas(s, d), 10.0, 0.015, 8, 200000).drop("center"), f"WITH {_XAS}, l AS (SELECT * FROM xas WHERE i0 > 10 AND abs(current) > 0.015), r AS (SELECT current > 0 AS p, min(energy) AS lo, max(energy) AS hi FROM l GROUP BY 1), b AS (SELECT l.current > 0 AS p, CASE WHEN energy = hi THEN 7 ELSE CAST(floor((energy - lo) / (hi - lo) * 8) AS INT) END AS bin, -ln(-avg(i1) / avg(i0)) AS s FROM l JOIN r ON r.p = (l.current > 0) GROUP BY 1, 2) SELECT a.bin, round(a.s, 4) AS A_p, round(b.s, 4) AS A_n, round(a.s - b.s, 4) AS A_diff FROM b a JOIN b ON a.p AND NOT b.p AND a.bin = b.bin")
 _TRX = f"{_PX.replace('AS DOUBLE) AS v', 'AS DOUBLE) + 1 AS v')}, {_TRAINS}, rs AS (SELECT train_id, sum(v) FILTER {_INS[1].replace('(x', '(WHERE x', 1)} AS r1, sum(v) FILTER {_INS[2].replace('(x', '(WHERE x', 1)} AS r2, sum(v) FILTER {_INS[3].replace('(x', '(WHERE x', 1)} AS r3 FROM px GROUP BY 1), pt AS (SELECT train_id, slow2 AS delay, slow1 AS energy, -ln(r1 / r3) AS a13, -ln(r2 / r3) AS a23, -ln(r2 / r1) AS a21 FROM rs JOIN slow USING (train_id) WHERE r1 > 0 AND r2 > 0 AND r3 > 0)"
 _points = lambda s, d: recipes.tr_xas_points(pixels(s, d).withColumn("v", F.col("v") + 1), slow(s, d).select("train_id", F.col("slow2").alias("delay"), F.col("slow1").alias("energy")), ROIS, 8, 8)
 add("q3_tr_xas_1d", lambda s, d: recipes.tr_xas(_points(s, d), 5, 4, (0.0, 100.0), (0.0, 500000.0))[0], f"WITH {_TRX}, b AS (SELECT {_bin_sql('delay', 0.0, 100.0, 5)} AS bin, count(*) AS c, avg(a13) AS a13, avg(a23) AS a23, avg(a21) AS a21 FROM pt GROUP BY 1) SELECT i AS bin, (i + 0.5e0) * 20.0 AS center, coalesce(c, 0) AS count, round(coalesce(a13, 0), 4) AS a13, round(coalesce(a23, 0), 4) AS a23, round(coalesce(a21, 0), 4) AS a21 FROM range(5) t(i) LEFT JOIN b ON b.bin = i")
 add("q3_tr_xas_2d", lambda s, d: recipes.tr_xas(_points(s, d), 5, 4, (0.0, 100.0), (0.0, 500000.0))[1], f"WITH {_TRX}, b AS (SELECT {_bin_sql('delay', 0.0, 100.0, 5)} AS b1, {_bin_sql('energy', 0.0, 500000.0, 4)} AS b2, count(*) AS c, avg(a21) AS s FROM pt GROUP BY 1, 2) SELECT i AS bin1, j AS bin2, coalesce(c, 0) AS count, round(coalesce(s, 0.0), 4) AS stat FROM range(5) t(i), range(4) u(j) LEFT JOIN b ON b1 = i AND b2 = j")
-add("q4_line_detector", lambda s, d: recipes.line_detector(_lines(s, d), _lines(s, d).where("pulse = 7"), 1, 0.5, 2.0), f"WITH {_LINES}, k AS (SELECT pixel, avg(adc) AS d FROM ln WHERE pulse = 7 GROUP BY 1) SELECT train_id, pixel, pixel * 0.5e0 - 2 AS axis, round(avg(adc) - any_value(d), 4) AS mean, round(avg(adc) - any_value(d), 4) AS averaged FROM ln JOIN k USING (pixel) GROUP BY 1, 2")
-add("q5_camera", lambda s, d: recipes.camera(pixels(s, d), pixels(s, d), ROIS[1], 8, 8, 1, 10)[1], f"WITH {_PX}, k AS (SELECT y, x, avg(v) AS d FROM px GROUP BY 1, 2) SELECT train_id, round(avg(v - d), 4) AS mean, round(quantile_cont(v - d, 0.5), 4) AS median, round(stddev_pop(v - d), 4) AS std FROM px JOIN k USING (y, x) WHERE y < 4 AND x < 4 GROUP BY 1")
-add("q6_xes_timing", lambda s, d: recipes.xes_timing(pixels(s, d), slow(s, d).select("train_id", F.col("slow2").alias("delay")), 300), f"WITH {_PX}, {_TRAINS} SELECT train_id, round(sum(v), 4) AS total, any_value(slow2) AS delay FROM px JOIN slow USING (train_id) GROUP BY 1 ORDER BY 1 DESC LIMIT 300")
+_Q4 = f"WITH RECURSIVE {_LINES}, k AS (SELECT pixel, avg(adc) AS d FROM ln WHERE pulse = 7 GROUP BY 1), mean AS (SELECT train_id, pixel, avg(adc) - any_value(d) AS v FROM ln JOIN k USING (pixel) GROUP BY 1, 2), {moving_sql('mean', 'pixel', 3)}"
+_line_detector = lambda s, d: recipes.line_detector(_lines(s, d), _lines(s, d).where("pulse = 7"), 3, 0.5, 2.0)
+add("q4_line_detector", _line_detector, _Q4 + " SELECT train_id, pixel, pixel * 0.5e0 - 2 AS axis, round(mean.v, 4) AS mean, round(r.m, 4) AS averaged FROM r JOIN mean USING (train_id, pixel)")
+add("q4_line_histogram", lambda s, d: recipes.line_histogram(_line_detector(s, d), 8, 55, 6, -0.3, 0.3), _Q4 + f", b AS (SELECT train_id, {_bin_sql('m', -0.3, 0.3, 6)} AS bin FROM r WHERE pixel BETWEEN 8 AND 55) SELECT train_id, bin, count(*) AS count FROM b WHERE bin IS NOT NULL GROUP BY 1, 2")
+_Q5 = f"WITH RECURSIVE {_IMAGES}, {moving_list_sql('im', 64, 3)}, {_MOVED}, {_PX}, k AS (SELECT y, x, avg(v) AS d FROM px GROUP BY 1, 2), cam AS (SELECT train_id, y, x, v - d AS v FROM mx JOIN k USING (y, x) WHERE y < 4 AND x < 4)"
+_camera = lambda s, d: recipes.camera(pixels(s, d), pixels(s, d), ROIS[1], 8, 8, 3, 10)
+add("q5_camera", lambda s, d: _camera(s, d)[1], _Q5 + " SELECT train_id, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.5), 4) AS median, round(stddev_pop(v), 4) AS std FROM cam GROUP BY 1")
+add("q5_camera_histogram", lambda s, d: recipes.roi_histogram(_camera(s, d)[0], ROIS[1], 8, 8, 10, -0.25, 0.25), _Q5 + f", b AS (SELECT train_id, {_bin_sql('v', -0.25, 0.25, 10)} AS bin FROM cam) SELECT train_id, bin, count(*) AS count FROM b WHERE bin IS NOT NULL GROUP BY 1, 2")
+add("q6_xes_timing", lambda s, d: recipes.xes_timing(pixels(s, d), slow(s, d).select("train_id", F.col("slow2").alias("delay"))), f"WITH {_PX}, {_TRAINS} SELECT train_id, round(sum(v), 4) AS total, any_value(slow2) AS delay FROM px JOIN slow USING (train_id) GROUP BY 1 ORDER BY 1 DESC LIMIT 6000")
 add("q7_vector_view", lambda s, d: recipes.vector_view(pulses(s, d).select("train_id", "pulse", F.col("xgm").alias("v")), pulses(s, d).select("train_id", "pulse", F.col("da").alias("v")), 6000), f"WITH {_PULSES} SELECT train_id, pulse, xgm AS a, da AS b FROM pulses ORDER BY train_id DESC, pulse DESC LIMIT 6000")
 add("q8_fit_linear", lambda s, d: recipes.fit_linear(scans(s, d), ["user_id"]), f"WITH {_SCAN} SELECT user_id, round(regr_slope(y, x), 4) AS a, round(regr_intercept(y, x), 4) AS b, count(*) AS n FROM scan GROUP BY 1")
 add("q8_curve_fit", lambda s, d: recipes.curve_fit(scans(s, d).select("user_id", F.col("x").alias("x"), "y"), ["user_id"], "linear"), f"WITH {_SCAN} SELECT user_id, round(regr_slope(y, x), 4) AS p0, round(regr_intercept(y, x), 4) AS p1 FROM scan GROUP BY 1")
+_FITS = {"gaussian": (2.0, 25.0, 8.0, 1.0), "lorentzian": (2.0, 25.0, 8.0, 1.0), "erf": (2.0, 25.0, 8.0, 1.0), "cubic": (0.5, -2.0, 3.0, 4.0)}
+
+
+def _fit_data(s, d, kind):
+    """Points of a known curve of each of four groups of trains: the fit has to find its parameters again."""
+    x = F.col("xgm") / 10 if kind == "cubic" else F.col("xgm")
+    own = pulses(s, d).select((F.col("train_id") % 4).alias("g"), x.alias("x"))
+    first, *rest = _FITS[kind]
+    return own.withColumn("y", fn.curve(kind, F.col("x"), [F.col("g") + first, *map(F.lit, rest)]))
+
+
+def _fit(s, d, kind):
+    start = None if kind == "cubic" else (3.0, 24.0, 7.0, 0.5)
+    return recipes.curve_fit(_fit_data(s, d, kind), ["g"], kind, start)
+
+
+for _kind, (_p0, _p1, _p2, _p3) in _FITS.items():
+    add(f"q8_fit_{_kind}", lambda s, d, kind=_kind: _fit(s, d, kind), f"SELECT l_orderkey % 4 AS g, (l_orderkey % 4) + {_p0}e0 AS p0, {_p1}e0 AS p1, {_p2}e0 AS p2, {_p3}e0 AS p3 FROM lineitem GROUP BY 1", 3)
+add("q8_fitted_points", lambda s, d: recipes.fitted_points(scans(s, d).select("user_id", "x", "y"), recipes.curve_fit(scans(s, d).select("user_id", "x", "y"), ["user_id"], "linear"), ["user_id"], "linear", 5), f"WITH {_SCAN}, p AS (SELECT user_id, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, min(x) AS lo, max(x) AS hi FROM scan GROUP BY 1) SELECT user_id, round(lo + (hi - lo) * i / 4, 4) AS x, round(a * (lo + (hi - lo) * i / 4) + b, 4) AS y FROM p, range(5) t(i)")
 add("d2_fom_dispatch", lambda s, d: recipes.fom(pixels(s, d), "roi_fom", rois=ROIS, ny=8, nx=8, how="mean", combo="add"), f"WITH {_PX} SELECT train_id, round(avg(v) FILTER {_INS[1].replace('(x', '(WHERE x', 1)} + avg(v) FILTER {_INS[2].replace('(x', '(WHERE x', 1)}, 4) AS fom FROM px GROUP BY 1")
 add("d4_apply_custom", lambda s, d: recipes.apply_custom(train_fom(s, d).select("train_id", "fom"), lambda f: f.assign(fom=f.fom * 2), "train_id long, fom double"), f"WITH {_TRAINS} SELECT train_id, round(fom * 2, 4) AS fom FROM fom")
 
 
 # --- streams: the events table as a file stream, run until it is read
 def _streamed(spark, d, build, mode: str = "append"):
-    import tempfile
-    import uuid
-
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = scratch_path(spark, "stream")
     schema = _read(spark, d, "events").schema
     own = _read(spark, d, "events").inputFiles()
     if len(own) == 1 and own[0].endswith("/events.parquet"):  # a single file: the stream watches its folder for that name
@@ -436,16 +491,22 @@ def _streamed(spark, d, build, mode: str = "append"):
     else:
         events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
     df = build(events)
+    return _drained(spark, df, at, mode)
+
+
+def _drained(spark, df, at, mode="append", hand_on=None):
+    """The rows that a stream gives until its input is read; hand_on: a policy between the stream and the sink."""
 
     def keep(batch, batch_id):
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{at}/out")
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
 
+    keep = hand_on(keep) if hand_on else keep
     df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{at}/out")
 
 
 def _stream_raw(events):
-    return events.select(F.floor(F.col("event_id") / 10).alias("train_id"), F.col("event_type").alias("source"), "ts", F.col("value").alias("scalar"), F.col("event_id").alias("seq"))
+    return events.select(F.floor(F.col("event_id") / 10).alias("train_id"), F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("scalar"), F.col("event_id").alias("seq"))
 
 
 def _k6(s, d):
@@ -469,3 +530,65 @@ add("k6_bin_stream", _k6, f"SELECT {_bin_sql('value', 0.0, 50.0, 10)} AS bin, co
 add("k7_histogram_stream", _k7, f"SELECT {_bin_sql('value', 0.0, 50.0, 10)} AS bin, count(*) AS count FROM events WHERE value BETWEEN 0 AND 50 GROUP BY 1")
 add("k5_moving_average_stream", _k5, ORACLE_SQL["w1_moving_average"])
 add("k11_status", lambda s, d: streaming.with_status(train_fom(s, d), {"low": F.col("fom") < 20000, "dim": F.col("xgm") < 10})[1].select("train_id", "reason"), f"WITH {_TRAINS} SELECT train_id, CASE WHEN fom < 20000 THEN 'low' ELSE 'dim' END AS reason FROM fom WHERE fom < 20000 OR xgm < 10")
+
+
+# --- written and read again, plug-ins, further streams
+def _recorded(s, d):
+    path = scratch_path(s, "run")
+    src.write_results(raw(s, d).select("train_id", "source", "property", "ts", "scalar", "seq"), path)
+    return path
+
+
+def _two_streams(s, d):
+    paths = [scratch_path(s, f"endpoint{k}") for k in (0, 1)]
+    own = raw(s, d).select("train_id", "source", "seq")
+    for k, p in enumerate(paths):
+        own.where(F.col("seq") % 2 == k).write.parquet(p)
+    return _drained(s, src.stream_sources(s, paths, own.schema), scratch_path(s, "stream"))
+
+
+def _reference(s, d):
+    path = scratch_path(s, "reference")
+    image.dark_from_run(pixels(s, d)).select("y", "x", "v").write.parquet(path)
+    return src.load_reference(s, path)
+
+
+class _PulseEnergy:
+    """A plug-in: clicks over views of complete trains."""
+
+    def sources(self):
+        return ["click", "view"]
+
+    def __call__(self, df):
+        return df.where("view > 0").select("train_id", (F.col("click") / F.col("view")).alias("fom"))
+
+
+add("s1_scan_run", lambda s, d: src.scan_run(s, _recorded(s, d), ["click", "view"], True).select("train_id", "seq"), ORACLE_SQL["s5_require_all"])
+add("s6_stream_sources", _two_streams, f"WITH {_RAW} SELECT train_id, source, seq FROM raw")
+add("s8_load_reference", _reference, ORACLE_SQL["a14_dark_from_run"])
+add("s9_write_results", lambda s, d: s.read.parquet(_recorded(s, d)).select("train_id", "source", "scalar", "seq"), f"WITH {_RAW} SELECT train_id, source, round(scalar, 4) AS scalar, seq FROM raw")
+add("d1_chain", lambda s, d: recipes.chain(pulses(s, d), lambda x: filters.slice_pulses(x, 0, 4), lambda x: filters.filter_pulses(x, "xgm", 10, INF), lambda x: x.where("kept").groupBy("train_id").agg(F.sum("fom").alias("fom"))), f"WITH {_PULSES} SELECT train_id, round(sum(fom), 4) AS fom FROM pulses WHERE pulse < 4 AND xgm >= 10 GROUP BY 1")
+add("d3_recipe", lambda s, d: recipes.run_recipe(raw(s, d), _PulseEnergy()), f"WITH {_RAW}, w AS (SELECT train_id, arg_max(scalar, ts) FILTER (source = 'click') AS c, arg_max(scalar, ts) FILTER (source = 'view') AS v FROM raw GROUP BY 1 HAVING count(DISTINCT CASE WHEN source IN ('click', 'view') THEN source END) = 2) SELECT train_id, round(c / v, 4) AS fom FROM w WHERE v > 0")
+_DAY = 86_400_000_000
+add("k4_correlate_default", lambda s, d: _streamed(s, d, lambda e: streaming.correlate_stream(_stream_raw(e), ["click", "view", "error"], "0 seconds", "1 day")), f"WITH {_RAW}, own AS (SELECT *, epoch_us(ts) // {_DAY} AS w FROM raw WHERE source IN ('click', 'view', 'error')) SELECT train_id, arg_max(scalar, ts) FILTER (source = 'click') AS click, arg_max(scalar, ts) FILTER (source = 'view') AS \"view\", arg_max(scalar, ts) FILTER (source = 'error') AS error FROM own GROUP BY w, train_id HAVING count(DISTINCT source) = 3 AND (w + 1) * {_DAY} <= (SELECT max(epoch_us(ts)) FROM own)")
+_versioned = lambda e: e.select((F.col("user_id") * 2 + F.floor(F.col("event_id") / 1000) % 2).alias("key"), "event_id", "value")
+add("k8_version_reset", lambda s, d: _streamed(s, d, lambda e: streaming.moving_average_stream(_versioned(e), "key", "event_id", "value", 5)), "WITH RECURSIVE o AS MATERIALIZED (SELECT user_id * 2 + (event_id // 1000) % 2 AS key, event_id, value AS y, row_number() OVER (PARTITION BY user_id * 2 + (event_id // 1000) % 2 ORDER BY event_id) AS n FROM events), r AS (SELECT key, event_id, n, y AS m FROM o WHERE n = 1 UNION ALL SELECT o.key, o.event_id, o.n, r.m + (o.y - r.m) / least(o.n, 5) FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1) SELECT key, event_id, round(m, 4) AS avg FROM r")
+
+
+def _k9(s, d):
+    at = scratch_path(s, "stream")
+    events = s.readStream.schema(_read(s, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(_events_copy(s, d))
+    newest = lambda sink: streaming.latest_per_batch(sink)
+    return _drained(s, _stream_raw(events).select("train_id"), at, "append", newest)
+
+
+def _events_copy(s, d):
+    path = scratch_path(s, "events")
+    _read(s, d, "events").coalesce(1).write.parquet(path)
+    return path
+
+
+add("k9_drop_policy", _k9, f"WITH {_RAW} SELECT max(train_id) AS train_id FROM raw")
+add("k10_source_expiry", lambda s, d: _streamed(s, d, lambda e: streaming.available_sources_stream(_stream_raw(e), "1 day").select(F.expr("unix_micros(CAST(window.start AS TIMESTAMP))").alias("day"), "source", "last_train"), "complete").select((F.col("day") / _DAY).cast("long").alias("day"), "source", "last_train"), f"WITH {_RAW} SELECT epoch_us(ts) // {_DAY} AS day, source, arg_max(train_id, ts) AS last_train FROM raw GROUP BY 1, 2")
+add("k5_scan_stream", lambda s, d: _streamed(s, d, lambda e: streaming.scan_points_stream(e.select("user_id", "event_id", F.get_json_object("props", "$.k").cast("double").alias("x"), F.col("value").alias("y")), "user_id", "event_id", "x", "y", 20.0), "update").groupBy("user_id", "point").agg(F.max_by(F.struct("x", "y_avg", "y_min", "y_max", "count"), "count").alias("p")).select("user_id", "point", "p.*"), _scan_sql(20.0), 6)
+add("k3_cache_overflow", lambda s, d: _streamed(s, d, lambda e: streaming.correlate_stream_exact(_stream_raw(e), ["click", "view", "error"], 20)))

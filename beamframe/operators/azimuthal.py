@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from beamframe.functions import HC_E
 from beamframe.operators.roi import normalize_auc
+from beamframe.operators.stats import averaged
 
 
 def q_map(spark: SparkSession, ny: int, nx: int, cy: float, cx: float, dist: float, pixel: float, energy: float) -> DataFrame:
@@ -30,9 +31,12 @@ def integrate(px: DataFrame, qmap: DataFrame, n: int, lo: float, hi: float, min_
     return grid.join(got, [*keys, "bin"], "left").select(*keys, "bin", (F.lit(lo) + (F.col("bin") + 0.5) * width).alias("q"), F.when(F.col("c") >= min_count, F.col("m")).otherwise(0.0).alias("i"))
 
 
-def azimuthal_train(px: DataFrame, qmap: DataFrame, n: int, lo: float, hi: float, auc: tuple[float, float] | None = None) -> DataFrame:
-    """Train curves (train_id, bin, q, i), over their area if auc is given."""
-    curve = integrate(px, qmap, n, lo, hi)
+def azimuthal_train(px: DataFrame, qmap: DataFrame, n: int, lo: float, hi: float, auc: tuple[float, float] | None = None, w: int = 1) -> DataFrame:
+    """Train curves (train_id, bin, q, i) of images averaged over w trains, over their area if auc is given; ai_sum has their figure of merit."""
+    return _over_area(integrate(averaged(px.select("train_id", "y", "x", "v"), ["y", "x"], "v", w), qmap, n, lo, hi), auc)
+
+
+def _over_area(curve: DataFrame, auc: tuple[float, float] | None) -> DataFrame:
     if auc is None:
         return curve
     return normalize_auc(curve.withColumnsRenamed({"q": "x", "i": "y"}), *auc).withColumnsRenamed({"x": "q", "y": "i"}).select("train_id", "bin", "q", "i")
@@ -45,9 +49,9 @@ def azimuthal_pulse_fom(px: DataFrame, qmap: DataFrame, n: int, lo: float, hi: f
     return curve.withColumn("d", F.abs(F.col("i") - first)).groupBy("train_id", "pulse").agg(F.sum("d").alias("fom"))
 
 
-def azimuthal_pp(pairs: DataFrame, qmap: DataFrame, n: int, lo: float, hi: float) -> DataFrame:
-    """train_id, bin, q, on, off, i = on - off of paired images (train_id, y, x, on, off)."""
-    a, b = (integrate(pairs.select("train_id", "y", "x", F.col(c).alias("v")), qmap, n, lo, hi).withColumnRenamed("i", c) for c in ("on", "off"))
+def azimuthal_pp(pairs: DataFrame, qmap: DataFrame, n: int, lo: float, hi: float, auc: tuple[float, float] | None = None, w: int = 1) -> DataFrame:
+    """train_id, bin, q, on, off, i = on - off of paired images (train_id, y, x, on, off), each averaged over w trains and, if auc is given, divided by the area under its curve."""
+    a, b = (azimuthal_train(pairs.select("train_id", "y", "x", F.col(c).alias("v")), qmap, n, lo, hi, auc, w).withColumnRenamed("i", c) for c in ("on", "off"))
     return a.join(b.drop("q"), ["train_id", "bin"]).withColumn("i", F.col("on") - F.col("off"))
 
 
@@ -88,11 +92,11 @@ def largest_peak(peaks: DataFrame) -> DataFrame:
 
 
 def find_center(px: DataFrame, cy: float, cx: float, ny: int, nx: int, reach: int = 10, min_count: int = 1) -> DataFrame:
-    """train_id, cy, cx, peak: the centre within reach pixels whose radial mean has the highest peak."""
+    """train_id, cy, cx, peak: the centre within reach pixels whose radial mean has the highest peak, of equal ones (to 9 digits) the first by row and column."""
     px = px.where("v IS NOT NULL")
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     cand = px.select("train_id", "y", "x", "v", F.explode(steps).alias("dy")).select("*", F.explode(steps).alias("dx"))
     r = F.floor(F.sqrt(F.pow(F.col("y") - cy - F.col("dy"), 2) + F.pow(F.col("x") - cx - F.col("dx"), 2)) + 0.5)
     radial = cand.groupBy("train_id", "dy", "dx", r.alias("r")).agg(F.avg("v").alias("m"), F.count("*").alias("n")).where(F.col("n") >= min_count)
     peak = radial.groupBy("train_id", "dy", "dx").agg(F.max("m").alias("peak"))
-    return peak.groupBy("train_id").agg(F.max_by(F.struct("dy", "dx"), F.struct("peak", -F.col("dy"), -F.col("dx"))).alias("b"), F.max("peak").alias("peak")).select("train_id", (F.col("b.dy") + cy).alias("cy"), (F.col("b.dx") + cx).alias("cx"), "peak")
+    return peak.groupBy("train_id").agg(F.max_by(F.struct("dy", "dx"), F.struct(F.round("peak", 9), -F.col("dy"), -F.col("dx"))).alias("b"), F.max("peak").alias("peak")).select("train_id", (F.col("b.dy") + cy).alias("cy"), (F.col("b.dx") + cx).alias("cx"), "peak")

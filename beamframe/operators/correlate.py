@@ -25,16 +25,30 @@ def dropped_trains(raw: DataFrame, sources: list[str]) -> DataFrame:
     return found.withColumn("missing", missing).where(F.size("missing") > 0).select("train_id", F.size("missing").cast("long").alias("n_missing"), drop_reason(F.size("missing"), F.lit(len(sources)), F.element_at("missing", 1)).alias("reason"))
 
 
+RANGES = 256
+
+
+def by_ranges(df: DataFrame, col: str, ranges: int = RANGES) -> DataFrame:
+    """df with __range, the number of one of at most `ranges` ranges of col with about equally many rows: windows over all rows become windows in a range and one over the ranges."""
+    cuts = sorted(set(df.approxQuantile(col, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    return df.withColumn("__range", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col(col))) if cuts else F.lit(0))
+
+
 def correlate_ordered(arrivals: DataFrame, sources: list[str]) -> DataFrame:
     """Exact emission rule on (seq, train_id, source): a complete train survives unless a train that first arrived later completes before it.
 
-    Works on one row a train after the first aggregate; the window is over IDs only.
+    Works on one row a train after the first aggregate. Trains are cut into ranges of first_seq: what completes later is
+    the least of the rows after a train in its range and of the least values of all later ranges.
     """
     own = arrivals.where(F.col("source").isin(sources))
     first = own.groupBy("train_id", "source").agg(F.min("seq").alias("seq"))
     trains = first.groupBy("train_id").agg(F.min("seq").alias("first_seq"), F.when(F.count("*") == len(sources), F.max("seq")).alias("complete_seq"))
-    later = F.min("complete_seq").over(Window.orderBy("first_seq").rowsBetween(1, Window.unboundedFollowing))
-    return trains.withColumn("later", later).where("complete_seq IS NOT NULL AND (later IS NULL OR later > complete_seq)").select("train_id", "complete_seq")
+    trains = by_ranges(trains, "first_seq")
+    least = trains.groupBy("__range").agg(F.min("complete_seq").alias("least"))  # at most RANGES rows
+    after = F.min("least").over(Window.orderBy("__range").rowsBetween(1, Window.unboundedFollowing))
+    inside = F.min("complete_seq").over(Window.partitionBy("__range").orderBy("first_seq").rowsBetween(1, Window.unboundedFollowing))
+    trains = trains.withColumn("inside", inside).join(F.broadcast(least.select("__range", after.alias("after"))), "__range")
+    return trains.withColumn("later", F.least("inside", "after")).where("complete_seq IS NOT NULL AND (later IS NULL OR later > complete_seq)").select("train_id", "complete_seq")
 
 
 def join_slow(fom: DataFrame, slow: DataFrame) -> DataFrame:
@@ -51,8 +65,13 @@ def pair_on_off(trains: DataFrame, mode: str = "even_on") -> DataFrame:
     df = trains.withColumn("__on", on)
     if "has_on" in trains.columns:
         df = df.where(~F.col("__on") | F.col("has_on"))
-    order = Window.orderBy("train_id")
-    df = df.withColumn("__prev", F.lag(F.when(F.col("__on"), F.col("train_id"))).over(order))
+    df = by_ranges(df, "train_id").withColumn("__if_on", F.when(F.col("__on"), F.col("train_id")))
+    last = df.groupBy("__range").agg(F.max_by("__if_on", "train_id").alias("last"))  # at most RANGES rows
+    last = last.select("__range", F.lag("last").over(Window.orderBy("__range")).alias("__last"))
+    order = Window.partitionBy("__range").orderBy("train_id")
+    first = F.row_number().over(order) == 1
+    df = df.withColumns({"__first": first, "__lag": F.lag("__if_on").over(order)}).join(F.broadcast(last), "__range")
+    df = df.withColumn("__prev", F.when(F.col("__first"), F.col("__last")).otherwise(F.col("__lag")))
     df = df.where(~F.col("__on") & F.col("__prev").isNotNull())
     if "has_off" in trains.columns:
         df = df.where("has_off")

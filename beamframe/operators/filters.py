@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beamframe.operators.stats import averaged
+
 
 def select_property(raw: DataFrame, source: str, prop: str) -> DataFrame:
     """train_id, value of one property; `<property>.value` where the plain one is missing."""
@@ -101,12 +103,13 @@ def drop_all_guard(df: DataFrame, keys: tuple[str, ...] = ("train_id",)) -> tupl
 DIGITIZER_CHANNELS = ("A", "B", "C", "D", "ADC")
 
 
-def digitizer_pulse(df: DataFrame, channels: dict[str, str], start=None, stop=None, step=None) -> DataFrame:
-    """(train_id, pulse, <properties>) to (train_id, channel, pulse, integral); channels maps property to channel name."""
+def digitizer_pulse(df: DataFrame, channels: dict[str, str], start=None, stop=None, step=None, w: int = 1, lo: float = -math.inf, hi: float = math.inf) -> DataFrame:
+    """(train_id, pulse, <properties>) to (train_id, channel, pulse, integral) of the pulse slice; channels maps property to channel name. w: window of the moving average over trains for each channel and pulse; pulses whose averaged integral is outside lo..hi go."""
     if unknown := set(channels.values()) - set(DIGITIZER_CHANNELS):
         raise ValueError(f"unknown digitizer channels {sorted(unknown)}")
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(p).cast("double").alias("integral")) for p, c in channels.items()])).alias("c")
-    return slice_pulses(df.select("train_id", "pulse", pairs).select("train_id", "pulse", "c.*"), start, stop, step)
+    own = averaged(slice_pulses(df.select("train_id", "pulse", pairs).select("train_id", "pulse", "c.*"), start, stop, step), ["channel", "pulse"], "integral", w)
+    return own if math.isinf(lo) and math.isinf(hi) else own.where((F.col("integral") >= lo) & (F.col("integral") <= hi))
 
 
 def slice_curve(df: DataFrame, lo: float | None = None, hi: float | None = None) -> DataFrame:

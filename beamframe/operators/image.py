@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beamframe.functions import nan_to_null
+from beamframe.operators.stats import averaged
 
 IMAGE, PULSE_IMAGE = ("train_id",), ("train_id", "pulse")
 
@@ -119,15 +120,16 @@ def intra_dark(px: DataFrame) -> DataFrame:
     return px.withColumns({"__after": after, "__n": n}).withColumn("v", F.when((F.col("pulse") % 2 == 0) & (F.col("__n") % 2 == 0), F.col("v") - F.col("__after")).otherwise(F.col("v"))).withColumn("status", F.when(F.col("__n") % 2 == 0, "ok").otherwise("error")).drop("__after", "__n")
 
 
-def calibrate(px: DataFrame, gain: DataFrame | None, offset: DataFrame | None, dark: DataFrame | None = None, dark_as_offset: bool = False, adu: float | None = None, slicer: tuple | None = None, mask: DataFrame | None = None, lo: float = -math.inf, hi: float = math.inf, **options) -> DataFrame:
-    """Correction, photon binning, pulse slice, masks, in that order: constants fit the unsliced train."""
+def calibrate(px: DataFrame, gain: DataFrame | None, offset: DataFrame | None, dark: DataFrame | None = None, dark_as_offset: bool = False, adu: float | None = None, slicer: tuple | None = None, mask: DataFrame | None = None, lo: float = -math.inf, hi: float = math.inf, w: int = 1, **options) -> DataFrame:
+    """Correction, photon binning, pulse slice, masks, in that order: constants fit the unsliced train. A dark image recorded from a run (dark_mean, dark_from_run) is `dark`; w: window of the moving average over trains that ends the chain."""
     from beamframe.operators.filters import slice_pulses
 
     df = correct(px, gain, dark if dark_as_offset else offset, **options)
     df = bin_photons(df, adu) if adu else df
     df = slice_pulses(df, *slicer) if slicer else df
     df = mask_image(df, mask) if mask is not None else df
-    return df if math.isinf(lo) and math.isinf(hi) else mask_threshold(df, lo, hi)
+    df = df if math.isinf(lo) and math.isinf(hi) else mask_threshold(df, lo, hi)
+    return averaged(df, [c for c in ("pulse", "y", "x") if c in df.columns], "v", w)
 
 
 # reductions

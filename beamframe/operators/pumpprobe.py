@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from beamframe.operators.correlate import pair_on_off
 from beamframe.operators.filters import in_slice
+from beamframe.operators.stats import averaged
 
 Slice = tuple[int | None, int | None, int | None]
 
@@ -23,15 +24,18 @@ def on_off_pulses(df: DataFrame, on: Slice, off: Slice) -> DataFrame:
 def on_off_means(px: DataFrame, on: Slice, off: Slice) -> DataFrame:
     """train_id, y, x, on, off: mean images of the groups in one aggregate."""
     df = on_off_pulses(px, on, off)
-    return df.groupBy("train_id", "y", "x").agg(F.avg(F.when(F.col("is_on"), F.col("v"))).alias("on"), F.avg(F.when(F.col("is_off"), F.col("v"))).alias("off"), F.count_if("is_on").alias("n_on"), F.count_if("is_off").alias("n_off"))
+    return df.groupBy("train_id", "y", "x").agg(F.avg(F.when(F.col("is_on"), F.col("v"))).alias("on"), F.avg(F.when(F.col("is_off"), F.col("v"))).alias("off"), F.count_if("is_on").alias("n_on"), F.count_if("is_off").alias("n_off"), F.count_if(F.col("is_on") & F.col("is_off")).alias("n_both"))
+
+
+def overlap_errors(pulses: DataFrame, on: Slice, off: Slice) -> DataFrame:
+    """train_id, reason of trains with a pulse in both groups."""
+    both = on_off_pulses(pulses, on, off).where("is_on AND is_off")
+    return both.select("train_id").distinct().withColumn("reason", F.lit("on and off pulses overlap"))
 
 
 def same_train(px: DataFrame, on: Slice, off: Slice) -> DataFrame:
-    """Mode same train: both groups of one train; trains without one of them are dropped. Overlapping groups are an error."""
-    df = on_off_pulses(px, on, off)
-    if df.where("is_on AND is_off").limit(1).count():
-        raise ValueError("on and off pulses overlap")
-    return on_off_means(px, on, off).where("n_on > 0 AND n_off > 0").select("train_id", "y", "x", "on", "off")
+    """Mode same train: both groups of one train; trains without one of them are dropped. Overlapping groups are an error of the train, which has no rows (overlap_errors names it)."""
+    return on_off_means(px, on, off).where("n_on > 0 AND n_off > 0 AND n_both = 0").select("train_id", "y", "x", "on", "off")
 
 
 def reference_as_off(px: DataFrame, on: Slice, reference: DataFrame | None = None) -> DataFrame:
@@ -77,8 +81,8 @@ def pp_history(fom: DataFrame, n: int = 3000) -> DataFrame:
     return fom.select("train_id", "fom").orderBy(F.desc("train_id")).limit(n)
 
 
-def line_pump_probe(lines: DataFrame, on: Slice, off: Slice, dark: Slice) -> DataFrame:
-    """Line detector (train_id, pulse, pixel, adc): train_id, k, pixel, vfom = on - off of the k-th on and off pulse, less the mean dark pulse (which cancels in the difference but not in what is shown: corrected). Trains with unequal counts have no rows."""
+def line_pump_probe(lines: DataFrame, on: Slice, off: Slice, dark: Slice, w: int = 1) -> DataFrame:
+    """Line detector (train_id, pulse, pixel, adc): train_id, k, pixel, vfom = on - off of the k-th on and off pulse, less the mean dark pulse (which cancels in the difference but not in what is shown: corrected). Trains with unequal counts have no rows. w: window of the moving average over trains."""
     n = F.max("pulse").over(Window.partitionBy("train_id")) + 1
     df = lines.withColumn("__n", n)
     df = df.withColumns({f"is_{k}": in_slice(F.col("pulse"), F.col("__n"), *s) for k, s in (("on", on), ("off", off), ("dark", dark))})
@@ -86,4 +90,5 @@ def line_pump_probe(lines: DataFrame, on: Slice, off: Slice, dark: Slice) -> Dat
     rank = Window.partitionBy("train_id", "pixel").orderBy("pulse")
     part = lambda g: df.where(f"is_{g}").join(base, ["train_id", "pixel"]).select("train_id", "pixel", (F.row_number().over(rank) - 1).alias("k"), (F.col("adc") - F.col("base")).alias(g))
     counts = df.groupBy("train_id", "pixel").agg(F.count_if("is_on").alias("a"), F.count_if("is_off").alias("b")).where("a = b").select("train_id", "pixel")
-    return part("on").join(part("off"), ["train_id", "pixel", "k"]).join(counts, ["train_id", "pixel"], "left_semi").select("train_id", "k", "pixel", (F.col("on") - F.col("off")).alias("vfom"))
+    out = part("on").join(part("off"), ["train_id", "pixel", "k"]).join(counts, ["train_id", "pixel"], "left_semi").select("train_id", "k", "pixel", (F.col("on") - F.col("off")).alias("vfom"))
+    return averaged(out, ["k", "pixel"], "vfom", w)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from beamframe.functions import divide, divide_ieee
 from beamframe.operators.image import REDUCERS
+from beamframe.operators.stats import averaged
 
 Rect = tuple[int, int, int, int]
 
@@ -82,12 +83,34 @@ def roi_projection(px: DataFrame, roi: Rect, ny: int, nx: int, axis: str = "x",
     return px.where(_inside(c)).groupBy(*keys, (F.col(axis) - base).alias("i")).agg((F.coalesce(F.sum("v"), F.lit(0.0)) if how == "sum" else F.avg("v")).alias("y"))
 
 
+def roi_fom_train(px: DataFrame, rois: dict[int, Rect], ny: int, nx: int, how: str = "sum", combo: str = "first", w: int = 1, normalizer: str | None = None, norm_combo: str = "first") -> DataFrame:
+    """train_id, fom [, fom_slave], status of train images (train_id, y, x, v): moving average of the images over w trains, regions 1 and 2, and, with normalizer (a reduction), division by regions 3 and 4."""
+    px = averaged(px.select("train_id", "y", "x", "v"), ["y", "x"], "v", w)
+    out = roi_fom(px, rois, ny, nx, how, combo)
+    if normalizer is None:
+        return out.withColumn("status", F.lit("ok"))
+    return normalize(out, roi_norm(px, rois, ny, nx, normalizer, norm_combo))
+
+
+def roi_projection_train(px: DataFrame, rois: dict[int, Rect], ny: int, nx: int, axis: str = "x", how: str = "sum", w: int = 1, lo: float = -math.inf, hi: float = math.inf, normalizer: str | None = None) -> DataFrame:
+    """train_id, i, y: region 1 of the averaged images, projected, and divided by the area under it within lo..hi or, with normalizer, by regions 3 and 4."""
+    px = averaged(px.select("train_id", "y", "x", "v"), ["y", "x"], "v", w)
+    curve = roi_projection(px, rois[1], ny, nx, axis, how)
+    if normalizer is None:
+        return normalize_auc(curve.withColumnRenamed("i", "x"), lo, hi).withColumnRenamed("x", "i").select("train_id", "i", "y")
+    return normalize(curve, roi_norm(px, rois, ny, nx, normalizer), "y").select("train_id", "i", "y")
+
+
 def projection_fom(curve: DataFrame, keys: tuple[str, ...] = ("train_id",)) -> DataFrame:
     return curve.groupBy(*keys).agg(F.sum("y").alias("fom"))
 
 
-def pp_roi_fom(on: DataFrame, off: DataFrame, rois: dict[int, Rect], ny: int, nx: int, how: str = "sum", combo: str = "first") -> DataFrame:
-    """fom(on) - fom(off) of on and off images with one train_id; no absolute value is taken."""
+def pp_roi_fom(on: DataFrame, off: DataFrame, rois: dict[int, Rect], ny: int, nx: int, how: str = "sum", combo: str = "first", normalizer: str | None = None) -> DataFrame:
+    """fom(on) - fom(off) of on and off images with one train_id; no absolute value is taken. normalizer: each is divided by its own image's regions 3 and 4 first."""
+    if normalizer:
+        on_off = [roi_fom(v, rois, ny, nx, how, combo).select("train_id", "fom") for v in (on, off)]
+        both = normalize_pp(*on_off, *[roi_norm(v, rois, ny, nx, normalizer) for v in (on, off)])
+        return both.select("train_id", (F.col("fom_on") - F.col("fom_off")).alias("fom"))
     a, b = (roi_fom(v, rois, ny, nx, how, combo).select("train_id", F.col("fom").alias(n)) for v, n in ((on, "a"), (off, "b")))
     return a.join(b, "train_id").select("train_id", (F.col("a") - F.col("b")).alias("fom"))
 

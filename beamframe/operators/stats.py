@@ -86,6 +86,12 @@ def hist_with_stats(df: DataFrame, col: str, n: int = 10, lo: float = -math.inf,
     return hist, compute_statistics(inside, "v")
 
 
+def hist_by(df: DataFrame, col: str, keys: list[str], n: int, lo: float, hi: float) -> DataFrame:
+    """keys, bin, count of a fixed range for each of keys (a train, a train and pulse of interest): only bins with values."""
+    own = df.withColumn("bin", bin_index(nan_to_null(F.col(col).cast("double")), F.lit(float(lo)), F.lit(float(hi)), n)).where("bin IS NOT NULL")
+    return own.groupBy(*keys, "bin").agg(F.count("*").alias("count"))
+
+
 def fom_histogram(df: DataFrame, n: int, lo: float, hi: float, last: int = 2_304_000, pulse_resolved: bool = False, pump_probe: bool = False) -> tuple[DataFrame, DataFrame]:
     """Histogram of the last FOMs, of trains or pulses."""
     if pulse_resolved and pump_probe:
@@ -159,6 +165,13 @@ def moving_average(df: DataFrame, keys: list[str], order: list[str], col: str, w
     return done.select(*keys, *[F.col(f"z.rows.__rest.{c}").alias(c) for c in df.columns if c not in keys], F.col("z.avg").alias("avg"))
 
 
+def averaged(df: DataFrame, keys: list[str], col: str, w: int) -> DataFrame:
+    """df with col replaced by its moving average over trains, window w, for each of keys; 1 leaves it as it is."""
+    if w <= 1:
+        return df
+    return moving_average(df, keys, ["train_id"], col, w).select(*[F.col("avg").alias(c) if c == col else F.col(c) for c in df.columns])
+
+
 SCAN_SCHEMA = "point long, x double, y_avg double, y_min double, y_max double, count long"
 
 

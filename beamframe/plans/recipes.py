@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from beamframe.functions import absorption, calibrate_axis, curve, divide
 from beamframe.operators import azimuthal, image, pumpprobe, roi, stats
-from beamframe.operators.correlate import pair_vectors
+from beamframe.operators.correlate import correlate, pair_vectors
+from beamframe.scratch import written
 
 INF = math.inf
 
@@ -36,6 +37,11 @@ class Recipe(Protocol):
     def __call__(self, df: DataFrame) -> DataFrame: ...
 
 
+def run_recipe(raw: DataFrame, recipe: Recipe) -> DataFrame:
+    """A plug-in analysis over recorded messages: its sources are matched by train, complete trains go through it. A new call starts afresh."""
+    return correlate(raw, recipe.sources()).transform(recipe)
+
+
 def apply_custom(df: DataFrame, fn: Callable, schema: str, keys: list[str] | None = None) -> DataFrame:
     """A user's vectorized step on pandas frames: per key, or per batch without keys."""
     if keys:
@@ -113,6 +119,16 @@ def camera(px: DataFrame, dark: DataFrame | None, rect: roi.Rect, ny: int, nx: i
     return out, stats.compute_statistics(roi.roi_pixels(out, {1: rect}, ny, nx), "v", ("train_id",))
 
 
+def roi_histogram(images: DataFrame, rect: roi.Rect, ny: int, nx: int, n: int, lo: float, hi: float) -> DataFrame:
+    """train_id, bin, count of a region's pixels of each train's image."""
+    return stats.hist_by(roi.roi_pixels(images, {1: rect}, ny, nx), "v", ["train_id"], n, lo, hi)
+
+
+def line_histogram(lines: DataFrame, first: int, last: int, n: int, lo: float, hi: float) -> DataFrame:
+    """train_id, bin, count of a line detector's averaged values (line_detector) in pixels first..last."""
+    return stats.hist_by(lines.where(F.col("pixel").between(first, last)), "averaged", ["train_id"], n, lo, hi)
+
+
 def xes_timing(px: DataFrame, slow: DataFrame, n: int = 6000) -> DataFrame:
     """train_id, total, delay: the image sum against the delay's trace, the newest n."""
     return stats.last_n(px.groupBy("train_id").agg(F.sum("v").alias("total")).join(slow.select("train_id", "delay"), "train_id"), [], ["train_id"], n)
@@ -135,19 +151,17 @@ def fit_linear(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> Da
     return s.select(*keys, F.when(F.col("n") > 1, F.col("a")).alias("a"), F.when(F.col("n") > 1, F.col("b")).alias("b"), "n")
 
 
-def _solve(matrix: list[list], right: list) -> list:
-    """Gaussian elimination, written out as columns, of a symmetric positive system."""
-    n = len(right)
-    m, r = [row[:] for row in matrix], right[:]
+def _solve(df: DataFrame, n: int) -> DataFrame:
+    """df with d0..: Gaussian elimination of the symmetric positive system a{i}{j} (i <= j), b{i}. Each step is a projection of its own, so terms are computed once."""
+    df = df.withColumns({f"m{i}{j}": F.col(f"a{min(i, j)}{max(i, j)}") for i in range(n) for j in range(n)} | {f"r{i}": F.col(f"b{i}") for i in range(n)})
     for i in range(n):
-        for j in range(i + 1, n):
-            f = divide(m[j][i], m[i][i])
-            m[j] = [m[j][k] - f * m[i][k] for k in range(n)]
-            r[j] = r[j] - f * r[i]
-    out: list = [None] * n
+        below = range(i + 1, n)
+        df = df.withColumns({f"f{j}": divide(F.col(f"m{j}{i}"), F.col(f"m{i}{i}")) for j in below})
+        df = df.withColumns({f"m{j}{k}": F.col(f"m{j}{k}") - F.col(f"f{j}") * F.col(f"m{i}{k}") for j in below for k in range(i, n)} | {f"r{j}": F.col(f"r{j}") - F.col(f"f{j}") * F.col(f"r{i}") for j in below})
     for i in reversed(range(n)):
-        out[i] = divide(r[i] - sum((m[i][k] * out[k] for k in range(i + 1, n)), F.lit(0.0)), m[i][i])
-    return out
+        known = sum((F.col(f"m{i}{k}") * F.col(f"d{k}") for k in range(i + 1, n)), F.lit(0.0))
+        df = df.withColumn(f"d{i}", divide(F.col(f"r{i}") - known, F.col(f"m{i}{i}")))
+    return df
 
 
 def curve_fit(df: DataFrame, keys: list[str], kind: str, p0: tuple[float, ...] | None = None, iterations: int = 12) -> DataFrame:
@@ -170,11 +184,12 @@ def curve_fit(df: DataFrame, keys: list[str], kind: str, p0: tuple[float, ...] |
         met = met.withColumns({**{f"__g{i}": g for i, g in enumerate(grads)}, "__r": y - value})
         sums = met.groupBy(*keys, *names).agg(*[F.sum(F.col(f"__g{i}") * F.col(f"__g{j}")).alias(f"a{i}{j}") for i in range(size) for j in range(i, size)], *[F.sum(F.col(f"__g{i}") * F.col("__r")).alias(f"b{i}") for i in range(size)])
         damp = 0.0 if kind in ("linear", "cubic") else 1e-3
-        matrix = [[F.col(f"a{min(i, j)}{max(i, j)}") * (1 + damp if i == j else 1) for j in range(size)] for i in range(size)]
-        for i, d in enumerate(_solve(matrix, [F.col(f"b{i}") for i in range(size)])):
-            sums = sums.withColumn(f"d{i}", d)
+        if damp:
+            sums = sums.withColumns({f"a{i}{i}": F.col(f"a{i}{i}") * (1 + damp) for i in range(size)})
+        sums = _solve(sums, size)
         params = sums.select(*keys, *[(F.col(n) + F.col(f"d{i}")).alias(n) for i, n in enumerate(names)])
-        params = params.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else params.persist()
+        if kind not in ("linear", "cubic"):
+            params = written(params, "fit")  # cuts the lineage of the steps
     return params
 
 
