@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of its predecessor and returns a DataFrame that is written and
 read again as the next one's docs; all but the last keep the columns of documents.
+
+Null texts, and texts without a letter, go in the first stage; rows without an id go through all of them. Repeated rows of
+one id are one document for the second stage, and rows of their own for all others; texts of any length are read whole; of
+equal or similar texts the least doc_id stays; columns with clashing names pass through until the last stage, which gives
+its own columns only. An empty table gives an empty result.
 """
 
 from __future__ import annotations
