@@ -34,7 +34,9 @@ def overlap_errors(pulses: DataFrame, on: Slice, off: Slice) -> DataFrame:
 
 
 def same_train(px: DataFrame, on: Slice, off: Slice) -> DataFrame:
-    """Mode same train: both groups of one train; trains without one of them are dropped. Overlapping groups are an error of the train, which has no rows (overlap_errors names it)."""
+    """Mode same train: both groups of one train; trains without one of them are dropped. Overlapping groups are an error of the train, which has no rows (overlap_errors names it); groups that begin with the same pulse overlap in every train and are refused at once."""
+    if (on[0] or 0) == (off[0] or 0):
+        raise ValueError("on and off pulses overlap")
     return on_off_means(px, on, off).where("n_on > 0 AND n_off > 0 AND n_both = 0").select("train_id", "y", "x", "on", "off")
 
 
