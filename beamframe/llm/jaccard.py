@@ -243,8 +243,10 @@ def similar_groups(docs: DataFrame, t: tuple[int, int] = (80, 100), words: int =
     """doc_id, n_shingles, component_id: the least doc_id that links reach (its own without links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = materialize(signatures(docs, t, words), "signatures")
-    classes = made.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    member = materialize(made.select("doc_id", "n", "fp").join(classes, "fp", "left").select("doc_id", "n", "fp", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    sets = made.where("n > 0").select("doc_id", "n", "fp")
+    classes = materialize(sets.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
+    classed = _dealt(sets, classes, "fp", "doc_id").join(_repeated(classes), ["fp", "salt"]).select("doc_id", "n", "fp", F.coalesce("rep", "doc_id").alias("rep"))
+    member = materialize(classed.unionByName(made.where("n = 0").select("doc_id", "n", "fp", F.col("doc_id").alias("rep"))), "members")
     first = member.where("n > 0 AND doc_id = rep").select("doc_id", "fp").distinct()
     reps = materialize(made.join(first, ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"]).drop("fp"), "representatives")
     # documents with several texts tie the classes of these
