@@ -8,8 +8,9 @@
    component are finished.
 4. The other blocks get signature trees: leaves are rows with a bitmap and a size, nodes hold OR-combined bitmaps and
    size ranges. Pairs of nodes are descended together and dropped when their greatest possible overlap is below what
-   the sizes need. Large blocks are split into parts, each pair of parts being a task. Remaining pairs of different
-   components are compared exactly, and components are joined again.
+   the sizes need. Bitmaps are as wide as their sets need, with a tree for each width; trees of different widths meet
+   with the wider bitmaps folded. Large blocks are split into parts, each pair of parts being a task. Remaining pairs
+   of different components are compared exactly, and components are joined again.
 
 Joins on a shingle or on a block's least row are salted: a key is dealt to a task for every SALT of its rows, the other
 side of the join being repeated as often.
@@ -33,9 +34,11 @@ from beamframe.llm import textbatch as tb
 from beamframe.llm.components import components
 from beamframe.llm.shared import materialize
 
-#: Fixed sizes: of the sketch of shingle counts, of a row's bitmap, of a tree's leaves, and rows of a block that one task takes.
+#: Fixed sizes: of the sketch of shingle counts, of a row's bitmap (a power of two from FEW_BITS to MOST_BITS, two bits a shingle
+#: or more between these), of a tree's leaves, and rows of a block that one task takes.
 BUCKETS = 1 << 18
-BITS = 2048
+FEW_BITS = 256
+MOST_BITS = 1 << 16
 LEAF = 8
 PART = 2048
 #: Rows of a key that one task of a join takes.
@@ -70,6 +73,19 @@ def bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
     return out.ravel()
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """One bit for each hash; the wider its set, the wider."""
+    width = min(max(FEW_BITS, 1 << (2 * len(h) - 1).bit_length()), MOST_BITS) if len(h) else FEW_BITS
+    bits = np.zeros(width, np.uint8)
+    bits[(h >> np.uint64(20)) % np.uint64(width)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def folded(bits: np.ndarray, to: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) as they would be with `to` words: parts of a wider one are OR-combined."""
+    return np.bitwise_or.reduce(bits.reshape(len(bits), bits.shape[1] // to, to), axis=1)
+
+
 def signatures(docs: DataFrame, t: tuple[int, int], words: int) -> DataFrame:
     """doc_id, n (set size), fp (of the set), bits (bitmap), prefix (shingles that a partner must share)."""
     spark = docs.sparkSession
@@ -92,9 +108,7 @@ def signatures(docs: DataFrame, t: tuple[int, int], words: int) -> DataFrame:
                     k = int(n[i]) - -(-t[0] * int(n[i]) // t[1]) + 1 if n[i] else 0
                     own = h[a:b]
                     prefixes.append((own[np.argpartition(rank[a:b], k - 1)[:k]] if k < len(own) else own).astype(np.int64))
-                    bits = np.zeros(BITS, np.uint8)
-                    bits[(own >> np.uint64(20)) % np.uint64(BITS)] = 1
-                    maps.append(np.packbits(bits).tobytes())
+                    maps.append(bitmap(own))
                     fps.append(fp[:, i].tobytes() + int(n[i]).to_bytes(4, "little"))
                 yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(maps, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "fp", "bits", "prefix"])
 
@@ -105,7 +119,7 @@ class Tree:
     """A signature tree over rows ordered by size: nodes are slices of that order, halved down to leaves."""
 
     def __init__(self, n: np.ndarray, bits: np.ndarray):
-        self.n, self.bits = n, bits
+        self.n, self.bits = n, bits  # bitmaps of one width
         self.slack = n - np.bitwise_count(bits).sum(1, dtype=np.int64)  # elements beyond the first in their bit
         self.nodes: dict[tuple[int, int], tuple] = {}
 
@@ -121,6 +135,12 @@ def need(total, t: tuple[int, int]):
     return -(-t[0] * total // (t[0] + t[1]))
 
 
+def may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, t: tuple[int, int]) -> np.ndarray:
+    """Of pairs of sets with sizes n, m and bitmaps x, y of one width: those that may overlap enough."""
+    most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+    return most >= need(n + m, t)
+
+
 def traverse(x: Tree, y: Tree, t: tuple[int, int], label_x: np.ndarray, label_y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of x and y with different labels that may overlap enough; same: x is y, each pair once."""
     out_x, out_y, todo = [], [], [(0, len(x.n), 0, len(y.n))]
@@ -134,8 +154,7 @@ def traverse(x: Tree, y: Tree, t: tuple[int, int], label_x: np.ndarray, label_y:
             if same:
                 keep &= i < j
             i, j = i[keep], j[keep]
-            most = np.minimum(x.n[i] - np.bitwise_count(x.bits[i] & ~y.bits[j]).sum(1, dtype=np.int64), y.n[j] - np.bitwise_count(y.bits[j] & ~x.bits[i]).sum(1, dtype=np.int64))
-            ok = most >= need(x.n[i] + y.n[j], t)
+            ok = may_link(x.n[i], y.n[j], x.bits[i], y.bits[j], t)
             out_x.append(i[ok])
             out_y.append(j[ok])
             continue
@@ -154,6 +173,33 @@ def traverse(x: Tree, y: Tree, t: tuple[int, int], label_x: np.ndarray, label_y:
     return (np.concatenate(out_x), np.concatenate(out_y)) if out_x else (np.zeros(0, int), np.zeros(0, int))
 
 
+def by_width(bits: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each width, in 64-bit words: the rows with such bitmaps, and these."""
+    own = bits.to_pylist()
+    words = np.array([len(b) // 8 for b in own], np.int64)
+    rows = {int(w): np.flatnonzero(words == w) for w in np.unique(words)}
+    return {w: (r, np.frombuffer(b"".join(own[k] for k in r), np.uint64).reshape(len(r), w)) for w, r in rows.items()}
+
+
+def trees(n: np.ndarray, bits: pa.Array) -> list[tuple[int, np.ndarray, Tree]]:
+    """A signature tree for each width of bitmaps: (width, its rows, tree)."""
+    return [(w, rows, Tree(n[rows], own)) for w, (rows, own) in by_width(bits).items()]
+
+
+def tree_pairs(x: list, y: list, t: tuple[int, int], label_x: np.ndarray, label_y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """traverse() over trees of all widths; same: x is y, each pair once."""
+    out_x, out_y = [], []
+    for u, rows_x, left in x:
+        for v, rows_y, right in y:
+            if same and v < u or t[1] * min(left.n[-1], right.n[-1]) < t[0] * max(left.n[0], right.n[0]):
+                continue  # each pair of widths once, and none whose sizes lie too far apart
+            one, other = (Tree(k.n, folded(k.bits, min(u, v))) if w > min(u, v) else k for w, k in ((u, left), (v, right)))
+            i, j = traverse(one, other, t, label_x[rows_x], label_y[rows_y], same and u == v)
+            out_x.append(rows_x[i])
+            out_y.append(rows_y[j])
+    return (np.concatenate(out_x), np.concatenate(out_y)) if out_x else (np.zeros(0, int), np.zeros(0, int))
+
+
 def _spread(keys: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(keys) if rows <= MOST_BROADCAST else keys
 
@@ -188,11 +234,16 @@ def _possible(pairs: DataFrame, reps: DataFrame, t: tuple[int, int]) -> DataFram
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
-                n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-                most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-                yield batch.select(["a", "b"]).filter(pa.array(most >= need(n + m, t)))
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x, y = (by_width(part.column(c)) for c in ("bits_a", "bits_b"))
+                n, m = (part.column(c).to_numpy() for c in ("n_a", "n_b"))
+                ok = np.zeros(len(n), bool)
+                for u, (rows_x, bits_x) in x.items():
+                    for v, (rows_y, bits_y) in y.items():
+                        both, i, j = np.intersect1d(rows_x, rows_y, assume_unique=True, return_indices=True)
+                        ok[both] = may_link(n[both], m[both], folded(bits_x[i], min(u, v)), folded(bits_y[j], min(u, v)), t)
+                yield part.select(["a", "b"]).filter(pa.array(ok))
 
     return joined.mapInArrow(bound, "a long, b long").distinct()
 
@@ -278,16 +329,12 @@ def similar_groups(docs: DataFrame, t: tuple[int, int] = (80, 100), words: int =
         frame = frame.sort_by([("n", "ascending"), ("doc_id", "ascending")])
         i, j = frame.column("i")[0].as_py(), frame.column("j")[0].as_py()
         part, ids, label = (frame.column(c).to_numpy() for c in ("part", "doc_id", "label"))
-        n = frame.column("n").to_numpy()
-        bits = np.frombuffer(b"".join(frame.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
-        sides = [np.flatnonzero(part == k) for k in dict.fromkeys((i, j))]
-        trees = [Tree(n[s], bits[s]) for s in sides]
-        if len(sides) == 1:
-            a, b = traverse(trees[0], trees[0], t, label[sides[0]], label[sides[0]], True)
-            a, b = ids[sides[0]][a], ids[sides[0]][b]
-        else:
-            a, b = traverse(*trees, t, label[sides[0]], label[sides[1]], False)
-            a, b = ids[sides[0]][a], ids[sides[1]][b]
+        n, bits = frame.column("n").to_numpy(), frame.column("bits").combine_chunks()
+        x, y = (np.flatnonzero(part == k) for k in (i, j))
+        of_x = trees(n[x], bits.take(pa.array(x)))
+        of_y = of_x if i == j else trees(n[y], bits.take(pa.array(y)))
+        a, b = tree_pairs(of_x, of_y, t, label[x], label[y], i == j)
+        a, b = ids[x][a], ids[y][b]
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     more = tasks.groupBy("token", "i", "j").applyInArrow(pairs, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")

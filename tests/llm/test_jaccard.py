@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -122,3 +123,24 @@ def test_no_link_is_pruned(sets):
     found = set(zip(a.tolist(), b.tolist(), strict=True))
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
     assert want <= found
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(100, 900))
+def test_bitmaps_of_all_widths_prune_no_link(seed, n):
+    r = np.random.default_rng(seed)
+    own = [r.integers(0, 1 << 63, int(n * k), dtype=np.uint64) for k in (0.8, 0.9, 1, 1.2, 2)]
+    sets = own + [np.unique(np.concatenate([v[: int(len(v) * r.uniform(0.85, 1))], r.integers(0, 1 << 63, int(len(v) * r.uniform(0, 0.2)), dtype=np.uint64)])) for v in own for _ in range(4)]
+    sets.sort(key=len)
+    bits = pa.array([jaccard.bitmap(v) for v in sets], pa.binary())
+    size = np.array([len(v) for v in sets])
+    label = np.arange(len(sets))
+    linked = lambda i, j: (lambda both: 100 * both >= 80 * (size[i] + size[j] - both))(len(np.intersect1d(sets[i], sets[j])))
+    whole = jaccard.trees(size, bits)
+    a, b = jaccard.tree_pairs(whole, whole, (80, 100), label, label, True)
+    found = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    want = {(i, j) for i in label.tolist() for j in range(i + 1, len(sets)) if linked(i, j)}
+    assert want <= found and len(found) == len(a)
+    left, right = label[::2], label[1::2]
+    a, b = jaccard.tree_pairs(jaccard.trees(size[left], bits.take(pa.array(left))), jaccard.trees(size[right], bits.take(pa.array(right))), (80, 100), left, right, False)
+    assert {p for p in want if p[0] % 2 != p[1] % 2} <= {(min(p), max(p)) for p in zip(left[a].tolist(), right[b].tolist(), strict=True)}
