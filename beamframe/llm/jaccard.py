@@ -37,7 +37,7 @@ from beamframe.llm.shared import materialize
 #: Fixed sizes: of the sketch of shingle counts, of a row's bitmap (a power of two from FEW_BITS to MOST_BITS, two bits a shingle
 #: or more between these), of a tree's leaves, and rows of a block that one task takes.
 BUCKETS = 1 << 18
-FEW_BITS = 256
+FEW_BITS = 2048
 MOST_BITS = 1 << 16
 LEAF = 8
 PART = 2048
