@@ -15,6 +15,7 @@ from beamframe import functions as fn
 from beamframe import sources as src
 from beamframe import streaming
 from beamframe.operators import azimuthal, correlate, filters, image, pumpprobe, roi, stats, xgm
+from beamframe.operators.order import newest, quantiles
 from beamframe.plans import recipes
 from beamframe.scratch import scratch_path, shared_root
 
@@ -163,7 +164,10 @@ def _guard(s, d):
 add("f12_drop_all_guard", _guard, f"WITH {_PULSES} SELECT train_id, CASE WHEN max(xgm) >= 20 THEN count(*) ELSE -1 END AS n FROM pulses GROUP BY 1")
 add("f11_digitizer_pulse", lambda s, d: filters.digitizer_pulse(pulses(s, d), {"da": "A", "db": "ADC"}, 0, 4).groupBy("train_id", "channel").agg(F.sum("integral").alias("integral")), f"WITH {_PULSES} SELECT train_id, 'A' AS channel, round(sum(da), 4) AS integral FROM pulses WHERE pulse < 4 GROUP BY 1 UNION ALL SELECT train_id, 'ADC', round(sum(db), 4) FROM pulses WHERE pulse < 4 GROUP BY 1")
 _digitizer = lambda s, d: _read(s, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("train_id"), (F.col("vec_id") % 8).cast("int").alias("pulse"), F.get("embedding", F.lit(0)).alias("da"), F.get("embedding", F.lit(1)).alias("db"))
-add("f11_digitizer_averaged", lambda s, d: filters.digitizer_pulse(_digitizer(s, d), {"da": "A", "db": "ADC"}, 2, None, 2, 3, -0.05, INF), f"WITH RECURSIVE dg AS (SELECT vec_id // 8 AS train_id, c AS channel, (vec_id % 8 - 2) // 2 AS pulse, vec_id % 8 AS pulse_index, CAST(embedding[CASE WHEN c = 'A' THEN 1 ELSE 2 END] AS DOUBLE) AS v FROM embeddings, (VALUES ('A'), ('ADC')) t(c) WHERE vec_id % 8 IN (2, 4, 6)), {moving_sql('dg', 'channel, pulse, pulse_index', 3)} SELECT train_id, pulse, channel, round(m, 4) AS integral, pulse_index FROM r WHERE m >= -0.05")
+_DIGITIZED = f"dg AS (SELECT vec_id // 8 AS train_id, c AS channel, (vec_id % 8 - 2) // 2 AS pulse, vec_id % 8 AS pulse_index, CAST(embedding[CASE WHEN c = 'A' THEN 1 ELSE 2 END] AS DOUBLE) AS v FROM embeddings, (VALUES ('A'), ('ADC')) t(c) WHERE vec_id % 8 IN (2, 4, 6)), {moving_sql('dg', 'channel, pulse, pulse_index', 3)}, masked AS (SELECT *, bool_and(CASE WHEN channel = 'A' THEN m >= -0.05 ELSE m <= 0.1 END) OVER (PARTITION BY train_id, pulse) AS kept FROM r)"
+_averaged_digitizer = lambda s, d: filters.digitizer_pulse(_digitizer(s, d), {"da": "A", "db": "ADC"}, 2, None, 2, 3, {"A": (-0.05, INF), "ADC": (-INF, 0.1)})
+add("f11_digitizer_averaged", lambda s, d: _averaged_digitizer(s, d).withColumn("kept", F.col("kept").cast("int")), f"WITH RECURSIVE {_DIGITIZED} SELECT train_id, pulse, channel, round(m, 4) AS integral, pulse_index, CAST(kept AS INT) AS kept FROM masked")
+add("f11_digitizer_masks_images", lambda s, d: image.nanmean_image(filters.mask_by_digitizer(filters.slice_pulses(pulse_pixels(s, d), 2, None, 2), _averaged_digitizer(s, d))), f"WITH RECURSIVE {_PPX}, {_DIGITIZED}, good AS (SELECT DISTINCT train_id, pulse_index FROM masked WHERE kept) SELECT train_id, y, x, round(avg(v), 4) AS v FROM ppx JOIN good USING (train_id) WHERE ppx.pulse = good.pulse_index GROUP BY 1, 2, 3")
 add("f13_threshold_mask", lambda s, d: image.mask_threshold(pixels(s, d), -0.1, 0.1).groupBy("train_id").agg(F.count("v").alias("n"), F.avg("v").alias("m")), f"WITH {_PX} SELECT train_id, count(*) FILTER (v BETWEEN -0.1 AND 0.1) AS n, round(avg(CASE WHEN v BETWEEN -0.1 AND 0.1 THEN v END), 4) AS m FROM px GROUP BY 1")
 
 
@@ -205,7 +209,7 @@ def _modules(s, d):
     return good.select("train_id").distinct().withColumn("ok", F.lit(1)).unionByName(bad.select("train_id", F.lit(0).alias("ok")))
 
 
-add("f24_squeeze", lambda s, d: filters.squeeze(pixels(s, d).where("y = 0")).groupBy("x").agg(F.sum("v").alias("t")), f"WITH {_PX} SELECT x, round(sum(v), 4) AS t FROM px WHERE y = 0 GROUP BY 1")
+add("f24_squeeze", lambda s, d: filters.squeeze(image.nan_reduce(pixels(s, d), "mean", ("train_id", "x")).withColumn("y", F.lit(0)), "y"), f"WITH {_PX} SELECT train_id, x, round(avg(v), 4) AS v FROM px GROUP BY 1, 2")
 add("f26_check_modules", _modules, "SELECT vec_id AS train_id, CASE WHEN vec_id % 5 = 1 THEN 0 ELSE 1 END AS ok FROM embeddings")
 
 # --- joins, unions, top-k
@@ -264,12 +268,15 @@ _ROI_SQL = "rois(roi, rx, ry, rw, rh) AS (VALUES (1, 0, 0, 4, 4), (2, 4, 4, 4, 4
 add("a5_roi_reducers", _reducers, f"WITH {_PX}, {_ROI_SQL}, p AS (SELECT train_id, roi, v + 1 AS v FROM px JOIN rois ON y BETWEEN ry AND ry + rh - 1 AND x BETWEEN rx AND rx + rw - 1) SELECT train_id, roi, round(sum(v), 4) AS r_sum, round(avg(v), 4) AS r_mean, round(quantile_cont(v, 0.5), 4) AS r_median, round(max(v), 4) AS r_max, round(min(v), 4) AS r_min, round(stddev_pop(v), 4) AS r_std, round(var_pop(v), 4) AS r_var, round(stddev_pop(v) / avg(v), 4) AS r_n_std, round(var_pop(v) / (avg(v) * avg(v)), 4) AS r_n_var FROM p GROUP BY 1, 2")
 add("a6_statistics", lambda s, d: stats.compute_statistics(raw(s, d), "scalar", ("source",)), f"WITH {_RAW} SELECT source, round(avg(scalar), 4) AS mean, round(quantile_cont(scalar, 0.5), 4) AS median, round(stddev_pop(scalar), 4) AS std FROM raw GROUP BY 1")
 _HIST = "SELECT i AS bin, {lo} + (i + 0.5e0) * ({hi} - {lo}) / {n} AS center, coalesce(c, 0) AS count FROM range({n}) t(i) LEFT JOIN (SELECT {b} AS bin, count(*) AS c FROM {t} GROUP BY 1) g ON g.bin = i"
-add("a7_histogram", lambda s, d: stats.hist_with_stats(raw(s, d), "scalar", 10, 0.0, 50.0)[0], f"WITH {_RAW} " + _HIST.format(lo=0.0, hi=50.0, n=10, b=_bin_sql("scalar", 0.0, 50.0, 10), t="raw"))
+add("a7_histogram", lambda s, d: stats.histogram(raw(s, d), "scalar", 10, 0.0, 50.0), f"WITH {_RAW} " + _HIST.format(lo=0.0, hi=50.0, n=10, b=_bin_sql("scalar", 0.0, 50.0, 10), t="raw"))
 add("a7_histogram_stats", lambda s, d: stats.hist_with_stats(raw(s, d), "scalar", 10, 10.0, 50.0)[1], f"WITH {_RAW} SELECT round(avg(scalar), 4) AS mean, round(quantile_cont(scalar, 0.5), 4) AS median, round(stddev_pop(scalar), 4) AS std FROM raw WHERE scalar BETWEEN 10 AND 50")
-add("a8_image_histogram", lambda s, d: stats.hist_with_stats(image.mask_image(pixels(s, d), _mask(s)), "v", 8, -0.5, 0.5)[0], f"WITH {_PX}, m AS (SELECT * FROM px WHERE x NOT IN (0, 3)) " + _HIST.format(lo=-0.5, hi=0.5, n=8, b=_bin_sql("v", -0.5, 0.5, 8), t="m"))
+add("a8_image_histogram", lambda s, d: stats.histogram(image.mask_image(pixels(s, d), _mask(s)), "v", 8, -0.5, 0.5), f"WITH {_PX}, m AS (SELECT * FROM px WHERE x NOT IN (0, 3)) " + _HIST.format(lo=-0.5, hi=0.5, n=8, b=_bin_sql("v", -0.5, 0.5, 8), t="m"))
 add("a9_fom_histogram", lambda s, d: stats.fom_histogram(pulses(s, d), 20, 0.0, 100000.0, pulse_resolved=True)[0], f"WITH {_PULSES}, l AS (SELECT * FROM pulses ORDER BY train_id DESC, pulse DESC LIMIT 2304000) " + _HIST.format(lo=0.0, hi=100000.0, n=20, b=_bin_sql("fom", 0.0, 100000.0, 20), t="l"))
+add("a9_fom_histogram_newest", lambda s, d: stats.fom_histogram(train_fom(s, d), 20, 0.0, 100000.0, 7000)[1], f"WITH {_TRAINS}, l AS (SELECT fom FROM fom ORDER BY train_id DESC LIMIT 7000) SELECT round(avg(fom), 4) AS mean, round(quantile_cont(fom, 0.5), 4) AS median, round(stddev_pop(fom), 4) AS std FROM l WHERE fom BETWEEN 0 AND 100000")
+add("w2_rank_cut", lambda s, d: newest(pulses(s, d), ["train_id", "pulse"], 33_333, direct=1000, few=500).select("train_id", "pulse", "fom"), f"WITH {_PULSES} SELECT train_id, pulse, fom FROM pulses ORDER BY train_id DESC, pulse DESC LIMIT 33333")
+add("a6_exact_quantiles", lambda s, d: quantiles(pixels(s, d), "v", [0.001, 0.25, 0.5, 0.999], ("y",), few=500), f"WITH {_PX} SELECT y, " + ", ".join(f"round(quantile_cont(v, {q}), 6) AS q{i}" for i, q in enumerate((0.001, 0.25, 0.5, 0.999))) + " FROM px GROUP BY 1", 6)
 add("a10_poi_histogram", lambda s, d: stats.poi_histogram(pulses(s, d), 1, 20, 0.0, 100000.0)[0], f"WITH {_PULSES}, l AS (SELECT * FROM pulses WHERE pulse = 1) " + _HIST.format(lo=0.0, hi=100000.0, n=20, b=_bin_sql("fom", 0.0, 100000.0, 20), t="l"))
-add("a11_roi_histogram", lambda s, d: stats.hist_with_stats(roi.roi_pixels(pixels(s, d), {1: ROIS[1]}, 8, 8), "v", 8, -0.5, 0.5)[0], f"WITH {_PX}, m AS (SELECT * FROM px WHERE x < 4 AND y < 4) " + _HIST.format(lo=-0.5, hi=0.5, n=8, b=_bin_sql("v", -0.5, 0.5, 8), t="m"))
+add("a11_roi_histogram", lambda s, d: stats.histogram(roi.roi_pixels(pixels(s, d), {1: ROIS[1]}, 8, 8), "v", 8, -0.5, 0.5), f"WITH {_PX}, m AS (SELECT * FROM px WHERE x < 4 AND y < 4) " + _HIST.format(lo=-0.5, hi=0.5, n=8, b=_bin_sql("v", -0.5, 0.5, 8), t="m"))
 add("a11_roi_histogram_train", lambda s, d: stats.hist_by(roi.roi_pixels(pixels(s, d), ROIS, 8, 8), "v", ["train_id", "roi"], 8, -0.5, 0.5), f"WITH {_PX}, {_ROI_SQL}, m AS (SELECT train_id, roi, {_bin_sql('v', -0.5, 0.5, 8)} AS bin FROM px JOIN rois ON y BETWEEN ry AND ry + rh - 1 AND x BETWEEN rx AND rx + rw - 1) SELECT train_id, roi, bin, count(*) AS count FROM m WHERE bin IS NOT NULL GROUP BY 1, 2, 3")
 add("a11_roi_histogram_poi", lambda s, d: stats.hist_by(filters.select_poi(roi.roi_pixels(pulse_pixels(s, d), {1: ROIS[1]}, 8, 8), 0, 2)[0], "v", ["train_id", "pulse"], 8, -0.5, 0.5), f"WITH {_PPX}, m AS (SELECT train_id, pulse, {_bin_sql('v', -0.5, 0.5, 8)} AS bin FROM ppx WHERE x < 4 AND y < 4 AND pulse IN (0, 2)) SELECT train_id, pulse, bin, count(*) AS count FROM m WHERE bin IS NOT NULL GROUP BY 1, 2, 3")
 add("a12_const_mean", lambda s, d: image.const_mean(src.check_constants(constants(s, d)), 0, 8, 2), f"WITH {_CONST} SELECT y, x, round(avg(v), 4) AS v FROM const WHERE cell % 2 = 0 GROUP BY 1, 2")
@@ -351,17 +358,19 @@ _LINES = "ln AS (SELECT vec_id // 8 AS train_id, vec_id % 8 AS pulse, i AS pixel
 add("p8_line_pump_probe", lambda s, d: pumpprobe.line_pump_probe(_lines(s, d), (0, 6, 2), (1, 6, 2), (6, None, None)), f"WITH {_LINES}, full_ AS (SELECT vec_id // 8 AS t FROM embeddings GROUP BY 1 HAVING count(*) >= 7) SELECT train_id, pulse // 2 AS k, pixel, round(sum(CASE WHEN pulse % 2 = 0 THEN adc ELSE -adc END), 4) AS vfom FROM ln WHERE pulse < 6 AND train_id IN (SELECT t FROM full_) GROUP BY 1, 2, 3")
 add("p8_line_pump_probe_averaged", lambda s, d: pumpprobe.line_pump_probe(_lines(s, d), (0, 6, 2), (1, 6, 2), (6, None, None), 3), f"WITH RECURSIVE {_LINES}, full_ AS (SELECT vec_id // 8 AS t FROM embeddings GROUP BY 1 HAVING count(*) >= 7), pl AS (SELECT train_id, pulse // 2 AS k, pixel, sum(CASE WHEN pulse % 2 = 0 THEN adc ELSE -adc END) AS v FROM ln WHERE pulse < 6 AND train_id IN (SELECT t FROM full_) GROUP BY 1, 2, 3), {moving_sql('pl', 'k, pixel', 3)} SELECT train_id, k, pixel, round(m, 4) AS vfom FROM r")
 add("c2_zero_offset", lambda s, d: image.correct(pulse_pixels(s, d).withColumn("v", F.floor(F.abs("v") * 10).cast("double")), None, constants(s, d), 256.0).groupBy("train_id", "pulse").agg(F.sum("v").alias("t")), f"WITH {_PPX}, {_CONST} SELECT train_id, pulse, round(sum(CASE WHEN floor(abs(p.v) * 10) = 0 THEN 256 ELSE floor(abs(p.v) * 10) END - c.v), 4) AS t FROM ppx p JOIN const c ON c.cell = p.pulse AND c.y = p.y AND c.x = p.x GROUP BY 1, 2")
-add("c3_intra_dark", lambda s, d: image.intra_dark(pulse_pixels(s, d)).where("status = 'ok' AND pulse % 2 = 0").select("train_id", "pulse", "y", "x", "v"), f"WITH {_PPX}, l AS (SELECT *, lead(v) OVER (PARTITION BY train_id, y, x ORDER BY pulse) AS after_, count(*) OVER (PARTITION BY train_id, y, x) AS n FROM ppx) SELECT train_id, pulse, y, x, round(v - after_, 4) AS v FROM l WHERE n % 2 = 0 AND pulse % 2 = 0")
+add("c3_intra_dark", lambda s, d: image.intra_dark(pulse_pixels(s, d).where("train_id % 3 <> 1 OR pulse < 5")), f"WITH {_PPX}, l AS (SELECT *, lead(v) OVER (PARTITION BY train_id, y, x ORDER BY pulse) AS after_, count(*) OVER (PARTITION BY train_id, y, x) AS n FROM ppx WHERE train_id % 3 <> 1 OR pulse < 5) SELECT train_id, pulse, y, x, round(CASE WHEN n % 2 = 0 AND pulse % 2 = 0 THEN v - after_ ELSE v END, 4) AS v, CASE WHEN n % 2 = 0 THEN 'ok' ELSE 'error' END AS status FROM l")
 add("c4_calibrate_chain", lambda s, d: image.calibrate(pulse_pixels(s, d), constants(s, d), None, constants(s, d), True, adu=0.01, w=3).groupBy("train_id", "pulse").agg(F.sum("v").alias("t")), f"WITH RECURSIVE {_PPX}, {_CONST}, g AS (SELECT train_id, pulse, p.y, p.x, greatest(0.0, floor((0.005 + (p.v - c.v) * c.v) / 0.01)) AS v FROM ppx p JOIN const c ON c.cell = p.pulse AND c.y = p.y AND c.x = p.x), {moving_sql('g', 'pulse, y, x', 3)} SELECT train_id, pulse, round(sum(m), 4) AS t FROM r GROUP BY 1, 2")
 add("c4_calibrate", lambda s, d: image.calibrate(pulse_pixels(s, d), None, constants(s, d), slicer=(1, None, 2), mask=_mask(s), lo=-0.3, hi=0.3).groupBy("train_id", "pulse").agg(F.sum("v").alias("t")), f"WITH {_PPX}, {_CONST}, c AS (SELECT train_id, pulse, p.x, p.v - c.v AS v FROM ppx p JOIN const c ON c.cell = p.pulse AND c.y = p.y AND c.x = p.x) SELECT train_id, (pulse - 1) // 2 AS pulse, round(sum(v) FILTER (WHERE x NOT IN (0, 3) AND v BETWEEN -0.3 AND 0.3), 4) AS t FROM c WHERE pulse % 2 = 1 GROUP BY 1, 2")
 
+add("c4_calibrate_averaged", lambda s, d: image.calibrate(pulse_pixels(s, d), constants(s, d), constants(s, d), slicer=(1, None, 2), mask=_mask(s), lo=-0.02, hi=0.02, w=3), f"WITH RECURSIVE {_PPX}, {_CONST}, g AS (SELECT train_id, pulse, p.y, p.x, (p.v - c.v) * c.v AS v FROM ppx p JOIN const c ON c.cell = p.pulse AND c.y = p.y AND c.x = p.x), {moving_sql('g', 'pulse, y, x', 3)} SELECT train_id, (pulse - 1) // 2 AS pulse, y, x, round(CASE WHEN x NOT IN (0, 3) AND m BETWEEN -0.02 AND 0.02 THEN m END, 6) AS v, pulse AS pulse_index FROM r WHERE pulse % 2 = 1", 6)
+
 # --- azimuthal integration, transforms
 _QARGS = (8, 8, 3.2, 3.7, 0.2, 0.0002, 9000.0)
 _QSQL = f"qm AS (SELECT i // 8 AS y, i % 8 AS x, 4 * pi() / ({fn.HC_E!r} / 9000.0) / sqrt(4 * 0.2 * 0.2 / ((pow(i // 8 - 3.2, 2) + pow(i % 8 - 3.7, 2)) * 0.0002 * 0.0002) + 1) AS q FROM range(64) t(i))"
 _QHI = 2e8
 _AI = f"ai0 AS (SELECT train_id, least(CAST(floor(q / {_QHI / 6!r}) AS INT), 5) AS bin, v FROM px JOIN qm USING (y, x) WHERE q > 0 AND q <= {_QHI!r}), ai1 AS (SELECT train_id, bin, avg(v) AS m, count(*) AS c FROM ai0 GROUP BY 1, 2), ai AS (SELECT vec_id AS train_id, b AS bin, (b + 0.5) * {_QHI / 6!r} AS q, CASE WHEN c >= 2 THEN m ELSE 0.0 END AS i FROM embeddings CROSS JOIN range(6) t(b) LEFT JOIN ai1 ON ai1.train_id = vec_id AND ai1.bin = b)"
 _curve = lambda s, d: azimuthal.integrate(pixels(s, d), azimuthal.q_map(s, *_QARGS), 6, 0.0, _QHI, 2)
-add("i1_q_map", lambda s, d: azimuthal.q_map(s, *_QARGS).join(pixels(s, d).where("train_id = 0").select("y", "x"), ["y", "x"]).withColumn("q", F.col("q") / 1e6), f"WITH {_QSQL} SELECT y, x, round(q / 1e6, 4) AS q FROM qm")
+add("i1_q_map", lambda s, d: pixels(s, d).join(azimuthal.q_map(s, *_QARGS), ["y", "x"]).groupBy("train_id").agg((F.sum(F.col("v") * F.col("q")) / 1e6).alias("moment"), (F.max("q") / 1e6).alias("most")), f"WITH {_PX}, {_QSQL} SELECT train_id, round(sum(v * q) / 1e6, 4) AS moment, round(max(q) / 1e6, 4) AS most FROM px JOIN qm USING (y, x) GROUP BY 1")
 add("i2_azimuthal", lambda s, d: _curve(s, d).select("train_id", "bin", "i"), f"WITH {_PX}, {_QSQL}, {_AI} SELECT train_id, bin, round(i, 4) AS i FROM ai")
 _AI1 = _AI.replace("c >= 2", "c >= 1")
 _AREA = f"ar AS (SELECT train_id, {_QHI / 6!r} * sum(CASE WHEN bin IN (0, 5) THEN i / 2 ELSE i END) AS a FROM ai GROUP BY 1)"

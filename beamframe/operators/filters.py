@@ -86,11 +86,13 @@ CONTROL = ("Magnet", "Monochromator", "Motor", "User defined")
 
 def control_filter(raw: DataFrame, catalog: DataFrame) -> DataFrame:
     """Trains where every filtered control item (catalog: category, name, property, lo, hi) is within its range; a train without the value is dropped."""
-    items = catalog.where(F.col("category").isin(*CONTROL))
-    n = items.select("name", "property").distinct().count()
-    hit = raw.join(F.broadcast(items.select(F.col("name").alias("source"), "property", "lo", "hi")), ["source", "property"])
+    items = catalog.where(F.col("category").isin(*CONTROL)).select(F.col("name").alias("source"), "property", "lo", "hi")
+    n = items.agg(F.count_distinct("source", "property").alias("n"))
+    hit = raw.join(items, ["source", "property"])
     good = hit.where(F.isnan("scalar") | F.col("scalar").between(F.col("lo"), F.col("hi"))).groupBy("train_id").agg(F.count_distinct("source", "property").alias("k"))
-    return raw.join(good.where(F.col("k") == n).select("train_id"), "train_id", "left_semi") if n else raw
+    # every train is good where nothing is asked
+    good = raw.select("train_id").distinct().join(good, "train_id", "left").crossJoin(F.broadcast(n)).where(F.coalesce("k", F.lit(0)) == F.col("n"))
+    return raw.join(good.select("train_id"), "train_id", "left_semi")
 
 
 def drop_all_guard(df: DataFrame, keys: tuple[str, ...] = ("train_id",)) -> tuple[DataFrame, DataFrame]:
@@ -103,13 +105,28 @@ def drop_all_guard(df: DataFrame, keys: tuple[str, ...] = ("train_id",)) -> tupl
 DIGITIZER_CHANNELS = ("A", "B", "C", "D", "ADC")
 
 
-def digitizer_pulse(df: DataFrame, channels: dict[str, str], start=None, stop=None, step=None, w: int = 1, lo: float = -math.inf, hi: float = math.inf) -> DataFrame:
-    """(train_id, pulse, <properties>) to (train_id, channel, pulse, integral) of the pulse slice; channels maps property to channel name. w: window of the moving average over trains for each channel and pulse; pulses whose averaged integral is outside lo..hi go."""
-    if unknown := set(channels.values()) - set(DIGITIZER_CHANNELS):
+def digitizer_pulse(df: DataFrame, channels: dict[str, str], start=None, stop=None, step=None, w: int = 1, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """(train_id, pulse, <properties>) to (train_id, channel, pulse, integral, kept) of the pulse slice; channels maps property to channel name.
+
+    w: window of the moving average over trains for each channel and pulse. ranges: by channel, for the averaged integral.
+    A pulse outside the range of any channel is masked (kept is false) in all channels of its train, and none is deleted;
+    NaN and NULL are in range.
+    """
+    if unknown := (set(channels.values()) | set(ranges or {})) - set(DIGITIZER_CHANNELS):
         raise ValueError(f"unknown digitizer channels {sorted(unknown)}")
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(p).cast("double").alias("integral")) for p, c in channels.items()])).alias("c")
     own = averaged(slice_pulses(df.select("train_id", "pulse", pairs).select("train_id", "pulse", "c.*"), start, stop, step), ["channel", "pulse"], "integral", w)
-    return own if math.isinf(lo) and math.isinf(hi) else own.where((F.col("integral") >= lo) & (F.col("integral") <= hi))
+    good = F.lit(True)
+    for c, (lo, hi) in (ranges or {}).items():
+        good = good & ((F.col("channel") != c) | F.coalesce(in_range(F.col("integral"), lo, hi), F.lit(True)))
+    return own.withColumn("kept", F.bool_and(good).over(Window.partitionBy("train_id", "pulse")))
+
+
+def mask_by_digitizer(df: DataFrame, digitizer: DataFrame) -> DataFrame:
+    """df (train_id, pulse, ...) with kept = kept AND the digitizer's; pulses and trains that it lacks stay as they are."""
+    own = digitizer.groupBy("train_id", "pulse").agg(F.bool_and("kept").alias("__kept"))
+    kept = F.col("kept") if "kept" in df.columns else F.lit(True)
+    return df.join(own, ["train_id", "pulse"], "left").withColumn("kept", kept & F.coalesce("__kept", F.lit(True))).drop("__kept")
 
 
 def slice_curve(df: DataFrame, lo: float | None = None, hi: float | None = None) -> DataFrame:
@@ -123,11 +140,10 @@ def select_poi(df: DataFrame, i: int, j: int) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("pulse").isin(i, j)), missing
 
 
-def squeeze(df: DataFrame, axes: tuple[str, ...] = ("y", "x")) -> DataFrame:
-    """Drop the axis that has one place only; at most one may."""
-    most = df.agg(*[F.max(a).alias(a) for a in axes]).collect()[0]
-    single = [a for a in axes if most[a] == 0]
-    return df.drop(single[0]) if len(single) == 1 else df
+def squeeze(df: DataFrame, axis: str) -> DataFrame:
+    """Drop an axis that has one place only, 0; a row at another place is an error. The schema doesn't hang on the data."""
+    place = F.when(F.col(axis) == 0, F.col(axis)).otherwise(F.raise_error(F.lit(f"axis {axis} has more than one place")))
+    return df.withColumn(axis, place).where(F.col(axis).isNotNull()).drop(axis)
 
 
 def apd_stride(df: DataFrame, col: str, stride: int, n: int) -> DataFrame:

@@ -121,15 +121,19 @@ def intra_dark(px: DataFrame) -> DataFrame:
 
 
 def calibrate(px: DataFrame, gain: DataFrame | None, offset: DataFrame | None, dark: DataFrame | None = None, dark_as_offset: bool = False, adu: float | None = None, slicer: tuple | None = None, mask: DataFrame | None = None, lo: float = -math.inf, hi: float = math.inf, w: int = 1, **options) -> DataFrame:
-    """Correction, photon binning, pulse slice, masks, in that order: constants fit the unsliced train. A dark image recorded from a run (dark_mean, dark_from_run) is `dark`; w: window of the moving average over trains that ends the chain."""
+    """Correction, photon binning, moving average over trains (window w), pulse slice, masks, in that order.
+
+    Constants and averages are those of the unsliced train, and what a mask or the range hides in one train is no gap in
+    the averages. A dark image recorded from a run (dark_mean, dark_from_run) is `dark`.
+    """
     from beamframe.operators.filters import slice_pulses
 
     df = correct(px, gain, dark if dark_as_offset else offset, **options)
     df = bin_photons(df, adu) if adu else df
+    df = averaged(df, [c for c in ("pulse", "y", "x") if c in df.columns], "v", w)
     df = slice_pulses(df, *slicer) if slicer else df
     df = mask_image(df, mask) if mask is not None else df
-    df = df if math.isinf(lo) and math.isinf(hi) else mask_threshold(df, lo, hi)
-    return averaged(df, [c for c in ("pulse", "y", "x") if c in df.columns], "v", w)
+    return df if math.isinf(lo) and math.isinf(hi) else mask_threshold(df, lo, hi)
 
 
 # reductions

@@ -5,16 +5,27 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beamframe.functions import bin_edge, bin_index, nan_to_null
+from beamframe.operators.order import newest, quantiles
+from beamframe.operators.scan import moving_average
+from beamframe.scratch import written
 
 
 def compute_statistics(df: DataFrame, col: str, keys: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
-    """mean, median, population std; NULL for no value."""
-    v = nan_to_null(F.col(col))
-    return df.groupBy(*keys).agg(F.avg(v).alias("mean"), (F.median(v) if exact else F.percentile_approx(v, 0.5)).alias("median"), F.stddev_pop(v).alias("std"))
+    """mean, median, population std; NULL for no value. The exact median is selected in rounds, as no task may hold all values of a key."""
+    v = nan_to_null(F.col(col).cast("double"))
+    if not exact:
+        return df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.percentile_approx(v, 0.5).alias("median"), F.stddev_pop(v).alias("std"))
+    own = written(df.select(*keys, v.alias("__v")), "values")
+    moments = own.groupBy(*keys).agg(F.avg("__v").alias("mean"), F.stddev_pop("__v").alias("std"))
+    median = quantiles(own, "__v", [0.5], keys)
+    if not keys:
+        return moments.crossJoin(F.broadcast(median)).select("mean", F.col("q0").alias("median"), "std")
+    both = moments.alias("l").join(median.alias("u"), [F.col(f"l.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys], "left")
+    return both.select(*[f"l.{k}" for k in keys], "mean", F.col("u.q0").alias("median"), "std")
 
 
 def bin_range(df: DataFrame, col: str, lo: float, hi: float) -> DataFrame:
@@ -77,13 +88,21 @@ def spectrum_1d(df: DataFrame, x: str, y: str, n: int, lo: float = -math.inf, hi
     return out.select("bin", "center", (F.col("stat") if nan_to_num else F.when(F.col("count") > 0, F.col("stat"))).alias("mean"), "count")
 
 
-def hist_with_stats(df: DataFrame, col: str, n: int = 10, lo: float = -math.inf, hi: float = math.inf) -> tuple[DataFrame, DataFrame]:
-    """(bin, center, count), (mean, median, std) over values in range; NaN is no value."""
+def histogram(df: DataFrame, col: str, n: int = 10, lo: float = -math.inf, hi: float = math.inf) -> DataFrame:
+    """bin, center, count over values in range; NaN is no value."""
+    inside, edges = _inside(df, col, n, lo, hi)
+    return _grid(edges, n, "bin").join(inside.groupBy("bin").agg(F.count("*").alias("count")), "bin", "left").select("bin", "center", F.coalesce("count", F.lit(0)).alias("count"))
+
+
+def _inside(df: DataFrame, col: str, n: int, lo: float, hi: float) -> tuple[DataFrame, DataFrame]:
     own = df.select(nan_to_null(F.col(col).cast("double")).alias("v")).where("v IS NOT NULL")
     own, edges = _binned(own, "v", n, lo, hi, "bin")
-    inside = own.where("bin IS NOT NULL")
-    hist = _grid(edges, n, "bin").join(inside.groupBy("bin").agg(F.count("*").alias("count")), "bin", "left").select("bin", "center", F.coalesce("count", F.lit(0)).alias("count"))
-    return hist, compute_statistics(inside, "v")
+    return own.where("bin IS NOT NULL"), edges
+
+
+def hist_with_stats(df: DataFrame, col: str, n: int = 10, lo: float = -math.inf, hi: float = math.inf) -> tuple[DataFrame, DataFrame]:
+    """(bin, center, count), (mean, median, std) over values in range; NaN is no value."""
+    return histogram(df, col, n, lo, hi), compute_statistics(_inside(df, col, n, lo, hi)[0], "v")
 
 
 def hist_by(df: DataFrame, col: str, keys: list[str], n: int, lo: float, hi: float) -> DataFrame:
@@ -106,19 +125,18 @@ def poi_histogram(df: DataFrame, poi: int, n: int, lo: float = -math.inf, hi: fl
 
 def quick_min_max(df: DataFrame, col: str, q: float = 1.0) -> DataFrame:
     """min and max, or the q and 1 - q quantiles as values of the data."""
-    v = nan_to_null(F.col(col))
     if q >= 1.0:
+        v = nan_to_null(F.col(col))
         return df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     q = max(q, 1 - q)
-    p = round(1 - q, 12)
-    return df.agg(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY nanvl(`{col}`, NULL))").alias("lo"), F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY nanvl(`{col}`, NULL))").alias("hi"))
+    return quantiles(df, col, [round(1 - q, 12), q], disc=True).select(F.col("q0").alias("lo"), F.col("q1").alias("hi"))
 
 
 def last_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """The newest n rows (of each key). Without keys a top-k replaces the window, which one task would sort."""
-    desc = [F.col(c).desc() for c in order]
+    """The newest n rows (of each key). Without keys a top-k, or for many rows a cut at the rank, replaces the window, which one task would sort."""
     if not keys:
-        return df.orderBy(*desc).limit(n)
+        return newest(df, order, n)
+    desc = [F.col(c).desc() for c in order]
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*desc))).where(F.col("__r") <= n).drop("__r")
 
 
@@ -136,35 +154,6 @@ def processing_rate(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("rate", F.when(dt > 0, 1 / dt))
 
 
-CHUNK = 1000
-
-
-def moving_average(df: DataFrame, keys: list[str], order: list[str], col: str, w: int) -> DataFrame:
-    """df with column avg: m += (x - m) / c, c = 1..w and then w. A NULL makes all later averages NULL.
-
-    Each step is an affine map of m, and maps compose: rows are numbered, cut into chunks, each chunk is composed to one
-    map, the chunks' start values are folded, and each chunk then runs from its start value.
-    """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    rest = F.struct(*[c for c in df.columns if c not in keys])
-    numbered = df.select(*keys, rank.alias("__n"), F.col(col).cast("double").alias("__x"), rest.alias("__rest")).withColumn("__c", F.floor((F.col("__n") - 1) / CHUNK))
-    chunks = numbered.groupBy(*keys, "__c").agg(F.array_sort(F.collect_list(F.struct("__n", "__x", "__rest"))).alias("rows"))
-
-    def step(m: Column, r: Column) -> Column:
-        return F.when(r["__n"] == 1, r["__x"]).otherwise(m + (r["__x"] - m) / F.least(r["__n"], F.lit(w)))
-
-    scale = F.aggregate("rows", F.lit(1.0), lambda s, r: s * F.when(r["__n"] == 1, 0.0).otherwise(1.0 - 1.0 / F.least(r["__n"], F.lit(w))))
-    shift = F.aggregate("rows", F.lit(0.0), step)
-    heads = chunks.select(*keys, "__c", scale.alias("a"), shift.alias("b"))
-    folded = heads.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__c", "a", "b"))).alias("h"))
-    init = F.struct(F.lit(0.0).alias("m"), F.array().cast("array<double>").alias("starts"))
-    starts = F.aggregate("h", init, lambda s, h: F.struct((h["a"] * s["m"] + h["b"]).alias("m"), F.concat(s["starts"], F.array(s["m"])).alias("starts")), lambda s: s["starts"])
-    starts = folded.select(*keys, F.posexplode(starts).alias("__c", "start"))
-    run = F.aggregate("rows", F.struct(F.col("start").alias("m"), F.array().cast("array<double>").alias("out")), lambda s, r: F.struct(step(s["m"], r).alias("m"), F.concat(s["out"], F.array(step(s["m"], r))).alias("out")), lambda s: s["out"])
-    done = chunks.join(starts, [*keys, "__c"]).select(*keys, F.explode(F.arrays_zip("rows", run.alias("avg"))).alias("z"))
-    return done.select(*keys, *[F.col(f"z.rows.__rest.{c}").alias(c) for c in df.columns if c not in keys], F.col("z.avg").alias("avg"))
-
-
 def averaged(df: DataFrame, keys: list[str], col: str, w: int) -> DataFrame:
     """df with col replaced by its moving average over trains, window w, for each of keys; 1 leaves it as it is."""
     if w <= 1:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from beamframe import functions as fn
 from beamframe import sources as src
-from beamframe.operators import azimuthal, correlate, filters, image, pumpprobe, roi, stats
+from beamframe.operators import azimuthal, correlate, filters, image, pumpprobe, roi, scan, stats
 from beamframe.plans import recipes
 
 INF = math.inf
@@ -62,7 +62,7 @@ def test_moving_average(spark):
 
 
 def test_moving_average_across_chunks_and_nulls(spark, monkeypatch):
-    monkeypatch.setattr(stats, "CHUNK", 7)
+    monkeypatch.setattr(scan, "CHUNK", 7)
     xs = np.random.default_rng(0).random(60).tolist()
     want, m = [], 0.0
     for i, x in enumerate(xs, 1):
