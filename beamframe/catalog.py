@@ -18,6 +18,7 @@ from beamframe.operators import azimuthal, correlate, filters, image, pumpprobe,
 from beamframe.operators.order import newest, quantiles
 from beamframe.plans import recipes
 from beamframe.scratch import scratch_path, shared_root
+from beamframe.streaming import states
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -601,3 +602,56 @@ add("k9_drop_policy", _k9, f"WITH {_RAW} SELECT max(train_id) AS train_id FROM r
 add("k10_source_expiry", lambda s, d: _streamed(s, d, lambda e: streaming.available_sources_stream(_stream_raw(e), "1 day").select(F.expr("unix_micros(CAST(window.start AS TIMESTAMP))").alias("day"), "source", "last_train"), "complete").select((F.col("day") / _DAY).cast("long").alias("day"), "source", "last_train"), f"WITH {_RAW} SELECT epoch_us(ts) // {_DAY} AS day, source, arg_max(train_id, ts) AS last_train FROM raw GROUP BY 1, 2")
 add("k5_scan_stream", lambda s, d: _streamed(s, d, lambda e: streaming.scan_points_stream(e.select("user_id", "event_id", F.get_json_object("props", "$.k").cast("double").alias("x"), F.col("value").alias("y")), "user_id", "event_id", "x", "y", 20.0), "update").groupBy("user_id", "point").agg(F.max_by(F.struct("x", "y_avg", "y_min", "y_max", "count"), "count").alias("p")).select("user_id", "point", "p.*"), _scan_sql(20.0), 6)
 add("k3_cache_overflow", lambda s, d: _streamed(s, d, lambda e: streaming.correlate_stream_exact(_stream_raw(e), ["click", "view", "error"], 20)))
+
+
+# --- streams of several micro-batches: the events in three files by time; clicks of every seventh train's first ten days come last
+_CUTS = "CASE WHEN {late} THEN 2 WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END"
+_LATE = "ts < TIMESTAMP '2024-01-09' AND event_type = 'click' AND floor(event_id / 10) % 7 = 3"
+
+
+def _batches(s, d, build, late="false", mode="append", where=None):
+    """What build(stream) gives over the three files, a micro-batch each."""
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = scratch_path(s, "stream")
+    events = _read(s, d, "events")
+    events = events.where(where) if where else events
+    for k in range(3):
+        events.where(f"{_CUTS.format(late=late)} = {k}").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = lambda: s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    return _drained(s, build(stream), at, mode)
+
+
+_HOUR = 3_600_000
+add("k4_matched_trains", lambda s, d: _batches(s, d, lambda e: states.match_trains(_stream_raw(e()), ["click", "view", "error"], 24 * _HOUR, "2 hours"), _LATE).withColumn("complete", F.col("complete").cast("int")), f"""WITH own AS (SELECT event_id // 10 AS train_id, event_type AS source, value AS scalar, epoch_us(ts) // 1000 AS ms, event_id, {_CUTS.format(late='false')} AS part FROM events WHERE event_type IN ('click', 'view', 'error') AND NOT (ts < TIMESTAMP '2024-01-09' AND event_type = 'click' AND event_id // 10 % 7 = 3)),
+parts AS (SELECT train_id, p, min(ms) OVER (PARTITION BY train_id) AS first_ms, (SELECT count(DISTINCT source) FROM own o WHERE o.train_id = t.train_id AND o.part <= p) AS n FROM (SELECT DISTINCT train_id, min(ms) AS ms FROM own GROUP BY 1) t, range(3) r(p)),
+ends AS (SELECT train_id, any_value(first_ms) AS first_ms, min(p) FILTER (n = 3) AS done FROM parts GROUP BY 1),
+v AS (SELECT o.train_id, any_value(done) AS done, any_value(first_ms) AS first_ms, arg_max(scalar, event_id) FILTER (source = 'click') AS click, arg_max(scalar, event_id) FILTER (source = 'view') AS "view", arg_max(scalar, event_id) FILTER (source = 'error') AS error FROM own o JOIN ends e ON e.train_id = o.train_id AND (done IS NULL OR part <= done) GROUP BY 1),
+w AS (SELECT *, list_filter(['click', 'view', 'error'], lambda x: CASE x WHEN 'click' THEN click WHEN 'view' THEN "view" ELSE error END IS NULL) AS m FROM v)
+SELECT train_id, CAST(done IS NOT NULL AS INT) AS complete, CASE WHEN done IS NULL THEN 'Not found: ' || len(m) || ' out of 3: ' || m[1] ELSE '' END AS reason, click, "view", error FROM w WHERE done IS NOT NULL OR first_ms + {24 * _HOUR} <= (SELECT max(epoch_us(ts) // 1000) FROM events WHERE event_type IN ('click', 'view', 'error')) - {2 * _HOUR}""")
+
+
+def _silent(s, d):
+    changes = _batches(s, d, lambda e: states.source_changes(_stream_raw(e()), 48 * _HOUR, "1 hour"), where="NOT (event_type = 'signup' AND ts >= TIMESTAMP '2024-01-15') AND NOT (event_type = 'error' AND ts BETWEEN TIMESTAMP '2024-01-09' AND TIMESTAMP '2024-01-25')")
+    newest = changes.groupBy("source").agg(F.max_by(F.struct(F.col("available").cast("int").alias("available"), "last_ms", "last_train"), F.struct("last_ms", ~F.col("available"))).alias("c"), F.count_if(~F.col("available")).alias("n_expired"))
+    return newest.select("source", "c.*", "n_expired")
+
+
+add("k10_source_changes", _silent, f"""WITH own AS (SELECT event_type AS source, event_id // 10 AS train_id, epoch_us(ts) // 1000 AS ms FROM events WHERE NOT (event_type = 'signup' AND ts >= TIMESTAMP '2024-01-15') AND NOT (event_type = 'error' AND ts BETWEEN TIMESTAMP '2024-01-09' AND TIMESTAMP '2024-01-25')),
+gaps AS (SELECT *, ms - lag(ms) OVER (PARTITION BY source ORDER BY ms) > {48 * _HOUR} AS gap FROM own),
+l AS (SELECT source, max(ms) + {48 * _HOUR} > (SELECT max(ms) FROM own) - {_HOUR} AS available, max(ms) AS last_ms, arg_max(train_id, ms) AS last_train, count(*) FILTER (gap) AS n FROM gaps GROUP BY 1)
+SELECT source, CAST(available AS INT) AS available, last_ms, last_train, n + CASE WHEN available THEN 0 ELSE 1 END AS n_expired FROM l""")
+
+
+def _resets(s, d):
+    vec = F.when(F.col("ts") < F.lit("2024-01-16").cast("timestamp"), F.array("value")).otherwise(F.array("value", F.col("value") * 2))
+    data = lambda e: e.where("event_type <> 'signup'").select("user_id", "event_id", F.when(F.col("ts") < F.lit("2024-01-23").cast("timestamp"), "fom").otherwise("roi").alias("signature"), vec.alias("vec"))
+    asked = lambda e: e.where("event_type = 'signup'").select("user_id", "event_id")
+    got = _batches(s, d, lambda e: states.average_with_resets(data(e()), asked(e()), "user_id", "event_id", 5))
+    return got.select("user_id", "event_id", "n", F.get("avg", F.lit(0)).alias("first"), F.element_at("avg", -1).alias("last"))
+
+
+add("k8_resets", _resets, """WITH RECURSIVE e AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY event_id) * 3 + CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 0 WHEN ts < TIMESTAMP '2024-01-23' THEN 1 ELSE 2 END AS version FROM events),
+o AS MATERIALIZED (SELECT user_id, version, event_id, value AS v, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 1 ELSE 2 END AS f, row_number() OVER (PARTITION BY user_id, version ORDER BY event_id) AS n FROM e WHERE event_type <> 'signup'),
+r AS (SELECT user_id, version, event_id, f, n, v AS m FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.version, o.event_id, o.f, o.n, r.m + (o.v - r.m) / least(o.n, 5) FROM r JOIN o ON o.user_id = r.user_id AND o.version = r.version AND o.n = r.n + 1)
+SELECT user_id, event_id, least(n, 5) AS n, round(m, 4) AS first, round(m * f, 4) AS last FROM r""")
+add("k5_last_n_stream", lambda s, d: states.history_of(_batches(s, d, lambda e: states.last_n_stream(e().select("user_id", "event_id", F.col("value").alias("y")), "user_id", "event_id", "y", 20))), ORACLE_SQL["w2_last_n"])
