@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from beamframe.functions import HC_E
@@ -66,25 +68,39 @@ def center_of_mass(curve: DataFrame) -> DataFrame:
     return at.join(curve.select("train_id", "bin", "q", "i"), ["train_id", "bin"], "left").select("train_id", "q", "i")
 
 
+def _bases(values: Column) -> Column:
+    """For each sample the least value from it back to the nearest higher sample: one walk with a stack of falling values.
+
+    An entry of the stack is a sample and the least value since the one below it; a sample takes off what is not higher.
+    """
+    entry = lambda v, m: F.struct(v.alias("v"), m.alias("m"))
+
+    def step(s: Column, v: Column) -> Column:
+        least = F.least(v, F.array_min(F.transform(F.filter(s["stack"], lambda e: e["v"] <= v), lambda e: e["m"])))
+        return F.struct(F.concat(F.filter(s["stack"], lambda e: e["v"] > v), F.array(entry(v, least))).alias("stack"), F.concat(s["out"], F.array(least)).alias("out"))
+
+    start = F.struct(F.array().cast("array<struct<v:double,m:double>>").alias("stack"), F.array().cast("array<double>").alias("out"))
+    return F.aggregate(values, start, step, lambda s: s["out"])
+
+
 def find_peaks(curve: DataFrame, prominence: float, most: int = 10) -> DataFrame:
     """train_id, bin, q, i, prominence of local maxima; more than `most` in a curve: none.
 
-    A peak's base on either side is the least value up to the nearest higher sample; peaks meet their own curve's
-    samples only. Of a plateau the middle counts as the peak.
+    A peak's base on either side is the least value up to the nearest higher sample. Of a plateau the middle counts as the
+    peak. A curve is one array: both bases come from a walk along it, and the windows keep its partitioning.
     """
+    arrays = curve.groupBy("train_id").agg(F.array_sort(F.collect_list(F.struct("bin", "q", F.col("i").cast("double").alias("i")))).alias("c"))
+    values = F.transform("c", lambda s: s["i"])
+    each = arrays.select("train_id", F.explode(F.arrays_zip("c", _bases(values).alias("lb"), F.reverse(_bases(F.reverse(values))).alias("rb"))).alias("s")).select("train_id", "s.c.*", "s.lb", "s.rb")
     order = Window.partitionBy("train_id").orderBy("bin")
-    runs = curve.withColumn("__new", (F.coalesce(F.lag("i").over(order) != F.col("i"), F.lit(True))).cast("int")).withColumn("__run", F.sum("__new").over(order))
-    flat = runs.groupBy("train_id", "__run").agg(F.min("bin").alias("a"), F.max("bin").alias("b"), F.first("i").alias("i"))
-    ro = Window.partitionBy("train_id").orderBy("a")
-    tops = flat.withColumn("l", F.lag("i").over(ro)).withColumn("r", F.lead("i").over(ro)).where("i > l AND i > r").select("train_id", F.floor((F.col("a") + F.col("b")) / 2).cast("int").alias("bin"), "i")
-    other = curve.select("train_id", F.col("bin").alias("k"), F.col("i").alias("v"))
-    met = tops.join(other, "train_id")
-    stop = met.groupBy("train_id", "bin", "i").agg(F.max(F.when((F.col("k") < F.col("bin")) & (F.col("v") > F.col("i")), F.col("k"))).alias("ls"), F.min(F.when((F.col("k") > F.col("bin")) & (F.col("v") > F.col("i")), F.col("k"))).alias("rs"))
-    near = stop.join(other, "train_id").where((F.col("ls").isNull() | (F.col("k") > F.col("ls"))) & (F.col("rs").isNull() | (F.col("k") < F.col("rs"))))
-    base = near.groupBy("train_id", "bin", "i").agg(F.min(F.when(F.col("k") <= F.col("bin"), F.col("v"))).alias("lb"), F.min(F.when(F.col("k") >= F.col("bin"), F.col("v"))).alias("rb"))
-    peaks = base.withColumn("prominence", F.col("i") - F.greatest("lb", "rb")).where(F.col("prominence") >= prominence)
-    few = peaks.groupBy("train_id").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("train_id")
-    return peaks.join(few, "train_id", "left_semi").join(curve.select("train_id", "bin", "q"), ["train_id", "bin"]).select("train_id", "bin", "q", "i", "prominence")
+    runs = each.withColumn("__new", (F.coalesce(F.lag("i").over(order) != F.col("i"), F.lit(True))).cast("int")).withColumn("__run", F.sum("__new").over(order))
+    run = Window.partitionBy("train_id", "__run")
+    ends = runs.withColumns({"__a": F.min("bin").over(run), "__b": F.max("bin").over(run)})
+    last = Window.partitionBy("train_id").orderBy("__run").rangeBetween(-1, -1)
+    after = Window.partitionBy("train_id").orderBy("__run").rangeBetween(1, 1)
+    tops = ends.withColumns({"__l": F.max("i").over(last), "__r": F.max("i").over(after)}).where("i > __l AND i > __r AND bin = floor((__a + __b) / 2)")
+    peaks = tops.withColumn("prominence", F.col("i") - F.greatest("lb", "rb")).where(F.col("prominence") >= prominence)
+    return peaks.withColumn("__n", F.count("*").over(Window.partitionBy("train_id"))).where(F.col("__n") <= most).select("train_id", "bin", "q", "i", "prominence")
 
 
 def largest_peak(peaks: DataFrame) -> DataFrame:
@@ -92,11 +108,24 @@ def largest_peak(peaks: DataFrame) -> DataFrame:
 
 
 def find_center(px: DataFrame, cy: float, cx: float, ny: int, nx: int, reach: int = 10, min_count: int = 1) -> DataFrame:
-    """train_id, cy, cx, peak: the centre within reach pixels whose radial mean has the highest peak, of equal ones (to 9 digits) the first by row and column."""
-    px = px.where("v IS NOT NULL")
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    cand = px.select("train_id", "y", "x", "v", F.explode(steps).alias("dy")).select("*", F.explode(steps).alias("dx"))
-    r = F.floor(F.sqrt(F.pow(F.col("y") - cy - F.col("dy"), 2) + F.pow(F.col("x") - cx - F.col("dx"), 2)) + 0.5)
-    radial = cand.groupBy("train_id", "dy", "dx", r.alias("r")).agg(F.avg("v").alias("m"), F.count("*").alias("n")).where(F.col("n") >= min_count)
-    peak = radial.groupBy("train_id", "dy", "dx").agg(F.max("m").alias("peak"))
-    return peak.groupBy("train_id").agg(F.max_by(F.struct("dy", "dx"), F.struct(F.round("peak", 9), -F.col("dy"), -F.col("dx"))).alias("b"), F.max("peak").alias("peak")).select("train_id", (F.col("b.dy") + cy).alias("cy"), (F.col("b.dx") + cx).alias("cx"), "peak")
+    """train_id, cy, cx, peak: the centre within reach pixels whose radial mean has the highest peak, of equal ones (to 9 digits) the first by row and column.
+
+    An image is one group and stays whole: its candidates are compared inside the task, so no pixel is sent more than once.
+    """
+
+    def search(image: pd.DataFrame) -> pd.DataFrame:
+        y, x, v = image["y"].to_numpy(float), image["x"].to_numpy(float), image["v"].to_numpy(float)
+        best = None
+        for dy in range(-reach, reach + 1):
+            for dx in range(-reach, reach + 1):
+                r = np.floor(np.sqrt((y - cy - dy) ** 2 + (x - cx - dx) ** 2) + 0.5).astype(int)
+                n = np.bincount(r)
+                held = n >= max(min_count, 1)
+                if held.any():
+                    peak = (np.bincount(r, weights=v)[held] / n[held]).max()
+                    if best is None or round(peak, 9) > round(best[2], 9):
+                        best = (dy + cy, dx + cx, peak)
+        return pd.DataFrame([(image["train_id"].iloc[0], *best)] if best else [], columns=["train_id", "cy", "cx", "peak"])
+
+    own = px.where(F.col("v").isNotNull()).select("train_id", "y", "x", F.col("v").cast("double").alias("v"))
+    return own.groupBy("train_id").applyInPandas(search, f"train_id {dict(px.dtypes)['train_id']}, cy double, cx double, peak double")

@@ -273,15 +273,57 @@ def edge_detect(px: DataFrame, size: int, sigma: float, low: float, high: float,
     return state.select(*keys, "y", "x", (F.col("s") == 2).cast("int").alias("v"))
 
 
+def fourier(values: Column, n: int) -> Column:
+    """The discrete Fourier transform of an array of n structs (re, im), inside the row.
+
+    n = q 2^m with q odd: sums over q interleaved samples come first, then m stages of butterflies, so the work is
+    n (q + m). An odd n is one direct sum.
+    """
+    m = (n & -n).bit_length() - 1
+    q, blocks = n >> m, 1 << m
+    turn = lambda part, whole: -2 * math.pi * part / whole
+    times = lambda a, t: F.struct((a["re"] * F.cos(t) - a["im"] * F.sin(t)).alias("re"), (a["re"] * F.sin(t) + a["im"] * F.cos(t)).alias("im"))
+    plus = lambda a, b: F.struct((a["re"] + b["re"]).alias("re"), (a["im"] + b["im"]).alias("im"))
+    nothing = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+    # block b holds the samples r, r + 2^m, ... where r is b with its m bits reversed
+    order = F.array(*[F.lit(int(f"{b:0{m}b}"[::-1], 2) if m else 0) for b in range(blocks)])
+    places = F.sequence(F.lit(0), F.lit(n - 1))
+
+    def direct(p: Column) -> Column:
+        r, k = F.get(order, F.floor(p / q).cast("int")), p % q
+        if q == 1:
+            return F.get(values, r)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(q - 1)), nothing, lambda s, t: plus(s, times(F.get(values, r + blocks * t), turn((k * t) % q, q))))
+
+    def stage(a: Column, half: Column) -> Column:
+        def one(p: Column) -> Column:
+            at = p % (2 * half)
+            j = at % half
+            low, high = F.get(a, p - at + j), F.get(a, p - at + j + half)
+            return plus(low, times(high, turn(at, 2 * half)))  # beyond half the turn gains a half circle, which is the minus sign
+
+        return F.transform(places, one)
+
+    start = F.transform(places, direct)
+    return F.aggregate(F.array(*[F.lit(q << i) for i in range(m)]), start, stage) if m else start
+
+
+def _filled(cells: Column, n: int) -> Column:
+    """An array of n structs from (at, re, im) in any order, 0 where none stands."""
+    dense = F.transform(F.array_sort(cells), lambda c: F.struct(c["re"].alias("re"), c["im"].alias("im")))
+    by = F.map_from_entries(F.transform(cells, lambda c: F.struct(c["at"], F.struct(c["re"].alias("re"), c["im"].alias("im")))))
+    nothing = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+    return F.when(F.size(cells) == n, dense).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(by, i), nothing)))
+
+
 def power_spectrum(px: DataFrame, ny: int, nx: int, keys: tuple[str, ...] = IMAGE) -> DataFrame:
-    """log10(1 + |F|) of the 2D Fourier transform, shifted to the centre: one grouped pass for each axis."""
+    """log10(1 + |F|) of the 2D Fourier transform, shifted to the centre: each row is one array and is transformed in place, then each column."""
 
-    def turn(n: int, at: str) -> Column:
-        return -2 * math.pi / n * F.col("k") * F.col(at)
+    def along(df: DataFrame, by: str, at: str, n: int) -> DataFrame:
+        cell = F.struct(F.col(at).cast("int").alias("at"), "re", "im")
+        rows = df.groupBy(*keys, by).agg(F.collect_list(cell).alias("cells")).select(*keys, by, _filled(F.col("cells"), n).alias("row"))
+        return rows.select(*keys, by, F.posexplode(fourier(F.col("row"), n)).alias(at, "z")).select(*keys, by, at, "z.re", "z.im")
 
-    rows = px.withColumn("v", F.coalesce("v", F.lit(0.0))).select(*keys, "y", "x", "v", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("k"))
-    rows = rows.groupBy(*keys, "y", "k").agg(F.sum(F.col("v") * F.cos(turn(nx, "x"))).alias("re"), F.sum(F.col("v") * F.sin(turn(nx, "x"))).alias("im")).withColumnRenamed("k", "kx")
-    both = rows.select(*keys, "y", "kx", "re", "im", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))).alias("k"))
-    c, s = F.cos(turn(ny, "y")), F.sin(turn(ny, "y"))
-    both = both.groupBy(*keys, "k", "kx").agg(F.sum(F.col("re") * c - F.col("im") * s).alias("re"), F.sum(F.col("re") * s + F.col("im") * c).alias("im"))
-    return both.select(*keys, ((F.col("k") + ny // 2) % ny).cast("int").alias("y"), ((F.col("kx") + nx // 2) % nx).cast("int").alias("x"), F.log10(1 + F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("v"))
+    own = px.select(*keys, "y", "x", F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
+    both = along(along(own, "y", "x", nx), "x", "y", ny)
+    return both.select(*keys, ((F.col("y") + ny // 2) % ny).cast("int").alias("y"), ((F.col("x") + nx // 2) % nx).cast("int").alias("x"), F.log10(1 + F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("v"))
