@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beamframe.functions import bin_edge, bin_index, nan_to_null
 from beamframe.operators.order import newest, quantiles
+from beamframe.operators.positions import scan_points
 from beamframe.operators.scan import moving_average
 from beamframe.scratch import written
 
@@ -161,9 +161,6 @@ def averaged(df: DataFrame, keys: list[str], col: str, w: int) -> DataFrame:
     return moving_average(df, keys, ["train_id"], col, w).select(*[F.col("avg").alias(c) if c == col else F.col(c) for c in df.columns])
 
 
-SCAN_SCHEMA = "point long, x double, y_avg double, y_min double, y_max double, count long"
-
-
 def scan_step(state: list | None, x: float, y: float, resolution: float) -> tuple[list, bool]:
     """(state with this value, whether it opened a position); state: [x mean, count, y mean, sum of squares]."""
     if state is None or abs(x - state[0]) > resolution:
@@ -173,44 +170,6 @@ def scan_step(state: list | None, x: float, y: float, resolution: float) -> tupl
     return [state[0] + (x - state[0]) / n, n, mean, state[3] + (y - state[2]) * (y - mean)], False
 
 
-def scan_points(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, resolution: float, min_count: int = 2, max_len: int = 3000, auto_reset: bool = False) -> DataFrame:
-    """keys, point, x, y_avg, y_min, y_max (half a standard deviation to either side), count of each position of a scan.
-
-    A value further than resolution from the position's mean opens a new position; one with fewer than min_count values
-    is discarded. The rule depends on the order, so a scan (key) is walked in one task, over three numbers a row.
-    auto_reset: the first value of a new position only resets and is not taken.
-    """
-    if resolution <= 0:
-        raise ValueError("resolution must be positive")
-    kinds = dict(df.dtypes)
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        points, state, skipped = [], None, False
-        for a, b in zip(frame[x].to_numpy(float), frame[y].to_numpy(float), strict=True):
-            if auto_reset:
-                fresh = state is None or abs(a - state[0]) > resolution
-                if fresh and not skipped:
-                    skipped = True
-                    continue
-                skipped = False
-            state, opened = scan_step(state, a, b, resolution)
-            if opened:
-                points.append(state)
-            else:
-                points[-1] = state
-            if opened and len(points) > 1 and points[-2][1] < min_count:
-                del points[-2]
-        points = [p for p in points if p[1] >= min_count][-max_len:]
-        out = pd.DataFrame([(i, p[0], p[2], *((p[2] - 0.5 * math.sqrt(p[3] / p[1]), p[2] + 0.5 * math.sqrt(p[3] / p[1]))), p[1]) for i, p in enumerate(points)], columns=["point", "x", "y_avg", "y_min", "y_max", "count"])
-        for k in reversed(keys):
-            out.insert(0, k, frame[k].iloc[0])
-        return out
-
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + SCAN_SCHEMA
-    return df.select(*keys, *order, *[c for c in (x, y) if c not in order]).where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).applyInPandas(walk, schema)
-
-
 def trace(df: DataFrame, col: str, n: int) -> DataFrame:
     """A slow value against trains, the newest n."""
     return last_n(df.select("train_id", col), [], ["train_id"], n)
