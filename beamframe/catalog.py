@@ -18,7 +18,7 @@ from beamframe.operators import azimuthal, correlate, filters, image, pumpprobe,
 from beamframe.operators.order import newest, quantiles
 from beamframe.plans import recipes
 from beamframe.scratch import scratch_path, shared_root
-from beamframe.streaming import states
+from beamframe.streaming import rebin, states
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -609,7 +609,7 @@ _CUTS = "CASE WHEN {late} THEN 2 WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts
 _LATE = "ts < TIMESTAMP '2024-01-09' AND event_type = 'click' AND floor(event_id / 10) % 7 = 3"
 
 
-def _batches(s, d, build, late="false", mode="append", where=None):
+def _batches(s, d, build, late="false", mode="append", where=None, sink=None):
     """What build(stream) gives over the three files, a micro-batch each."""
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     at = scratch_path(s, "stream")
@@ -618,6 +618,8 @@ def _batches(s, d, build, late="false", mode="append", where=None):
     for k in range(3):
         events.where(f"{_CUTS.format(late=late)} = {k}").coalesce(1).write.mode("append").parquet(f"{at}/in")
     stream = lambda: s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    if sink:
+        return build(stream).writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
     return _drained(s, build(stream), at, mode)
 
 
@@ -655,3 +657,15 @@ o AS MATERIALIZED (SELECT user_id, version, event_id, value AS v, CASE WHEN ts <
 r AS (SELECT user_id, version, event_id, f, n, v AS m FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.version, o.event_id, o.f, o.n, r.m + (o.v - r.m) / least(o.n, 5) FROM r JOIN o ON o.user_id = r.user_id AND o.version = r.version AND o.n = r.n + 1)
 SELECT user_id, event_id, least(n, 5) AS n, round(m, 4) AS first, round(m * f, 4) AS last FROM r""")
 add("k5_last_n_stream", lambda s, d: states.history_of(_batches(s, d, lambda e: states.last_n_stream(e().select("user_id", "event_id", F.col("value").alias("y")), "user_id", "event_id", "y", 20))), ORACLE_SQL["w2_last_n"])
+
+
+def _rebinned(s, d):
+    at = scratch_path(s, "bins")
+    rows = lambda e: e().select((F.col("value") * F.dayofmonth("ts") - 40).alias("x"), "value")
+    _batches(s, d, rows, sink=rebin.dynamic_bins(at, "x", "value", 12, cells=64))
+    return rebin.newest_bins(s, at)
+
+
+add("k6_dynamic_range", _rebinned, """WITH v AS (SELECT value * day(ts) - 40 AS x, value AS y FROM events), r AS (SELECT min(x) AS lo, max(x) AS hi FROM v),
+g AS (SELECT CASE WHEN x = hi THEN 11 ELSE CAST(floor((x - lo) / (hi - lo) * 12) AS INT) END AS bin, count(*) AS c, avg(y) AS m FROM v, r GROUP BY 1)
+SELECT i AS bin, round(lo + (i + 0.5e0) * ((hi - lo) / 12), 4) AS center, coalesce(c, 0) AS count, round(coalesce(m, 0.0), 4) AS stat FROM range(12) t(i) CROSS JOIN r LEFT JOIN g ON g.bin = i""")

@@ -138,16 +138,6 @@ def histogram_stream(df: DataFrame, col: str, n: int, lo: float, hi: float) -> D
     return df.withColumn("bin", bin_index(F.col(col), F.lit(float(lo)), F.lit(float(hi)), n)).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("count"))
 
 
-def rebin_on_batch(history_path: str, binned_path: str, rebin):
-    """For foreachBatch: append the batch to the history and bin all of it again (dynamic ranges)."""
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
-        rebin(batch.sparkSession.read.parquet(history_path)).write.mode("overwrite").parquet(binned_path)
-
-    return handle
-
-
 def latest_per_batch(sink):
     """For foreachBatch: hand on only the newest train of each micro-batch (a slow consumer drops the rest)."""
     return lambda batch, batch_id: sink(latest(batch), batch_id)
@@ -165,4 +155,4 @@ def with_status(df: DataFrame, checks: dict[str, object]) -> tuple[DataFrame, Da
     return marked.where("__reason IS NULL").drop("__reason"), marked.where("__reason IS NOT NULL").select("train_id", F.lit("check").alias("operator"), F.col("__reason").alias("reason"))
 
 
-__all__ = ["correlate", "correlate_stream", "correlate_stream_exact", "moving_average_stream", "scan_points_stream", "bin_stream", "histogram_stream", "rebin_on_batch", "latest_per_batch", "available_sources_stream", "with_status"]
+__all__ = ["correlate", "correlate_stream", "correlate_stream_exact", "moving_average_stream", "scan_points_stream", "bin_stream", "histogram_stream", "latest_per_batch", "available_sources_stream", "with_status"]
