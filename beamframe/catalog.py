@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from beamframe import functions as fn
 from beamframe import sources as src
 from beamframe import streaming
-from beamframe.operators import azimuthal, correlate, filters, image, pumpprobe, roi, stats, xgm
+from beamframe.operators import azimuthal, correlate, filters, frames, image, pumpprobe, roi, stats, xgm
 from beamframe.operators.order import newest, quantiles
 from beamframe.plans import recipes
 from beamframe.scratch import scratch_path, shared_root
@@ -585,20 +585,7 @@ _versioned = lambda e: e.select((F.col("user_id") * 2 + F.floor(F.col("event_id"
 add("k8_version_reset", lambda s, d: _streamed(s, d, lambda e: streaming.moving_average_stream(_versioned(e), "key", "event_id", "value", 5)), "WITH RECURSIVE o AS MATERIALIZED (SELECT user_id * 2 + (event_id // 1000) % 2 AS key, event_id, value AS y, row_number() OVER (PARTITION BY user_id * 2 + (event_id // 1000) % 2 ORDER BY event_id) AS n FROM events), r AS (SELECT key, event_id, n, y AS m FROM o WHERE n = 1 UNION ALL SELECT o.key, o.event_id, o.n, r.m + (o.y - r.m) / least(o.n, 5) FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1) SELECT key, event_id, round(m, 4) AS avg FROM r")
 
 
-def _k9(s, d):
-    at = scratch_path(s, "stream")
-    events = s.readStream.schema(_read(s, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(_events_copy(s, d))
-    newest = lambda sink: streaming.latest_per_batch(sink)
-    return _drained(s, _stream_raw(events).select("train_id"), at, "append", newest)
-
-
-def _events_copy(s, d):
-    path = scratch_path(s, "events")
-    _read(s, d, "events").coalesce(1).write.parquet(path)
-    return path
-
-
-add("k9_drop_policy", _k9, f"WITH {_RAW} SELECT max(train_id) AS train_id FROM raw")
+add("k9_drop_policy", lambda s, d: _newest_of_batches(s, d), "SELECT max(event_id // 10) AS train_id FROM events GROUP BY CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END")
 add("k10_source_expiry", lambda s, d: _streamed(s, d, lambda e: streaming.available_sources_stream(_stream_raw(e), "1 day").select(F.expr("unix_micros(CAST(window.start AS TIMESTAMP))").alias("day"), "source", "last_train"), "complete").select((F.col("day") / _DAY).cast("long").alias("day"), "source", "last_train"), f"WITH {_RAW} SELECT epoch_us(ts) // {_DAY} AS day, source, arg_max(train_id, ts) AS last_train FROM raw GROUP BY 1, 2")
 add("k5_scan_stream", lambda s, d: _streamed(s, d, lambda e: streaming.scan_points_stream(e.select("user_id", "event_id", F.get_json_object("props", "$.k").cast("double").alias("x"), F.col("value").alias("y")), "user_id", "event_id", "x", "y", 20.0), "update").groupBy("user_id", "point").agg(F.max_by(F.struct("x", "y_avg", "y_min", "y_max", "count"), "count").alias("p")).select("user_id", "point", "p.*"), _scan_sql(20.0), 6)
 add("k3_cache_overflow", lambda s, d: _streamed(s, d, lambda e: streaming.correlate_stream_exact(_stream_raw(e), ["click", "view", "error"], 20)))
@@ -669,3 +656,61 @@ def _rebinned(s, d):
 add("k6_dynamic_range", _rebinned, """WITH v AS (SELECT value * day(ts) - 40 AS x, value AS y FROM events), r AS (SELECT min(x) AS lo, max(x) AS hi FROM v),
 g AS (SELECT CASE WHEN x = hi THEN 11 ELSE CAST(floor((x - lo) / (hi - lo) * 12) AS INT) END AS bin, count(*) AS c, avg(y) AS m FROM v, r GROUP BY 1)
 SELECT i AS bin, round(lo + (i + 0.5e0) * ((hi - lo) / 12), 4) AS center, coalesce(c, 0) AS count, round(coalesce(m, 0.0), 4) AS stat FROM range(12) t(i) CROSS JOIN r LEFT JOIN g ON g.bin = i""")
+
+
+def _newest_of_batches(s, d):
+    at = scratch_path(s, "newest")
+    _batches(s, d, lambda e: _stream_raw(e()).select("train_id"), sink=streaming.latest_per_batch(lambda batch, k: batch.write.mode("append").parquet(at)))
+    return s.read.schema("train_id long").parquet(at)
+
+
+# --- whole results of operators that other queries show in part
+def _dark(s, d):
+    by_pulse, _, n = image.dark_mean(pulse_pixels(s, d))
+    return by_pulse.crossJoin(F.broadcast(n))
+
+
+add("a13_dark_by_pulse", _dark, f"WITH {_PPX} SELECT pulse, y, x, round(avg(v), 4) AS v, (SELECT count(DISTINCT train_id) FROM ppx) AS n_trains FROM ppx GROUP BY 1, 2, 3")
+add("d2_fom_projection", lambda s, d: recipes.fom(pixels(s, d), "roi_proj", roi=ROIS[3], ny=8, nx=8), ORACLE_SQL["r7_projection_fom"])
+add("d2_fom_azimuthal", lambda s, d: recipes.fom(_curve(s, d), "azimuthal", lo=2e7, hi=1.5e8), f"WITH {_PX}, {_QSQL}, {_AI} SELECT train_id, round(sum(abs(i)), 4) AS fom FROM ai WHERE q BETWEEN 2e7 AND 1.5e8 GROUP BY 1")
+_GAUSS = ", ".join(f"({dy}, {dx}, {w!r}e0)" for dy, dx, w in image.cross_kernel(3, 1.0))
+_SOBEL = "(-1, -1, -1), (-1, 1, 1), (0, -1, -2), (0, 1, 2), (1, -1, -1), (1, 1, 1)"
+_GROWN = "(SELECT s.train_id, s.y, s.x, CASE WHEN any_value(s.s) = 1 AND count(n.s) FILTER (n.s = 2) > 0 THEN 2 ELSE any_value(s.s) END AS s FROM {t} s LEFT JOIN {t} n ON n.train_id = s.train_id AND abs(n.y - s.y) <= 1 AND abs(n.x - s.x) <= 1 GROUP BY 1, 2, 3)"
+ORACLE_SQL["t2_edge_detect"] = f"""WITH {_PX}, ga(dy, dx, w) AS (VALUES {_GAUSS}), so(dy, dx, w) AS (VALUES {_SOBEL}),
+bl AS MATERIALIZED (SELECT p.train_id, p.y - dy AS y, p.x - dx AS x, sum(v * w) AS v FROM px p, ga WHERE p.y - dy BETWEEN 0 AND 7 AND p.x - dx BETWEEN 0 AND 7 GROUP BY 1, 2, 3),
+gx AS (SELECT p.train_id, p.y - dy AS y, p.x - dx AS x, sum(v * w) AS v FROM bl p, so WHERE p.y - dy BETWEEN 0 AND 7 AND p.x - dx BETWEEN 0 AND 7 GROUP BY 1, 2, 3),
+gy AS (SELECT p.train_id, p.y - dx AS y, p.x - dy AS x, sum(v * w) AS v FROM bl p, so WHERE p.y - dx BETWEEN 0 AND 7 AND p.x - dy BETWEEN 0 AND 7 GROUP BY 1, 2, 3),
+g AS MATERIALIZED (SELECT gx.train_id, gx.y, gx.x, sqrt(gx.v * gx.v + gy.v * gy.v) AS g, (degrees(atan2(gy.v, gx.v)) + 360) % 180 AS t FROM gx JOIN gy USING (train_id, y, x)),
+d AS (SELECT *, CASE WHEN t < 22.5 OR t >= 157.5 THEN 0 ELSE 1 END AS dy, CASE WHEN t < 67.5 OR t >= 157.5 THEN 1 WHEN t < 112.5 THEN 0 ELSE -1 END AS dx FROM g),
+th AS (SELECT d.train_id, d.y, d.x, CASE WHEN any_value(d.g) >= coalesce(max(o.g), 0) THEN any_value(d.g) ELSE 0 END AS g FROM d LEFT JOIN g o ON o.train_id = d.train_id AND ((o.y = d.y + d.dy AND o.x = d.x + d.dx) OR (o.y = d.y - d.dy AND o.x = d.x - d.dx)) GROUP BY 1, 2, 3),
+s0 AS MATERIALIZED (SELECT train_id, y, x, CASE WHEN g >= 0.6 THEN 2 WHEN g >= 0.2 THEN 1 ELSE 0 END AS s FROM th),
+s1 AS MATERIALIZED {_GROWN.format(t='s0')}, s2 AS MATERIALIZED {_GROWN.format(t='s1')}, s3 AS {_GROWN.format(t='s2')}
+SELECT train_id, y, x, CAST(s = 2 AS INT) AS v FROM s3"""
+
+# --- images in array layout: the same rows as in pixel layout
+_frames = lambda s, d: frames.frames(_read(s, d, "embeddings").select(F.col("vec_id").alias("train_id"), "embedding"), "embedding")
+_pulse_frames = lambda s, d: frames.frames(_read(s, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("train_id"), (F.col("vec_id") % 8).cast("int").alias("pulse"), "embedding"), "embedding", image.PULSE_IMAGE)
+_cells = lambda s, d: frames.frames(_read(s, d, "embeddings").where("vec_id < 8").select(F.col("vec_id").cast("int").alias("cell"), "embedding"), "embedding", ("cell",))
+_total, _held = (lambda c: frames.reduce(c, "sum")), (lambda c: frames.reduce(c, "count").cast("long"))
+
+
+def _both_masks(s, d):
+    df = frames.with_frame(_frames(s, d), frames.mask_frame(_mask(s), 8, 8))
+    data, bad = frames.mask_both(F.col("data"), F.col("hit"), -0.1, 0.1)
+    return df.select("train_id", F.size(F.filter(bad, lambda b: b)).alias("n"), F.when(_held(data) > 0, _total(data)).alias("t"))
+
+
+add("f13_threshold_mask_frames", lambda s, d: _frames(s, d).select("train_id", frames.threshold(F.col("data"), -0.1, 0.1).alias("k")).select("train_id", _held(F.col("k")).alias("n"), frames.reduce(F.col("k"), "mean").alias("m")), ORACLE_SQL["f13_threshold_mask"])
+add("f14_image_mask_frames", lambda s, d: frames.with_frame(_frames(s, d), frames.mask_frame(_mask(s), 8, 8)).select("train_id", frames.mask(F.col("data"), F.col("hit")).alias("k")).select("train_id", _held(F.col("k")).alias("n"), _total(F.col("k")).alias("t")), ORACLE_SQL["f14_image_mask"])
+add("f15_both_masks_frames", _both_masks, ORACLE_SQL["f15_both_masks"])
+add("f16_nan_mask_frames", lambda s, d: frames.to_pixels(_frames(s, d).select("train_id", frames.nan_mask(frames.threshold(F.col("data"), 0.0)).alias("data")), 8).groupBy("y", "x").agg(F.count_if("v").alias("n")), ORACLE_SQL["f16_nan_mask"])
+add("f18_asic_edges_frames", lambda s, d: _frames(s, d).select("train_id", _total(frames.asic_edges(F.col("data"), 8, 4, 4)).alias("t")), ORACLE_SQL["f18_asic_edges"])
+add("f19_photons_frames", lambda s, d: _frames(s, d).select("train_id", _total(frames.photons(F.transform("data", lambda v: v * 100), 7.0)).alias("photons")), ORACLE_SQL["f19_photons"])
+add("f20_down_sample_frames", lambda s, d: frames.to_pixels(_frames(s, d).select("train_id", frames.down_sample(F.col("data"), 8, 8).alias("data")), 4), ORACLE_SQL["f20_down_sample"])
+add("j4_gain_offset_frames", lambda s, d: frames.nanmean_image(frames.with_cells(_pulse_frames(s, d), _cells(s, d), "c").select("train_id", "pulse", frames.correct(F.col("data"), F.col("c"), F.col("c")).alias("data")), 8), ORACLE_SQL["j4_gain_offset"])
+add("a1_nanmean_image_frames", lambda s, d: frames.nanmean_image(_pulse_frames(s, d).withColumn("data", frames.threshold(F.col("data"), -0.2, 0.2)), 8), ORACLE_SQL["a1_nanmean_image"])
+add("a2_nanmean_pair_frames", lambda s, d: frames.to_pixels(_frames(s, d).select("train_id", frames.pair_mean(F.col("data"), frames.threshold(F.transform("data", lambda v: 3 * v), 0.0)).alias("data")), 8), ORACLE_SQL["a2_nanmean_pair"])
+add("a3_nan_reduce_frames", lambda s, d: _frames(s, d).select("train_id", F.posexplode(frames.projection(frames.threshold(F.col("data"), 0.0), (0, 0, 8, 8), 8, 8, "y")).alias("y", "v")), ORACLE_SQL["a3_nan_reduce"])
+add("a4_nan_std_frames", lambda s, d: _frames(s, d).select("train_id", F.transform("data", lambda v: v + 2).alias("k")).select("train_id", (frames.reduce(F.col("k"), "std") / frames.reduce(F.col("k"), "mean")).alias("std"), (frames.reduce(F.col("k"), "var") / F.pow(frames.reduce(F.col("k"), "mean"), 2)).alias("var")), ORACLE_SQL["a4_nan_std"])
+add("r2_roi_fom_pulse_frames", lambda s, d: frames.roi_fom(_pulse_frames(s, d), ROIS, 8, 8, "mean", "sub", image.PULSE_IMAGE), ORACLE_SQL["r2_roi_fom_pulse"])
+add("r7_roi_projection_frames", lambda s, d: _frames(s, d).select("train_id", F.posexplode(frames.projection(F.col("data"), ROIS[3], 8, 8, "y", "mean")).alias("i", "y")), ORACLE_SQL["r7_roi_projection"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beamframe.functions import drop_reason, is_even
+from beamframe.scratch import written
 
 
 def correlate(raw: DataFrame, sources: list[str]) -> DataFrame:
@@ -29,7 +30,8 @@ RANGES = 256
 
 
 def by_ranges(df: DataFrame, col: str, ranges: int = RANGES) -> DataFrame:
-    """df with __range, the number of one of at most `ranges` ranges of col with about equally many rows: windows over all rows become windows in a range and one over the ranges."""
+    """df, written once, with __range, the number of one of at most `ranges` ranges of col with about equally many rows: windows over all rows become windows in a range and one over the ranges."""
+    df = written(df, "ranges")
     cuts = sorted(set(df.approxQuantile(col, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
     return df.withColumn("__range", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col(col))) if cuts else F.lit(0))
 

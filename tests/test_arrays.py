@@ -63,3 +63,17 @@ def test_centre_of_a_ring(spark):
     assert got == {t: (float(cy), float(cx), 1.0) for t, (cy, cx) in at.items()}
     assert "Generate" not in azimuthal.find_center(df, 12.0, 12.0, ny, nx, 4)._jdf.queryExecution().executedPlan().toString()
     assert azimuthal.find_center(df.where(F.lit(False)), 12.0, 12.0, ny, nx).collect() == []
+
+
+def test_array_layout_needs_no_exchange(spark):
+    from beamframe.operators import frames
+
+    nan = float("nan")
+    df = frames.frames(spark.createDataFrame([(1, [1.0, nan, 3.0, -4.0, 5.0, 6.0]), (2, [nan] * 6)], "train_id long, d array<double>"), "d")
+    d = F.col("data")
+    out = df.select("train_id", frames.threshold(d, 0.0, 5.0).alias("a"), frames.threshold(d, 0.0, 5.0, False).alias("b"), frames.mask(d, F.array(*[F.lit(i % 2 == 0) for i in range(6)])).alias("c"), frames.nan_mask(d).alias("n"), *[frames.reduce(d, h).alias(h) for h in ("sum", "mean", "min", "max", "count", "var")], frames.projection(d, (1, 0, 5, 2), 2, 3, "x").alias("p"), frames.region(d, (2, 1, 9, 9), 2, 3).alias("r"))
+    a, b = (tuple(r)[1:] for r in out.orderBy("train_id").collect())
+    assert a == ([1.0, None, 3.0, None, 5.0, None], [1.0, 0.0, 3.0, 0.0, 5.0, 0.0], [None, None, None, -4.0, None, 6.0], [False, True, False, False, False, False], 11.0, 2.2, -4.0, 6.0, 5, pytest.approx(12.56), [5.0, 9.0], [6.0])
+    assert b == ([None] * 6, [0.0] * 6, [None] * 6, [True] * 6, 0.0, None, None, None, 0, None, [0.0, 0.0], [None])
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert frames.region(d, (9, 9, 1, 1), 2, 3) is None
