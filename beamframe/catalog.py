@@ -714,3 +714,4 @@ add("a3_nan_reduce_frames", lambda s, d: _frames(s, d).select("train_id", F.pose
 add("a4_nan_std_frames", lambda s, d: _frames(s, d).select("train_id", F.transform("data", lambda v: v + 2).alias("k")).select("train_id", (frames.reduce(F.col("k"), "std") / frames.reduce(F.col("k"), "mean")).alias("std"), (frames.reduce(F.col("k"), "var") / F.pow(frames.reduce(F.col("k"), "mean"), 2)).alias("var")), ORACLE_SQL["a4_nan_std"])
 add("r2_roi_fom_pulse_frames", lambda s, d: frames.roi_fom(_pulse_frames(s, d), ROIS, 8, 8, "mean", "sub", image.PULSE_IMAGE), ORACLE_SQL["r2_roi_fom_pulse"])
 add("r7_roi_projection_frames", lambda s, d: _frames(s, d).select("train_id", F.posexplode(frames.projection(F.col("data"), ROIS[3], 8, 8, "y", "mean")).alias("i", "y")), ORACLE_SQL["r7_roi_projection"])
+add("r4_roi_fom_averaged_frames", lambda s, d: frames.roi_fom(frames.moving_average(_frames(s, d).withColumn("data", F.transform("data", lambda v: v + 1)), 3, tile=24), ROIS, 8, 8), ORACLE_SQL["r4_roi_fom_averaged"].replace(f"{_SUM[1]} / {_SUM[3]}", _SUM[1]).replace(", 'ok' AS status", ""))

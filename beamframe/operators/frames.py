@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from beamframe.functions import nan_to_null
 from beamframe.operators.roi import Rect, clip, combine
+from beamframe.operators.scan import moving_average_vectors
 
 def frames(df: DataFrame, data: str, keys: tuple[str, ...] = ("train_id",)) -> DataFrame:
     """keys, data as doubles; NaN becomes NULL."""
@@ -159,3 +160,21 @@ def nanmean_image(df: DataFrame, nx: int) -> DataFrame:
     """train_id, y, x, v: mean over the pulses of each train (those kept, if the column is there)."""
     own = df.where("kept") if "kept" in df.columns else df
     return to_pixels(own, nx).groupBy("train_id", "y", "x").agg(F.avg("v").alias("v"))
+
+
+#: Pixels of a tile, the part of an image that one task averages over trains.
+TILE = 1024
+
+
+def moving_average(df: DataFrame, w: int, keys: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:
+    """df (train_id, keys, data) with data replaced by its moving average over trains, pixel by pixel, for each of keys.
+
+    Images are cut into tiles, and the tiles averaged apart; what a pixel's NULL does is what it does in moving_average.
+    """
+    if w <= 1:
+        return df
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("data") - 1) / tile).cast("int")), lambda i: F.slice("data", i * tile + 1, tile))
+    tiles = df.select("train_id", *keys, F.posexplode(parts).alias("__tile", "__part"))
+    done = moving_average_vectors(tiles, [*keys, "__tile"], ["train_id"], "__part", w)
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__tile", "avg"))), lambda t: t["avg"]))
+    return done.groupBy("train_id", *keys).agg(whole.alias("data"))

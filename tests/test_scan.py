@@ -79,3 +79,20 @@ def test_a_digitizer_channel_masks_the_pulse_of_the_whole_train(spark):
     assert kept == {(1, 0): False, (1, 1): True, (1, 2): True, (1, 3): True, (2, 0): True}
     with pytest.raises(ValueError, match="unknown"):
         filters.digitizer_pulse(df, {"a": "A"}, ranges={"Z": (0.0, 1.0)})
+
+
+@pytest.mark.parametrize(("w", "chunk", "level"), [(2, 3, 2), (6, 2, 3), (40, 7, 32)])
+def test_averages_of_arrays_are_those_of_their_elements(spark, w, chunk, level):
+    r = random.Random(w)
+    own = {"hot": [[r.random(), None if i == 90 else r.random(), 1.0] for i in range(150)], None: [[1.0, math.nan, 3.0], [2.0, 2.0, 2.0]], "one": [[4.0, 5.0, 6.0]]}
+    rows = [(k, i, v, f"{k}{i}") for k, vs in own.items() for i, v in enumerate(vs)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "a string, i long, v array<double>, tag string").repartition(5)
+    got = scan.moving_average_vectors(df, ["a"], ["i"], "v", w, chunk, level)
+    assert got.columns == ["a", "i", "v", "tag", "avg"]
+    by = {(x["a"], x["i"]): (x["tag"], x["avg"]) for x in got.collect()}
+    assert len(by) == len(rows)
+    for k, vs in own.items():
+        for e in range(3):
+            for i, m in enumerate(loop([v[e] for v in vs], w)):
+                assert by[k, i][0] == f"{k}{i}" and by[k, i][1][e] == (None if m is None else pytest.approx(m)), (k, i, e)
