@@ -715,3 +715,5 @@ add("a4_nan_std_frames", lambda s, d: _frames(s, d).select("train_id", F.transfo
 add("r2_roi_fom_pulse_frames", lambda s, d: frames.roi_fom(_pulse_frames(s, d), ROIS, 8, 8, "mean", "sub", image.PULSE_IMAGE), ORACLE_SQL["r2_roi_fom_pulse"])
 add("r7_roi_projection_frames", lambda s, d: _frames(s, d).select("train_id", F.posexplode(frames.projection(F.col("data"), ROIS[3], 8, 8, "y", "mean")).alias("i", "y")), ORACLE_SQL["r7_roi_projection"])
 add("r4_roi_fom_averaged_frames", lambda s, d: frames.roi_fom(frames.moving_average(_frames(s, d).withColumn("data", F.transform("data", lambda v: v + 1)), 3, tile=24), ROIS, 8, 8), ORACLE_SQL["r4_roi_fom_averaged"].replace(f"{_SUM[1]} / {_SUM[3]}", _SUM[1]).replace(", 'ok' AS status", ""))
+add("r9_pp_projection_curve", lambda s, d: roi.pp_roi_projection(*_pp(s, d), ROIS[2], 8, 8, "x")[0], f"WITH {_PPX}, {_PAIR} SELECT train_id, x - 4 AS i, round(sum(a - b), 4) AS y FROM m WHERE {_INS[2]} AND a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2")
+add("f25_apd_stride_short", lambda s, d: filters.apd_stride(_read(s, d, "embeddings").withColumn("embedding", F.slice("embedding", F.lit(1), (F.lit(20) + F.col("vec_id") % 40).cast("int"))), "embedding", 5, 10).select("vec_id", "status", F.aggregate("samples", F.lit(0.0), lambda a, v: a + v).alias("t")), "SELECT vec_id, CASE WHEN 20 + vec_id % 40 >= 46 THEN 'ok' ELSE 'error' END AS status, CASE WHEN 20 + vec_id % 40 >= 46 THEN round(list_sum([CAST(embedding[5 * i + 1] AS DOUBLE) FOR i IN range(10)]), 4) END AS t FROM embeddings")

@@ -10,9 +10,9 @@ from beamframe.scratch import written
 
 
 def correlate(raw: DataFrame, sources: list[str]) -> DataFrame:
-    """train_id and a column for each source, for trains where all arrived: one shuffle instead of a join each. A later message of a source wins."""
+    """train_id and a column for each source, for trains where all arrived: one shuffle instead of a join each. A later message of a source wins: by ts, then by arrival (seq) where the column is there."""
     own = raw.where(F.col("source").isin(sources))
-    order = F.struct("ts", "scalar")
+    order = F.struct("ts", *(["seq"] if "seq" in raw.columns else []), "scalar")
     wide = own.groupBy("train_id").agg(*[F.max_by(F.when(F.col("source") == s, F.col("scalar")), F.when(F.col("source") == s, order)).alias(s) for s in sources], *[F.count_if(F.col("source") == s).alias(f"__{i}") for i, s in enumerate(sources)])
     for i in range(len(sources)):
         wide = wide.where(F.col(f"__{i}") > 0)

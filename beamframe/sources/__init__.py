@@ -73,9 +73,13 @@ def check_constants(df: DataFrame) -> DataFrame:
 
 
 def load_reference(spark: SparkSession, path: str) -> DataFrame:
+    """y, x, v of a reference image; it must be one full rectangle, each pixel once."""
     df = spark.read.parquet(path)
     if set(df.columns) != {"y", "x", "v"}:
         raise ValueError("a reference image has columns y, x, v")
+    shape = df.agg(F.count("*").alias("n"), F.count_distinct("y", "x").alias("places"), ((F.max("y") + 1) * (F.max("x") + 1)).alias("all"), F.least(F.min("y"), F.min("x")).alias("least")).first()
+    if shape["n"] and not (shape["n"] == shape["places"] == shape["all"] and shape["least"] == 0):
+        raise ValueError("a reference image must be one full rectangle")
     return df
 
 

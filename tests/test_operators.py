@@ -223,3 +223,18 @@ def test_run_info_of_nothing(spark):
 def test_constants_are_checked(spark):
     with pytest.raises(ValueError):
         src.check_constants(spark.createDataFrame([(0, 0, 0, 1.0), (0, 1, 1, 1.0)], "cell int, y int, x int, v double"))
+
+
+def test_the_later_arrival_wins_among_equal_times(spark):
+    df = spark.createDataFrame([(1, "a", 5, 0, 9.0), (1, "a", 5, 1, 2.0), (1, "b", 5, 2, 1.0)], "train_id long, source string, ts long, seq long, scalar double")
+    assert [tuple(r) for r in correlate.correlate(df, ["a", "b"]).collect()] == [(1, 2.0, 1.0)]
+
+
+def test_a_ragged_reference_is_refused(spark, tmp_path):
+    rows = [(y, x, 1.0) for y in range(2) for x in range(3)]
+    for k, own in enumerate((rows, rows[:-1] + [rows[0]], rows[:4])):
+        spark.createDataFrame(own, "y int, x int, v double").write.parquet(f"{tmp_path}/{k}")
+    assert src.load_reference(spark, f"{tmp_path}/0").count() == 6
+    for k in (1, 2):
+        with pytest.raises(ValueError, match="rectangle"):
+            src.load_reference(spark, f"{tmp_path}/{k}")
