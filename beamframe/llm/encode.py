@@ -135,6 +135,11 @@ class Encoder:
     def _keep_words(self, words: list[str]) -> None:
         self.pieces.update(zip(words, self._words(words), strict=True))
 
+    def forget(self) -> None:
+        """Give back what is kept for reuse; it is learned again when it is met."""
+        for kept in (self.pieces, self.ids, self.spans):
+            kept.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         known, distinct = self.pieces, set()

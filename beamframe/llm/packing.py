@@ -72,7 +72,7 @@ def cut(length: int, size: int) -> list[tuple[int, int]]:
     return [(0, first)] * bool(first) + [(s, size) for s in range(first, length, size)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, with_ids: bool) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, with_ids: bool, free: bool = False) -> DataFrame:
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("number", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
 
@@ -90,14 +90,16 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, with_ids: bo
                         number = seen[length] = seen.get(length, -1) + 1
                         rows.append((doc_id, k, start, length, zlib.crc32(own), task, number, *[np.frombuffer(own, "<i4")] * with_ids))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), schema, strict=True)], [n for n, _ in schema])
+        if free:
+            encoder.forget()
 
     return df.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long" + ", ids array<int>" * with_ids)
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset [, ids]."""
+def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, with_ids: bool = False, free: bool = False) -> DataFrame:
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset [, ids]. free: workers give back the words they keep when a task ends, for jobs that go on with other work."""
     spark = docs.sparkSession
-    made = materialize(pieces(docs, tokenizer, size, end_id, with_ids), "pieces")
+    made = materialize(pieces(docs, tokenizer, size, end_id, with_ids, free), "pieces")
     counts = materialize(made.groupBy("task", "length").agg(F.count("*").alias("n")), "lengths")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
     base = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
