@@ -42,7 +42,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), size=1024, end_id=2, with_ids=True)
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), size=1024, end_id=2, with_ids=True, free=True)
 
 
 STAGES = [
