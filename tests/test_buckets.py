@@ -25,3 +25,13 @@ def test_many_trains_share_a_bucket(spark):
     over = [(t, False, why(h), *[h[s][2] if s in h else None for s in "abc"]) for t, h in held.items()]
     got = feed([(9, "a", at(60), 9999, 1.0)])
     assert sorted(got, key=str) == sorted(over, key=str)
+
+
+def test_many_rings_share_a_bucket(spark):
+    r = random.Random(6)
+    rows = [(r.choice([None, 2**60 + 1, 2**60 + 2, *range(40)]), k * 7919 % 1009, None if k % 40 == 3 else float(k)) for k in range(900)]
+    feed = Feed(spark, "k long, at long, v double", lambda e: states.last_n_stream(e, "k", "at", "v", 4, buckets=3))
+    changes = feed(rows[:500]) + feed(rows[500:])
+    left = states.history_of(spark.createDataFrame(changes, "k long, at long, v double, change long")).collect()
+    want = [(k, *p) for k in {x[0] for x in rows} for p in sorted((x[1:] for x in rows if x[0] == k), key=lambda p: -p[0])[:4]]
+    assert sorted(map(tuple, left), key=str) == sorted(want, key=str)
