@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from beamframe.operators import positions
@@ -52,3 +53,17 @@ def test_one_key_is_walked_in_many_ranges(spark):
 def test_no_values(spark):
     df = spark.createDataFrame([], "k string, i long, a double, b double")
     assert positions.scan_points(df, ["k"], ["i"], "a", "b", 0.5).collect() == []
+
+
+def test_many_keys_are_walked_by_one_task_over_batches_cut_anywhere():
+    r = random.Random(9)
+    own = {k: [(r.uniform(0, 2), r.random()) for _ in range(r.randint(1, 9))] for k in [None, float("nan"), *map(float, range(40))]}
+    rows = [(k, 0, a, b) for k, vs in own.items() for a, b in vs]
+    for size in (1, 7, len(rows)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size], strict=True), (pa.float64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["k", "__p", "__x", "__y"]) for i in range(0, len(rows), size)]
+        got = [x for b in positions.first_walks(iter(batches), ["k", "__p"], 0.5, False) for x in b.to_pylist()]
+        assert [str(x["k"]) for x in got] == [str(k) for k in own]
+        for x, vs in zip(got, own.values(), strict=True):
+            closed, state = positions.walk([a for a, _ in vs], [b for _, b in vs], None, 0.5, False)
+            assert [tuple(p.values()) for p in x["__points"]] == closed and tuple(x["__state"].values()) == state
+    assert list(positions.first_walks(iter([]), ["k", "__p"], 0.5, False)) == []
