@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pandas as pd
+
 from beamframe import streaming
 
 
@@ -34,3 +37,13 @@ def test_overflow_and_older_trains(spark, tmp_path):
     out.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda b, i: got.extend(tuple(x) for x in b.collect())).start().awaitTermination()
     want = brute(rows, sources, 5)
     assert sorted(got) == want and {x[1] for x in want} == {True, False}
+
+
+def test_a_micro_batch_is_sorted_in_blocks():
+    r = np.random.default_rng(2)
+    for n, most in ((0, 10), (9, 10), (5000, 64), (5000, 10**6)):
+        rows = np.stack([r.permutation(n), r.integers(-9, 9, n)], axis=1).reshape(-1, 2)
+        frames = [pd.DataFrame(rows[i : i + 50], columns=["seq", "t"]) for i in range(0, n, 50)]
+        blocks = list(streaming.sorted_blocks(iter(frames), ["seq", "t"], most))
+        assert np.array_equal(np.concatenate(blocks), rows[np.argsort(rows[:, 0])])
+        assert max(map(len, blocks)) <= 2 * most + 50
