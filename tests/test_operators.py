@@ -238,3 +238,10 @@ def test_a_ragged_reference_is_refused(spark, tmp_path):
     for k in (1, 2):
         with pytest.raises(ValueError, match="rectangle"):
             src.load_reference(spark, f"{tmp_path}/{k}")
+
+
+def test_xmcd_takes_every_pulse_without_a_window(spark):
+    rows = [(t, 0, float(t % 40), 20.0, -float(1 + t % 7), 0.05 if t % 2 else -0.05) for t in range(400)]
+    df = spark.createDataFrame(rows, "train_id long, pulse int, energy double, i0 double, i1_A double, current double")
+    shown = lambda window: sorted(tuple(r) for r in recipes.xas_xmcd(df, 10.0, 0.015, 4, window).collect())
+    assert shown(None) == shown(400) != shown(100)
