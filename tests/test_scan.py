@@ -96,3 +96,15 @@ def test_averages_of_arrays_are_those_of_their_elements(spark, w, chunk, level):
         for e in range(3):
             for i, m in enumerate(loop([v[e] for v in vs], w)):
                 assert by[k, i][0] == f"{k}{i}" and by[k, i][1][e] == (None if m is None else pytest.approx(m)), (k, i, e)
+
+
+def test_averages_have_the_bits_of_a_loop(spark):
+    r = random.Random(20)
+    own = {k: [round(r.uniform(15, 25), 2) for _ in range(r.randint(1, 30))] for k in range(400)}
+    df = spark.createDataFrame([(k, i, v) for k, vs in own.items() for i, v in enumerate(vs)], "k long, i long, v double").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one range: no key is cut
+    try:
+        got = {(x["k"], x["i"]): x["avg"] for x in scan.moving_average(df, ["k"], ["i"], "v", 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {(k, i): m for k, vs in own.items() for i, m in enumerate(loop(vs, 5))}
