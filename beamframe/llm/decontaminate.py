@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beamframe.llm import textbatch as tb
+from beamframe.llm.shared import tidy
 
 Q = 8
 RATE = 0.1
@@ -230,11 +231,11 @@ def _indexes(benchmark: DataFrame, q: int, rate: float):
 
 
 def _likely(index: Index, keys, texts: list):
-    """(key, text) of candidates, by runs of about a million characters."""
+    """(key, text) of candidates, by runs of about RUN_BYTES characters."""
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size < 1 << 20):
+        while end < len(texts) and (end == at or size < tb.RUN_BYTES):
             size += len(texts[end] or "")
             end += 1
         for i in np.flatnonzero(index.candidates(texts[at:end])).tolist():
@@ -264,7 +265,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
 
         return search
 
-    parts = [narrow.mapInArrow(searching(index), "doc_id long, item_id long, edits long, start long, end long") for index in _indexes(benchmark, q, rate)]
+    parts = [narrow.mapInArrow(tidy(searching(index)), "doc_id long, item_id long, edits long, start long, end long") for index in _indexes(benchmark, q, rate)]
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
@@ -284,5 +285,5 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: fl
         return keep
 
     for index in _indexes(benchmark, q, rate):
-        docs = docs.mapInArrow(clean(index, docs.columns.index("text")), docs.schema)
+        docs = docs.mapInArrow(tidy(clean(index, docs.columns.index("text"))), docs.schema)
     return docs

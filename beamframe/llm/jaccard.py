@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from beamframe.llm import textbatch as tb
 from beamframe.llm.components import components
-from beamframe.llm.shared import materialize
+from beamframe.llm.shared import materialize, tidy
 
 #: Fixed sizes: of the sketch of shingle counts, of a row's bitmap (a power of two from FEW_BITS to MOST_BITS, two bits a shingle
 #: or more between these), of a tree's leaves, and rows of a block that one task takes.
@@ -66,7 +66,7 @@ def bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
         used = np.flatnonzero(block.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([x.tolist() for x in block[used]], pa.list_(pa.int64()))], ["block", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "block int, n array<long>").groupBy("block").agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(256)]).collect()  # BUCKETS / 256 rows
+    rows = docs.select("text").mapInArrow(tidy(count), "block int, n array<long>").groupBy("block").agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(256)]).collect()  # BUCKETS / 256 rows
     out = np.zeros((BUCKETS // 256, 256), np.int64)
     for r in rows:
         out[r[0]] = r[1:]
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, t: tuple[int, int], words: int) -> DataFrame:
                     fps.append(fp[:, i].tobytes() + int(n[i]).to_bytes(4, "little"))
                 yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(maps, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "fp", "bits", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(make, "doc_id long, n long, fp binary, bits binary, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(make), "doc_id long, n long, fp binary, bits binary, prefix array<long>")
 
 
 class Tree:
@@ -245,7 +245,7 @@ def _possible(pairs: DataFrame, reps: DataFrame, t: tuple[int, int]) -> DataFram
                         ok[both] = may_link(n[both], m[both], folded(bits_x[i], min(u, v)), folded(bits_y[j], min(u, v)), t)
                 yield part.select(["a", "b"]).filter(pa.array(ok))
 
-    return joined.mapInArrow(bound, "a long, b long").distinct()
+    return joined.mapInArrow(tidy(bound), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, t: tuple[int, int], words: int) -> DataFrame:
@@ -273,8 +273,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, t: tuple[int, int], words: int)
             for first, last, bounds, h in _sets(batch, "text", words):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), batch.column("salts").slice(first, last - first), pa.array([h[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["a", "salts", "x"])
 
-    sent = met(asked).select("doc_id", "text", "to").mapInArrow(send, "a long, salt int, b long, y binary")
-    held = met(hubs).select("doc_id", "text", "salts").mapInArrow(keep, "a long, salts int, x binary")
+    sent = met(asked).select("doc_id", "text", "to").mapInArrow(tidy(send), "a long, salt int, b long, y binary")
+    held = met(hubs).select("doc_id", "text", "salts").mapInArrow(tidy(keep), "a long, salts int, x binary")
     held = held.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "x")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +287,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, t: tuple[int, int], words: int)
                 same.append(both > 0 and t[1] * both >= t[0] * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    return materialize(sent.join(held, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct(), "links")
+    return materialize(sent.join(held, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(tidy(compare), "a long, b long").distinct(), "links")
 
 
 def similar_groups(docs: DataFrame, t: tuple[int, int] = (80, 100), words: int = 5) -> DataFrame:

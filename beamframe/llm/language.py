@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beamframe.llm import textbatch as tb
-from beamframe.llm.shared import materialize
+from beamframe.llm.shared import materialize, tidy
 
 #: Bounds of the sample: labels, distinct texts of each, and bytes after which no further text of a label is taken.
 LABELS = 64
@@ -337,7 +337,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
                 columns = [c.slice(first, last - first) for c in batch.columns[: len(names)]]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    return df.mapInArrow(label, schema)
+    return df.mapInArrow(tidy(label), schema)
 
 
 def _lettered(data: np.ndarray) -> bool:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in runs of about so many bytes; a longer text is a run of its own.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STATE: dict = {"n": 0}
 
