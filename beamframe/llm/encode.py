@@ -12,12 +12,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Texts between spaces, parts, and spans of parts kept for reuse by each Python worker; beyond it only those of the texts at hand are kept.
+#: Words that each Python worker keeps for reuse: so many that were met again, and as many that were met once.
 CACHE = 500_000
+#: Spans of parts kept for reuse; beyond it only those of the texts at hand are kept.
 SPANS = 800_000
 #: Letters and digits whose normal form in lower case is not one letter or digit.
 _LOOSE = "".join(c for c in map(chr, [*range(128, 0xD800), *range(0xE000, 0x30000)]) if c.isalnum() and not unicodedata.normalize("NFC", c).lower()[-1].isalnum())
@@ -42,10 +46,43 @@ def _trim(known: dict, used: set[str], most: int) -> None:
         known.update(kept)
 
 
+class Kept:
+    """What words were turned into, for reuse. Most words are rare: those met again and those met once are kept apart, up to `most` of each, and words met once go oldest first."""
+
+    def __init__(self, most: int):
+        self.again: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
+        self.most = most
+
+    def find(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Those of the words that are known."""
+        found, again, once = {}, self.again, self.once
+        for w in words:
+            value = again.get(w)
+            if value is None:
+                value = once.pop(w, None)
+                if value is None:
+                    continue
+                again[w] = value
+            found[w] = value
+        return found
+
+    def add(self, made: dict[str, bytes]) -> None:
+        if len(self.again) > self.most:  # those still in use come back when they are met
+            self.again, self.once = {}, self.again | self.once
+        self.once.update(made)
+        if len(self.once) > self.most:
+            for w in list(islice(self.once, len(self.once) - self.most * 3 // 4)):
+                del self.once[w]
+
+    def __len__(self) -> int:
+        return len(self.again) + len(self.once)
+
+
 class Encoder:
     """encode(texts) -> one array of ids for each text. One object for each vocabulary file and worker: Encoder.of(path)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,8 +90,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ids: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.ids, self.pieces = Kept(most), Kept(most)
         names = sorted((i, t) for t, i in self.tokenizer.get_vocab().items())
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.at_end = bool(suffix)
@@ -64,11 +100,16 @@ class Encoder:
         self.spans: dict[str, np.ndarray] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, most: int = CACHE) -> Encoder:
         if path not in _LOADED:
-            _LOADED[path] = cls(path)
+            _LOADED[path] = cls(path, most)
         return _LOADED[path]
 
+    @staticmethod
+    def give_back(path: str) -> None:
+        """Drop the worker's object for a file with all that it keeps; the next use loads it again."""
+        _LOADED.pop(path, None)
+
     def _whole(self, texts: list[str]):
         return self.tokenizer.encode_batch(texts, add_special_tokens=False)
 
@@ -118,46 +159,46 @@ class Encoder:
 
     def _learn(self, texts: list[str], parts: list[list[str]]) -> list[bytes]:
         """The ids of texts by their parts. Words of letters after a space are kept in `pieces`, other parts in `ids`."""
-        known, other = self.pieces, self.ids
-        words, rest, distinct = set(), set(), {q for p in parts for q in p}
-        _trim(other, distinct, CACHE)
-        for q in distinct:
-            if q[0] == " " and q[1:].isalpha():
-                if q[1:] not in known:
-                    words.add(q[1:])
-            elif q not in other:
-                rest.add(q)
-        self._keep_words(list(words))
-        rest = list(rest)
-        other.update(zip(rest, self._bytes(rest) if rest else (), strict=True))
-        return [b"".join([known[q[1:]] if q[0] == " " and q[1:].isalpha() else other[q] for q in p]) for p in parts]
-
-    def _keep_words(self, words: list[str]) -> None:
-        self.pieces.update(zip(words, self._words(words), strict=True))
-
-    def forget(self) -> None:
-        """Give back what is kept for reuse; it is learned again when it is met."""
-        for kept in (self.pieces, self.ids, self.spans):
-            kept.clear()
+        words, rest = [], []
+        for q in {q for p in parts for q in p}:
+            (words if q[0] == " " and q[1:].isalpha() else rest).append(q)
+        own = [q[1:] for q in words]
+        known = self.pieces.find(own)
+        known |= self._new_words([w for w in own if w not in known])
+        ids = self.ids.find(rest)
+        new = [q for q in rest if q not in ids]
+        made = dict(zip(new, self._bytes(new) if new else (), strict=True))
+        self.ids.add(made)
+        ids |= made
+        ids.update(zip(words, map(known.__getitem__, own), strict=True))
+        return [b"".join(map(ids.__getitem__, p)) for p in parts]
+
+    def _new_words(self, words: list[str]) -> dict[str, bytes]:
+        made = dict(zip(words, self._words(words), strict=True))
+        self.pieces.add(made)
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        known, distinct = self.pieces, set()
         odd = [self._odd(x) for x in texts]
-        split = [None if o or _LOOSE_SPACE.search(x) else x.split(" ") for o, x in zip(odd, texts, strict=True)]
-        for p in split:
-            if p is not None:
-                distinct.update(p[1:])
-        _trim(known, distinct, CACHE)
-        new = [u for u in distinct if u not in known]
-        self._keep_words([u for u in new if u.isalpha()])
+        apart = [o or _LOOSE_SPACE.search(x) is not None for o, x in zip(odd, texts, strict=True)]
+        split = pc.split_pattern(pa.array(["" if a else x for a, x in zip(apart, texts, strict=True)], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()  # a text's first unit has no space before it and is encoded below
+        units = coded.dictionary.to_pylist()
+        known = self.pieces.find(units)
+        new = [u for u in units if u not in known]
+        known |= self._new_words([u for u in new if u.isalpha()])
         new = [u for u in new if not u.isalpha()]
-        made = self._learn(new, [_PART.findall(" " + u) for u in new])
-        known.update(zip(new, made, strict=True))
-        heads = ["" if o else x if p is None else p[0] for o, x, p in zip(odd, texts, split, strict=True)]
+        made = dict(zip(new, self._learn(new, [_PART.findall(" " + u) for u in new]), strict=True))
+        self.pieces.add(made)
+        known |= made
+        ids = pa.array([known[u] for u in units], pa.large_binary()).take(coded.indices)
+        ends, raw = np.frombuffer(ids.buffers()[1], np.int64), memoryview(ids.buffers()[2] or b"")
+        first = split.offsets.to_numpy()
+        starts, stops = ends[first[:-1] + 1].tolist(), ends[first[1:]].tolist()
+        heads = ["" if o else x if a else x.partition(" ")[0] for o, a, x in zip(odd, apart, texts, strict=True)]
         rest = self._learn(heads, [_PART.findall(x) for x in heads])
-        get = known.__getitem__
-        return [self._bytes([x])[0] if o else r if p is None else r + b"".join(map(get, p[1:])) for o, x, r, p in zip(odd, texts, rest, split, strict=True)]
+        return [self._bytes([x])[0] if o else r if p else r + bytes(raw[a:b]) for o, p, x, r, a, b in zip(odd, apart, texts, rest, starts, stops, strict=True)]
 
     def offsets(self, texts: list[str]) -> list[np.ndarray]:
         """The character spans of each text's tokens, as an array of (start, end)."""

@@ -22,8 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from beamframe.llm.encode import Encoder
-from beamframe.llm.shared import materialize
+from beamframe.llm.encode import CACHE, Encoder
+from beamframe.llm.shared import materialize, tidy
+
+#: Words that a worker keeps where it gives them back when a task ends.
+FEW = 100_000
 
 
 def plan_best_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
@@ -77,13 +80,13 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, with_ids: bo
     schema = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("number", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, seen = Encoder.of(tokenizer), TaskContext.get().partitionId(), {}
+        encoder, task, seen = Encoder.of(tokenizer, FEW if free else CACHE), TaskContext.get().partitionId(), {}
         end = np.uint32(end_id).tobytes()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 512):
+            for at in range(0, len(texts), 1024):
                 rows = []
-                for doc_id, raw in zip(doc_ids[at : at + 512], encoder.encode([x or "" for x in texts[at : at + 512]]), strict=True):
+                for doc_id, raw in zip(doc_ids[at : at + 1024], encoder.encode([x or "" for x in texts[at : at + 1024]]), strict=True):
                     raw += end
                     for k, (start, length) in enumerate(cut(len(raw) // 4, size)):
                         own = raw[4 * start : 4 * (start + length)]
@@ -91,13 +94,13 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, with_ids: bo
                         rows.append((doc_id, k, start, length, zlib.crc32(own), task, number, *[np.frombuffer(own, "<i4")] * with_ids))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), schema, strict=True)], [n for n, _ in schema])
         if free:
-            encoder.forget()
+            Encoder.give_back(tokenizer)
 
-    return df.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long" + ", ids array<int>" * with_ids)
+    return df.mapInArrow(tidy(encode), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long" + ", ids array<int>" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, with_ids: bool = False, free: bool = False) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset [, ids]. free: workers give back the words they keep when a task ends, for jobs that go on with other work."""
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset [, ids]. free: workers keep few words, and give them and the tokenizer back when a task ends, for jobs that go on with other work."""
     spark = docs.sparkSession
     made = materialize(pieces(docs, tokenizer, size, end_id, with_ids, free), "pieces")
     counts = materialize(made.groupBy("task", "length").agg(F.count("*").alias("n")), "lengths")
@@ -120,4 +123,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, wit
             yield pa.RecordBatch.from_arrays([found.get(n) if n in found else batch.column(n) for n in names], names)
 
     ranked = made.join(base, ["task", "length"]).withColumn("rank", F.col("base") + F.col("number"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
+    return ranked.mapInArrow(tidy(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids)

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from beamframe.llm import packing, token_files, token_spans
+from beamframe.llm import encode, packing, token_files, token_spans
 from beamframe.llm.encode import Encoder, vocabulary
 from tests.llm.cases import clash, odd_docs, text
 
@@ -201,3 +201,27 @@ def test_marks_in_texts():
     for path in (BYTES, WORD):
         t = plain_cached(path)
         assert Encoder.of(path).encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def test_rare_words_go_before_words_met_again():
+    kept = encode.Kept(4)
+    kept.add({"a": b"1", "b": b"2"})
+    assert kept.find(["a", "x"]) == {"a": b"1"}
+    for k in range(40):
+        kept.add({f"rare{k}": b""})
+    assert kept.find(["a", "b", "rare39"]) == {"a": b"1", "rare39": b""} and len(kept) <= 8
+
+
+def test_few_words_kept_give_the_same_ids():
+    texts = [text(n, n) for n in range(60)] + ["", " a b", "a  b", "x<|endoftext|>y"]
+    small = encode.Encoder(BYTES, 3)
+    assert [small.encode(texts[k : k + 5]) for k in range(0, 60, 5)] == [Encoder.of(BYTES).encode(texts[k : k + 5]) for k in range(0, 60, 5)]
+    assert len(small.pieces) <= 4 * max(map(len, texts)) and small.encode(texts) == Encoder.of(BYTES).encode(texts)
+
+
+def test_a_task_that_gives_back_keeps_no_words_or_tokenizer(monkeypatch):
+    loaded = {}
+    monkeypatch.setattr(encode, "_LOADED", loaded)
+    assert Encoder.of(BYTES, 5).pieces.most == 5 and loaded
+    Encoder.give_back(BYTES)
+    assert not loaded
