@@ -28,23 +28,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beamframe.llm import textbatch as tb
-from beamframe.llm.shared import materialize
+from beamframe.llm.shared import materialize, tidy
 
 #: Contents of one anchor that one task settles; texts up to which a list of segments is broadcast (about 100 bytes each).
 HOT = 4096
 MOST_BROADCAST = 200_000
+#: Windows that a task ranks at once, if more than one anchor has them; an anchor has at most HOT contents of at most `length` windows.
+WINDOWS = 1 << 17
 _POSITIONS = 20  # bits of a segment's number of windows
 
 
-def _rows(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(doc_id, text, path, row), the files in order: places of rows in files are ids that any later read finds again."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): file and place in it are ids of rows that any later read finds again."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")]
+    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("place")]
     try:
         placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *place)
     except AnalysisException:  # not a plain table: it is written once
         placed = materialize(narrow, "texts").select("doc_id", "text", *place)
-    return placed, sorted(r[0] for r in placed.select("path").distinct().collect())  # a row for each file
+    files = sorted(r[0] for r in placed.select("path").distinct().collect())  # a row for each file
+    number = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(files)), "file long, path string"))
+    return placed.join(number, "path").select("doc_id", "text", F.shiftleft("file", 36).bitwiseOR(F.col("place")).alias("row"))
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -83,24 +87,17 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int):
     return text, start - offsets[text], end - start, prints[anchor[start]], content
 
 
-def _placed(batch: pa.RecordBatch, number: dict[str, int]) -> np.ndarray:
-    paths = batch.column("path").dictionary_encode()
-    files = np.array([number[p] for p in paths.dictionary.to_pylist()], np.int64)
-    return (files[paths.indices.to_numpy()] << 36) | batch.column("row").to_numpy()
-
-
 def find_repeats(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
     """(rows, ranges): rows has doc_id, text and a row id; ranges has row, start, end of windows' bytes that repeat."""
     if length >= 1 << _POSITIONS:
         raise ValueError(f"length must be below {1 << _POSITIONS}")
-    placed, files = _rows(docs)
-    number = {p: i for i, p in enumerate(files)}
+    texts = _rows(docs)
     mask = (1 << _POSITIONS) - 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.utf8(batch.column("text"))
-            rows = _placed(batch, number)
+            rows = batch.column("row").to_numpy()
             for first, last in tb.runs(offsets):
                 found = segments(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], length)
                 if found is not None:
@@ -108,7 +105,7 @@ def find_repeats(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFra
                     columns = [anchor.view(np.int64), content.view(np.int64), rows[first:last][text], start << _POSITIONS | windows]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h", "c", "row", "at"])
 
-    segs = placed.select("text", "path", "row").mapInArrow(emit, "h long, c long, row long, at long")
+    segs = texts.select("text", "row").mapInArrow(tidy(emit), "h long, c long, row long, at long")
     ranks = materialize(segs.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("k > 1").select("h", F.expr("lo = hi").alias("pure")), "ranks")
     alive = materialize(segs.join(ranks, "h"), "alive")
 
@@ -118,12 +115,6 @@ def find_repeats(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFra
     asked = materialize(asked.groupBy("row").agg(F.collect_list(F.struct("h", "c", "at", "hot")).alias("segs")), "asked")  # a text's own segments
     few = asked.count() <= MOST_BROADCAST
 
-    def rowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(_placed(batch, number))], ["doc_id", "text", "row"])
-
-    texts = placed.mapInArrow(rowed, "doc_id long, text string, row long")
-
     def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
@@ -135,7 +126,7 @@ def find_repeats(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFra
                         to.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["h", "c", "n", "hot", "bytes"])
 
-    cuts = materialize(texts.join(F.broadcast(asked) if few else asked, "row").select("text", "segs").mapInArrow(excerpts, "h long, c long, n long, hot boolean, bytes binary"), "cuts")
+    cuts = materialize(texts.join(F.broadcast(asked) if few else asked, "row").select("text", "segs").mapInArrow(tidy(excerpts), "h long, c long, n long, hot boolean, bytes binary"), "cuts")
 
     def windows(h: np.ndarray, n: np.ndarray, data: np.ndarray, offsets: np.ndarray):
         """(segment, place, fingerprint, fingerprint) of each window."""
@@ -159,6 +150,18 @@ def find_repeats(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFra
         stop = np.flatnonzero(hit & np.r_[~hit[1:] | (own[1:] != own[:-1]), True])
         yield pa.RecordBatch.from_arrays([pa.array(h[own[edge]]), pa.array(c[own[edge]]), pa.array(place[edge]), pa.array(place[stop])], ["h", "c", "a", "b"])
 
+    def whole_anchors(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        h, n = batch.column("h").to_numpy(), np.r_[0, np.cumsum(batch.column("n").to_numpy())]
+        ends = np.flatnonzero(np.r_[h[1:] != h[:-1], True]) + 1 if len(h) else []
+        first = last = 0
+        for end in map(int, ends):
+            if last > first and n[end] - n[first] > WINDOWS:
+                yield first, last
+                first = last
+            last = end
+        if last > first:
+            yield first, last
+
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:  # sorted by h: all but the last h of a batch are complete
@@ -169,22 +172,26 @@ def find_repeats(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFra
             if cut == 0 and held and held[-1].column("h")[-1].as_py() == h[0]:
                 held.append(batch)
                 continue
-            if held or cut:
-                yield from settled([*held, batch.slice(0, cut)])
+            if held:  # the anchor that an earlier batch began
+                end = int(np.searchsorted(h, held[0].column("h")[0].as_py(), "right"))
+                yield from settled([*held, batch.slice(0, end)])
+                batch, cut = batch.slice(end), cut - end
+            for first, last in whole_anchors(batch.slice(0, cut)):
+                yield from settled([batch.slice(first, last - first)])
             held = [batch.slice(cut)]
         if held:
             yield from settled(held)
 
-    cold = cuts.where("NOT hot").select("h", "c", "n", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(settle, "h long, c long, a long, b long")
+    cold = cuts.where("NOT hot").select("h", "c", "n", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(tidy(settle), "h long, c long, a long, b long")
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             h, c, n = (batch.column(x).to_numpy() for x in ("h", "c", "n"))
             raw = batch.column("bytes").to_pylist()
             own, place, one, two = windows(h, n, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
             yield pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(c[own]), pa.array(place), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["h", "c", "a", "one", "two"])
 
-    each = cuts.where("hot").select("h", "c", "n", "bytes").mapInArrow(single, "h long, c long, a long, one long, two long")
+    each = cuts.where("hot").select("h", "c", "n", "bytes").mapInArrow(tidy(single), "h long, c long, a long, one long, two long")
     twice = each.groupBy("one", "two").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     warm = each.join(twice, ["one", "two"]).select("h", "c", "a", F.col("a").alias("b"))
 
@@ -221,4 +228,4 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_kept: bool = False)
                     to.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, (_, k) in zip(out, schema, strict=True)], [n for n, _ in schema])
 
-    return texts.join(gathered, "row", "left").select("doc_id", "text", "ranges").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+    return texts.join(gathered, "row", "left").select("doc_id", "text", "ranges").mapInArrow(tidy(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)

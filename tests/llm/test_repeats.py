@@ -2,8 +2,12 @@ import collections
 import hashlib
 import random
 import tempfile
+import tracemalloc
+
+import numpy as np
 
 from beamframe.llm import repeats
+from beamframe.llm import textbatch as tb
 from tests.llm.cases import clash, odd_docs
 
 
@@ -71,3 +75,33 @@ def test_plain_table_and_odd_rows(spark):
     assert sorted((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows) == sorted(brute(texts, 200))
     assert all(hashlib.sha256(x.kept).hexdigest() == x.kept_sha256 for x in rows)
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_working_memory_is_bounded():
+    """Arrays of a run of texts, about 80 bytes for each of its bytes: under 32 MB, also for many megabytes of text."""
+    r = random.Random(4)
+    texts = ["".join(r.choices("abcdefgh ", k=4000)) for _ in range(600)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.arange(0, len(data) + 1, 4000)
+    tb.powers(tb.RUN_BYTES)
+    tracemalloc.start()
+    for first, last in tb.runs(offsets):
+        repeats.segments(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32e6
+
+
+def test_anchors_cut_by_batches_and_by_windows(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "WINDOWS", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        check(spark, corpus(32), 32)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_one_python_worker_a_task(spark, sf_dir):
+    """Rows are numbered by a join, so no stage runs a second Python function before the one that works on texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert "MapInArrow" not in repeats._rows(docs)._jdf.queryExecution().executedPlan().toString()
