@@ -5,15 +5,16 @@ merge anything, so a text's ids are those of such parts, one after another. Lett
 and a mark are not split from what follows, as the mark belongs to it. Ids are looked up for what stands between two
 spaces first, then for its parts. Texts with a space between white space, with special tokens, or with rare control
 characters, on which libraries differ about what white space is, take slower ways: by parts alone, or encoded whole. New
-words are encoded many in one text.
+words are encoded many in one text. For byte-level vocabularies the parts of ASCII and Latin letters are those that the
+library's own pattern makes, so they go straight to the library's BPE model.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
-from itertools import islice
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,19 @@ _PART = re.compile(rf"\s*[^\W_]++(?<=[^\W_{_LOOSE}])(?=[,.])|(?<=[^\W_{_LOOSE}])
 _LOOSE_SPACE = re.compile(r"\s \s|\s \Z")
 _APART = re.compile(r"\s\s*\S")
 _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b]")
+_SPACE = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
+#: For Arrow, which knows fewer kinds of white space: odd characters, and a space between white space or at the end after such.
+_ODD_ARROW, _LOOSE_ARROW = "[\x1c-\x1f\x85\u180e\u200b]", rf"[{_SPACE}] (?:[{_SPACE}]|\z)"
+#: Letters that are letters in all versions of Unicode, and the pattern of byte-level vocabularies for texts of such, ASCII digits, marks and white space.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_LETTERS = re.compile(f"[{_LATIN}]+")
+_PLAIN = re.compile(rf"[{_LATIN} -~\n\t\r]*")
+_BYTE_PART = re.compile(rf"'(?:[stmd]|ll|ve|re)| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+")
+_BYTE_PARTS_ALONE = re.compile(rf"'(?:[stmd]|ll|ve|re)| ?[{_LATIN}]+| ?[0-9]+| ?[!-/:-@\[-`{{-~]+|[ \n\t\r]+")
+#: Plain characters as byte-level vocabularies write their bytes.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_NAME = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+_BYTE_NAMES = {c: "".join(_BYTE_NAME[b] for b in chr(c).encode()) for c in range(0x250)}
 _LOADED: dict = {}
 
 
@@ -54,20 +68,21 @@ class Kept:
         self.once: dict[str, bytes] = {}
         self.most = most
 
-    def find(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Those of the words that are known."""
-        found, again, once = {}, self.again, self.once
-        for w in words:
-            value = again.get(w)
-            if value is None:
-                value = once.pop(w, None)
-                if value is None:
-                    continue
-                again[w] = value
-            found[w] = value
-        return found
-
-    def add(self, made: dict[str, bytes]) -> None:
+    def get(self, words: list[str]) -> list[bytes | None]:
+        """The values of words that differ; None where one is not known."""
+        values = list(map(self.again.get, words))
+        missing = [k for k, v in enumerate(values) if v is None]
+        names = [words[k] for k in missing]
+        for k, w, v in zip(missing, names, map(self.once.pop, names, repeat(None))):
+            if v is not None:
+                self.again[w] = values[k] = v
+        return values
+
+    def find(self, words: list[str]) -> dict[str, bytes]:
+        """Those of the words, which differ, that are known."""
+        return {w: v for w, v in zip(words, self.get(words)) if v is not None}
+
+    def add(self, made: dict[str, bytes] | Iterable[tuple[str, bytes]]) -> None:
         if len(self.again) > self.most:  # those still in use come back when they are met
             self.again, self.once = {}, self.again | self.once
         self.once.update(made)
@@ -87,6 +102,8 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
@@ -94,6 +111,11 @@ class Encoder:
         names = sorted((i, t) for t, i in self.tokenizer.get_vocab().items())
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.at_end = bool(suffix)
+        model, by = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        bare = isinstance(model, BPE) and not (suffix or model.dropout or model.continuing_subword_prefix) and self.tokenizer.normalizer is None
+        #: The model's own call, where it may be given plain parts.
+        self.model = model.tokenize if bare and isinstance(by, ByteLevel) and by.use_regex and not by.add_prefix_space else None
+        self.odd = "|".join([_ODD_ARROW, *map(re.escape, self.special)])
         #: By id: whether the token ends a word (vocabularies with a suffix for that) or begins one after a space.
         self.edge = np.zeros(names[-1][0] + 1, bool)
         self.edge[[i for i, t in names if (t.endswith(suffix) if suffix else t.startswith("\u0120"))]] = True
@@ -116,6 +138,28 @@ class Encoder:
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _alone(self, parts: list[str]) -> list[bytes]:
+        """The ids of texts that are encoded by themselves; plain parts go to the model."""
+        if not self.model:
+            return self._bytes(parts) if parts else []
+        one = [_BYTE_PARTS_ALONE.fullmatch(q) is not None for q in parts]
+        other = [q for q, o in zip(parts, one) if not o]
+        modelled = self._modelled([q.translate(_BYTE_NAMES) for q, o in zip(parts, one) if o])
+        rest = iter(self._bytes(other) if other else ())
+        return [next(modelled) if o else next(rest) for o in one]
+
+    def _modelled(self, names: list[str]) -> Iterator[bytes]:
+        """The ids of parts in the vocabulary's own characters."""
+        for at in range(0, len(names), 8192):
+            tokens = list(map(self.model, names[at : at + 8192]))
+            raw = np.array([t.id for t in chain.from_iterable(tokens)], "<u4").tobytes()
+            ends = (4 * np.cumsum([len(t) for t in tokens])).tolist()
+            yield from (raw[a:b] for a, b in zip([0, *ends], ends))
+
+    def _split(self, text: str) -> list[str]:
+        """Parts that may be encoded by themselves."""
+        return (_BYTE_PART if self.model and (text.isascii() or _PLAIN.fullmatch(text)) else _PART).findall(text)
+
     def _odd(self, text: str) -> bool:
         return any(x in text for x in self.special) or _ODD.search(text) is not None
 
@@ -145,7 +189,17 @@ class Encoder:
                 yield u, ids[4 * a : 4 * b], spans[a:b] - starts[k]
 
     def _words(self, words: list[str]) -> Iterator[bytes]:
-        """The ids of each word of letters with a space before it: the words of one text, told apart by tokens that only begin or only end words."""
+        """The ids of each word of letters with a space before it."""
+        if self.model:
+            plain = [w.isascii() or _LETTERS.fullmatch(w) is not None for w in words]
+            modelled = self._modelled(["\u0120" + (w if w.isascii() else w.translate(_BYTE_NAMES)) for w, p in zip(words, plain) if p])
+            other = self._joined_words([w for w, p in zip(words, plain) if not p])
+            yield from (next(modelled if p else other) for p in plain)
+        else:
+            yield from self._joined_words(words)
+
+    def _joined_words(self, words: list[str]) -> Iterator[bytes]:
+        """As the words of one text, told apart by tokens that only begin or only end words."""
         for at in range(0, len(words), 8192):
             own = words[at : at + 8192]
             ids = self._bytes([" " + " ".join(own)])[0]
@@ -157,48 +211,58 @@ class Encoder:
             ends = (4 * ends).tolist()
             yield from (ids[a:b] for a, b in zip([0, *ends], ends))
 
-    def _learn(self, texts: list[str], parts: list[list[str]]) -> list[bytes]:
-        """The ids of texts by their parts. Words of letters after a space are kept in `pieces`, other parts in `ids`."""
-        words, rest = [], []
-        for q in {q for p in parts for q in p}:
-            (words if q[0] == " " and q[1:].isalpha() else rest).append(q)
-        own = [q[1:] for q in words]
-        known = self.pieces.find(own)
-        known |= self._new_words([w for w in own if w not in known])
-        ids = self.ids.find(rest)
-        new = [q for q in rest if q not in ids]
-        made = dict(zip(new, self._bytes(new) if new else (), strict=True))
-        self.ids.add(made)
-        ids |= made
-        ids.update(zip(words, map(known.__getitem__, own), strict=True))
+    def _learn(self, texts: list[str], made: dict[str, bytes]) -> list[bytes]:
+        """The ids of texts by their parts. Words of letters after a space are those made, or kept in `pieces`; other parts are kept in `ids`."""
+        parts = list(map(self._split, texts))
+        distinct = set(chain.from_iterable(parts))
+        words = [q[1:] for q in distinct if q[0] == " " and q[1:].isalpha()]
+        ids = {" " + w: made[w] for w in words if w in made}
+        words = [w for w in words if w not in made]
+        ids.update(zip([" " + w for w in words], self._known(words, self.pieces, self._words), strict=True))
+        rest = [q for q in distinct if q not in ids]
+        ids.update(zip(rest, self._known(rest, self.ids, self._alone), strict=True))
         return [b"".join(map(ids.__getitem__, p)) for p in parts]
 
-    def _new_words(self, words: list[str]) -> dict[str, bytes]:
+    def _known(self, words: list[str], kept: Kept, make: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
+        """The values of words that differ, from those kept or else made and kept."""
+        values = kept.get(words)
+        missing = [k for k, v in enumerate(values) if v is None]
+        if missing:
+            new = [words[k] for k in missing]
+            made = list(make(new))
+            kept.add(zip(new, made, strict=True))
+            for k, v in zip(missing, made, strict=True):
+                values[k] = v
+        return values
+
+    def _after_space(self, units: list[str]) -> list[bytes]:
+        """The ids of units with a space before each."""
+        words = [u for u in units if u.isalpha()]
         made = dict(zip(words, self._words(words), strict=True))
-        self.pieces.add(made)
-        return made
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        odd = [self._odd(x) for x in texts]
-        apart = [o or _LOOSE_SPACE.search(x) is not None for o, x in zip(odd, texts, strict=True)]
-        split = pc.split_pattern(pa.array(["" if a else x for a, x in zip(apart, texts, strict=True)], pa.large_string()), " ")
-        coded = split.flatten().dictionary_encode()  # a text's first unit has no space before it and is encoded below
-        units = coded.dictionary.to_pylist()
-        known = self.pieces.find(units)
-        new = [u for u in units if u not in known]
-        known |= self._new_words([u for u in new if u.isalpha()])
-        new = [u for u in new if not u.isalpha()]
-        made = dict(zip(new, self._learn(new, [_PART.findall(" " + u) for u in new]), strict=True))
-        self.pieces.add(made)
-        known |= made
-        ids = pa.array([known[u] for u in units], pa.large_binary()).take(coded.indices)
+        rest = [u for u in units if u not in made]
+        made.update(zip(rest, self._learn([" " + u for u in rest], made), strict=True))
+        return list(map(made.__getitem__, units))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers. A null in an array of strings is an empty text."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "") if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(texts, self.odd)
+        apart = pc.or_(odd, pc.match_substring_regex(texts, _LOOSE_ARROW))
+        split = pc.split_pattern(pc.if_else(apart, "", texts), " ")
+        coded = split.flatten().dictionary_encode()
+        units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(self._known(units, self.pieces, self._after_space), pa.large_binary()).take(coded.indices)
         ends, raw = np.frombuffer(ids.buffers()[1], np.int64), memoryview(ids.buffers()[2] or b"")
         first = split.offsets.to_numpy()
         starts, stops = ends[first[:-1] + 1].tolist(), ends[first[1:]].tolist()
-        heads = ["" if o else x if a else x.partition(" ")[0] for o, a, x in zip(odd, apart, texts, strict=True)]
-        rest = self._learn(heads, [_PART.findall(x) for x in heads])
-        return [self._bytes([x])[0] if o else r if p else r + bytes(raw[a:b]) for o, p, x, r, a, b in zip(odd, apart, texts, rest, starts, stops, strict=True)]
+        heads = [units[k] for k in coded.indices.to_numpy()[first[:-1]]]  # a text's first unit has no space before it
+        whole: dict[int, bytes] = {}
+        for k in np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist():
+            heads[k] = "" if odd[k].as_py() else texts[k].as_py()
+            if odd[k].as_py():
+                whole[k] = self._bytes([texts[k].as_py()])[0]
+        rest = self._learn(heads, {})
+        return [whole[k] if k in whole else r + bytes(raw[a:b]) for k, (r, a, b) in enumerate(zip(rest, starts, stops, strict=True))]
 
     def offsets(self, texts: list[str]) -> list[np.ndarray]:
         """The character spans of each text's tokens, as an array of (start, end)."""

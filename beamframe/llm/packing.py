@@ -83,10 +83,9 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, with_ids: bo
         encoder, task, seen = Encoder.of(tokenizer, FEW if free else CACHE), TaskContext.get().partitionId(), {}
         end = np.uint32(end_id).tobytes()
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 1024):
-                rows = []
-                for doc_id, raw in zip(doc_ids[at : at + 1024], encoder.encode([x or "" for x in texts[at : at + 1024]]), strict=True):
+            for at in range(0, batch.num_rows, 1024):
+                part, rows = batch.slice(at, 1024), []
+                for doc_id, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     raw += end
                     for k, (start, length) in enumerate(cut(len(raw) // 4, size)):
                         own = raw[4 * start : 4 * (start + length)]
