@@ -5,8 +5,10 @@ merge anything, so a text's ids are those of such parts, one after another. Lett
 and a mark are not split from what follows, as the mark belongs to it. Ids are looked up for what stands between two
 spaces first, then for its parts. Texts with a space between white space, with special tokens, or with rare control
 characters, on which libraries differ about what white space is, take slower ways: by parts alone, or encoded whole. New
-words are encoded many in one text. For byte-level vocabularies the parts of ASCII and Latin letters are those that the
-library's own pattern makes, so they go straight to the library's BPE model.
+words are encoded many in one text.
+
+For byte-level vocabularies what stands between spaces, if it has ASCII and Latin letters only and no apostrophe, is cut
+on arrays where the library's own pattern cuts; such parts are looked up, and new ones go straight to the library's model.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from beamframe.llm.textbatch import utf8
+
 #: Words that each Python worker keeps for reuse: so many that were met again, and as many that were met once.
 CACHE = 500_000
 #: Spans of parts kept for reuse; beyond it only those of the texts at hand are kept.
@@ -36,10 +40,13 @@ _SPACE = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
 _ODD_ARROW, _LOOSE_ARROW = "[\x1c-\x1f\x85\u180e\u200b]", rf"[{_SPACE}] (?:[{_SPACE}]|\z)"
 #: Letters that are letters in all versions of Unicode, and the pattern of byte-level vocabularies for texts of such, ASCII digits, marks and white space.
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_LETTERS = re.compile(f"[{_LATIN}]+")
 _PLAIN = re.compile(rf"[{_LATIN} -~\n\t\r]*")
 _BYTE_PART = re.compile(rf"'(?:[stmd]|ll|ve|re)| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+")
 _BYTE_PARTS_ALONE = re.compile(rf"'(?:[stmd]|ll|ve|re)| ?[{_LATIN}]+| ?[0-9]+| ?[!-/:-@\[-`{{-~]+|[ \n\t\r]+")
+#: Kinds of bytes: 0 space, 1 other white space, 2 letters (with all bytes of longer characters), 3 digits, 4 others.
+_KIND = np.array([0 if b == 32 else 1 if 9 <= b <= 13 else 2 if b >= 128 or chr(b).isalpha() else 3 if chr(b).isdigit() else 4 for b in range(256)], np.uint8)
+#: Apostrophes, and bytes that begin characters other than ASCII and U+00C0 to U+023F.
+_NOT_PLAIN = np.array([b == 39 or b == 0xC2 or b >= 0xC9 for b in range(256)])
 #: Plain characters as byte-level vocabularies write their bytes.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_NAME = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
@@ -94,6 +101,23 @@ class Kept:
         return len(self.again) + len(self.once)
 
 
+def _cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the parts of units begin, each unit (bytes between two offsets) being a space and what stands before the next. White space before something else leaves its last character by itself; units that are not plain stay whole."""
+    kind, n = _KIND[data], len(data)
+    blank = kind < 2
+    own, after = np.zeros(n, bool), np.zeros(n, bool)
+    own[1:] = (kind[1:] != kind[:-1]) & ~(blank[1:] & blank[:-1]) & (kind[:-1] != 0)
+    after[:-1] = ~blank[1:]
+    after[offsets[1:] - 1] = False
+    own[1:] |= blank[1:] & blank[:-1] & after[1:]
+    bad = _NOT_PLAIN[data]
+    bad[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    counted = np.r_[0, np.cumsum(bad)][offsets]
+    own &= ~np.repeat(counted[1:] > counted[:-1], np.diff(offsets))
+    own[offsets[:-1]] = True
+    return np.flatnonzero(own)
+
+
 class Encoder:
     """encode(texts) -> one array of ids for each text. One object for each vocabulary file and worker: Encoder.of(path)."""
 
@@ -138,20 +162,25 @@ class Encoder:
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _alone(self, parts: list[str]) -> list[bytes]:
-        """The ids of texts that are encoded by themselves; plain parts go to the model."""
-        if not self.model:
-            return self._bytes(parts) if parts else []
-        one = [_BYTE_PARTS_ALONE.fullmatch(q) is not None for q in parts]
-        other = [q for q, o in zip(parts, one) if not o]
-        modelled = self._modelled([q.translate(_BYTE_NAMES) for q, o in zip(parts, one) if o])
+    def _alone(self, parts: list[str]) -> Iterator[bytes]:
+        """The ids of parts that are encoded by themselves; plain ones go to the model."""
+        plain = [self.model is not None and _BYTE_PARTS_ALONE.fullmatch(q) is not None for q in parts]
+        modelled = self._modelled([q for q, p in zip(parts, plain) if p])
+        other = [q for q, p in zip(parts, plain) if not p]
         rest = iter(self._bytes(other) if other else ())
-        return [next(modelled) if o else next(rest) for o in one]
-
-    def _modelled(self, names: list[str]) -> Iterator[bytes]:
-        """The ids of parts in the vocabulary's own characters."""
-        for at in range(0, len(names), 8192):
-            tokens = list(map(self.model, names[at : at + 8192]))
+        return (next(modelled if p else rest) for p in plain)
+
+    def _made(self, parts: list[str]) -> Iterator[bytes]:
+        """The ids of parts that `_cut` made: plain ones, and whole units that are cut here."""
+        plain = [_BYTE_PARTS_ALONE.fullmatch(q) is not None for q in parts]
+        modelled = self._modelled([q for q, p in zip(parts, plain) if p])
+        rest = iter(self._learn([q for q, p in zip(parts, plain) if not p], {}))
+        return (next(modelled if p else rest) for p in plain)
+
+    def _modelled(self, parts: list[str]) -> Iterator[bytes]:
+        """The model's ids of plain parts."""
+        for at in range(0, len(parts), 8192):
+            tokens = [self.model(q.translate(_BYTE_NAMES)) for q in parts[at : at + 8192]]
             raw = np.array([t.id for t in chain.from_iterable(tokens)], "<u4").tobytes()
             ends = (4 * np.cumsum([len(t) for t in tokens])).tolist()
             yield from (raw[a:b] for a, b in zip([0, *ends], ends))
@@ -189,17 +218,7 @@ class Encoder:
                 yield u, ids[4 * a : 4 * b], spans[a:b] - starts[k]
 
     def _words(self, words: list[str]) -> Iterator[bytes]:
-        """The ids of each word of letters with a space before it."""
-        if self.model:
-            plain = [w.isascii() or _LETTERS.fullmatch(w) is not None for w in words]
-            modelled = self._modelled(["\u0120" + (w if w.isascii() else w.translate(_BYTE_NAMES)) for w, p in zip(words, plain) if p])
-            other = self._joined_words([w for w, p in zip(words, plain) if not p])
-            yield from (next(modelled if p else other) for p in plain)
-        else:
-            yield from self._joined_words(words)
-
-    def _joined_words(self, words: list[str]) -> Iterator[bytes]:
-        """As the words of one text, told apart by tokens that only begin or only end words."""
+        """The ids of each word of letters with a space before it: the words of one text, told apart by tokens that only begin or only end words."""
         for at in range(0, len(words), 8192):
             own = words[at : at + 8192]
             ids = self._bytes([" " + " ".join(own)])[0]
@@ -215,7 +234,7 @@ class Encoder:
         """The ids of texts by their parts. Words of letters after a space are those made, or kept in `pieces`; other parts are kept in `ids`."""
         parts = list(map(self._split, texts))
         distinct = set(chain.from_iterable(parts))
-        words = [q[1:] for q in distinct if q[0] == " " and q[1:].isalpha()]
+        words = [q[1:] for q in distinct if q[0] == " " and q[1:].isalpha() and not (self.model and _BYTE_PARTS_ALONE.fullmatch(q))]
         ids = {" " + w: made[w] for w in words if w in made}
         words = [w for w in words if w not in made]
         ids.update(zip([" " + w for w in words], self._known(words, self.pieces, self._words), strict=True))
@@ -243,19 +262,36 @@ class Encoder:
         made.update(zip(rest, self._learn([" " + u for u in rest], made), strict=True))
         return list(map(made.__getitem__, units))
 
+    def _units(self, units: pa.Array) -> pa.Array:
+        """The ids of units with a space before each, looked up as they are."""
+        return pa.array(self._known(units.to_numpy(zero_copy_only=False).tolist(), self.pieces, self._after_space), pa.large_binary())
+
+    def _cut_units(self, units: pa.Array) -> pa.Array:
+        """The ids of units with a space before each, looked up by parts."""
+        none, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+        data, offsets = utf8(pc.binary_join_element_wise(none, units, space))
+        starts = _cut(data, offsets)
+        parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.r_[starts, len(data)]), pa.py_buffer(data))
+        coded = parts.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(self._known(names, self.ids, self._made), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[np.searchsorted(starts, offsets)]
+        return pa.Array.from_buffers(pa.large_binary(), len(units), [None, pa.py_buffer(ends), ids.buffers()[2]])
+
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers. A null in an array of strings is an empty text."""
+        if not len(texts):
+            return []
         texts = pc.fill_null(texts.cast(pa.large_string()), "") if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         odd = pc.match_substring_regex(texts, self.odd)
         apart = pc.or_(odd, pc.match_substring_regex(texts, _LOOSE_ARROW))
         split = pc.split_pattern(pc.if_else(apart, "", texts), " ")
         coded = split.flatten().dictionary_encode()
-        units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = pa.array(self._known(units, self.pieces, self._after_space), pa.large_binary()).take(coded.indices)
+        ids = (self._cut_units if self.model else self._units)(coded.dictionary).take(coded.indices)
         ends, raw = np.frombuffer(ids.buffers()[1], np.int64), memoryview(ids.buffers()[2] or b"")
         first = split.offsets.to_numpy()
         starts, stops = ends[first[:-1] + 1].tolist(), ends[first[1:]].tolist()
-        heads = [units[k] for k in coded.indices.to_numpy()[first[:-1]]]  # a text's first unit has no space before it
+        heads = coded.take(first[:-1]).dictionary_decode().to_numpy(zero_copy_only=False).tolist()  # a text's first unit has no space before it
         whole: dict[int, bytes] = {}
         for k in np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist():
             heads[k] = "" if odd[k].as_py() else texts[k].as_py()

@@ -83,8 +83,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, with_ids: bo
         encoder, task, seen = Encoder.of(tokenizer, FEW if free else CACHE), TaskContext.get().partitionId(), {}
         end = np.uint32(end_id).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part, rows = batch.slice(at, 1024), []
+            for at in range(0, batch.num_rows, 2048):
+                part, rows = batch.slice(at, 2048), []
                 for doc_id, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     raw += end
                     for k, (start, length) in enumerate(cut(len(raw) // 4, size)):
