@@ -8,7 +8,8 @@
 
 A null or empty text is the end id alone; texts of any length are whole, in pieces. Repeated rows, null and equal doc_ids
 are packed as they come; which of equally long pieces gets which slot follows the order of tasks and rows. An empty table
-gives no rows. Only doc_id and text are read, so other columns may have any name.
+gives no rows. Only doc_id and text are read, so other columns may have any name. Texts are encoded in runs of bounded
+bytes (a longer text alone), which bounds a worker's memory.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from beamframe.llm import textbatch as tb
 from beamframe.llm.encode import CACHE, Encoder
 from beamframe.llm.shared import materialize, tidy
 
@@ -83,8 +85,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, with_ids: bo
         encoder, task, seen = Encoder.of(tokenizer, FEW if free else CACHE), TaskContext.get().partitionId(), {}
         end = np.uint32(end_id).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part, rows = batch.slice(at, 2048), []
+            for first, last in tb.runs(tb.utf8(batch.column(1))[1]):
+                part, rows = batch.slice(first, last - first), []
                 for doc_id, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     raw += end
                     for k, (start, length) in enumerate(cut(len(raw) // 4, size)):

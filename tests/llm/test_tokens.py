@@ -4,6 +4,7 @@ import collections
 import random
 import tempfile
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,19 @@ def test_packing_by_brute_force(spark):
     assert packing.pack(docs.limit(0), BYTES).count() == 0
 
 
+def test_packing_encodes_bounded_bytes_at_once(spark, monkeypatch):
+    """2048 texts of 4,000 bytes went to the encoder at once."""
+    frame, sent = SimpleNamespace(select=lambda *_: frame, mapInArrow=lambda work, _: work), []
+    encode = packing.Encoder.encode
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(packing.Encoder, "encode", lambda self, texts: sent.append([len(t or "") for t in texts.to_pylist()]) or encode(self, texts))
+    texts = ["ab c" * 1000] * 300 + [None, "", "x y" * 200_000, None] + ["d e " * 1000] * 100
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    out = pa.Table.from_batches(packing.pieces(frame, BYTES, 1024, 2, True, True)(iter([batch.slice(0, 250), batch.slice(250)])))
+    assert sum(map(len, sent)) == len(texts) and max(sum(x) for x in sent if len(x) > 1) <= packing.tb.RUN_BYTES
+    assert sorted(set(out["doc_id"].to_pylist())) == list(range(len(texts))) and out.schema.names[-1] == "ids"
+
+
 def test_cut():
     assert packing.cut(1024, 1024) == [(0, 1024)] and packing.cut(2050, 1024) == [(0, 2), (2, 1024), (1026, 1024)] and packing.cut(2048, 1024) == [(0, 1024), (1024, 1024)]
 
